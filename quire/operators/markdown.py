@@ -26,6 +26,7 @@ from quire.operators.html import (
     clustered,
     html_nodes,
     inner_html,
+    inner_text,
     name_of,
     text_of,
     token_array,
@@ -113,6 +114,15 @@ def extract_content(pages: DataFrame, selector: str = "", kind: str = "", keys:
     return rows.select(*keys, F.coalesce(content, F.lit("")).alias("content"))
 
 
+def extract_text(pages: DataFrame, selector: str, kind: str = "css", keys: Sequence[str] = PAGE) -> DataFrame:
+    """Text of the first match of a selector with all its descendants: ``(*keys, text)``, null without a match."""
+    pages = clustered(pages.select(*keys, "html"), keys)
+    nodes = html_nodes(pages, keys, parents=needs_parents([(selector, kind)]))
+    first = first_match(select(nodes, [(selector, kind)], keys, keep=()), keys).hint("shuffle_hash")
+    rows = pages.select(*keys, token_array().alias("tokens")).join(first, list(keys), "left")
+    return rows.select(*keys, inner_text(F.col("tokens"), F.col("start_pos"), F.col("end_pos")).alias("text"))
+
+
 # ---- events -------------------------------------------------------------------------------------------------------
 
 

@@ -58,25 +58,19 @@ def find_pages(work: DataFrame, pages: DataFrame, cache: DataFrame | None) -> Da
     )
 
 
-def fetch_corpus(
+def place_items(
     items: DataFrame,
     catalogs: DataFrame,
-    pages: DataFrame,
     root: str,
-    cache: DataFrame | None = None,
-    done: DataFrame | None = None,
     keys: Sequence[str] = ("site",),
     selectors: Sequence[tuple[str, str]] | None = None,
     limit: int | None = GROUP_LIMIT,
-    **options,
-) -> Fetch:
-    """Fetch all items of all catalogs.
+) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Items with the file they go to and the selector they are read with, and the list of selectors.
 
     ``items`` are tree rows ``(*keys, idx, depth, title, url)``, ``catalogs`` one row per ``keys`` with
-    ``selectors``; ``done`` is ``(output_path, source)`` of what has been written. An item counts as done when
-    its path and its address are both there; it succeeds with no words. ``selectors`` lists the content
-    selectors that occur, to spare a look at the catalogs. An address that several items name is converted
-    once per selector.
+    ``selectors``; the argument ``selectors`` lists the content selectors that occur, to spare a look at the
+    catalogs.
     """
     keys = list(keys)
     flat = flatten_catalog(items, keys, limit)
@@ -85,37 +79,72 @@ def fetch_corpus(
     pairs = list(selectors) if selectors is not None else selectors_in(catalogs, content, kind)
     chosen = catalogs.select(*keys, want_index(pairs, content, kind).alias("want"))
     placed = output_paths(flat, site_root).join(chosen, keys, "left").withColumn("url_hash", url_hash("url"))
-    placed = placed.select(*keys, "idx", "title", "url", "url_hash", "want", "output_path")
+    return placed.select(*keys, "idx", "title", "url", "url_hash", "want", "output_path"), pairs
+
+
+def fetch_placed(
+    placed: DataFrame,
+    selectors: Sequence[tuple[str, str]],
+    pages: DataFrame,
+    cache: DataFrame | None = None,
+    done: DataFrame | None = None,
+    keys: Sequence[str] = ("site",),
+    **options,
+) -> Fetch:
+    """Fetch items that have their place.
+
+    ``done`` is ``(output_path, source)`` of what has been written. An item counts as done when its path and
+    its address are both there; it succeeds with no words. An address that several items name is converted
+    once per selector.
+    """
+    keys = list(keys)
     if done is None:
         placed = placed.withColumn("skipped", F.lit(False))
     else:
         written = done.select("output_path", F.col("source").alias("url"), F.lit(True).alias("skipped")).distinct()
         placed = placed.join(written, ["output_path", "url"], "left")
         placed = placed.withColumn("skipped", F.coalesce("skipped", F.lit(False)))
-    work = placed.where(~F.col("skipped")).select("url_hash", "url", "want").distinct()
+    work = placed.where(~F.col("skipped") & F.col("want").isNotNull()).select("url_hash", "url", "want").distinct()
     found = find_pages(work, pages, cache)
-    converted = convert(found.where(F.col("html").isNotNull()), pairs, ("url_hash", "want"), **options)
+    converted = convert(found.where(F.col("html").isNotNull()), selectors, ("url_hash", "want"), **options)
     outcome = found.select("url_hash", "want", "from_cache", F.col("html").isNull().alias("missing")).join(
         converted.select("url_hash", "want", "content", "word_count", "error"), ["url_hash", "want"], "left"
     )
-    done_here = F.col("skipped")
-    unknown = F.col("want").isNull()
+    skipped, converted_now = F.col("skipped"), F.col("content").isNotNull()
     results = placed.join(outcome, ["url_hash", "want"], "left").select(
-        *keys, "idx", "title", "url", "output_path", "skipped",
-        F.when(done_here, None).otherwise(F.col("from_cache")).alias("from_cache"),
-        F.when(done_here | F.col("content").isNull(), 0).otherwise(F.col("word_count")).cast("bigint").alias("word_count"),
-        (done_here | F.col("content").isNotNull()).alias("success"),
-        F.when(done_here, None)
-        .when(unknown, "parse: unknown selector")
+        *keys, "idx", "title", "url", "output_path", "skipped", "from_cache",
+        F.when(converted_now, F.col("word_count")).otherwise(0).cast("bigint").alias("word_count"),
+        (skipped | converted_now).alias("success"),
+        F.when(skipped, None)
+        .when(F.col("want").isNull(), "parse: no usable selector")
         .when(F.col("missing"), "render: page not available")
         .otherwise(F.col("error"))
         .alias("error"),
-        "content",
+        F.when(~skipped, F.col("content")).alias("content"),
     )
+    results = results.withColumn("from_cache", F.when(~F.col("skipped"), F.col("from_cache")))
     site = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
     fresh = keep_last_writer(results.where(F.col("content").isNotNull()).withColumn("site", site))
+    unseen = found.where(~F.col("from_cache") & F.col("html").isNotNull())
     return Fetch(
         results=results.drop("content"),
-        documents=fresh.select("site", "output_path", "content"),
-        new_pages=found.where(~F.col("from_cache") & F.col("html").isNotNull()).select("url", "html").dropDuplicates(["url"]),
+        documents=fresh.select("site", "output_path", F.col("url").alias("source"), "content"),
+        new_pages=unseen.groupBy("url_hash").agg(F.max("url").alias("url"), F.max("html").alias("html")).drop("url_hash"),
     )
+
+
+def fetch_corpus(
+    items: DataFrame,
+    catalogs: DataFrame,
+    pages: DataFrame,
+    root: str,
+    cache: DataFrame | None = None,
+    done: DataFrame | None = None,
+    keys: Sequence[str] = ("site",),
+    selectors: Sequence[tuple[str, str]] | None = None,
+    limit: int | None = GROUP_LIMIT,
+    **options,
+) -> Fetch:
+    """Fetch all items of all catalogs: ``place_items``, then ``fetch_placed``."""
+    placed, pairs = place_items(items, catalogs, root, keys, selectors, limit)
+    return fetch_placed(placed, pairs, pages, cache, done, keys, **options)

@@ -15,8 +15,8 @@ def keep_last_writer(results: DataFrame) -> DataFrame:
 
 
 def write_markdown(documents: DataFrame, path: str, mode: str = "append") -> None:
-    """Documents ``(site, output_path, content)`` as a Parquet table; one commit for the whole run."""
-    documents.select("site", "output_path", "content").write.mode(mode).parquet(path)
+    """Documents ``(site, output_path, source, content)`` as a Parquet table; one commit for the whole run."""
+    documents.select("site", "output_path", "source", "content").write.mode(mode).parquet(path)
 
 
 def export_markdown(documents: DataFrame) -> None:
@@ -39,9 +39,13 @@ def sources_of(documents: DataFrame) -> DataFrame:
 
 
 def read_markdown(spark: SparkSession, path: str, files: bool = False) -> DataFrame:
-    """What a run has already written: ``(output_path, source)``, from the table or from single files."""
+    """What a run has already written: ``(output_path, source)``.
+
+    The table has the source in a column of its own, so the contents are not read; of single files the header
+    is.
+    """
     if files:
         texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
         name = F.regexp_replace("_metadata.file_path", r"\Afile:/*", "/")
         return sources_of(texts.select(name.alias("output_path"), F.col("value").alias("content")))
-    return sources_of(spark.read.parquet(path))
+    return spark.read.parquet(path).select("output_path", "source")

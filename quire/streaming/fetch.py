@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.plans.fetch import fetch_corpus
+from quire.plans.fetch import fetch_placed, place_items
+from quire.session import settle
 from quire.sources.markdown_files import read_markdown, write_markdown
 
 
@@ -22,30 +23,32 @@ def stream_fetch(
     checkpoint: str,
     keys: Sequence[str] = ("site",),
     on_batch: Callable[[int, DataFrame], None] | None = None,
+    selectors: Sequence[tuple[str, str]] | None = None,
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
     """Convert pages as they arrive and append the documents to ``output``.
 
-    Each batch is one ``fetch_corpus`` over the items whose pages it brought. What ``output`` already holds
+    Items are placed once; each batch fetches those whose pages it brought. What ``output`` already holds
     is skipped, so a batch that is run again after a failure, or a page that comes twice, writes nothing new;
     stopping loses no finished work. ``on_batch`` gets the number and the results of every batch.
     """
 
+    placed, pairs = place_items(items, catalogs, root, keys, selectors)
+    placed = settle(placed)
+
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        wave = batch.select("url", "html").dropDuplicates(["url"]).persist()
+        wave = batch.select("url", "html").groupBy("url").agg(F.max("html").alias("html"))
         try:
             done = read_markdown(spark, output)
         except AnalysisException:
             done = None  # nothing has been written yet
-        arrived = wave.select(F.col("url").alias("_arrived"))
-        fetch = fetch_corpus(items, catalogs, wave, root, done=done, keys=keys, **options)
-        documents = fetch.documents
-        write_markdown(documents, output)
+        due = placed.join(batch.select("url"), "url", "left_semi")
+        fetch = fetch_placed(due, pairs, wave, done=done, keys=keys, **options)
+        write_markdown(fetch.documents, output)
         if on_batch is not None:
-            on_batch(number, fetch.results.join(arrived, F.col("url") == F.col("_arrived"), "left_semi"))
-        wave.unpersist()
+            on_batch(number, fetch.results)
 
     return (
         pages.writeStream.foreachBatch(run)
