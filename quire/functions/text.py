@@ -138,7 +138,8 @@ def preview_head(c: Column | str, lines: int = K.PREVIEW_LINES) -> Column:
 
 
 def preview_rest(c: Column | str, lines: int = K.PREVIEW_LINES) -> Column:
-    return F.greatest(F.size(F.split(_col(c), "\n")) - F.lit(lines), F.lit(0))
+    left = F.greatest(F.size(F.split(_col(c), "\n")) - F.lit(lines), F.lit(0))
+    return F.when(_col(c).isNotNull(), left)
 
 
 # ---- character references -------------------------------------------------------------------------------------

@@ -14,7 +14,6 @@ from quire.operators.markdown import BODY, convert, normal_selector
 from quire.operators.scans import GROUP_LIMIT
 from quire.operators.selectors import MAX_SELECTORS, parse
 from quire.operators.tree import flatten_catalog, output_paths
-from quire.sources.markdown_files import keep_last_writer
 
 KNOWN_SELECTORS = [BODY, *[(s, "css") for s in K.CONTENT_CANDIDATES]]
 
@@ -79,7 +78,10 @@ def place_items(
     pairs = list(selectors) if selectors is not None else selectors_in(catalogs, content, kind)
     chosen = catalogs.select(*keys, want_index(pairs, content, kind).alias("want"))
     placed = output_paths(flat, site_root).join(chosen, keys, "left").withColumn("url_hash", url_hash("url"))
-    return placed.select(*keys, "idx", "title", "url", "url_hash", "want", "output_path"), pairs
+    # where several items lead to one path, the one with the highest idx keeps it
+    winners = placed.groupBy("output_path").agg(F.max("idx").alias("_kept"))
+    placed = placed.join(winners, "output_path").withColumn("keeps_path", F.col("idx") == F.col("_kept"))
+    return placed.select(*keys, "idx", "title", "url", "url_hash", "want", "output_path", "keeps_path"), pairs
 
 
 def fetch_placed(
@@ -95,7 +97,8 @@ def fetch_placed(
 
     ``done`` is ``(output_path, source)`` of what has been written. An item counts as done when its path and
     its address are both there; it succeeds with no words. An address that several items name is converted
-    once per selector.
+    once per selector. An item that does not keep its path has a result, but writes no document; so a run that
+    is repeated has nothing to write.
     """
     keys = list(keys)
     if done is None:
@@ -120,14 +123,14 @@ def fetch_placed(
         .when(F.col("missing"), "render: page not available")
         .otherwise(F.col("error"))
         .alias("error"),
-        F.when(~skipped, F.col("content")).alias("content"),
+        F.when(~skipped, F.col("content")).alias("content"), "keeps_path",
     )
     results = results.withColumn("from_cache", F.when(~F.col("skipped"), F.col("from_cache")))
     site = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    fresh = keep_last_writer(results.where(F.col("content").isNotNull()).withColumn("site", site))
+    fresh = results.where(F.col("keeps_path") & F.col("content").isNotNull()).withColumn("site", site)
     unseen = found.where(~F.col("from_cache") & F.col("html").isNotNull())
     return Fetch(
-        results=results.drop("content"),
+        results=results.drop("content", "keeps_path"),
         documents=fresh.select("site", "output_path", F.col("url").alias("source"), "content"),
         new_pages=unseen.groupBy("url_hash").agg(F.max("url").alias("url"), F.max("html").alias("html")).drop("url_hash"),
     )

@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from quire.functions.text import front_matter_source
 
 
-def keep_last_writer(results: DataFrame) -> DataFrame:
-    """Where several items of one run lead to one path, the item with the highest ``idx`` keeps it."""
-    winners = results.groupBy("output_path").agg(F.max("idx").alias("idx"))
-    return results.join(winners, ["output_path", "idx"], "left_semi")
-
-
 def write_markdown(documents: DataFrame, path: str, mode: str = "append") -> None:
     """Documents ``(site, output_path, source, content)`` as a Parquet table; one commit for the whole run."""
     documents.select("site", "output_path", "source", "content").write.mode(mode).parquet(path)
