@@ -31,7 +31,7 @@ from quire.operators.html import (
     text_of,
     token_array,
 )
-from quire.operators.selectors import first_match, needs_parents, select
+from quire.operators.selectors import first_match, select
 
 BODY = ("body", "css")
 
@@ -107,7 +107,7 @@ def extract_content(pages: DataFrame, selector: str = "", kind: str = "", keys:
     """Markup inside the first match of a selector: ``(*keys, content)``, ``""`` where nothing matches."""
     wanted = BODY if selector in ("", "body") else (selector, kind or "css")
     pages = clustered(pages.select(*keys, "html"), keys)
-    nodes = html_nodes(pages, keys, parents=needs_parents([wanted]))
+    nodes = html_nodes(pages, keys)
     first = first_match(select(nodes, [wanted], keys, keep=()), keys).hint("shuffle_hash")
     rows = pages.select(*keys, token_array().alias("tokens")).join(first, list(keys), "left")
     content = inner_html(F.col("tokens"), F.col("start_pos"), F.col("end_pos"))
@@ -117,7 +117,7 @@ def extract_content(pages: DataFrame, selector: str = "", kind: str = "", keys:
 def extract_text(pages: DataFrame, selector: str, kind: str = "css", keys: Sequence[str] = PAGE) -> DataFrame:
     """Text of the first match of a selector with all its descendants: ``(*keys, text)``, null without a match."""
     pages = clustered(pages.select(*keys, "html"), keys)
-    nodes = html_nodes(pages, keys, parents=needs_parents([(selector, kind)]))
+    nodes = html_nodes(pages, keys)
     first = first_match(select(nodes, [(selector, kind)], keys, keep=()), keys).hint("shuffle_hash")
     rows = pages.select(*keys, token_array().alias("tokens")).join(first, list(keys), "left")
     return rows.select(*keys, inner_text(F.col("tokens"), F.col("start_pos"), F.col("end_pos")).alias("text"))
@@ -126,20 +126,27 @@ def extract_text(pages: DataFrame, selector: str, kind: str = "css", keys: Seque
 # ---- events -------------------------------------------------------------------------------------------------------
 
 
-def _events(pages: DataFrame, keys: list[str], selectors: Sequence[tuple[str, str]]) -> DataFrame:
-    """Start, end and text events of the wanted part of every page."""
-    texts = pages.select(*keys, F.posexplode(F.transform(token_array(), text_of)).alias("pos", "text"))
-    texts = texts.where(F.col("text") != "").select(
-        *keys, "pos", F.lit(2).alias("phase"), F.lit(0).alias("turn"), F.lit("text").alias("ev"),
+def _events(
+    pages: DataFrame, keys: list[str], selectors: Sequence[tuple[str, str]], carry: Sequence[str] = ()
+) -> DataFrame:
+    """Start, end and text events of the wanted part of every page.
+
+    Every page has at least one row, that of its token 0; ``carry`` columns are filled on that row only.
+    """
+    kinds = {f.name: f.dataType for f in pages.schema.fields}
+    first = F.col("pos") == 0
+    texts = pages.select(*keys, *carry, F.posexplode(F.transform(token_array(), text_of)).alias("pos", "text"))
+    texts = texts.where((F.col("text") != "") | first).select(
+        *keys, "pos", F.lit(2).alias("phase"), F.lit(0).alias("turn"),
+        F.when(F.col("text") == "", "page").otherwise("text").alias("ev"),
         F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("raw"), "text",
         F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"),
-        F.lit(None).cast("int").alias("head_end"),
+        F.lit(None).cast("int").alias("head_end"), *[F.when(first, F.col(c)).alias(c) for c in carry],
     )
     picks = list(selectors) or [BODY]
-    carry = ["want"] if selectors else []
-    nodes = html_nodes(pages, keys, parents=needs_parents(picks), carry=carry)
+    nodes = html_nodes(pages, keys, carry=["want"] if selectors and "want" not in keys else [])
     if selectors:
-        found = select(nodes, picks, keys, keep=("tag", "raw", "void", "want"), all_elements=True)
+        found = select(nodes, picks, keys, keep=["tag", "raw", "void", *([] if "want" in keys else ["want"])], all_elements=True)
         hit = F.array_contains("hits", F.col("want"))
     else:
         found, hit = nodes, F.lit(False)
@@ -157,7 +164,8 @@ def _events(pages: DataFrame, keys: list[str], selectors: Sequence[tuple[str, st
     tags = found.select(
         *keys, "tag", "raw", where.alias("_w"),
         F.explode(F.when(F.col("void"), F.array(start)).otherwise(F.array(start, stop))).alias("_e"),
-    ).select(*keys, "_e.pos", "_e.phase", "_e.turn", "_e.ev", "tag", "raw", F.lit(None).cast("string").alias("text"), "_w.*")
+    ).select(*keys, "_e.pos", "_e.phase", "_e.turn", "_e.ev", "tag", "raw", F.lit(None).cast("string").alias("text"), "_w.*",
+             *[F.lit(None).cast(kinds[c]).alias(c) for c in carry])
     events = texts.unionByName(tags)
     if not selectors:
         return events.drop("span_start", "span_end", "head_end").withColumn("_in", F.lit(True))
@@ -178,8 +186,10 @@ def _events(pages: DataFrame, keys: list[str], selectors: Sequence[tuple[str, st
     return events.withColumn("_in", F.coalesce(inside, F.lit(False))).drop("span_start", "span_end", "head_end")
 
 
-def _render(events: DataFrame, keys: list[str], tables: str, prune_ads: bool) -> DataFrame:
-    """``(*keys, matched, title, markdown)``: the events of a page joined to one text."""
+def _render(
+    events: DataFrame, keys: list[str], tables: str, prune_ads: bool, carry: Sequence[str] = ()
+) -> DataFrame:
+    """``(*keys, matched, title, markdown, *carry)``: the events of a page joined to one text."""
     ev, tag, raw = F.col("ev"), F.col("tag"), F.col("raw")
     order = ["pos", "phase", "turn"]
     so_far = Window.partitionBy(*keys, "_in").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -322,7 +332,8 @@ def _render(events: DataFrame, keys: list[str], tables: str, prune_ads: bool) ->
         F.transform(F.array_sort(F.collect_list(F.when(test, F.struct(*order, c.alias("s"))))), lambda s: s["s"]), ""
     )
     joined = events.groupBy(*keys).agg(
-        F.max("_in").alias("matched"),
+        F.max(F.col("_in") & (ev != "page")).alias("matched"),
+        *[F.max(c).alias(c) for c in carry],
         ordered(F.col("_piece").isNotNull(), F.col("_piece")).alias("markdown"),
         ordered(in_h1, text).alias("_h1_text"),
         ordered(in_title, text).alias("_title_text"),
@@ -330,13 +341,14 @@ def _render(events: DataFrame, keys: list[str], tables: str, prune_ads: bool) ->
     title = F.when(F.col("_h1_text") != "", trim_unicode("_h1_text")).when(
         F.col("_title_text") != "", trim_unicode("_title_text")
     ).otherwise(K.UNTITLED_DOCUMENT)
-    return joined.select(*keys, "matched", title.alias("title"), "markdown")
+    return joined.select(*keys, "matched", title.alias("title"), "markdown", *carry)
 
 
 def to_markdown(pages: DataFrame, keys: Sequence[str] = PAGE, tables: str = "text", prune_ads: bool = False) -> DataFrame:
     """Whole documents as uncleaned Markdown: ``(*keys, title, markdown)``."""
     pages = clustered(pages.select(*keys, "html"), keys)
-    return _render(_events(pages, list(keys), ()), list(keys), tables, prune_ads).drop("matched")
+    done = _render(_events(pages, list(keys), ()), list(keys), tables, prune_ads)
+    return done.select(*keys, "title", "markdown")
 
 
 def convert(
@@ -349,23 +361,26 @@ def convert(
     prune_ads: bool = False,
     strip_class_names: bool = True,
     fence_whitelist: bool = True,
+    carry: Sequence[str] = (),
+    placed: bool = False,
 ) -> DataFrame:
-    """Pages to Markdown records ``(*keys, url, title, content, body, word_count, error)``.
+    """Pages to Markdown records ``(*keys, url, title, content, body, word_count, error, *carry)``.
 
     ``work`` holds ``(*keys, url, html)`` and, where ``selectors`` are given, ``want``: the index of the one
     whose first match is the content. Without selectors the whole ``html`` is. ``content`` is ``body`` with
     front matter; words are those of ``body``. A page whose selector matches nothing, or something empty,
-    has ``error = 'content_not_found'``.
+    has ``error = 'content_not_found'``. ``placed`` says that a join has already brought the rows together by
+    a part of ``keys``, so they need not be moved again.
     """
     keys = list(keys)
     if tables not in ("text", "pipe"):
         raise ValueError("tables must be 'text' or 'pipe'")
-    slim = clustered(work.select(*keys, *(["want"] if selectors else []), "html"), keys)
-    done = _render(_events(slim, keys, selectors), keys, tables, prune_ads)
-    rows = work.select(*keys, "url").join(done, keys, "left")
-    rows = rows.withColumn("body", clean_markdown(F.coalesce("markdown", F.lit("")), strip_class_names, fence_whitelist))
+    slim = work.select(*keys, *(["want"] if selectors and "want" not in keys else []), "html", "url", *carry)
+    slim = slim if placed else clustered(slim, keys)
+    extra = ["url", *carry]
+    rows = _render(_events(slim, keys, selectors, extra), keys, tables, prune_ads, extra)
+    rows = rows.withColumn("body", clean_markdown("markdown", strip_class_names, fence_whitelist))
     rows = rows.withColumn("word_count", count_words("body").cast("bigint"))
-    rows = rows.withColumn("title", F.coalesce("title", F.lit(K.UNTITLED_DOCUMENT)))
     ok = F.coalesce(F.col("matched"), F.lit(False)) if selectors else F.lit(True)
     stamp = format_time(F.current_timestamp() if fetched_at is None else fetched_at)
     content = F.col("body")
@@ -378,6 +393,7 @@ def convert(
         F.when(ok, F.col("body")).alias("body"),
         F.when(ok, F.col("word_count")).alias("word_count"),
         F.when(~ok, "content_not_found").alias("error"),
+        *carry,
     )
 
 

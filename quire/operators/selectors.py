@@ -161,9 +161,21 @@ def parse(selector: str, kind: str = "css") -> list[list[Step]]:
     return parse_css(selector) if kind == "css" else parse_xpath(selector)
 
 
-def needs_parents(selectors: Sequence[tuple[str, str]]) -> bool:
-    """Whether any of the ``(selector, type)`` pairs asks for the parent of an element."""
-    return any(s.link == ">" or s.nth for sel, kind in selectors for chain in parse(sel, kind) for s in chain)
+def _from_parent(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Add ``columns`` as they are on each element's parent.
+
+    Among the starts of one depth the latest before a position is the element that is open there. So every
+    row is also seen one level up, and a running ``last`` finds its parent; nothing is joined to itself.
+    """
+    names = df.columns
+    own = F.struct(F.col("depth").alias("_level"), F.lit(True).alias("_own"))
+    up = F.struct((F.col("depth") - 1).alias("_level"), F.lit(False).alias("_own"))
+    opens = (F.col("phase") == 1) & ~F.col("void")
+    df = df.withColumn("_l", F.explode(F.when(opens, F.array(own, up)).otherwise(F.array(up)))).select(*names, "_l.*")
+    before = Window.partitionBy(*keys, "_level").orderBy("pos", "phase").rowsBetween(Window.unboundedPreceding, -1)
+    there = F.struct(*[c.alias(n) for n, c in columns.items()])
+    df = df.withColumn("_p", F.last(F.when(F.col("_own"), there), ignorenulls=True).over(before))
+    return df.where(~F.col("_own")).select(*names, *[F.when(F.col("_level") > 0, F.col(f"_p.{n}")).alias(n) for n in columns])
 
 
 def select(
@@ -179,14 +191,13 @@ def select(
     Returns ``(*keys, start_pos, end_pos, hits, *keep)``, one row per element with at least one hit, or per
     element with ``all_elements``. Each test in ``count_open`` adds a column with the number of elements
     around this one that pass it.
-    ``nodes`` needs ``parent_pos`` where ``needs_parents(selectors)``.
     """
     if len(selectors) > MAX_SELECTORS:
         raise ValueError(f"more than {MAX_SELECTORS} selectors")
     keys = list(keys)
     chains = [(i, chain) for i, (sel, kind) in enumerate(selectors) for chain in parse(sel, kind)]
     longest = max(len(chain) for _, chain in chains)
-    linked = needs_parents(selectors)
+    linked = any(s.link == ">" or s.nth for _, chain in chains for s in chain)
     # an attribute is read once and a test evaluated once, however many selectors use it
     names = dict.fromkeys(n for _, chain in chains for step in chain for n in step.attributes())
     values = {n: f"_a{k}" for k, n in enumerate(names)}
@@ -197,7 +208,7 @@ def select(
         return tests.setdefault(key, (f"_t{len(tests)}", step.predicate(values)))[0]
 
     plan = [(i, [(column_for(s), s) for s in chain]) for i, chain in chains]
-    cols = [*keys, "start_pos", "end_pos", *(["parent_pos", "depth"] if linked else []), "void", *keep]
+    cols = [*keys, "start_pos", "end_pos", *(["depth"] if linked else []), "void", *keep]
     cols = list(dict.fromkeys(cols))
     df = nodes.select(*dict.fromkeys([*cols, "tag", "raw"]), *[attr(n).alias(v) for n, v in values.items()])
     counted = count_open or {}
@@ -243,27 +254,21 @@ def select(
             for name in counted:
                 change = F.when(F.col("void"), 0).when(is_start, F.col(f"_c_{name}")).otherwise(-F.col(f"_c_{name}"))
                 new[name] = F.coalesce(F.sum(change).over(before), F.lit(0))
-        if parents:
-            above = df.where(is_start & ~F.col("void")).select(
-                *keys, F.col("start_pos").alias("parent_pos"), *[F.col(p).alias(f"_up{p}") for p in parents.values()]
-            )
-            df = df.withColumns(new).join(above, [*keys, "parent_pos"], "left")
-            df = df.withColumns(
-                {m: F.col(m) & F.coalesce(F.col(f"_up{p}"), F.lit(False)) for m, p in parents.items()}
-            ).drop(*[f"_up{p}" for p in parents.values()])
-        elif new:
+        if new:
             df = df.withColumns(new)
+        if parents:
+            df = _from_parent(df, keys, {f"_up{m}": F.col(prior) for m, prior in parents.items()})
+            df = df.withColumns({m: F.col(m) & F.coalesce(F.col(f"_up{m}"), F.lit(False)) for m in parents})
+            df = df.drop(*[f"_up{m}" for m in parents])
         for c, (_, chain) in enumerate(plan):
             if level < len(chain) and chain[level][1].nth:
                 m = f"_m{c}_{level}"
-                siblings = Window.partitionBy(*keys, "parent_pos", "phase").orderBy("pos").rowsBetween(
+                df = _from_parent(df, keys, {"_family": F.col("start_pos")})
+                siblings = Window.partitionBy(*keys, "_family", "phase").orderBy("start_pos").rowsBetween(
                     Window.unboundedPreceding, 0
                 )
                 rank = F.sum(F.col(m).cast("int")).over(siblings)
-                nth = F.col(m) & (rank == chain[level][1].nth)
-                # the end of an element carries the same verdict as its start
-                verdict = Window.partitionBy(*keys, "start_pos")
-                df = df.withColumn(m, F.max(F.when(is_start, nth)).over(verdict))
+                df = df.withColumn(m, F.col(m) & (rank == chain[level][1].nth)).drop("_family")
             if level == len(chain) - 1:
                 matched[c] = f"_m{c}_{level}"
     flags: dict[int, Column] = {}

@@ -9,7 +9,7 @@ from quire.functions import constants as K
 from quire.functions import urls
 from quire.functions.text import trim_unicode
 from quire.operators.html import attr, clustered, html_nodes, inner_text, with_tokens
-from quire.operators.selectors import css_select, needs_parents, select
+from quire.operators.selectors import css_select, select
 from quire.operators.tree import nest_catalog
 
 _TOC = [(s, "css") for s, _ in K.TOC_CANDIDATES]
@@ -173,8 +173,7 @@ def catalog_items(regions: DataFrame) -> DataFrame:
 def collapsed_nav(pages: DataFrame) -> DataFrame:
     """How many elements of folded-up navigation each page holds, by selector; its catalog is likely short."""
     pairs = list(enumerate(K.COLLAPSED_SELECTORS))
-    linked = needs_parents([(s, "css") for s in K.COLLAPSED_SELECTORS])
-    nodes = html_nodes(clustered(pages.select("page_id", "html")), parents=linked)
+    nodes = html_nodes(clustered(pages.select("page_id", "html")))
     names = F.array(*[F.lit(s) for s in K.COLLAPSED_SELECTORS])
     hits = css_select(nodes, pairs)
     return hits.groupBy("page_id", F.get(names, F.col("selector_id")).alias("selector")).agg(

@@ -19,6 +19,9 @@ KNOWN_SELECTORS = [BODY, *[(s, "css") for s in K.CONTENT_CANDIDATES]]
 
 
 class Fetch(NamedTuple):
+    """The parts of one job. Whoever wants several of them should write ``table`` once and select from that."""
+
+    table: DataFrame  # results with ``content`` and ``keeps_path``
     results: DataFrame  # one row per item: what became of it
     documents: DataFrame  # (site, output_path, content): what is to be written
     new_pages: DataFrame  # (url, html): what the cache does not hold yet
@@ -43,14 +46,19 @@ def want_index(pairs: Sequence[tuple[str, str]], selector: Column, kind: Column)
 def find_pages(work: DataFrame, pages: DataFrame, cache: DataFrame | None) -> DataFrame:
     """``work`` with ``html`` and ``from_cache``: the cached page of an address if there is one, else the page.
 
-    The address of every row of ``pages`` has to be different, as has the hash of every row of ``cache``.
+    The address of every row of ``pages`` has to be different, as has the hash of every row of ``cache``. Pages
+    that nobody asks for are dropped before they are moved; the merge join leaves the rows placed by
+    ``url_hash``, where the conversion needs them.
     """
+    asked = work.select("url_hash").distinct()
     live = pages.select(url_hash("url").alias("url_hash"), F.col("html").alias("_live"))
-    found = work.join(live, "url_hash", "left")
+    live = live.join(asked, "url_hash", "left_semi")
+    found = work.join(live.hint("merge"), "url_hash", "left")
     if cache is None:
         return found.withColumn("html", F.col("_live")).withColumn("from_cache", F.lit(False)).drop("_live")
     kept = cache.select("url_hash", F.col("html").alias("_kept"), F.lit(True).alias("_hit"))
-    found = found.join(kept, "url_hash", "left")
+    kept = kept.join(asked, "url_hash", "left_semi")
+    found = found.join(kept.hint("merge"), "url_hash", "left")
     hit = F.col("_hit").isNotNull()
     return found.withColumns({"html": F.when(hit, F.col("_kept")).otherwise(F.col("_live")), "from_cache": hit}).drop(
         "_live", "_kept", "_hit"
@@ -108,11 +116,10 @@ def fetch_placed(
         placed = placed.join(written, ["output_path", "url"], "left")
         placed = placed.withColumn("skipped", F.coalesce("skipped", F.lit(False)))
     work = placed.where(~F.col("skipped") & F.col("want").isNotNull()).select("url_hash", "url", "want").distinct()
-    found = find_pages(work, pages, cache)
-    converted = convert(found.where(F.col("html").isNotNull()), selectors, ("url_hash", "want"), **options)
-    outcome = found.select("url_hash", "want", "from_cache", F.col("html").isNull().alias("missing")).join(
-        converted.select("url_hash", "want", "content", "word_count", "error"), ["url_hash", "want"], "left"
-    )
+    found = find_pages(work, pages, cache).withColumn("missing", F.col("html").isNull())
+    outcome = convert(
+        found, selectors, ("url_hash", "want"), carry=("from_cache", "missing"), placed=True, **options
+    ).drop("url", "title", "body")
     skipped, converted_now = F.col("skipped"), F.col("content").isNotNull()
     results = placed.join(outcome, ["url_hash", "want"], "left").select(
         *keys, "idx", "title", "url", "output_path", "skipped", "from_cache",
@@ -130,6 +137,7 @@ def fetch_placed(
     fresh = results.where(F.col("keeps_path") & F.col("content").isNotNull()).withColumn("site", site)
     unseen = found.where(~F.col("from_cache") & F.col("html").isNotNull())
     return Fetch(
+        table=results,
         results=results.drop("content", "keeps_path"),
         documents=fresh.select("site", "output_path", F.col("url").alias("source"), "content"),
         new_pages=unseen.groupBy("url_hash").agg(F.max("url").alias("url"), F.max("html").alias("html")).drop("url_hash"),

@@ -85,14 +85,14 @@ def tag_attributes(spark, sf):
 @query
 def css_select(spark, sf):
     pages = H.clustered(pages_of(spark, sf).select("page_id", "html"))
-    nodes = H.html_nodes(pages, parents=S.needs_parents([(c, "css") for c in CSS]))
+    nodes = H.html_nodes(pages)
     hits = S.css_select(nodes, list(enumerate(CSS)))
     return longs(hits.select("page_id", "selector_id", "start_pos", "end_pos"), "selector_id", "start_pos", "end_pos")
 
 
 @query
 def xpath_select(spark, sf):
-    nodes = H.html_nodes(H.clustered(pages_of(spark, sf).select("page_id", "html")), parents=True)
+    nodes = H.html_nodes(H.clustered(pages_of(spark, sf).select("page_id", "html")))
     return longs(S.xpath_select(nodes, "//ul/li[2]/a"), "start_pos", "end_pos")
 
 

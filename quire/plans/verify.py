@@ -51,7 +51,8 @@ def verify_selectors(
     pairs = list(selectors) if selectors is not None else selectors_in(requests, selector, kind)
     asked = requests.withColumn("url_hash", url_hash("url")).withColumn("want", want_index(pairs, selector, kind))
     found = find_pages(asked.select("url_hash", "url", "want").distinct(), pages, cache)
-    converted = convert(found.where(F.col("html").isNotNull()), pairs, ("url_hash", "want"), **options)
+    found = found.withColumn("missing", F.col("html").isNull())
+    converted = convert(found, pairs, ("url_hash", "want"), carry=("missing",), placed=True, **options)
     out = asked.join(converted.drop("url"), ["url_hash", "want"], "left")
     ok = F.col("content").isNotNull()
     return out.select(
@@ -60,7 +61,7 @@ def verify_selectors(
         F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("bytes"),
         F.coalesce(F.char_length("content"), F.lit(0)).cast("bigint").alias("chars"),
         preview_head("content").alias("preview"), preview_rest("content").alias("lines_left"),
-        F.when(~ok, F.coalesce("error", F.lit("render: page not available"))).alias("error"),
+        F.when(F.col("missing"), "render: page not available").when(~ok, F.col("error")).alias("error"),
     )
 
 
