@@ -355,7 +355,7 @@ def convert(
     work: DataFrame,
     selectors: Sequence[tuple[str, str]] = (),
     keys: Sequence[str] = PAGE,
-    fetched_at: Column | None = None,
+    fetched_at: Column | str | None = None,
     include_meta: bool = True,
     tables: str = "text",
     prune_ads: bool = False,
@@ -382,7 +382,8 @@ def convert(
     rows = rows.withColumn("body", clean_markdown("markdown", strip_class_names, fence_whitelist))
     rows = rows.withColumn("word_count", count_words("body").cast("bigint"))
     ok = F.coalesce(F.col("matched"), F.lit(False)) if selectors else F.lit(True)
-    stamp = format_time(F.current_timestamp() if fetched_at is None else fetched_at)
+    now = F.lit(fetched_at).cast("timestamp") if isinstance(fetched_at, str) else fetched_at
+    stamp = format_time(F.current_timestamp() if now is None else now)
     content = F.col("body")
     if include_meta:
         content = F.concat(front_matter(F.col("title"), F.col("url"), stamp, F.col("word_count")), F.col("body"))

@@ -73,7 +73,7 @@ def best_toc(scores: DataFrame) -> DataFrame:
 def _with_titles(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Titles of ``links`` (an array per page), read from the page's tokens inside its row."""
     tokens = with_tokens(pages, ("page_id",), "url")
-    joined = tokens.join(links.hint("shuffle_hash"), "page_id")
+    joined = tokens.join(links.hint("shuffle_hash"), "page_id", "left")
     titled = F.transform(
         "links", lambda l: l.withField("title", trim_unicode(inner_text(F.col("tokens"), l["start_pos"], l["end_pos"])))
     )
@@ -141,12 +141,12 @@ def detect_regions(pages: DataFrame) -> DataFrame:
         return F.struct(points.alias("score"), (-i).alias("turn"))
 
     per_page = per_page.withColumn("best", F.array_max(F.transform(ids, score)))
-    won = F.col("best.score") > 0
+    won = F.coalesce(F.col("best.score") > 0, F.lit(False))
     chosen = F.filter(
         "links", lambda l: won & l["valid"] & F.array_contains(l["hits"], -F.col("best.turn"))
     )
     titled = _with_titles(per_page.select("page_id", "_content", "best", chosen.alias("links")), pages)
-    kept = titled.withColumn("links", F.filter("links", lambda l: l["title"] != ""))
+    kept = titled.withColumn("links", F.coalesce(F.filter("links", lambda l: l["title"] != ""), F.array()))
     roots = F.size(F.filter("links", lambda l: l["level"] == 1)).cast("bigint")
     content = F.coalesce(
         F.get(F.array(*[F.lit(s) for s in K.CONTENT_CANDIDATES]), F.col("_content") - n), F.lit("body")

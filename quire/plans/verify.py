@@ -49,7 +49,7 @@ def verify_selectors(
     """
     selector, kind = F.col("selector"), F.col("type")
     pairs = list(selectors) if selectors is not None else selectors_in(requests, selector, kind)
-    asked = requests.withColumn("url_hash", url_hash("url")).withColumn("want", want_index(pairs, selector, kind))
+    asked = requests.select("url", "selector", "type").withColumn("url_hash", url_hash("url")).withColumn("want", want_index(pairs, selector, kind))
     found = find_pages(asked.select("url_hash", "url", "want").distinct(), pages, cache)
     found = found.withColumn("missing", F.col("html").isNull())
     converted = convert(found, pairs, ("url_hash", "want"), carry=("missing",), placed=True, **options)

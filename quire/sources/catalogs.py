@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.urls import site_file
 from quire.operators.scans import running
 from quire.operators.tree import MAX_DEPTH
+from quire.session import settle
 
 FIELDS = (
     "site string, url string, selectors struct<toc:string, content:string, toc_type:string, content_type:string>, "
@@ -36,7 +37,9 @@ def catalogs_from_json(texts: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[Da
         "catalog_id", F.get_json_object("value", "$.site").alias("site"),
         F.posexplode(F.variant_get(F.parse_json("value"), "$.items", "array<variant>")).alias("at", "v"),
     ).withColumn("path", F.array("at"))
+    # every level is settled, so that a deep catalog does not parse its upper levels again for each lower one
     levels: list[DataFrame] = []
+    level = settle(level)
     while level.take(1):
         if len(levels) == max_depth:
             raise ValueError(f"a catalog is more than {max_depth} levels deep")
@@ -47,7 +50,7 @@ def catalogs_from_json(texts: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[Da
             )
         )
         below = level.select("catalog_id", "site", "path", F.posexplode(children).alias("at", "v"))
-        level = below.withColumn("path", F.array_append("path", F.col("at")))
+        level = settle(below.withColumn("path", F.array_append("path", F.col("at"))))
     if not levels:
         empty = "catalog_id string, site string, idx bigint, parent_idx bigint, depth int, title string, url string"
         return catalogs, texts.sparkSession.createDataFrame([], empty)
@@ -87,7 +90,7 @@ def nested_items(items: DataFrame, keys: Sequence[str] = ("catalog_id",), max_de
         listed = F.array_sort(F.collect_list(F.struct("idx", item.alias("json"))))
         joined = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda s: s["json"]), ","), F.lit("]"))
         up = [F.col("parent_idx").alias("idx")] if depth > 1 else []
-        below = here.groupBy(*keys, *up).agg(joined.alias("inside"))
+        below = settle(here.groupBy(*keys, *up).agg(joined.alias("inside")))
     if below is None:
         return items.select(*keys, F.lit("[]").alias("items")).limit(0)
     return below.withColumnRenamed("inside", "items")
