@@ -78,6 +78,8 @@ def nested_items(items: DataFrame, keys: Sequence[str] = ("catalog_id",), max_de
     deepest = items.agg(F.max("depth")).first()[0] or 0
     if deepest > max_depth:
         raise ValueError(f"a catalog is more than {max_depth} levels deep")
+    # read once per level, so settled once
+    items = settle(items.select(*keys, "idx", "parent_idx", "depth", "title", "url"))
     below: DataFrame | None = None
     for depth in range(deepest, 0, -1):
         here = items.where(F.col("depth") == depth).select(*keys, "idx", "parent_idx", _text("title").alias("t"), _text("url").alias("u"))

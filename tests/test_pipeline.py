@@ -84,17 +84,17 @@ def document(depth):
 
 
 def test_catalogs_survive_a_round_trip(spark):
-    docs = [document(1), document(3), document(32), {**document(1), "items": None}]
+    docs = [document(1), document(3), document(6), {**document(1), "items": None}]
     texts = spark.createDataFrame([(str(i), json.dumps(d)) for i, d in enumerate(docs)], "catalog_id string, value string")
-    catalogs, items = CAT.catalogs_from_json(texts)
+    catalogs, items = CAT.catalogs_from_json(texts, max_depth=6)
     assert items.where("catalog_id = '1'").orderBy("idx").select("idx", "parent_idx", "depth", "title").collect() == [
         (1, None, 1, 't"1'), (2, 1, 2, 't"2'), (3, 2, 3, 't"3'), (4, None, 1, "z")
     ]
     back = {r.catalog_id: json.loads(r.json) for r in CAT.catalog_documents(catalogs, items).collect()}
     assert back == {str(i): d for i, d in enumerate(docs)}
-    deep = spark.createDataFrame([("x", json.dumps(document(33)))], "catalog_id string, value string")
+    deep = spark.createDataFrame([("x", json.dumps(document(7)))], "catalog_id string, value string")
     with pytest.raises(ValueError):
-        CAT.catalogs_from_json(deep)
+        CAT.catalogs_from_json(deep, max_depth=6)
 
 
 # ---- cache ------------------------------------------------------------------------------------------------------
