@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.scans import GROUP_LIMIT, running
+from quire.operators.scans import running
 
 
 def retry_outcome(
@@ -53,11 +53,11 @@ def run_totals(results: DataFrame, keys: Sequence[str] = (), total: DataFrame |
 
 
 def running_progress(
-    results: DataFrame, order: Sequence[str], keys: Sequence[str] = (), limit: int | None = GROUP_LIMIT
+    results: DataFrame, order: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Completed and failed so far, after each result."""
     done = F.col("success").cast("bigint")
-    return running(results, keys, order, {"completed": ("sum", done), "failed": ("sum", 1 - done)}, limit)
+    return running(results, keys, order, {"completed": ("sum", done), "failed": ("sum", 1 - done)})
 
 
 # --- fixed values: the classes an error can have -----------------------------------------------------------

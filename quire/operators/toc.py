@@ -166,7 +166,7 @@ def catalog_items(regions: DataFrame) -> DataFrame:
     """Tree rows ``(page_id, idx, parent_idx, depth, title, url)`` of detected navigation."""
     links = regions.where(F.col("error").isNull()).select("page_id", F.explode("links").alias("l"))
     flat = links.select("page_id", F.col("l.start_pos").alias("ord"), "l.level", "l.title", F.col("l.target").alias("url"))
-    nested = nest_catalog(flat, ["page_id"], ["ord"], limit=None)
+    nested = nest_catalog(flat, ["page_id"], ["ord"], small=True)
     return nested.select("page_id", "idx", "parent_idx", "depth", "title", "url")
 
 

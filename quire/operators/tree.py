@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import constants as K
 from quire.functions.text import safe_name
-from quire.operators.scans import GROUP_LIMIT, running
-
-MAX_DEPTH = 32
+from quire.operators.scans import running
 
 
 def nest_depth(
-    items: DataFrame, keys: Sequence[str], order: Sequence[str], level: str = "level", limit: int | None = GROUP_LIMIT
+    items: DataFrame, keys: Sequence[str], order: Sequence[str], level: str = "level", small: bool = False
 ) -> DataFrame:
     """Depth of every item of a flat list with levels: ``depth``, ``idx`` (place among kept items), ``dropped``.
 
@@ -24,10 +22,10 @@ def nest_depth(
     the first one of level 1 have no place in the tree; they come back with ``dropped`` set.
     """
     lv = F.col(level)
-    out = running(items, keys, order, {"_rn": ("sum", F.lit(1)), "_seen": ("max", (lv == 1).cast("int"))}, limit)
+    out = running(items, keys, order, {"_rn": ("sum", F.lit(1)), "_seen": ("max", (lv == 1).cast("int"))}, small)
     out = running(
         out, keys, order,
-        {"_low": ("min", lv - F.col("_rn")), "_first": ("min", F.when(lv == 1, F.col("_rn")))}, limit,
+        {"_low": ("min", lv - F.col("_rn")), "_first": ("min", F.when(lv == 1, F.col("_rn")))}, small,
     )
     kept = F.col("_seen") == 1
     return out.withColumns(
@@ -40,7 +38,7 @@ def nest_depth(
 
 
 def parents_by_depth(
-    items: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = GROUP_LIMIT
+    items: DataFrame, keys: Sequence[str], order: Sequence[str], small: bool = False
 ) -> DataFrame:
     """Adds ``parent_idx``: the latest earlier item one level up (as-of by depth), null for roots.
 
@@ -52,36 +50,35 @@ def parents_by_depth(
         F.struct((F.col("depth") - 1).alias("_at"), F.lit(0).alias("_role"), F.lit(None).cast("bigint").alias("_cand")),
     )
     twin = items.withColumn("_r", F.explode(roles)).select(*items.columns, "_r.*")
-    found = running(twin, [*keys, "_at"], [*order, "_role"], {"parent_idx": ("last", F.col("_cand"))}, limit)
+    found = running(twin, [*keys, "_at"], [*order, "_role"], {"parent_idx": ("last", F.col("_cand"))}, small)
     return found.where(F.col("_role") == 0).drop("_at", "_role", "_cand")
 
 
 def nest_catalog(
-    items: DataFrame, keys: Sequence[str], order: Sequence[str], level: str = "level", limit: int | None = GROUP_LIMIT
+    items: DataFrame, keys: Sequence[str], order: Sequence[str], level: str = "level", small: bool = False
 ) -> DataFrame:
     """Flat items with levels to tree rows ``idx, parent_idx, depth``; items without a place are left out."""
-    nested = nest_depth(items, keys, order, level, limit).where(~F.col("dropped")).drop("dropped")
-    return parents_by_depth(nested, keys, order, limit)
+    nested = nest_depth(items, keys, order, level, small).where(~F.col("dropped")).drop("dropped")
+    return parents_by_depth(nested, keys, order, small)
 
 
-def dropped_items(items: DataFrame, keys: Sequence[str], order: Sequence[str], level: str = "level",
-                  limit: int | None = GROUP_LIMIT) -> DataFrame:
+def dropped_items(items: DataFrame, keys: Sequence[str], order: Sequence[str], level: str = "level", small: bool = False) -> DataFrame:
     """Items per group, and how many of them ``nest_catalog`` leaves out."""
-    out = nest_depth(items, keys, order, level, limit)
+    out = nest_depth(items, keys, order, level, small)
     return out.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("items"), F.count_if("dropped").alias("dropped_items")
     )
 
 
 def preorder_index(
-    items: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = GROUP_LIMIT
+    items: DataFrame, keys: Sequence[str], order: Sequence[str], small: bool = False
 ) -> DataFrame:
     """``idx``, from 1, over items already ordered as the tree is walked."""
-    return running(items, keys, order, {"idx": ("sum", F.lit(1))}, limit)
+    return running(items, keys, order, {"idx": ("sum", F.lit(1))}, small)
 
 
 def flatten_catalog(
-    items: DataFrame, keys: Sequence[str] = ("site",), limit: int | None = GROUP_LIMIT, max_depth: int = MAX_DEPTH
+    items: DataFrame, keys: Sequence[str] = ("site",), small: bool = False
 ) -> DataFrame:
     """Adds ``parent_path`` (ancestors from the root, each with title and idx), ``parent_idx`` and
     ``has_children`` to tree rows ``(*keys, idx, depth, title, url)`` in walking order.
@@ -89,11 +86,9 @@ def flatten_catalog(
     In walking order the ancestor of a row at depth k is the last earlier row of that depth.
     """
     deepest = items.agg(F.max("depth")).first()[0] or 0
-    if deepest > max_depth:
-        raise ValueError(f"a catalog is {deepest} levels deep; at most {max_depth} are allowed")
     here = F.struct(F.col("title").alias("title"), F.col("idx").alias("idx"))
     outs = {f"_anc{k}": ("last", F.when(F.col("depth") == k, here)) for k in range(1, deepest)}
-    flat = running(items, keys, ["idx"], outs, limit) if outs else items
+    flat = running(items, keys, ["idx"], outs, small) if outs else items
     none = F.array().cast("array<struct<title:string,idx:bigint>>")
     path = F.array(*[F.when(F.col("depth") > k, F.col(f"_anc{k}")) for k in range(1, deepest)]) if outs else none
     flat = flat.withColumn("parent_path", F.filter(path, lambda a: a.isNotNull()) if outs else none)

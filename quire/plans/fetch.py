@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from quire.functions import constants as K
 from quire.functions.urls import url_hash
 from quire.operators.markdown import BODY, convert, normal_selector
-from quire.operators.scans import GROUP_LIMIT
 from quire.operators.selectors import MAX_SELECTORS, parse
 from quire.operators.tree import flatten_catalog, output_paths
 
@@ -71,7 +70,6 @@ def place_items(
     root: str,
     keys: Sequence[str] = ("site",),
     selectors: Sequence[tuple[str, str]] | None = None,
-    limit: int | None = GROUP_LIMIT,
 ) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Items with the file they go to and the selector they are read with, and the list of selectors.
 
@@ -80,7 +78,7 @@ def place_items(
     catalogs.
     """
     keys = list(keys)
-    flat = flatten_catalog(items, keys, limit)
+    flat = flatten_catalog(items, keys)
     site_root = F.concat_ws("/", F.lit(root), *[F.col(k).cast("string") for k in keys])
     content, kind = F.col("selectors.content"), F.col("selectors.content_type")
     pairs = list(selectors) if selectors is not None else selectors_in(catalogs, content, kind)
@@ -153,9 +151,8 @@ def fetch_corpus(
     done: DataFrame | None = None,
     keys: Sequence[str] = ("site",),
     selectors: Sequence[tuple[str, str]] | None = None,
-    limit: int | None = GROUP_LIMIT,
     **options,
 ) -> Fetch:
     """Fetch all items of all catalogs: ``place_items``, then ``fetch_placed``."""
-    placed, pairs = place_items(items, catalogs, root, keys, selectors, limit)
+    placed, pairs = place_items(items, catalogs, root, keys, selectors)
     return fetch_placed(placed, pairs, pages, cache, done, keys, **options)

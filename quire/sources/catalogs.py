@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.urls import site_file
 from quire.operators.scans import running
-from quire.operators.tree import MAX_DEPTH
 from quire.session import settle
 
 FIELDS = (
@@ -18,18 +17,18 @@ FIELDS = (
 )
 
 
-def read_catalogs(spark: SparkSession, path: str, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def read_catalogs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(catalogs, items)`` of all documents below ``path``.
 
-    Items are tree rows ``(catalog_id, site, idx, parent_idx, depth, title, url)`` in walking order. A catalog
-    deeper than ``max_depth`` is refused.
+    Items are tree rows ``(catalog_id, site, idx, parent_idx, depth, title, url)`` in walking order, however
+    deep a catalog is.
     """
     texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     texts = texts.select(F.md5(F.col("_metadata.file_path")).alias("catalog_id"), "value")
-    return catalogs_from_json(texts, max_depth)
+    return catalogs_from_json(texts)
 
 
-def catalogs_from_json(texts: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def catalogs_from_json(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``read_catalogs`` for documents that are already in a column ``value``."""
     catalogs = texts.select("catalog_id", F.from_json("value", FIELDS).alias("c")).select("catalog_id", "c.*")
     children = F.variant_get("v", "$.children", "array<variant>")
@@ -41,8 +40,6 @@ def catalogs_from_json(texts: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[Da
     levels: list[DataFrame] = []
     level = settle(level)
     while level.take(1):
-        if len(levels) == max_depth:
-            raise ValueError(f"a catalog is more than {max_depth} levels deep")
         levels.append(
             level.select(
                 "catalog_id", "site", "path", F.lit(len(levels) + 1).alias("depth"),
@@ -58,7 +55,7 @@ def catalogs_from_json(texts: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[Da
     for more in levels[1:]:
         rows = rows.unionByName(more)
     # a catalog is one document, so its items are few enough for one window
-    rows = running(rows, ["catalog_id"], ["path"], {"idx": ("sum", F.lit(1))}, limit=None)
+    rows = running(rows, ["catalog_id"], ["path"], {"idx": ("sum", F.lit(1))}, small=True)
     up = F.slice("path", F.lit(1), F.size("path") - 1)
     parents = rows.select("catalog_id", F.col("path").alias("_up"), F.col("idx").alias("parent_idx"))
     rows = rows.withColumn("_up", up).join(parents, ["catalog_id", "_up"], "left")
@@ -69,15 +66,13 @@ def _text(c: str) -> Column:
     return F.regexp_extract(F.to_json(F.struct(F.coalesce(F.col(c), F.lit("")).alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1)
 
 
-def nested_items(items: DataFrame, keys: Sequence[str] = ("catalog_id",), max_depth: int = MAX_DEPTH) -> DataFrame:
+def nested_items(items: DataFrame, keys: Sequence[str] = ("catalog_id",)) -> DataFrame:
     """Tree rows to one JSON array per catalog, ``(*keys, items)``; ``children`` is left out where there are none.
 
     Built from the deepest level upwards: at each level the children of one parent are joined in order.
     """
     keys = list(keys)
     deepest = items.agg(F.max("depth")).first()[0] or 0
-    if deepest > max_depth:
-        raise ValueError(f"a catalog is more than {max_depth} levels deep")
     # read once per level, so settled once
     items = settle(items.select(*keys, "idx", "parent_idx", "depth", "title", "url"))
     below: DataFrame | None = None

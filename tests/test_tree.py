@@ -33,11 +33,11 @@ def lists(spark):
     return lists, spark.createDataFrame(rows, "page_id long, ord int, level int").repartition(5)
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_nesting_matches_a_stack(lists, limit):
-    """``limit=0`` forces every group through the route for groups too large for one task."""
+@pytest.mark.parametrize("small", [True, False])
+def test_nesting_matches_a_stack(lists, small):
+    """Whole groups in one window each, and groups of any size in pieces."""
     lists, df = lists
-    got = {(r.page_id, r.idx): (r.depth, r.parent_idx) for r in tree.nest_catalog(df, ["page_id"], ["ord"], limit=limit).collect()}
+    got = {(r.page_id, r.idx): (r.depth, r.parent_idx) for r in tree.nest_catalog(df, ["page_id"], ["ord"], small=small).collect()}
     want = {(p, m[0]): m[1:] for p, levels in enumerate(lists) for m in stack_model(levels) if m}
     assert got == want
 
@@ -54,21 +54,19 @@ def test_running_is_the_same_in_pieces(spark):
     df = spark.createDataFrame(rows, "k int, o int, v int").repartition(7)
     outs = {"s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v")), "l": ("last", F.col("v")), "n": ("sum", F.lit(1))}
     for keys in (["k"], []):
-        whole = {r.o: r.asDict() for r in running(df, keys, ["o"], outs, None).collect()}
-        pieces = {r.o: r.asDict() for r in running(df, keys, ["o"], outs, 10).collect()}
-        for r in whole.values():
-            r["s"] = r["s"] or 0
+        whole = {r.o: r.asDict() for r in running(df, keys, ["o"], outs, small=True).collect()}
+        pieces = {r.o: r.asDict() for r in running(df, keys, ["o"], outs).collect()}
         assert pieces == whole
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_flatten_paths_and_collisions(spark, limit):
+@pytest.mark.parametrize("small", [True, False])
+def test_flatten_paths_and_collisions(spark, small):
     rows = [
         ("s", 1, 1, "A/B", "u1"), ("s", 2, 2, "index", "u2"), ("s", 3, 2, "x", "u3"), ("s", 4, 3, "y", "u4"),
         ("s", 5, 1, "same", "u5"), ("s", 6, 1, "same", "u6"), ("s", 7, 1, "..", "u7"), ("s", 8, 2, "", "u8"), ("t", 1, 1, "A", "v1"),
     ]
     items = spark.createDataFrame(rows, "site string, idx long, depth int, title string, url string")
-    flat = tree.flatten_catalog(items, limit=limit)
+    flat = tree.flatten_catalog(items, small=small)
     paths = tree.output_paths(flat, F.concat(F.lit("out/"), F.col("site")))
     got = {(r.site, r.idx): (r.parent_idx, [p.title for p in r.parent_path], r.output_path) for r in paths.collect()}
     assert got == {
@@ -81,11 +79,10 @@ def test_flatten_paths_and_collisions(spark, limit):
     assert lost == {("out/s/A_B/index.md", 2, 2), ("out/s/same.md", 2, 6)}
 
 
-def test_depth_limit(spark):
-    items = spark.createDataFrame([("s", i, i, "t", "u") for i in range(1, 34)], "site string, idx long, depth int, title string, url string")
-    with pytest.raises(ValueError):
-        tree.flatten_catalog(items)
-    assert tree.flatten_catalog(items.where("depth <= 32")).count() == 32
+def test_depth_has_no_limit(spark):
+    items = spark.createDataFrame([("s", i, i, "t", "u") for i in range(1, 42)], "site string, idx long, depth int, title string, url string")
+    deepest = tree.flatten_catalog(items).orderBy(F.desc("idx")).first()
+    assert len(deepest.parent_path) == 40 and not deepest.has_children
 
 
 def test_preview_and_counts(spark):
@@ -118,7 +115,6 @@ def test_totals(spark):
     assert tuple(outcomes.run_totals(df).first()) == (4, 2, 2, 50.0)
     stopped = spark.createDataFrame([(8,)], "total long")
     assert tuple(outcomes.run_totals(df, total=stopped).first()) == (8, 2, 2, 25.0)
-    for limit in (None, 1):
-        steps = [(r.completed, r.failed) for r in outcomes.running_progress(df, ["o"], limit=limit).orderBy("o").collect()]
-        assert steps == [(1, 0), (1, 1), (2, 1), (2, 2)]
+    steps = [(r.completed, r.failed) for r in outcomes.running_progress(df, ["o"]).orderBy("o").collect()]
+    assert steps == [(1, 0), (1, 1), (2, 1), (2, 2)]
     assert {tuple(r) for r in outcomes.error_breakdown(df).collect()} == {("render", 1), ("other", 1)}
