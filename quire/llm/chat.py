@@ -102,7 +102,7 @@ def format_chats(turns: DataFrame, template: Template | None = None, conv: str =
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """``(conv_id, turns, learnt, formatted)``: turns ``(role, text)`` from the formatted text alone, and the texts under
+    """``(conv_id, turns, learnt, formatted, valid)``: turns ``(role, text)`` from the formatted text alone, and the texts under
     the loss mask from the segments."""
     template = template or Template()
     parts = F.split("formatted", re.escape(template.end))
@@ -117,4 +117,4 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
         return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
 
     learnt = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
-    return formatted.select("conv_id", F.transform(cut, turn).alias("turns"), learnt.alias("learnt"), "formatted")
+    return formatted.select("conv_id", F.transform(cut, turn).alias("turns"), learnt.alias("learnt"), "formatted", "valid")

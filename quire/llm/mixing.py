@@ -48,14 +48,14 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), key: str = "doc_id", text: str = "text", source: str = "source",
         copies: int = 2, **weighing) -> DataFrame:
-    """The mix: ``copies`` rows for every document, ``(*keep, row, source, size, source_size, target, copy, finish,
-    taken)``. ``finish`` orders the mix; ``taken`` is the number of words it takes of that copy, from the first on.
-    ``row`` numbers the rows of ``docs``."""
+    """The mix: ``copies`` rows for every document, ``(*keep, mix_row, source, size, source_size, target, copy,
+    finish, taken)``. ``finish`` orders the mix; ``taken`` is the number of words it takes of that copy, from the first on.
+    ``mix_row`` numbers the rows of ``docs``."""
     sizes = docs.select(
         *[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(source).alias("source"), word_count(text).alias("size"),
-        F.monotonically_increasing_id().alias("row"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_turn"),
+        F.monotonically_increasing_id().alias("mix_row"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_turn"),
     )
-    queued = running(sizes, ["source"], ["_turn", "size", "row"], {"_given": ("sum", F.col("size"))})
+    queued = running(sizes, ["source"], ["_turn", "size", "mix_row"], {"_given": ("sum", F.col("size"))})
     goal = targets(queued.select("source", "size"), times=float(copies), **weighing).withColumnRenamed("source", "_s")
     queued = queued.join(goal, queued["source"].eqNullSafe(goal["_s"])).drop("_s")
     queued = queued.withColumn("copy", F.explode(F.array(*map(F.lit, range(copies)))))
@@ -63,14 +63,14 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), key: str = "doc_id",
     in_share = F.least(F.greatest(F.floor("target") - begin, F.lit(0)), F.col("size"))
     finish = F.coalesce(F.try_divide(begin + F.col("size"), F.col("target")), F.lit(0.0))
     queued = queued.withColumns({"finish": finish, "_share": in_share})
-    merged = running(queued, [], ["finish", "row", "copy"], {"_total": ("sum", F.col("_share"))})
+    merged = running(queued, [], ["finish", "mix_row", "copy"], {"_total": ("sum", F.col("_share"))})
     left = F.col("budget") - F.col("_total") + F.col("_share")
     taken = F.greatest(F.least(left, F.col("_share")), F.lit(0))
     named: list[Column | str] = [F.col(f"_keep_{c}").alias(c) for c in keep]
-    return merged.select(*named, "row", "source", "size", "source_size", "target", "copy", "finish", taken.cast("bigint").alias("taken"))
+    return merged.select(*named, "mix_row", "source", "size", "source_size", "target", "copy", "finish", taken.cast("bigint").alias("taken"))
 
 
 def taken_words(mixed: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per document again, with the words taken of all its copies."""
-    out = mixed.groupBy("row").agg(*[F.first(c).alias(c) for c in [*keep, "size", "source_size", "target"]], F.sum("taken").alias("taken"))
+    out = mixed.groupBy("mix_row").agg(*[F.first(c).alias(c) for c in [*keep, "size", "source_size", "target"]], F.sum("taken").alias("taken"))
     return out.select(*keep, "size", "source_size", "target", "taken")
