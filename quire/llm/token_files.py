@@ -222,4 +222,4 @@ def read_token_files(manifest: DataFrame, ids: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     # files are dealt out one by one; there are as many rows here as files
-    return manifest.select("path", "first", "part").repartition(F.col("part")).select("path", "first").mapInArrow(run, fields)
+    return manifest.select("path", "first").repartition(max(1, manifest.count()), "path").mapInArrow(run, fields)

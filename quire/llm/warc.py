@@ -35,6 +35,7 @@ from quire.session import scratch_path, settle
 MAGIC = b"WARC/1.1\r\n"
 HEADER = 1 << 16  # bytes a record's header has at most
 BLOCK = 4 << 20
+READ = 4  # blocks that a task reads, on average
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -149,7 +150,8 @@ def boundaries(manifest: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Data
     """``(path, begin, size, entry)`` of each block that a record begins in, ``entry`` being the first such record, and all
     candidates ``(path, bytes, begin, offset, successor, exit)``."""
     blocks = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(block).cast("bigint"))).alias("begin"))
-    blocks = settle(blocks.repartition("path", "begin"))
+    # few small rows that stand for much reading: a fixed number of tasks, which adaptive execution leaves alone
+    blocks = settle(blocks.repartition(max(1, -(-blocks.count() // READ)), "path", "begin"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "bytes", "begin", "offset", "successor", "exit"]
@@ -226,4 +228,6 @@ def read_warc(manifest: DataFrame, block: int = BLOCK, payloads: bool = True) ->
                 if rows:
                     yield batch_of(rows)
 
-    return entries.select("path", "begin", "bytes", "entry").mapInArrow(run, fields)
+    entries = settle(entries)
+    entries = entries.select("path", "begin", "bytes", "entry").repartition(max(1, -(-entries.count() // READ)), "path", "begin")
+    return entries.mapInArrow(run, fields)
