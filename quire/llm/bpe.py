@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator, Sequence
-from functools import cache
+from functools import cache, cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -27,9 +27,10 @@ from pyspark.sql import types as T
 #: The pattern that the splitter implements.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Bytes of text that are split at once, and pieces that a task remembers.
-SLICE_BYTES = 4 << 20
-CACHE_PIECES = 1 << 20
+#: Bytes of text that are split at once, ids that are decoded at once, and pieces that a task remembers.
+SLICE_BYTES = 2 << 20
+SLICE_IDS = 1 << 19
+CACHE_PIECES = 1 << 17
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
 
@@ -94,6 +95,20 @@ def piece_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return starts
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines)}
+
+
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    split = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError(f"{path} is not a byte-level vocabulary with the common pattern")
+    return spec
+
+
 def _placed(held: np.ndarray, at: int, new: list[int]) -> np.ndarray:
     """``held`` with ``new`` from ``at`` on; room grows by doubling."""
     if at + len(new) > len(held):
@@ -106,43 +121,39 @@ class Encoder:
     """A vocabulary in a task."""
 
     def __init__(self, vocabulary: Vocabulary):
-        import tokenizers
-        from tokenizers import models
-
+        self._vocabulary = vocabulary
         if vocabulary.kind == "ranks":
-            with open(vocabulary.path, "rb") as lines:
-                ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines)}
-            name = lambda token: "".join(byte_letters()[b] for b in token)
-            # every way to put a token together may be taken, the lowest rank first
-            merges = [
-                (name(t[:k]), name(t[k:]))
-                for t in sorted(ranks, key=ranks.get)
-                for k in range(1, len(t))
-                if t[:k] in ranks and t[k:] in ranks
-            ]
-            vocab = {name(t): r for t, r in ranks.items()}
-            self._model = models.BPE(vocab=vocab, merges=merges, ignore_merges=True)
+            tokens = {r: t for t, r in _ranks(vocabulary.path).items()}
         else:
-            with open(vocabulary.path, encoding="utf-8") as file:
-                text = file.read()
-            spec = json.loads(text)
-            split = spec.get("pre_tokenizer") or {}
-            if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
-                raise ValueError(f"{vocabulary.path} is not a byte-level vocabulary with the common pattern")
-            self._tokenizer = tokenizers.Tokenizer.from_str(text)
-            self._model = self._tokenizer.model
-            vocab = spec["model"]["vocab"]
-            vocab = vocab | {x["content"]: x["id"] for x in spec["added_tokens"] if x["id"] not in set(vocab.values())}
-        byte_of = {c: b for b, c in enumerate(byte_letters())}
-        table = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            table[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+            spec = _spec(vocabulary.path)
+            byte_of = {c: b for b, c in enumerate(byte_letters())}
+            tokens = {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+            tokens |= {i: bytes(byte_of[c] for c in t) for t, i in spec["model"]["vocab"].items() if byte_of.keys() >= set(t)}
+        table = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.size = len(table)
         self._bytes = pa.array(table, pa.binary())
         self.lengths = np.array([len(t) for t in table], np.int64)
         self._letters = {b: ord(c) for b, c in enumerate(byte_letters())}
         self._forget()
 
+    @cached_property
+    def _model(self):
+        """The library's model; only who encodes needs it."""
+        import tokenizers
+
+        if self._vocabulary.kind != "ranks":
+            return tokenizers.Tokenizer.from_file(self._vocabulary.path).model
+        ranks = _ranks(self._vocabulary.path)
+        name = lambda token: "".join(byte_letters()[b] for b in token)
+        # every way to put a token together may be taken, the lowest rank first
+        merges = [
+            (name(t[:k]), name(t[k:]))
+            for t in sorted(ranks, key=ranks.get)
+            for k in range(1, len(t))
+            if t[:k] in ranks and t[k:] in ranks
+        ]
+        return tokenizers.models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
+
     def _forget(self) -> None:
         self._slots: dict[str, int] = {}
         self._flat, self._edges = np.zeros(1 << 16, np.int32), np.zeros(1 << 15, np.int64)
@@ -207,16 +218,21 @@ def encoder(vocabulary: Vocabulary) -> Encoder:
     return Encoder(vocabulary)
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts have about ``most`` bytes together, one row at least."""
-    begin = size = 0
-    for i, n in enumerate(pa.compute.binary_length(texts).fill_null(0).to_pylist()):
-        if i > begin and size + n > most:
+def ranges(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to ``most``, one row at least."""
+    begin = total = 0
+    for i, n in enumerate(sizes):
+        if i > begin and total + n > most:
             yield begin, i
-            begin, size = i, 0
-        size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+            begin, total = i, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have about ``most`` bytes together."""
+    return ranges(pa.compute.binary_length(texts).fill_null(0).to_pylist(), most)
 
 
 def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -264,21 +280,23 @@ def decode(df: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] = ("doc_id
 
     Bytes are returned because ids cut out of a longer list may begin or end inside a character.
     """
-    kept = df.select(*keep, ids)
     names = list(keep)
+    kept = df.select(*names, ids) if ids not in names else df.select(*names)
+    at = kept.columns.index(ids)
     fields = [*kept.select(*names).schema.fields, T.StructField("decoded", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            column = batch.column(len(names))
-            flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-            data, edges = enc.decode(flat)
-            bounds = edges[np.append(0, np.cumsum(counts))]
-            valid = column.is_valid().to_pylist()
-            data = memoryview(data)
-            decoded = [bytes(data[a:b]) if ok else None for a, b, ok in zip(bounds[:-1].tolist(), bounds[1:].tolist(), valid)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(decoded, pa.binary())], [f.name for f in fields])
+            counts = pa.compute.list_value_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
+            for a, b in ranges(counts.tolist(), SLICE_IDS):
+                part = batch.slice(a, b - a)
+                flat = part.column(at).flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                data, edges = enc.decode(flat)
+                bounds = edges[np.append(0, np.cumsum(counts[a:b]))].tolist()
+                data = memoryview(data)
+                decoded = [bytes(data[x:y]) if ok else None for x, y, ok in zip(bounds[:-1], bounds[1:], part.column(at).is_valid().to_pylist())]
+                columns = [*[part.column(i) for i in range(len(names))], pa.array(decoded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return kept.mapInArrow(run, T.StructType(fields))
