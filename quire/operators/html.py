@@ -28,7 +28,8 @@ from quire.functions.text import unescape
 PAGE = ("page_id",)
 
 # --- fixed values: lexical patterns ------------------------------------------------------------------------
-_REST_OF_TAG = r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>"""
+# a quote opens a value right after "=" only; one that is never closed is a character like any other
+_REST_OF_TAG = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
 TAG = (
     r"(?:<!--.*?(?:-->|\z)"
     rf"|<({'|'.join(K.RAW_TEXT_TAGS)})(?=[\s/>]){_REST_OF_TAG}.*?(?:</\1\s*>|\z)"
@@ -103,7 +104,7 @@ def attr(name: str, raw: Column | str = "raw") -> Column:
     raw = F.col(raw) if isinstance(raw, str) else raw
     pattern = _attribute_pattern(name)
     value = F.regexp_replace(F.regexp_extract(raw, pattern, 1), r"""(?s)\A(["'])(.*)\1\z""", "$2")
-    return F.when(raw.rlike(pattern), unescape(value))
+    return F.when(raw.rlike(pattern), unescape(value, attribute=True))
 
 
 def classes(raw: Column | str = "raw") -> Column:
@@ -116,7 +117,7 @@ def attribute_map(raw: Column | str = "raw") -> Column:
     values = F.transform(
         attribute_list(raw),
         lambda a: unescape(
-            F.when(F.contains(a, F.lit("=")), F.regexp_extract(a, ATTRIBUTE_VALUE, 1)).otherwise(F.lit(""))
+            F.when(F.contains(a, F.lit("=")), F.regexp_extract(a, ATTRIBUTE_VALUE, 1)).otherwise(F.lit("")), attribute=True
         ),
     )
     entries = F.arrays_zip(names.alias("n"), values.alias("v"))

@@ -42,21 +42,27 @@ def want_index(pairs: Sequence[tuple[str, str]], selector: Column, kind: Column)
     return (F.array_position(known, normal_selector(selector, kind)) - 1).cast("int")
 
 
+def latest_html(pages: DataFrame) -> Column:
+    """Aggregate: the html of the latest row, by ``fetched_at`` if there is such a column, then by the text."""
+    order = ["fetched_at", "html"] if "fetched_at" in pages.columns else ["html"]
+    return F.max_by("html", F.struct(*order))
+
+
 def find_pages(work: DataFrame, pages: DataFrame, cache: DataFrame | None) -> DataFrame:
     """``work`` with ``html`` and ``from_cache``: the cached page of an address if there is one, else the page.
 
-    The address of every row of ``pages`` has to be different, as has the hash of every row of ``cache``. Pages
-    that nobody asks for are dropped before they are moved; the merge join leaves the rows placed by
-    ``url_hash``, where the conversion needs them.
+    Of several pages with one address the latest by ``fetched_at`` counts, where there is that column, and of
+    equally late ones the greatest text; the same holds for the cache. Pages that nobody asks for are dropped before
+    they are moved; the merge join leaves the rows placed by ``url_hash``, where the conversion needs them.
     """
     asked = work.select("url_hash").distinct()
-    live = pages.select(url_hash("url").alias("url_hash"), F.col("html").alias("_live"))
-    live = live.join(asked, "url_hash", "left_semi")
+    live = pages.withColumn("url_hash", url_hash("url")).join(asked, "url_hash", "left_semi")
+    live = live.groupBy("url_hash").agg(latest_html(pages).alias("_live"))
     found = work.join(live.hint("merge"), "url_hash", "left")
     if cache is None:
         return found.withColumn("html", F.col("_live")).withColumn("from_cache", F.lit(False)).drop("_live")
-    kept = cache.select("url_hash", F.col("html").alias("_kept"), F.lit(True).alias("_hit"))
-    kept = kept.join(asked, "url_hash", "left_semi")
+    kept = cache.join(asked, "url_hash", "left_semi")
+    kept = kept.groupBy("url_hash").agg(latest_html(cache).alias("_kept"), F.lit(True).alias("_hit"))
     found = found.join(kept.hint("merge"), "url_hash", "left")
     hit = F.col("_hit").isNotNull()
     return found.withColumns({"html": F.when(hit, F.col("_kept")).otherwise(F.col("_live")), "from_cache": hit}).drop(

@@ -22,7 +22,7 @@ from quire.session import scratch_path
 from quire.sources import cache as C
 from quire.sources import catalogs as CAT
 from quire.sources import markdown_files as MF
-from quire.sources.pages import read_pages, render_pages, stream_pages
+from quire.sources.pages import read_pages, render_pages, stream_pages, stream_place
 from quire.streaming.fetch import stream_fetch, stream_progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,7 +269,7 @@ def fetch_stream(spark, sf):
     out = scratch_path(spark, "stream-out")
     for attempt in ("first", "second"):
         stream_fetch(
-            stream_pages(spark, sf, "pages.parquet"), _site_items(spark, sf), _site_catalogs(spark, sf), "out", out,
+            stream_pages(spark, *stream_place(spark, f"{sf}/pages.parquet")), _site_items(spark, sf), _site_catalogs(spark, sf), "out", out,
             scratch_path(spark, f"stream-{attempt}"), selectors=[("article", "css")], fetched_at=stamp(),
         ).awaitTermination()
     return spark.read.parquet(out).select("site", "output_path", "source", F.md5("content").alias("content_md5"))
@@ -313,7 +313,7 @@ def update_selectors(spark, sf):
     """Sites with a secure page get a new selector."""
     checks = pages_of(spark, sf).select(
         U.host("url").alias("site"), F.lit("main").alias("selector"), F.lit("css").alias("type"),
-        F.col("url").startswith("https://").alias("success"),
+        F.col("url").startswith("https://").alias("success"), F.col("page_id").alias("checked_at"),
     )
     out = V.update_selectors(_site_catalogs(spark, sf), checks)
     return out.select("site", F.col("selectors.content").alias("content"), F.col("selectors.content_type").alias("content_type"))
@@ -586,7 +586,8 @@ def error_breakdown(spark, sf):
 def stream_totals(spark, sf):
     """Totals of a stream of events, kept in state and written whenever they change."""
     schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    folder, names = stream_place(spark, f"{sf}/events.parquet")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(folder)
     totals = stream_progress(events.select((F.col("event_type") != "error").alias("success")))
     out = scratch_path(spark, "totals")
     writer = totals.writeStream.outputMode("complete").option("checkpointLocation", scratch_path(spark, "totals-state"))
@@ -606,7 +607,8 @@ def reply_payload(spark, sf):
 
 @query
 def analysis_requests(spark, sf):
-    return R.analysis_requests(pages_of(spark, sf), "m-1").select("page_id", F.length("payload").cast("bigint").alias("chars"))
+    requests = R.analysis_requests(pages_of(spark, sf), "m-1", "Name the selectors of navigation and content as JSON.", "The page:\n")
+    return requests.select("page_id", F.length("payload").cast("bigint").alias("chars"))
 
 
 @query

@@ -77,9 +77,10 @@ def selector_coverage(checks: DataFrame) -> DataFrame:
 
 
 def update_selectors(catalogs: DataFrame, checks: DataFrame, key: str = "site") -> DataFrame:
-    """Catalogs with the content selector and type of ``checks (key, selector, type, success)``, where the
-    check succeeded; the others stay as they are."""
-    new = checks.where("success").groupBy(key).agg(F.max(F.struct("selector", "type")).alias("_n"))
+    """Catalogs with the content selector and type of ``checks (key, selector, type, success, checked_at)``, where a
+    check succeeded, the latest one deciding; the others stay as they are."""
+    found = F.max_by(F.struct("selector", "type"), F.struct("checked_at", "selector", "type"))
+    new = checks.where("success").groupBy(key).agg(found.alias("_n"))
     s = F.col("selectors")
     changed = s.withField("content", F.col("_n.selector")).withField("content_type", F.col("_n.type"))
     out = catalogs.join(new, key, "left").withColumn("selectors", F.when(F.col("_n").isNull(), s).otherwise(changed))

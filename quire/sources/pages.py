@@ -14,6 +14,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def stream_place(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Folder and name pattern to stream a table from that is a folder of part files, or one file."""
+    files = spark.read.parquet(path).inputFiles()
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if len(files) == 1 and files[0].rstrip("/").rpartition("/")[2] == name:
+        return folder, name
+    return path, "*.parquet"
+
+
 def stream_pages(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
     """Pages as files arrive in a folder."""
     return (

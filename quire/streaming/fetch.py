@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.plans.fetch import fetch_placed, place_items
+from quire.plans.fetch import fetch_placed, latest_html, place_items
 from quire.session import settle
 from quire.sources.markdown_files import read_markdown, write_markdown
 
@@ -39,7 +39,7 @@ def stream_fetch(
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        wave = batch.select("url", "html").groupBy("url").agg(F.max("html").alias("html"))
+        wave = batch.groupBy("url").agg(latest_html(batch).alias("html"))
         try:
             done = read_markdown(spark, output)
         except AnalysisException:

@@ -87,3 +87,25 @@ def test_unescape_and_preview(spark):
     assert run(spark, texts, T.unescape("t")) == ["&lt; AB © &bogus; &", "x", None, "��😀"]
     assert run(spark, ["a\nb\nc", "a"], T.preview_head("t", 2)) == ["a\nb", "a"]
     assert run(spark, ["a\nb\nc", "a", None], T.preview_rest("t", 2)) == [1, 0, None]
+
+
+def test_long_blank_runs_take_linear_time(spark):
+    import time
+
+    run = " " * 200_000
+    df = spark.createDataFrame([("a" + run + "b",), (run,)], "t string")
+    start = time.time()
+    rows = df.select(T.trim_unicode("t").alias("a"), T.right_trim_lines("t").alias("b"), T.count_words("t").alias("n")).collect()
+    assert time.time() - start < 10
+    assert [len(r.a) for r in rows] == [200_002, 0] and [len(r.b) for r in rows] == [200_002, 0] and [r.n for r in rows] == [2, 0]
+
+
+def test_character_references_follow_the_standard(spark):
+    cases = {
+        "&copy 2024": "© 2024", "&amp b": "& b", "&check;": "✓", "&#0000000065;": "A", "&#150;": "–", "&#x41": "A", "&notit;": "¬it;",
+        "&unknown;": "&unknown;", "&#0;": "�", "&#99999999999999999999;": "�", "&": "&", "&&lt;": "&<", "&ampx": "&x", "&#xD800;": "�",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: (r.u, r.a) for r in df.select("t", T.unescape("t").alias("u"), T.unescape("t", attribute=True).alias("a")).collect()}
+    assert {k: v[0] for k, v in got.items()} == cases
+    assert got["&ampx"][1] == "&ampx" and got["&copy 2024"][1] == "© 2024"

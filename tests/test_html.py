@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import constants as K
 from quire.operators import html as H
@@ -182,3 +183,11 @@ def test_attributes(spark):
 def test_long_documents_do_not_overflow(spark):
     doc = "<p>" + "a < b " * 50_000 + "<i title='" + "x" * 100_000 + "'>y</i>"
     assert H.html_tokens(pages(spark, [doc]), with_attributes=False).count() == 4
+
+
+def test_odd_quotes_keep_their_text(spark):
+    markup = ["<a href=foo'>LOST text</a> end", '<p title="a>b">in</p>', "<p don't>in</p>", '<a href="x>kept</a>', "<a x = 'y'>in</a>"]
+    df = spark.createDataFrame(list(enumerate(markup)), "page_id int, html string")
+    tokens = df.select("page_id", F.array_join(F.transform(H.token_array("html"), H.text_of), "|").alias("t"))
+    got = {r.page_id: r.t.strip("|") for r in tokens.collect()}
+    assert got == {0: "LOST text| end", 1: "in", 2: "in", 3: "kept", 4: "in"}

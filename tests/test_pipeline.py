@@ -249,7 +249,7 @@ def test_checks_and_updates(spark, corpus):
         ("http://s/a", "article"): (True, 2, None), ("http://s/c", "//p"): (True, 2, None),
         ("http://s/zz", "main"): (False, 0, "render: page not available"),
     }
-    verdicts = spark.createDataFrame([("s", "main", "css", True), ("t", "x", "css", False)], "site string, selector string, type string, success boolean")
+    verdicts = spark.createDataFrame([("s", "main", "css", True, 2), ("s", "zz", "css", True, 1), ("t", "x", "css", False, 3)], "site string, selector string, type string, success boolean, checked_at int")
     new = {r.site: (r.selectors.content, r.selectors.content_type) for r in V.update_selectors(catalogs, verdicts).collect()}
     assert new == {"s": ("main", "css"), "t": ("//p", "xpath")}
 
