@@ -50,7 +50,8 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), key: str = "doc_id",
         copies: int = 2, **weighing) -> DataFrame:
     """The mix: ``copies`` rows for every document, ``(*keep, mix_row, source, size, source_size, target, copy,
     finish, taken)``. ``finish`` orders the mix; ``taken`` is the number of words it takes of that copy, from the first on.
-    ``mix_row`` numbers the rows of ``docs``."""
+    ``mix_row`` numbers the rows of ``docs``. A kept column with a name of
+    these gets ``_of_doc`` behind it."""
     sizes = docs.select(
         *[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(source).alias("source"), word_count(text).alias("size"),
         F.monotonically_increasing_id().alias("mix_row"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_turn"),
@@ -66,7 +67,8 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), key: str = "doc_id",
     merged = running(queued, [], ["finish", "mix_row", "copy"], {"_total": ("sum", F.col("_share"))})
     left = F.col("budget") - F.col("_total") + F.col("_share")
     taken = F.greatest(F.least(left, F.col("_share")), F.lit(0))
-    named: list[Column | str] = [F.col(f"_keep_{c}").alias(c) for c in keep]
+    own = {"mix_row", "source", "size", "source_size", "target", "copy", "finish", "taken"}
+    named: list[Column | str] = [F.col(f"_keep_{c}").alias(f"{c}_of_doc" if c in own else c) for c in keep]
     return merged.select(*named, "mix_row", "source", "size", "source_size", "target", "copy", "finish", taken.cast("bigint").alias("taken"))
 
 
