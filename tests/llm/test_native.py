@@ -42,7 +42,7 @@ def test_quality(spark):
     assert all(got[i].kept for i in range(120)) and not any(got[i].kept for i in range(120, 140))
     at = len(good) + len(bad)
     assert [got[at + i].n_words for i in range(6)] == [0, 0, 0, 6, 6, 40_000]
-    assert [got[at + i].n_repeat_words for i in range(6)] == [0, 0, 0, 6, 0, 40_000]
+    assert [got[at + i].n_repeat_words for i in range(6)] == [0, 0, 0, 6, 5, 40_000]
     assert got[at + 4].n_dup_lines == 1 and got[at + 5].base_failed
     assert quality.judge(df.limit(0)).collect() == []
     kept = quality.judge(df, keep=["doc_id", "n_words"]).columns
