@@ -10,7 +10,8 @@ set bit is stored in 32 bits, so that ``select`` reads the bits from there on on
 
 Files are written where ``spark.checkpoint.dir`` names the shared folder. An attempt of a task writes a file of its
 own name and only the attempt that succeeds is listed in the manifest, so a lost executor leaves nothing but a
-file nobody reads. Documents stand in ascending order of their keys within and across files.
+file nobody reads. Documents stand in ascending order of their keys within and across files. A task that has much
+to write makes several files, so neither writing nor reading holds more than one file's boundaries or ids.
 
 Defined results: a null text has no ids but its end id; documents without a key stand first; rows that repeat a key
 are all kept, one after the other.
@@ -37,6 +38,7 @@ from quire.session import scratch_path, settle
 MAGIC = b"QTOK1"
 SAMPLE = 256
 TRAILER = "<qqqqqqqq"
+FILE_IDS = 1 << 26  # a task begins another file once one has so many ids
 
 
 class Sequence(NamedTuple):
@@ -135,8 +137,43 @@ class TokenFile:
         return self.ids[a:b]
 
 
-def write_token_files(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Write the files of ``docs``; the manifest ``(part, path, docs, ids, first)``, ``first`` being the number of ids
+class _Writer:
+    """A file that is being written: ids go out as they come, boundaries and keys are kept for its end."""
+
+    def __init__(self, base: str, name: str, width: int):
+        files, folder = fs.FileSystem.from_uri(base)
+        files.create_dir(folder, recursive=True)
+        self.path, self.width = f"{base.rstrip('/')}/{name}", width
+        self._out = files.open_output_stream(f"{folder}/{name}")
+        self._out.write(MAGIC + bytes([width]))
+        self._keys: list[np.ndarray] = []
+        self._ends: list[np.ndarray] = []
+        self.total = self._keyless = 0
+
+    def write(self, keys: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        self._out.write(ids.astype(f"<u{self.width}").tobytes())
+        self._ends.append(self.total + ends)
+        self.total += len(ids)
+        self._keyless += keys.null_count
+        self._keys.append(keys.drop_null().to_numpy(zero_copy_only=False))
+
+    def close(self) -> tuple[int, int]:
+        """Numbers of documents and ids."""
+        numbers = np.concatenate(self._keys)
+        least = int(numbers[0]) if len(numbers) else 0
+        keys = Sequence.of(numbers.astype(np.uint64) - np.uint64(least % (1 << 64)))
+        ends = Sequence.of(np.concatenate(self._ends))
+        at = 6 + self.total * self.width
+        first = ends.dump()
+        self._out.write(first + keys.dump())
+        self._out.write(struct.pack(TRAILER, ends.n, self.total, self._keyless, least, at, ends.low_bits, at + len(first), keys.low_bits))
+        self._out.close()
+        return ends.n, self.total
+
+
+def write_token_files(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", end_id: int = 0,
+                      file_ids: int = FILE_IDS) -> DataFrame:
+    """Write the files of ``docs``; the manifest ``(part, turn, path, docs, ids, first)``, ``first`` being the number of ids
     in all files before.
 
     Rows are dealt to tasks by ranges of the key before they are encoded. Where one key has very many rows, a hash
@@ -151,44 +188,33 @@ def write_token_files(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
-        out = None
-        keys: list[np.ndarray] = []
-        ends: list[np.ndarray] = []
-        keyless = total = part = 0
+        out: _Writer | None = None
+        done = 0
+
+        def close() -> pa.RecordBatch:
+            docs, ids = out.close()
+            row = {"part": [part], "turn": [done], "path": [out.path], "docs": [docs], "ids": [ids]}
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_pydict(row, pa.schema(list(zip(row, kinds))))
+
+        part = 0
         for batch in batches:
-            if out is None and batch.num_rows:
-                part = batch.column(2)[0].as_py()
-                files, folder = fs.FileSystem.from_uri(base)
-                files.create_dir(folder, recursive=True)
-                name = f"part-{part:05d}-{uuid.uuid4().hex}.tok"
-                out = files.open_output_stream(f"{folder}/{name}")
-                out.write(MAGIC + bytes([width]))
             for a, b in slices(batch.column(1)):
-                found = batch.column(0).slice(a, b - a)
+                if out is None:
+                    part = batch.column(2)[0].as_py()
+                    out = _Writer(base, f"part-{part:05d}-{done:05d}-{uuid.uuid4().hex}.tok", width)
                 ids, per_text, _, _ = enc.encode(batch.column(1).slice(a, b - a))
                 ids = np.insert(ids, per_text[1:], end_id)  # an end id behind each document
-                out.write(ids.astype(f"<u{width}").tobytes())
-                ends.append(total + per_text[1:] + np.arange(1, b - a + 1))
-                total += len(ids)
-                keyless += found.null_count
-                keys.append(found.drop_null().to_numpy(zero_copy_only=False))
-        if out is None:
-            return
-        numbers = np.concatenate(keys)
-        least = int(numbers[0]) if len(numbers) else 0
-        key_seq = Sequence.of(numbers.astype(np.uint64) - np.uint64(least % (1 << 64)))
-        end_seq = Sequence.of(np.concatenate(ends))
-        at = 6 + total * width
-        first, second = end_seq.dump(), key_seq.dump()
-        out.write(first + second)
-        out.write(struct.pack(TRAILER, end_seq.n, total, keyless, least, at, end_seq.low_bits, at + len(first), key_seq.low_bits))
-        out.close()
-        row = {"part": [part], "path": [f"{base.rstrip('/')}/{name}"], "docs": [end_seq.n], "ids": [total]}
-        yield pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
-
-    manifest = settle(rows.mapInArrow(run, "part int, path string, docs long, ids long"))
+                out.write(batch.column(0).slice(a, b - a), ids, per_text[1:] + np.arange(1, b - a + 1))
+                if out.total >= file_ids:
+                    yield close()
+                    out, done = None, done + 1
+        if out is not None:
+            yield close()
+
+    manifest = settle(rows.mapInArrow(run, "part int, turn int, path string, docs long, ids long"))
     # one row per file, so one task adds up what files before have
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "turn").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 

@@ -46,6 +46,19 @@ def test_files_give_back_every_document(spark):
         at += r.n_tokens
 
 
+def test_a_task_may_write_several_files(spark):
+    rows = [(k, "one two three " * (k % 7)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        whole, cut = (write_token_files(docs, V, file_ids=n) for n in (1 << 26, 50))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    read = [sorted((r.key, r.start, r.n_tokens, r.crc32) for r in read_token_files(m, ids=False).collect()) for m in (whole, cut)]
+    assert read[0] == read[1] and [x[0] for x in read[0]] == list(range(300))
+    assert cut.count() > whole.count()
+
+
 def test_empty_table(spark):
     manifest = write_token_files(spark.createDataFrame([], "doc_id long, text string"), V)
     assert read_token_files(manifest).collect() == []
