@@ -16,6 +16,7 @@ import base64
 import json
 from collections.abc import Iterator, Sequence
 from functools import cache, cached_property
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SLICE_BYTES = 2 << 20
 SLICE_IDS = 1 << 19
 CACHE_PIECES = 1 << 17
+PARTING = b"\xff"
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
 
@@ -109,7 +111,7 @@ def _spec(path: str) -> dict:
     return spec
 
 
-def _placed(held: np.ndarray, at: int, new: list[int]) -> np.ndarray:
+def _placed(held: np.ndarray, at: int, new: list[int] | np.ndarray) -> np.ndarray:
     """``held`` with ``new`` from ``at`` on; room grows by doubling."""
     if at + len(new) > len(held):
         held = np.append(held, np.zeros(max(len(held), at + len(new) - len(held)), held.dtype))
@@ -133,7 +135,7 @@ class Encoder:
         self.size = len(table)
         self._bytes = pa.array(table, pa.binary())
         self.lengths = np.array([len(t) for t in table], np.int64)
-        self._letters = {b: ord(c) for b, c in enumerate(byte_letters())}
+        self._letters = np.array([ord(c) for c in byte_letters()], "<u4")
         self._forget()
 
     @cached_property
@@ -187,20 +189,22 @@ class Encoder:
     def _look_up(self, pieces: list[str]) -> np.ndarray:
         if len(self._slots) > CACHE_PIECES:
             self._forget()
-        slots, known = [], len(self._slots)
-        base = int(self._edges[known])
-        ids: list[int] = []
-        edges: list[int] = []
-        for piece in pieces:
-            slot = self._slots.get(piece)
-            if slot is None:
-                slot = self._slots[piece] = len(self._slots)
-                mapped = piece.encode("utf-8").decode("latin-1").translate(self._letters)
-                ids.extend(t.id for t in self._model.tokenize(mapped))
-                edges.append(base + len(ids))
-            slots.append(slot)
-        self._flat = _placed(self._flat, base, ids)
-        self._edges = _placed(self._edges, known + 1, edges)
+        slots = list(map(self._slots.get, pieces))
+        new = [i for i, slot in enumerate(slots) if slot is None]
+        if new:
+            known = len(self._slots)
+            fresh = [pieces[i] for i in new]
+            # all at once to their byte letters; no text in UTF-8 has the byte that parts them
+            joined = np.frombuffer(PARTING.join([piece.encode("utf-8") for piece in fresh]), np.uint8)
+            mapped = self._letters[joined].tobytes().decode("utf-32-le").split(byte_letters()[PARTING[0]])
+            tokenize = self._model.tokenize
+            coded = [[t.id for t in tokenize(piece)] for piece in mapped]
+            edges = int(self._edges[known]) + np.cumsum([len(x) for x in coded])
+            self._flat = _placed(self._flat, int(self._edges[known]), list(chain.from_iterable(coded)))
+            self._edges = _placed(self._edges, known + 1, edges)
+            self._slots.update(zip(fresh, range(known, known + len(fresh))))
+            for slot, i in enumerate(new, known):
+                slots[i] = slot
         return np.array(slots, np.int64)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
