@@ -6,8 +6,12 @@ neighbours; the pieces of a page are then joined in order. Nothing is evaluated
 
 Own rendering rules: headings ``#``, ``**strong**``, ``_emphasis_``, `` `code` ``, fences without a language,
 ``-`` and ``1.`` list items, ``> `` quotes, ``[text](target)``, ``![alt](source)``, ``* * *``. White space is
-collapsed outside ``pre``. Text is not escaped. Cells of a table stand in a line, separated by a blank, or by
-``|`` with ``tables="pipe"``.
+collapsed outside ``pre``. Cells of a table stand in a line, separated by a blank, or by ``|`` with
+``tables="pipe"``.
+
+Outside ``pre`` and ``code``, a backslash stands before the characters of text that Markdown would read as marks:
+``\\ * _ ` [ ]`` anywhere, ``|`` with ``tables="pipe"``, and at the beginning of a line ``#``, ``>``, ``~~~``, a ``+``, ``-`` or ``=`` that could be a
+bullet or a rule, and the dot or bracket of a number. Titles, addresses and descriptions of images are left as they are.
 """
 
 from __future__ import annotations
@@ -186,6 +190,17 @@ def _events(
     return events.withColumn("_in", F.coalesce(inside, F.lit(False))).drop("span_start", "span_end", "head_end")
 
 
+def escape_text(text: Column, tables: str = "text") -> Column:
+    """Text with a backslash before what could be a mark anywhere in a line."""
+    return F.regexp_replace(text, r"([\\*_`\[\]|])" if tables == "pipe" else r"([\\*_`\[\]])", r"\\$1")
+
+
+def escape_line(text: Column) -> Column:
+    """The beginning of a line with a backslash before what could be a mark there."""
+    marked = F.regexp_replace(text, r"\A(#|>|~(?=~~)|[+=-](?=[ =-]|\z))", r"\\$1")
+    return F.regexp_replace(marked, r"\A([0-9]{1,9})([.)])(?= |\z)", r"$1\\$2")
+
+
 def _render(
     events: DataFrame, keys: list[str], tables: str, prune_ads: bool, carry: Sequence[str] = ()
 ) -> DataFrame:
@@ -208,6 +223,7 @@ def _render(
         {
             "_cuts": depth(F.col("_cut")),
             "_pre": depth(tag == "pre"),
+            "_code": depth(tag == "code"),
             "_quote": depth(tag == "blockquote"),
             "_lists": depth(is_list),
             "_indent": depth(tag == "ul", 2) + depth(tag == "ol", 3),
@@ -220,7 +236,9 @@ def _render(
     gone = ~F.col("_in") | F.col("_cut") | (F.col("_cuts") > 0)
     plain = F.regexp_replace("text", r"[ \t\n\r\f]+", " ")
     shown = unescape(F.when(F.col("_pre") > 0, F.col("text")).otherwise(plain))
+    literal = (F.col("_pre") > 0) | (F.col("_code") > 0)
     events = events.withColumns({"_gone": gone, "_shown": shown})
+    events = events.withColumn("_shown", F.when(literal, F.col("_shown")).otherwise(escape_text(F.col("_shown"), tables)))
 
     # list items: which list they belong to, and their number in it
     in_list = Window.partitionBy(*keys, "_gone", "_lists").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -262,14 +280,14 @@ def _render(
     events = events.withColumns(
         {
             "_solid": solid,
-            # inline elements around nothing leave no marks
+            # inline elements and headings around nothing leave no marks
             "_words": F.sum(F.when(solid & (ev.isin("text", "void")), 1).otherwise(0)).over(
                 Window.partitionBy(*keys, "_out").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
             ),
         }
     )
     element = Window.partitionBy(*keys, "_out", F.when(ev == "close", -F.col("turn")).otherwise(F.col("pos")), F.isnull("tag"))
-    hollow = F.col("_kind").isin("M", "E") & (ev != "void") & (F.max("_words").over(element) == F.min("_words").over(element))
+    hollow = (F.col("_kind").isin("M", "E") | (heading & (ev == "open"))) & (ev != "void") & (F.max("_words").over(element) == F.min("_words").over(element))
     events = events.withColumn("_hollow", F.coalesce(hollow, F.lit(False)))
     events = events.withColumn("_solid", F.col("_solid") & ~F.col("_hollow"))
     before = Window.partitionBy(*keys, "_out").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -307,7 +325,8 @@ def _render(
     attribute = lambda name: F.coalesce(attr(name), F.lit(""))
     own = (
         F.when(ev == "text", F.when(F.col("_first") | breaking | F.coalesce(F.col("_after"), F.lit(False)),
-                                    F.when(F.col("_pre") > 0, F.col("_shown")).otherwise(F.ltrim("_shown"))).otherwise(F.col("_shown")))
+                                    F.when(F.col("_pre") > 0, F.col("_shown")).when(F.col("_code") > 0, F.ltrim("_shown"))
+                                    .otherwise(escape_line(F.ltrim("_shown")))).otherwise(F.col("_shown")))
         .when((ev == "void") & (tag == "img"), F.concat(F.lit("!["), attribute("alt"), F.lit("]("), attribute("src"), F.lit(")")))
         .when((ev == "void") & (tag == "hr"), RULE)
         .when(F.col("_kind") == "C", "")

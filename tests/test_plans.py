@@ -23,7 +23,7 @@ def test_page_work_moves_pages_once(spark, sf, name, exchanges, joins):
     plan = plan_of(QUERIES[name](spark, sf))
     assert plan.count("Exchange hashpartitioning") == exchanges
     assert plan.count("Join ") == joins
-    assert "Python" not in plan and "Pandas" not in plan and "Nested" not in plan and "Cartesian" not in plan
+    assert "Python" not in plan and "Pandas" not in plan and "NestedLoopJoin" not in plan and "Cartesian" not in plan
 
 
 @pytest.mark.parametrize("name", ["word_count", "clean_markdown", "output_paths", "nested_parent", "fetch_results"])
