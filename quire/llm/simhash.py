@@ -41,13 +41,17 @@ BRUTE = 512  # members that are compared pair by pair
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Of a text in UTF-8, as an unsigned number. Words end at the six ASCII blanks."""
+def shingles(text: bytes, width: int) -> Iterator[bytes]:
+    """Of a text in UTF-8. Words end at the six ASCII blanks."""
     words = text.translate(_LOWER).split()
-    if not words:
+    return map(b" ".join, zip(*[words[i:] for i in range(width)])) if len(words) >= width else iter([b" ".join(words)] if words else [])
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Of a text in UTF-8, as an unsigned number."""
+    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)], np.uint64)
+    if not len(hashes):
         return 0
-    shingles = map(b" ".join, zip(*[words[i:] for i in range(width)])) if len(words) >= width else [b" ".join(words)]
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
