@@ -9,6 +9,8 @@ inner one is within ``most`` of the radius; those are sent outside as well. So e
 some cell, and cells are searched by themselves. The upper tree is fitted on a bounded sample (``SAMPLE``
 fingerprints, the least by hash) and every fingerprint is sent through it; inside a cell the tree goes on over all its members.
 A cell of more than ``CELL`` members is cut into blocks and every pair of blocks is searched, so nothing is left out.
+A part that no vantage point makes cheaper, such as many fingerprints within few bits, is compared in blocks; blocks
+whose members are all joined are passed over.
 
 A cell reports links that connect the same fingerprints as all its links do, one less than connected
 fingerprints at most, and links over all cells are joined to components.
@@ -37,6 +39,7 @@ SAMPLE = 1 << 15
 LEAF = 1 << 16  # members of a cell that the upper tree aims at
 CELL = 1 << 19  # members of a cell that are searched in one task
 BRUTE = 512  # members that are compared pair by pair
+PIVOTS = 3  # vantage points that are tried for a part
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -119,44 +122,53 @@ class Tree:
         return np.concatenate(cells), np.concatenate(who)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, root: dict[int, int]) -> list[tuple[int, int]]:
-    """The pairs that join what was not joined yet."""
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        rx, ry = x, y
-        while (up := root.get(rx, rx)) != rx:
-            root[rx] = root.get(up, up)
-            rx = up
-        while (up := root.get(ry, ry)) != ry:
-            root[ry] = root.get(up, up)
-            ry = up
-        if rx != ry:
-            root[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
+def _tops(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    top = parent[at]
+    while (parent[top] != top).any():
+        top = parent[top]
+    parent[at] = top
+    return top
+
+
+def _halves(part: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Numbers of those inside and outside of a vantage point's radius, or None if searching both costs as much as comparing all pairs."""
+    for i in range(1, PIVOTS + 1):
+        far, radius = _split(part, part[i * len(part) // (PIVOTS + 1)])
+        far = far.astype(np.int64)
+        inside, outside = np.flatnonzero(far <= radius), np.flatnonzero(far > radius - most)
+        # both are smaller than the part then, so this comes to an end
+        if len(inside) ** 2 + len(outside) ** 2 < 0.9 * len(part) ** 2:
+            return inside, outside
+    return None
 
 
 def links_in(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Pairs of ``fps`` (distinct) that connect what pairs of at most ``most`` differing bits connect."""
-    root: dict[int, int] = {}
+    parent = np.arange(len(fps))
     out: list[tuple[int, int]] = []
-    todo = [fps]
+    todo = [np.arange(len(fps))]
     while todo:
         part = todo.pop()
-        if len(part) > BRUTE:
-            far, radius = _split(part, part[len(part) // 2])
-            far = far.astype(np.int64)
-            inside, outside = part[far <= radius], part[far > radius - most]
-            if len(inside) and len(inside) + len(outside) < 1.75 * len(part):
-                todo += [inside, outside]
-                continue
+        if len(part) > BRUTE and (halves := _halves(fps[part], most)):
+            todo += [part[half] for half in halves]
+            continue
         for i in range(0, len(part), BRUTE):
             left = part[i : i + BRUTE]
             for j in range(i, len(part), BRUTE):
                 right = part[j : j + BRUTE]
-                x, y = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= most)
-                new = (x < y) if i == j else np.ones(len(x), bool)
-                out += _forest(left[x[new]], right[y[new]], root)
+                one, two = _tops(parent, left), _tops(parent, right)
+                if (one == one[0]).all() and (two == one[0]).all():
+                    continue  # joined already
+                x, y = np.nonzero(np.bitwise_count(fps[left][:, None] ^ fps[right][None, :]) <= most)
+                new = one[x] != two[y]
+                x, y = x[new], y[new]
+                # one pair for each two that are not joined yet
+                _, first = np.unique(one[x] * len(fps) + two[y], return_index=True)
+                for a, b in zip(left[x[first]].tolist(), right[y[first]].tolist()):
+                    ra, rb = (int(_tops(parent, np.array([n]))[0]) for n in (a, b))
+                    if ra != rb:
+                        parent[max(ra, rb)] = min(ra, rb)
+                        out.append((int(fps[a]), int(fps[b])))
     return out
 
 

@@ -1,4 +1,6 @@
+import os
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -19,6 +21,16 @@ def roots_of(n, pairs):
     return [find(i) for i in range(n)]
 
 
+def components_of(n, x, y):
+    """The smallest member of each one's component; ``roots_of`` without recursion."""
+    root = np.arange(n)
+    x, y = np.array(x), np.array(y)
+    while len(x) and (root[x] != root[y]).any():
+        np.minimum.at(root, x, root[y])
+        np.minimum.at(root, y, root[x])
+    return root.tolist()
+
+
 def plain_fingerprint(text):
     words = (text or "").translate({i: i + 32 for i in range(65, 91)})
     for c in "\t\n\x0b\f\r":
@@ -60,6 +72,22 @@ def test_links_in_connect_what_all_pairs_connect(n):
     assert roots_of(len(fps), [(at[a], at[b]) for a, b in got]) == roots_of(len(fps), zip(x.tolist(), y.tolist()))
 
 
+@pytest.mark.parametrize("most,dense,others", [(3, 529, 500), (3, 2081, 1700), (1, 2081, 300)])
+def test_links_in_ends_on_a_dense_cluster(most, dense, others):
+    rng = random.Random(dense)
+    centre = rng.getrandbits(64)
+    near = [centre] + [centre ^ (1 << i) for i in range(64)] + [centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)]
+    fps = np.array(sorted({*rng.sample(near, dense), *(rng.getrandbits(64) for _ in range(others))}), np.uint64)
+    ended = threading.Event()
+    threading.Thread(target=lambda: ended.wait(60) or os._exit(1), daemon=True).start()
+    got = S.links_in(fps, most)
+    ended.set()
+    x, y = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= most, 1))
+    at = {int(f): i for i, f in enumerate(fps)}
+    want = components_of(len(fps), x, y)
+    assert len(got) == len(fps) - len(set(want)) and components_of(len(fps), *zip(*[(at[a], at[b]) for a, b in got])) == want
+
+
 @pytest.mark.parametrize("leaf,cell", [(200, 100_000), (200, 150), (100_000, 100_000)])
 def test_cells_lose_no_link(spark, monkeypatch, leaf, cell):
     monkeypatch.setattr(S, "LEAF", leaf)
