@@ -13,7 +13,8 @@ look so are never reached.
 Attempts of tasks write files of their own names into the shared folder; the manifest lists those that succeeded.
 
 Defined results: a null html is an empty payload, a null url an empty address. Rows that repeat id and payload are responses all. Pages
-without an id are revisits of the smallest id with their payload, else responses. A chain that ends before its file does is an error.
+without an id are revisits of the smallest id with their payload, else responses. Headers have any length. A chain that doesn't end where
+its file does, or has not as many records as the manifest says, is an error.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quire.session import scratch_path, settle
 
 MAGIC = b"WARC/1.1\r\n"
-HEADER = 1 << 16  # bytes a record's header has at most
+HEADER = 1 << 16  # bytes read ahead for a record's header; longer ones are read on
 BLOCK = 4 << 20
 READ = 4  # blocks that a task reads, on average
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -99,70 +99,81 @@ def write_warc(pages: DataFrame, least: int = 0) -> DataFrame:
     return settle(rows.select("page_id", "url", "html", "first").mapInArrow(run, "path string, bytes long, records long"))
 
 
-@cache
-def _header_end() -> re.Pattern[bytes]:
-    return re.compile(rb"\r\n\r\n")
+def _read(path: str, begin: int, size: int) -> bytes:
+    files, name = fs.FileSystem.from_uri(path)
+    with files.open_input_file(name) as f:
+        return f.read_at(size, begin)
+
 
+class Span:
+    """Bytes of a file from ``begin`` on, of which more are read when a header needs them."""
 
-def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
+    def __init__(self, path: str, begin: int, size: int):
+        self.path, self.begin, self.data = path, begin, _read(path, begin, size)
+
+    def more(self) -> bool:
+        found = _read(self.path, self.begin + len(self.data), max(HEADER, len(self.data)))
+        self.data += found
+        return bool(found)
+
+
+def parse_header(span: Span, at: int) -> tuple[dict[str, str], int] | None:
     """Fields of the record header at ``at`` and where its block begins, or None if there is none."""
-    if not data.startswith(MAGIC, at):
-        return None
-    end = _header_end().search(data, at + len(MAGIC) - 2, at + HEADER)
-    if not end:
+    if not span.data.startswith(MAGIC, at):
         return None
-    fields = {}
-    for line in data[at + len(MAGIC) : end.start()].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    fields: dict[str, str] = {}
+    line = searched = at + len(MAGIC)
+    while True:
+        end = span.data.find(b"\r\n", searched)
+        if end < 0:
+            searched = max(line, len(span.data) - 1)
+            if not span.more():
+                return None
+            continue
+        if end == line:
+            return (fields, end + 2) if fields.get("content-length", "").isdigit() else None
+        name, colon, value = span.data[line:end].partition(b":")
         if not colon:
             return None
         fields[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit():
-        return None
-    return fields, end.end()
-
-
-def _read(path: str, begin: int, size: int) -> bytes:
-    files, name = fs.FileSystem.from_uri(path)
-    with files.open_input_file(name) as f:
-        return f.read_at(size, begin)
+        line = searched = end + 2
 
 
-def candidates(data: bytes, begin: int, size: int) -> list[tuple[int, int, int]]:
-    """``(offset, successor, exit)`` of all that looks like a record and begins in the ``size`` bytes from ``begin`` on;
-    ``data`` begins there and goes on for a header more. ``exit`` is where following successors leaves the block."""
+def candidates(span: Span, size: int) -> list[tuple[int, int, int, int]]:
+    """``(offset, successor, exit, records)`` of all that looks like a record and begins in the first ``size`` bytes of ``span``. ``exit`` is where
+    following successors leaves the block, after so many ``records``."""
     found: list[tuple[int, int]] = []
-    at = data.find(MAGIC)
+    at = span.data.find(MAGIC)
     while 0 <= at < size:
-        if header := parse_header(data, at):
+        if header := parse_header(span, at):
             fields, body = header
-            found.append((begin + at, begin + body + int(fields["content-length"]) + 4))
-        at = data.find(MAGIC, at + 1)
-    leaves: dict[int, int] = {}
+            found.append((span.begin + at, span.begin + body + int(fields["content-length"]) + 4))
+        at = span.data.find(MAGIC, at + 1, size + len(MAGIC))
+    leaves: dict[int, tuple[int, int]] = {}
     out = []
     for offset, successor in reversed(found):
-        leaves[offset] = leaves.get(successor, successor)
-        out.append((offset, successor, leaves[offset]))
+        leaf, records = leaves.get(successor, (successor, 0))
+        leaves[offset] = leaf, records + 1
+        out.append((offset, successor, leaf, records + 1))
     return out[::-1]
 
 
 def boundaries(manifest: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``(path, begin, size, entry)`` of each block that a record begins in, ``entry`` being the first such record, and all
-    candidates ``(path, bytes, begin, offset, successor, exit)``."""
+    """``(path, begin, bytes, entry)`` of each block that a record begins in, ``entry`` being the first such record, and all
+    candidates ``(path, bytes, begin, offset, successor, exit, records)``."""
     blocks = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(block).cast("bigint"))).alias("begin"))
     # few small rows that stand for much reading: a fixed number of tasks, which adaptive execution leaves alone
     blocks = settle(blocks.repartition(max(1, -(-blocks.count() // READ)), "path", "begin"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "bytes", "begin", "offset", "successor", "exit"]
+        names = ["path", "bytes", "begin", "offset", "successor", "exit", "records"]
         for batch in batches:
             for path, size, begin in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data = _read(path, begin, block + HEADER)
-                found = candidates(data, begin, block)
-                columns = [[path] * len(found), [size] * len(found), [begin] * len(found), *(list(c) for c in zip(*found))] if found else [[]] * 6
+                found = candidates(Span(path, begin, block + HEADER), block)
+                columns = [[path] * len(found), [size] * len(found), [begin] * len(found), *(list(c) for c in zip(*found))] if found else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names)
 
-    seen = settle(blocks.mapInArrow(look, "path string, bytes long, begin long, offset long, successor long, exit long"))
+    seen = settle(blocks.mapInArrow(look, "path string, bytes long, begin long, offset long, successor long, exit long, records long"))
     # only the beginning of a file and what a chain leaves its block for can be where a chain enters a block
     targets = seen.select("path", F.col("exit").alias("offset")).distinct()
     starts = seen.where("offset = 0").select("path", "offset")
@@ -177,8 +188,14 @@ def boundaries(manifest: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Data
         reached = more
         far = jump.select("path", F.col("a").alias("b"), F.col("b").alias("c"))
         jump = settle(jump.join(far, ["path", "b"], "left").select("path", "a", F.coalesce("c", "b").alias("b")))
-    entries = seen.join(reached, ["path", "offset"], "left_semi").groupBy("path", "begin", "bytes").agg(F.min("offset").alias("entry"))
-    return entries, seen
+    entries = seen.join(reached, ["path", "offset"], "left_semi").groupBy("path", "begin", "bytes")
+    entries = settle(entries.agg(F.min("offset").alias("entry"), F.min_by("records", "offset").alias("records"), F.max_by("exit", "offset").alias("exit")))
+    chains = entries.groupBy("path").agg(F.sum("records").alias("found"), F.max("exit").alias("end"))
+    wrong = manifest.where("bytes > 0").join(chains, "path", "left").where("not (found <=> records and end <=> bytes)")
+    if bad := wrong.select("path", "bytes", "records", "found", "end").take(1):
+        r = bad[0]
+        raise ValueError(f"{r.path}: {r.found} records up to byte {r.end}, {r.records} up to byte {r.bytes} were written")
+    return entries.drop("records", "exit"), seen
 
 
 def read_warc(manifest: DataFrame, block: int = BLOCK, payloads: bool = True) -> DataFrame:
@@ -202,18 +219,18 @@ def read_warc(manifest: DataFrame, block: int = BLOCK, payloads: bool = True) ->
 
         for batch in batches:
             for path, begin, total, entry in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                data, base = _read(path, entry, begin + block + HEADER - entry), entry
+                span, base = Span(path, entry, begin + block + HEADER - entry), entry
                 rows, held, at = [], 0, entry
                 while at < min(begin + block, total):
                     if len(rows) == 2000 or held > 16 << 20:
                         yield batch_of(rows)
                         rows, held = [], 0
-                    header = parse_header(data, at - base)
+                    header = parse_header(span, at - base)
                     if header is None:
                         raise ValueError(f"{path}: no record at {at}")
                     found, body = header
                     size = int(found["content-length"])
-                    content = data[body : body + size]
+                    content = span.data[body : body + size]
                     if len(content) < size:
                         content = _read(path, base + body, size)
                     payload = content.partition(b"\r\n\r\n")[2] if found["warc-type"] == "response" else None
@@ -228,6 +245,5 @@ def read_warc(manifest: DataFrame, block: int = BLOCK, payloads: bool = True) ->
                 if rows:
                     yield batch_of(rows)
 
-    entries = settle(entries)
     entries = entries.select("path", "begin", "bytes", "entry").repartition(max(1, -(-entries.count() // READ)), "path", "begin")
     return entries.mapInArrow(run, fields)

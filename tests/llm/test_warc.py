@@ -63,3 +63,20 @@ def test_damage_is_noticed(spark):
         f.write(b"X")
     with pytest.raises(Exception, match="damaged"):
         warc.read_warc(manifest).collect()
+
+
+@pytest.mark.parametrize("block", [4096, 1 << 20])
+def test_long_urls_come_back(spark, block):
+    rows = [(i, "http://h/" + ("é" * 200_000 if i in (0, 7, 8) else f"{i}"), f"<p>{i}</p>" * 40) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.read_warc(warc.write_warc(df), block).collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == rows
+
+
+@pytest.mark.parametrize("change", ["bytes + 1", "records + 1"])
+def test_chain_must_fit_the_manifest(spark, change):
+    df = spark.createDataFrame([(i, "u", f"{i}") for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    name = change.split()[0]
+    manifest = warc.write_warc(df)
+    with pytest.raises(ValueError, match="were written"):
+        warc.read_warc(manifest.selectExpr("path", *[f"{c if c != name else change} as {c}" for c in ("bytes", "records")])).collect()
