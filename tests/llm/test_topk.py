@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -50,3 +51,20 @@ def test_terms_that_cannot_matter_are_left_out():
     ids, scores, bar = topk.max_score(block, query, -1, 5, -np.inf)
     again, same, _ = topk.max_score(block, query, -1, 5, bar)
     assert sorted(ids) == sorted(again) and sorted(scores) == sorted(same) and max(ids) < 40
+
+
+@pytest.mark.parametrize("far", [300_000.0, 1e12, 1e307])
+def test_large_components_take_part(spark, far):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([0.0, 0.25, -0.5]), rng.uniform(-1, 1), 0.0 if far > 1e6 else 2.0]) for i in range(120)]
+    rows += [(150, [0.5, 0.25, far]), (7, [1.0, 1.0, -far])]
+    if far > 1e6:  # their product is far below any long, so it must not be among the best
+        rows += [(200, [0.25, -0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == brute([(i, [Fraction(x) for x in v]) for i, v in rows])
+
+
+def test_a_score_beyond_longs_is_an_error(spark):
+    df = spark.createDataFrame([(50, [1e12]), (3, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(df).collect()
