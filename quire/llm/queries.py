@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, mixing, quality, sharding, simhash, token_files, topk, url_filter, warc
+from quire.llm import bpe, chat, mixing, packing, quality, sharding, simhash, token_files, topk, url_filter, warc
 
 SHARD_BYTES = 4 << 20
 RULES = (
@@ -95,7 +95,12 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf, "documents"), JSON, end_id=2, ids=False)
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_shards, op3_quality, op4_mixing, op5_urls, op6_chat, op7_token_files, op8_warc, op9_topk, op10_simhash)
+    for f in (op1_bpe, op2_shards, op3_quality, op4_mixing, op5_urls, op6_chat, op7_token_files, op8_warc, op9_topk, op10_simhash, op11_packing)
 }
