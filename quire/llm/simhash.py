@@ -200,14 +200,15 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, keep: Sequence[str] = ("doc_id",), key: str = "doc_id", text: str = "text", width: int = 3, most: int = 3) -> DataFrame:
-    """``keep`` columns, ``fp`` and ``component_id``, the smallest key of all rows that links lead to."""
+    """``keep`` columns, ``fp``, ``component_id``, the smallest key of all rows that links lead to, and ``component_fp``,
+    a fingerprint of the component that no other component has."""
     marked = settle(fingerprints(docs, list(dict.fromkeys([*keep, key])), text, width))
     distinct = settle(marked.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(distinct, most)).select(F.col("node").alias("fp"), "root")
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(ids, "root").select("fp", "component_id")
-    return marked.join(placed, "fp").select(*keep, "fp", "component_id")
+    placed = distinct.join(roots, "fp", "left").withColumn("component_fp", F.coalesce("root", "fp"))
+    ids = placed.groupBy("component_fp").agg(F.min("least").alias("component_id"))
+    placed = placed.join(ids, "component_fp").select("fp", "component_fp", "component_id")
+    return marked.join(placed, "fp").select(*keep, "fp", "component_id", "component_fp")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
@@ -216,6 +217,4 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     ``docs`` has a column ``row`` that tells rows apart.
     """
     marked = near_duplicates(docs, keep=["row", key], key=key, **how)
-    # rows without a key in a component without one are told apart by fingerprint
-    group = [F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("-"), F.col("fp").cast("string")))]
-    return marked.groupBy(*[g.alias("_g") for g in group]).agg(F.min_by("row", F.struct(F.col(key).isNull(), key, "row")).alias("row")).select("row")
+    return marked.groupBy("component_fp").agg(F.min_by("row", F.struct(F.col(key).isNull(), key, "row")).alias("row")).select("row")

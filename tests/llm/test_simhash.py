@@ -124,3 +124,14 @@ def test_documents(spark):
     key = lambda x: tuple((v is None, v or 0) for v in x)
     assert sorted([(r.doc_id, r.fp % (1 << 64), r.component_id) for r in got], key=key) == sorted([(k, f, least[r]) for (k, _, _), f, r in zip(rows, fps, root)], key=key)
     assert S.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_one_of_each_tells_components_apart_by_their_texts(spark):
+    # two unlike texts under one id, two near copies without ids, a text without words and a null one
+    base = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, "alpha beta gamma delta"), (1, "one two three four"), (None, base), (None, base + " tail"), (7, ""), (6, None), (6, None)]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+    kept = sorted(r.row for r in S.one_of_each(df).collect())
+    near = (plain_fingerprint(base) ^ plain_fingerprint(base + " tail")).bit_count() <= 3
+    assert kept == sorted([0, 1, 2, *([] if near else [3]), 5])
+    assert S.one_of_each(df.limit(0)).collect() == []
