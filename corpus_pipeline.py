@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, mixing, quality, similar
+from quire.llm import bpe, mixing, quality, simhash
 from quire.llm.queries import RANKS
 from quire.session import scratch_path
 
@@ -28,9 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose links are similarities of 0.8 or more on five-word shingles, the one with the smallest id."""
+    """One document of each group of near-duplicates (fingerprints of three-word shingles, 3 bits), the one with the smallest id."""
     rows = _numbered(spark, docs)
-    return rows.join(similar.one_of_each(rows), "row", "left_semi").select(*COLUMNS)
+    return rows.join(simhash.one_of_each(rows, width=3, most=3), "row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
