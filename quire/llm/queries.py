@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, mixing, packing, quality, sharding, simhash, token_files, topk, url_filter, warc
+from quire.llm import bpe, chat, mixing, packing, quality, sharding, simhash, token_files, topk, url_filter, variants, warc
 
 SHARD_BYTES = 4 << 20
 RULES = (
@@ -100,7 +100,19 @@ def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    # words of seven letters come of runs of seven letters or more
+    runs = F.regexp_extract_all(F.translate("text", capitals, capitals.lower()), F.lit(r"[a-z\x{C0}-\x{FF}]{7,}"), F.lit(0))
+    rows = _table(spark, sf, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(runs).alias("run"))
+    rows = rows.withColumn("h", F.crc32(F.concat("doc", F.lit(":"), "run").cast("binary"))).withColumn("at", (F.col("h") % F.length("run")).cast("int"))
+    cut = F.concat(F.left("run", F.col("at")), F.substr("run", F.col("at") + 2))
+    words = rows.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 7)
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return variants.variants(counted).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_shards, op3_quality, op4_mixing, op5_urls, op6_chat, op7_token_files, op8_warc, op9_topk, op10_simhash, op11_packing)
+    for f in (op1_bpe, op2_shards, op3_quality, op4_mixing, op5_urls, op6_chat, op7_token_files, op8_warc, op9_topk, op10_simhash, op11_packing, op12_spelling)
 }
