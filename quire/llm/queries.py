@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, mixing, packing, quality, sharding, simhash, token_files, topk, url_filter, variants, warc
+from quire.llm import bpe, chat, mixing, packing, quality, repair, sharding, simhash, token_files, topk, url_filter, variants, warc
 
 SHARD_BYTES = 4 << 20
 RULES = (
@@ -112,7 +112,29 @@ def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
     return variants.variants(counted).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def damaged(talks: DataFrame) -> DataFrame:
+    """Conversations with planted faults: by a checksum, rows are dropped, emptied, cut short, repeated or given to the user."""
+    text, role = (F.coalesce(F.col(c), F.lit(" ")) for c in ("text", "role"))
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c != ":" else F.lit(c) for c in ("conv_id", ":", "turn")])
+    fault = F.crc32(key.cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(fault == 4, "user").otherwise(role)
+    copies = F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1))
+    return talks.where(fault != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    talks = _table(spark, sf, "conversations")
+    every = talks.groupBy(F.col("conv_id").alias("id")).agg(F.lit(1).alias("one")).drop("one")
+    found = repair.summary(repair.repair(damaged(talks)))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_shards, op3_quality, op4_mixing, op5_urls, op6_chat, op7_token_files, op8_warc, op9_topk, op10_simhash, op11_packing, op12_spelling)
+    for f in (op1_bpe, op2_shards, op3_quality, op4_mixing, op5_urls, op6_chat, op7_token_files, op8_warc, op9_topk, op10_simhash, op11_packing, op12_spelling, op13_repair)
 }
