@@ -1,8 +1,7 @@
 """HTML as tables: token rows, element intervals, and text or markup of an interval.
 
-Everything here works one page at a time, with the page key as partition key. ``clustered`` does the only
-exchange; every window after it finds its rows already in place. A page is one row of the source, so a
-window partition is never larger than one document.
+Everything here works one page at a time, inside the page's row: tokens and elements are arrays that are folded, not
+rows that are sorted. ``clustered`` is for what comes after them, where elements of a page meet in a window.
 
 Rules for markup that is not well-formed
   * void elements never open; comments, scripts and styles are single tokens;
@@ -19,11 +18,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
+from quire.functions.bind import let
 from quire.functions.text import unescape
+from quire.operators import elements as E
 
 PAGE = ("page_id",)
 
@@ -125,6 +126,12 @@ def attribute_map(raw: Column | str = "raw") -> Column:
     return F.map_from_entries(first)
 
 
+def exploded(values: Column) -> Column:
+    """Rows of an array that takes work to find, and one null row where it is empty: ``explode`` would have Spark find it
+    again in a filter of its own."""
+    return F.explode_outer(values)
+
+
 def html_tokens(pages: DataFrame, keys: Sequence[str] = PAGE, with_attributes: bool = True) -> DataFrame:
     """One row per token: ``(*keys, pos, kind, tag, raw, text[, attrs, classes])``."""
     tokens = pages.select(*keys, F.posexplode(token_array()).alias("pos", "token"))
@@ -136,49 +143,26 @@ def html_tokens(pages: DataFrame, keys: Sequence[str] = PAGE, with_attributes: b
     return tokens
 
 
-# ---- element intervals ---------------------------------------------------------------------------------------
-
-
-def _running(keys: Sequence[str], *order: str, end=Window.currentRow):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-
+# ---- elements -------------------------------------------------------------------------------------------------
 
-def _ahead(keys: Sequence[str], *order: str):
-    """The rows behind this one, nearest last. Run backwards, since a frame that is open towards the end
-    of its partition would be evaluated anew for every row."""
-    return _running(keys, *[F.desc(o) for o in order], end=-1)
 
+def element_array(tokens: Column) -> Column:
+    """All elements of a document in the order of their start tags, from its ``token_array``:
+    ``array<struct<start_pos, end_pos, parent_pos, depth, tag, raw, void>>``.
 
-def _pair(df: DataFrame, keys: Sequence[str], takes_part: Column, name: str) -> DataFrame:
-    """Pair starts and ends like brackets within ``keys``; adds ``<name>`` (is paired) and ``<name>_pos``.
-
-    The bracket depth is a running sum that never falls below zero: an end at depth zero is a stray one.
+    An element covers the tokens ``start_pos <= pos < end_pos``; the text behind its start tag is inside, the
+    text behind its end tag is not.
     """
-    step = F.when(takes_part & (F.col("kind") == "open"), 1).when(takes_part & (F.col("kind") == "close"), -1)
-    df = df.withColumn("_step", step).withColumn("_sum", F.sum(F.coalesce("_step", F.lit(0))).over(_running(keys, "pos")))
-    before = F.least(F.lit(0), F.coalesce(F.min("_sum").over(_running(keys, "pos", end=-1)), F.lit(0)))
-    df = df.withColumn("_low", before)
-    level = F.when(F.col("_step") == 1, F.col("_sum") - F.col("_low")).when(
-        (F.col("_step") == -1) & (F.col("_sum") >= F.col("_low")), F.col("_sum") - F.col("_low") + 1
-    )
-    df = df.withColumn("_level", level)
-    near = Window.partitionBy(*keys, "_level").orderBy("pos")
-    opened = (F.col("_step") == 1) & (F.lead("_step").over(near) == -1)
-    closed = (F.col("_step") == -1) & (F.lag("_step").over(near) == 1)
-    df = df.withColumns(
-        {
-            name: F.coalesce(F.col("_level").isNotNull() & (opened | closed), F.lit(False)),
-            f"{name}_pos": F.when(F.col("_level").isNotNull() & opened, F.lead("pos").over(near)),
-        }
-    )
-    return df.drop("_step", "_sum", "_low", "_level")
 
+    def of(tags: Column) -> Column:
+        def element(e: Column) -> Column:
+            own = F.get(tags, e["start_pos"])
+            places = [e[c].alias(c) for c in ("start_pos", "end_pos", "parent_pos", "depth")]
+            return F.struct(*places, own["tag"].alias("tag"), own["raw"].alias("raw"), (own["role"] == E.VOID).alias("void"))
 
-def _rank(tag: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for name, rank in K.OPTIONAL_END_RANK.items():
-        out = F.when(tag == name, rank).otherwise(out)
-    return out
+        return F.transform(E.spans(tags, F.size(tags)), element)
+
+    return let(E.heads(F.transform(tokens, tag_of), name_of, kind_of), of)
 
 
 def html_nodes(
@@ -186,130 +170,13 @@ def html_nodes(
 ) -> DataFrame:
     """One row per element: ``(*keys, start_pos, end_pos[, parent_pos], depth, tag, raw, void, n_tokens)``.
 
-    An element covers the tokens ``start_pos <= pos < end_pos``; the text behind its start tag is inside, the
-    text behind its end tag is not. ``pages`` has to be clustered by ``keys`` already, or Spark will do it.
     ``carry`` names page columns to be kept on every row.
     """
-    keys, carry = list(keys), list(carry)
-    raw = F.col("raw")
-    tokens = (
-        pages.select(*keys, *carry, token_array().alias("_tokens"))
-        .select(
-            *keys, *carry, F.size("_tokens").alias("n_tokens"),
-            F.posexplode(F.transform("_tokens", tag_of)).alias("pos", "raw"),
-        )
-        .select(*keys, *carry, "n_tokens", "pos", "raw", name_of(raw).alias("tag"))
-        .select(*keys, *carry, "n_tokens", "pos", "raw", "tag", kind_of(raw, F.col("tag")).alias("kind"))
-        .where(F.col("kind") != "decl")
-    )
-    tag, kind = F.col("tag"), F.col("kind")
-    inline = tag.isin(K.INLINE_TAGS)
-    is_tag = kind.isin("open", "close")
-
-    # paragraphs cannot hold blocks: one is closed by its end tag only if no block or paragraph starts first
-    paragraph_event = F.when(is_tag & (tag == "p"), kind).when((kind == "open") & tag.isin(K.BLOCK_TAGS), "block")
-    tokens = tokens.withColumn("_p", paragraph_event)
-    paragraphs = Window.partitionBy(*keys, F.isnull("_p")).orderBy("pos")
-    tokens = tokens.withColumns({"_next": F.lead("_p").over(paragraphs), "_prev": F.lag("_p").over(paragraphs)})
-    p_pairs = ((kind == "open") & (F.col("_next") == "close")) | ((kind == "close") & (F.col("_prev") == "open"))
-    structural = is_tag & ~inline & ((tag != "p") | F.coalesce(p_pairs, F.lit(False)))
-    tokens = _pair(tokens.drop("_p"), [*keys, "tag"], structural, "paired").drop("_next", "_prev")
-
-    # depth among paired elements; a start and an end belong to the context they enclose
-    opens = F.col("paired") & (kind == "open")
-    closes = F.col("paired") & (kind == "close")
-    step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    tokens = tokens.withColumn("_d", F.sum(step).over(_running(keys, "pos")))
-    tokens = tokens.withColumn("ctx", F.when(closes, F.col("_d") + 1).otherwise(F.col("_d")))
-
-    # a paired start is also seen, as a mark, in the context around it
-    roles = F.when(
-        opens,
-        F.array(
-            F.struct(F.lit(False).alias("mark"), F.col("ctx").alias("ctx")),
-            F.struct(F.lit(True).alias("mark"), (F.col("ctx") - 1).alias("ctx")),
-        ),
-    ).otherwise(F.array(F.struct(F.lit(False).alias("mark"), F.col("ctx").alias("ctx"))))
-    rows = tokens.withColumn("_role", F.explode(roles)).drop("ctx", "_d").select("*", "_role.mark", "_role.ctx")
-    rows = rows.drop("_role")
-    mark = F.col("mark")
-    ahead = _ahead([*keys, "ctx"], "pos")
-    behind = _running([*keys, "ctx"], "pos")
-    loose = is_tag & ~F.col("paired") & ~mark & tag.isin(list(K.OPTIONAL_END_RANK))
-    sibling = F.when(loose | mark, F.coalesce(_rank(tag), F.when(mark & tag.isin(K.BLOCK_TAGS), 3)))
-    rows = rows.withColumn("_sib", sibling)
-    ends = {"_end": F.min(F.when(closes & ~mark, F.col("pos"))).over(ahead)}
-    for r in (1, 2, 3):
-        ends[f"_r{r}"] = F.min(F.when(F.col("_sib") <= r, F.col("pos"))).over(ahead)
-    ends["_loose"] = F.min(F.when(loose, F.col("pos"))).over(ahead)
-    rows = rows.withColumns(ends)
-    outer = F.coalesce("_end", "n_tokens")
-    rank = _rank(tag)
-    own = (
-        F.when(loose & (kind == "open") & (rank == 1), F.least(outer, F.coalesce("_r1", outer)))
-        .when(loose & (kind == "open") & (rank == 2), F.least(outer, F.coalesce("_r2", outer)))
-        .when(loose & (kind == "open") & (rank == 3), F.least(outer, F.coalesce("_r3", outer)))
-        .otherwise(outer)
-    )
-    rows = rows.withColumn("_own", own)
-    around = F.last(F.when(loose & (kind == "open"), F.col("_own")), ignorenulls=True).over(behind)
-    rows = rows.withColumn("_around", around)
-
-    # inline elements pair inside their context
-    rows = _pair(rows, [*keys, "ctx", "tag"], is_tag & inline & ~mark, "inpaired")
-    limit = F.least("_own", F.coalesce("_loose", "_own"), F.when(F.col("_around") > F.col("pos"), F.col("_around")).otherwise(F.col("_own")))
-    end = (
-        F.when(kind == "void", F.col("pos") + 1)
-        .when(inline, F.when(F.col("inpaired") & (F.col("inpaired_pos") <= limit), F.col("inpaired_pos")).otherwise(limit))
-        .otherwise(F.col("_own"))
-    )
-    elements = rows.where(~mark & kind.isin("open", "void")).select(
-        *keys, *carry, F.col("pos").alias("start_pos"), end.alias("end_pos"), "tag", "raw",
-        (kind == "void").alias("void"), "n_tokens",
-    )
-    return _nest(elements, keys, parents, carry)
-
-
-def _nest(elements: DataFrame, keys: list[str], parents: bool, carry: list[str]) -> DataFrame:
-    """Give every element its depth and parent, and let intervals that overlap exchange their ends."""
-    void = F.col("void")
-    order = ["pos", "phase"]
-
-    def event(pos: Column, phase: int, step: Column) -> Column:
-        return F.struct(pos.alias("pos"), F.lit(phase).alias("phase"), step.cast("int").alias("step"))
-
-    start = event(F.col("start_pos"), 1, F.when(void, 0).otherwise(1))
-    stop = event(F.col("end_pos"), 0, F.lit(-1))
-    both = F.when(void, F.array(start)).otherwise(F.array(start, stop))
-    events = elements.withColumn("_e", F.explode(both)).select("*", "_e.*").drop("_e", "end_pos")
-    events = events.withColumn("_sum", F.sum("step").over(_running(keys, *order)))
-    events = events.withColumn("depth", F.when(F.col("step") == 1, F.col("_sum")).otherwise(F.col("_sum") + 1))
-    # starts and ends of one depth alternate, so the next event of that depth is the end
-    level = Window.partitionBy(*keys, "depth", F.col("step") == 0).orderBy(*order)
-    events = events.withColumn("_end", F.lead("pos").over(level)).drop("_sum")
-    end = F.when(void, F.col("start_pos") + 1).otherwise(F.col("_end"))
-    common = ["tag", "raw", "void", "n_tokens", *carry]
-    if not parents:
-        nodes = events.where(F.col("phase") == 1)
-        return nodes.select(*keys, "start_pos", end.alias("end_pos"), "depth", *common)
-    # every element is also seen one level up, where the latest start is its parent
-    starts = events.where(F.col("phase") == 1).withColumn(
-        "_k",
-        F.explode(
-            F.array(
-                F.struct(F.lit(False).alias("seeks"), F.col("depth").alias("level")),
-                F.struct(F.lit(True).alias("seeks"), (F.col("depth") - 1).alias("level")),
-            )
-        ),
-    ).select("*", "_k.*")
-    opened = F.when((F.col("step") == 1) & ~F.col("seeks"), F.col("pos"))
-    starts = starts.withColumn(
-        "parent_pos", F.last(opened, ignorenulls=True).over(_running([*keys, "level"], "pos", end=-1))
-    )
-    starts = starts.withColumn("parent_pos", F.when(F.col("level") > 0, F.col("parent_pos")))
-    return starts.where("seeks").select(
-        *keys, "start_pos", end.alias("end_pos"), "parent_pos", "depth", *common
-    )
+    found = let(token_array(), lambda tokens: F.struct(F.size(tokens).alias("n"), element_array(tokens).alias("elements")))
+    rows = pages.select(*keys, *carry, found.alias("_f")).select(*keys, *carry, F.col("_f.n").alias("n_tokens"), exploded(F.col("_f.elements")).alias("_e"))
+    rows = rows.where(F.col("_e").isNotNull())
+    places = ["start_pos", "end_pos", *(["parent_pos"] if parents else []), "depth", "tag", "raw", "void"]
+    return rows.select(*keys, *[F.col(f"_e.{c}").alias(c) for c in places], "n_tokens", *carry)
 
 
 # ---- text and markup of an interval, inside a row that holds its page's tokens ------------------------------
