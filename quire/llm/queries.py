@@ -104,7 +104,7 @@ def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     # words of seven letters come of runs of seven letters or more
     runs = F.regexp_extract_all(F.translate("text", capitals, capitals.lower()), F.lit(r"[a-z\x{C0}-\x{FF}]{7,}"), F.lit(0))
-    rows = _table(spark, sf, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(runs).alias("run"))
+    rows = _table(spark, sf, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode_outer(runs).alias("run"))
     rows = rows.withColumn("h", F.crc32(F.concat("doc", F.lit(":"), "run").cast("binary"))).withColumn("at", (F.col("h") % F.length("run")).cast("int"))
     cut = F.concat(F.left("run", F.col("at")), F.substr("run", F.col("at") + 2))
     words = rows.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 7)
