@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -147,15 +148,21 @@ def preview_rest(c: Column | str, lines: int = K.PREVIEW_LINES) -> Column:
 _WINDOWS = {code: text for code in range(0x80, 0xA0) if (text := bytes([code]).decode("cp1252", "ignore"))}
 
 
-def unescape(c: Column | str, attribute: bool = False) -> Column:
+def with_names(body: Callable[[Column], Column]) -> Column:
+    """``body`` of the table of named references, for expressions that decode more than one value: the table is one long text,
+    and stands in the plan once."""
+    return let(F.lit("\1" + "\1".join(f"&{name}\2{text}" for name, text in html5.items()) + "\1"), body)
+
+
+def unescape(c: Column | str, attribute: bool = False, names: Column | None = None) -> Column:
     """Decode character references as HTML 5 does; texts without ``&`` pass untouched.
 
     Old names are known without a semicolon too, in an attribute only where no letter, digit or ``=`` follows. Numbers may
-    have any length; those from 128 to 159 mean Windows-1252, impossible ones become U+FFFD.
+    have any length; those from 128 to 159 mean Windows-1252, impossible ones become U+FFFD. ``names`` is what ``with_names`` gives.
     """
-    # one long text is a far smaller plan than a map of two thousand entries
-    table = F.lit("\1" + "\1".join(f"&{name}\2{text}" for name, text in html5.items()) + "\1")
-    look_up = lambda name: F.nullif(F.split_part(F.split_part(table, F.concat(F.lit("\1"), name, F.lit("\2")), F.lit(2)), F.lit("\1"), F.lit(1)), F.lit(""))
+    if names is None:
+        return with_names(lambda names: unescape(c, attribute, names))
+    look_up = lambda name: F.nullif(F.split_part(F.split_part(names, F.concat(F.lit("\1"), name, F.lit("\2")), F.lit(2)), F.lit("\1"), F.lit(1)), F.lit(""))
     old = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
     ends = "(?![=A-Za-z0-9])" if attribute else ""
     pattern = rf"&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[A-Za-z][A-Za-z0-9]*+;|&(?:{old}){ends}|[^&]++|&"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import constants as K
 from quire.functions.bind import let
-from quire.functions.text import unescape
+from quire.functions.text import unescape, with_names
 from quire.operators import elements as E
 
 PAGE = ("page_id",)
@@ -53,6 +53,12 @@ def clustered(pages: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     return pages.repartition(*keys)
 
 
+def spread(pages: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    """``pages`` as they are read, unless that leaves cores without work: a table of fewer files than cores is spread by its key."""
+    files = pages.inputFiles()
+    return clustered(pages, keys) if 0 < len(files) < pages.sparkSession.sparkContext.defaultParallelism else pages
+
+
 def token_array(html: Column | str = "html") -> Column:
     """A document as an array of tokens: a tag with the text up to the next tag.
 
@@ -100,30 +106,36 @@ def _attribute_pattern(name: str) -> str:
     )
 
 
-def attr(name: str, raw: Column | str = "raw") -> Column:
+def attr(name: str, raw: Column | str = "raw", names: Column | None = None) -> Column:
     """Value of an attribute; ``""`` for one without a value, null where it is absent."""
     raw = F.col(raw) if isinstance(raw, str) else raw
     pattern = _attribute_pattern(name)
     value = F.regexp_replace(F.regexp_extract(raw, pattern, 1), r"""(?s)\A(["'])(.*)\1\z""", "$2")
-    return F.when(raw.rlike(pattern), unescape(value, attribute=True))
+    return F.when(raw.rlike(pattern), unescape(value, True, names))
+
+
+def attrs(names: Sequence[str], raw: Column | str = "raw") -> Column:
+    """The values of several attributes, as fields ``a0``, ``a1`` and so on."""
+    return with_names(lambda table: F.struct(*[attr(n, raw, table).alias(f"a{i}") for i, n in enumerate(names)]))
 
 
 def classes(raw: Column | str = "raw") -> Column:
     return F.split(F.coalesce(attr("class", raw), F.lit("")), r"[ \t\n\f\r]+")
 
 
-def attribute_map(raw: Column | str = "raw") -> Column:
+def attribute_map(raw: Column | str = "raw", names: Column | None = None) -> Column:
     """All attributes as a map; the first one wins where a name is given twice."""
-    names = F.transform(attribute_list(raw), lambda a: F.lower(F.regexp_extract(a, ATTRIBUTE_NAME, 0)))
-    values = F.transform(
-        attribute_list(raw),
-        lambda a: unescape(
-            F.when(F.contains(a, F.lit("=")), F.regexp_extract(a, ATTRIBUTE_VALUE, 1)).otherwise(F.lit("")), attribute=True
-        ),
-    )
-    entries = F.arrays_zip(names.alias("n"), values.alias("v"))
-    first = F.filter(entries, lambda e, i: F.array_position(names, e["n"]) == i + 1)
-    return F.map_from_entries(first)
+    if names is None:
+        return with_names(lambda names: attribute_map(raw, names))
+
+    def entry(a: Column) -> Column:
+        value = F.when(F.contains(a, F.lit("=")), F.regexp_extract(a, ATTRIBUTE_VALUE, 1)).otherwise(F.lit(""))
+        return F.struct(F.lower(F.regexp_extract(a, ATTRIBUTE_NAME, 0)).alias("n"), unescape(value, True, names).alias("v"))
+
+    def first_ones(entries: Column) -> Column:
+        return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["n"]), e["n"]) == i + 1))
+
+    return let(F.transform(attribute_list(raw), entry), first_ones)
 
 
 def exploded(values: Column) -> Column:
@@ -165,6 +177,12 @@ def element_array(tokens: Column) -> Column:
     return let(E.heads(F.transform(tokens, tag_of), name_of, kind_of), of)
 
 
+def shredded(pages: DataFrame, keys: Sequence[str] = PAGE, *columns: str) -> DataFrame:
+    """A row per page with its tokens and elements: ``(*keys, *columns, tokens, elements)``."""
+    rows = pages.select(*keys, *columns, token_array().alias("tokens"))
+    return rows.select(*keys, *columns, "tokens", element_array(F.col("tokens")).alias("elements"))
+
+
 def html_nodes(
     pages: DataFrame, keys: Sequence[str] = PAGE, parents: bool = False, carry: Sequence[str] = ()
 ) -> DataFrame:
@@ -188,11 +206,7 @@ def inner_html(tokens: Column, start: Column, end: Column) -> Column:
     return F.concat(text_of(F.get(tokens, start)), rest)
 
 
-def inner_text(tokens: Column, start: Column, end: Column) -> Column:
+def inner_text(tokens: Column, start: Column, end: Column, names: Column | None = None) -> Column:
     """Text of an element with its descendants, character references decoded."""
     inside = F.slice(tokens, start + 1, F.greatest(end - start, F.lit(0)))
-    return unescape(F.array_join(F.transform(inside, text_of), ""))
-
-
-def with_tokens(pages: DataFrame, keys: Sequence[str] = PAGE, *columns: str) -> DataFrame:
-    return pages.select(*keys, *columns, token_array().alias("tokens"))
+    return unescape(F.array_join(F.transform(inside, text_of), ""), names=names)

@@ -1,8 +1,9 @@
-"""HTML to Markdown as an ordered aggregate over events.
+"""HTML to Markdown by folds over the events of a page.
 
-Every start tag, end tag and piece of text of a page becomes one event row. What a row contributes depends on
-running sums (is it inside something removed, inside ``pre``, how deep in lists and quotes) and on its
-neighbours; the pieces of a page are then joined in order. Nothing is evaluated outside its page.
+Every start tag, end tag and piece of text of a page is an event. A first fold knows what is open around it (is it inside
+something removed, inside ``pre``, how deep in lists and quotes) and keeps what can be seen; a second one finds marks around
+nothing; a third one joins the pieces with the breaks that are due between them. All of it happens inside the page's row, so a page
+is neither sorted nor moved.
 
 Own rendering rules: headings ``#``, ``**strong**``, ``_emphasis_``, `` `code` ``, fences without a language,
 ``-`` and ``1.`` list items, ``> `` quotes, ``[text](target)``, ``![alt](source)``, ``* * *``. White space is
@@ -18,24 +19,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
-from quire.functions.text import clean_markdown, count_words, format_time, front_matter, trim_unicode, unescape
-from quire.operators.html import (
-    PAGE,
-    attr,
-    attribute_list,
-    clustered,
-    html_nodes,
-    inner_html,
-    inner_text,
-    name_of,
-    text_of,
-    token_array,
-)
-from quire.operators.selectors import first_match, select
+from quire.functions.bind import let
+from quire.functions.text import clean_markdown, count_words, format_time, front_matter, trim_unicode, unescape, with_names
+from quire.operators.elements import empty, piled, unpiled
+from quire.operators.html import PAGE, attr, attribute_list, inner_html, inner_text, name_of, shredded, tag_of, text_of
+from quire.operators.selectors import UNSUPPORTED, compiled, first_span, hits, parse
 
 BODY = ("body", "css")
 
@@ -65,34 +57,53 @@ def _prune_selectors(prune_ads: bool) -> list[tuple[str, str]]:
     return [(s, "css") for s in [*K.PRUNED_TAGS, *HEAD_TAGS, *ads]]
 
 
-def pruned(pages: DataFrame, keys: Sequence[str] = PAGE, prune_ads: bool = False) -> DataFrame:
-    """Intervals that cleaning removes, as one array per page: ``(*keys, cuts)``.
+def cuts(elements: Column, prune_ads: bool = False) -> Column:
+    """Intervals that cleaning removes, those inside another left out: ``array<struct<start_pos, end_pos, void, tag>>``.
 
     Advertisement classes are only looked at with ``prune_ads``: by default attributes are stripped first.
     """
-    hits = select(html_nodes(pages, keys), _prune_selectors(prune_ads), keys, keep=("void", "tag"))
-    cut = F.struct("start_pos", "end_pos", "void", "tag")
-    return hits.groupBy(*keys).agg(F.array_sort(F.collect_list(cut)).alias("cuts"))
+    kind = "struct<start_pos:int,end_pos:int,void:boolean,tag:string>"
+    start = F.struct(F.lit(0).alias("end"), empty(kind).alias("cur"), empty(f"array<{kind}>").alias("done"))
+
+    def merge(s: Column, h: Column) -> Column:
+        outer = h["start_pos"] >= s["end"]
+        cut = F.struct(*[h[c].alias(c) for c in ("start_pos", "end_pos", "void", "tag")])
+        return F.struct(F.when(outer, h["end_pos"]).otherwise(s["end"]).alias("end"), *piled(s, F.when(outer, F.array(cut)).otherwise(empty(kind))))
+
+    return F.aggregate(hits(elements, _prune_selectors(prune_ads)), start, merge, unpiled)
 
 
 def clean_html(pages: DataFrame, keys: Sequence[str] = PAGE, prune_ads: bool = False) -> DataFrame:
-    """Markup without the stripped attributes and the removed elements: ``(*keys, html)``."""
-    pages = clustered(pages.select(*keys, "html"), keys)
-    cuts = pruned(pages, keys, prune_ads).hint("shuffle_hash")
-    rows = pages.select(*keys, token_array().alias("tokens")).join(cuts, list(keys), "left")
+    """Markup without the stripped attributes and the removed elements: ``(*keys, html)``.
+
+    What stays of a page are the stretches of tokens between one cut and the next, so tokens and cuts are walked once.
+    """
+    rows = shredded(pages, keys)
+    tokens = F.col("tokens")
+
+    def shown(token: Column) -> Column:
+        def of(tag: Column) -> Column:
+            text = F.substr(token, F.length(tag) + 1)
+            return F.when(tag == "<!>", text).otherwise(F.concat(strip_attributes(tag), text))
+
+        return let(tag_of(token), of)
+
+    def stretch(gone: Column, i: Column) -> Column:
+        before = F.get(gone, i - 1)
+        begin = F.when(i == 0, 0).when(before["void"], before["start_pos"]).otherwise(before["end_pos"])
+        end = F.coalesce(F.get(gone, i)["start_pos"], F.size(tokens))
+        first = F.get(tokens, begin)
+        # of the end tag of what is gone, and of a tag that is gone by itself, the text behind stays
+        bare = (i > 0) & (before["void"] | F.lower(first).startswith(F.concat(F.lit("</"), before["tag"])))
+        head = F.when(bare, text_of(first)).otherwise(shown(first))
+        rest = F.transform(F.slice(tokens, begin + 2, F.greatest(end - begin - 1, F.lit(0))), shown)
+        own = F.when(F.coalesce(before["void"], F.lit(False)), F.greatest(end, begin + 1)).otherwise(end)
+        return F.when(begin < own, F.concat(head, F.array_join(rest, ""))).otherwise("")
 
-    def piece(token: Column, i: Column) -> Column:
-        text = text_of(token)
-        tag = F.substr(token, F.lit(1), F.length(token) - F.length(text))
-        inside = F.exists("cuts", lambda c: (i >= c["start_pos"]) & (i < c["end_pos"]) & ~c["void"])
-        leaf = F.exists("cuts", lambda c: (i == c["start_pos"]) & c["void"])
-        ends = F.exists("cuts", lambda c: (i == c["end_pos"]) & ~c["void"] & F.lower(tag).startswith(F.concat(F.lit("</"), c["tag"])))
-        shown = F.when(F.coalesce(leaf | ends, F.lit(False)) | (tag == "<!>"), text).otherwise(
-            F.concat(strip_attributes(tag), text)
-        )
-        return F.when(F.coalesce(inside, F.lit(False)), F.lit("")).otherwise(shown)
+    def joined(gone: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: stretch(gone, i)), "")
 
-    return rows.select(*keys, F.array_join(F.transform("tokens", piece), "").alias("html"))
+    return rows.select(*keys, let(cuts(F.col("elements"), prune_ads), joined).alias("html"))
 
 
 # ---- content of a page ------------------------------------------------------------------------------------------
@@ -107,87 +118,45 @@ def normal_selector(selector: Column, kind: Column) -> Column:
     )
 
 
+def _first(pages: DataFrame, selector: tuple[str, str], keys: Sequence[str]) -> DataFrame:
+    rows = shredded(pages, keys)
+    return rows.select(*keys, "tokens", F.get(hits(F.col("elements"), [selector]), F.lit(0)).alias("hit"))
+
+
 def extract_content(pages: DataFrame, selector: str = "", kind: str = "", keys: Sequence[str] = PAGE) -> DataFrame:
     """Markup inside the first match of a selector: ``(*keys, content)``, ``""`` where nothing matches."""
     wanted = BODY if selector in ("", "body") else (selector, kind or "css")
-    pages = clustered(pages.select(*keys, "html"), keys)
-    nodes = html_nodes(pages, keys)
-    first = first_match(select(nodes, [wanted], keys, keep=()), keys).hint("shuffle_hash")
-    rows = pages.select(*keys, token_array().alias("tokens")).join(first, list(keys), "left")
-    content = inner_html(F.col("tokens"), F.col("start_pos"), F.col("end_pos"))
-    return rows.select(*keys, F.coalesce(content, F.lit("")).alias("content"))
+    content = inner_html(F.col("tokens"), F.col("hit.start_pos"), F.col("hit.end_pos"))
+    return _first(pages, wanted, keys).select(*keys, F.coalesce(content, F.lit("")).alias("content"))
 
 
 def extract_text(pages: DataFrame, selector: str, kind: str = "css", keys: Sequence[str] = PAGE) -> DataFrame:
     """Text of the first match of a selector with all its descendants: ``(*keys, text)``, null without a match."""
-    pages = clustered(pages.select(*keys, "html"), keys)
-    nodes = html_nodes(pages, keys)
-    first = first_match(select(nodes, [(selector, kind)], keys, keep=()), keys).hint("shuffle_hash")
-    rows = pages.select(*keys, token_array().alias("tokens")).join(first, list(keys), "left")
-    return rows.select(*keys, inner_text(F.col("tokens"), F.col("start_pos"), F.col("end_pos")).alias("text"))
+    text = inner_text(F.col("tokens"), F.col("hit.start_pos"), F.col("hit.end_pos"))
+    return _first(pages, (selector, kind), keys).select(*keys, F.when(F.col("hit").isNotNull(), text).alias("text"))
 
 
 # ---- events -------------------------------------------------------------------------------------------------------
 
+_EVENT = "struct<pos:int,phase:int,turn:int,ev:string,tag:string,raw:string,text:string>"
 
-def _events(
-    pages: DataFrame, keys: list[str], selectors: Sequence[tuple[str, str]], carry: Sequence[str] = ()
-) -> DataFrame:
-    """Start, end and text events of the wanted part of every page.
 
-    Every page has at least one row, that of its token 0; ``carry`` columns are filled on that row only.
+def _events(tokens: Column, elements: Column, start: Column, end: Column) -> Column:
+    """Start, end and text events, in order, of the tokens from ``start`` to before ``end``.
+
+    An element's own tags stay outside, the text behind its start tag is inside.
     """
-    kinds = {f.name: f.dataType for f in pages.schema.fields}
-    first = F.col("pos") == 0
-    texts = pages.select(*keys, *carry, F.posexplode(F.transform(token_array(), text_of)).alias("pos", "text"))
-    texts = texts.where((F.col("text") != "") | first).select(
-        *keys, "pos", F.lit(2).alias("phase"), F.lit(0).alias("turn"),
-        F.when(F.col("text") == "", "page").otherwise("text").alias("ev"),
-        F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("raw"), "text",
-        F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"),
-        F.lit(None).cast("int").alias("head_end"), *[F.when(first, F.col(c)).alias(c) for c in carry],
-    )
-    picks = list(selectors) or [BODY]
-    nodes = html_nodes(pages, keys, carry=["want"] if selectors and "want" not in keys else [])
-    if selectors:
-        found = select(nodes, picks, keys, keep=["tag", "raw", "void", *([] if "want" in keys else ["want"])], all_elements=True)
-        hit = F.array_contains("hits", F.col("want"))
-    else:
-        found, hit = nodes, F.lit(False)
-    where = F.struct(
-        F.when(hit, F.col("start_pos")).alias("span_start"),
-        F.when(hit, F.col("end_pos")).alias("span_end"),
-        F.when(F.col("tag") == "head", F.col("end_pos")).alias("head_end"),
-    )
 
-    def event(pos: Column, phase: int, turn: Column, name: Column) -> Column:
-        return F.struct(pos.alias("pos"), F.lit(phase).alias("phase"), turn.alias("turn"), name.alias("ev"))
-
-    start = event(F.col("start_pos"), 1, F.lit(0), F.when(F.col("void"), "void").otherwise("open"))
-    stop = event(F.col("end_pos"), 0, -F.col("start_pos"), F.lit("close"))
-    tags = found.select(
-        *keys, "tag", "raw", where.alias("_w"),
-        F.explode(F.when(F.col("void"), F.array(start)).otherwise(F.array(start, stop))).alias("_e"),
-    ).select(*keys, "_e.pos", "_e.phase", "_e.turn", "_e.ev", "tag", "raw", F.lit(None).cast("string").alias("text"), "_w.*",
-             *[F.lit(None).cast(kinds[c]).alias(c) for c in carry])
-    events = texts.unionByName(tags)
-    if not selectors:
-        return events.drop("span_start", "span_end", "head_end").withColumn("_in", F.lit(True))
-    page = Window.partitionBy(*keys)
-    events = events.withColumns(
-        {"_start": F.min("span_start").over(page), "_head": F.max("head_end").over(page)}
-    )
-    events = events.withColumn(
-        "_stop", F.max(F.when(F.col("span_start") == F.col("_start"), F.col("span_end"))).over(page)
-    )
-    # an element's own tags stay outside, the text behind its start tag is inside
-    pos, phase = F.col("pos"), F.col("phase")
-    inside = (
-        ((pos > F.col("_start")) | ((pos == F.col("_start")) & (phase == 2)))
-        & ((pos < F.col("_stop")) | ((pos == F.col("_stop")) & (phase == 0)))
-        & ~((phase == 0) & (F.col("turn") == -F.col("_start")))
-    )
-    return events.withColumn("_in", F.coalesce(inside, F.lit(False))).drop("span_start", "span_end", "head_end")
+    def event(pos: Column, phase: int, turn: Column, name: Column, of: Column | None = None, text: Column | None = None) -> Column:
+        tag, raw = (of["tag"], of["raw"]) if of is not None else (F.lit(None), F.lit(None))
+        fields = [pos, F.lit(phase), turn, name, tag, raw, F.lit(None) if text is None else text]
+        return F.struct(*[c.alias(n) for c, n in zip(fields, ("pos", "phase", "turn", "ev", "tag", "raw", "text"))]).cast(_EVENT)
+
+    texts = F.transform(F.slice(tokens, start + 1, F.greatest(end - start, F.lit(0))), lambda t, i: event(start + i, 2, F.lit(0), F.lit("text"), None, text_of(t)))
+    inside = F.filter(elements, lambda e: (e["start_pos"] > start) & (e["start_pos"] < end))
+    opens = F.transform(inside, lambda e: event(e["start_pos"], 1, F.lit(0), F.when(e["void"], "void").otherwise("open"), e))
+    stops = F.transform(F.filter(inside, lambda e: ~e["void"]), lambda e: event(e["end_pos"], 0, -e["start_pos"], F.lit("close"), e))
+    return F.sort_array(F.concat(F.filter(texts, lambda t: t["text"] != ""), opens, stops))
 
 
 def escape_text(text: Column, tables: str = "text") -> Column:
@@ -201,173 +170,246 @@ def escape_line(text: Column) -> Column:
     return F.regexp_replace(marked, r"\A([0-9]{1,9})([.)])(?= |\z)", r"$1\\$2")
 
 
-def _render(
-    events: DataFrame, keys: list[str], tables: str, prune_ads: bool, carry: Sequence[str] = ()
-) -> DataFrame:
-    """``(*keys, matched, title, markdown, *carry)``: the events of a page joined to one text."""
-    ev, tag, raw = F.col("ev"), F.col("tag"), F.col("raw")
-    order = ["pos", "phase", "turn"]
-    so_far = Window.partitionBy(*keys, "_in").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(ev == "open", 1).when(ev == "close", -1).otherwise(0)
-
-    def depth(test: Column, weight: int = 1) -> Column:
-        return F.sum(F.when(test, step * weight).otherwise(0)).over(so_far)
-
-    ads = F.lit(False)
-    if prune_ads:
-        ads = F.coalesce(attr("class").rlike(rf"(?:\A|\s)(?:{'|'.join(K.AD_CLASSES)})(?:\s|\z)"), F.lit(False))
-    cut = F.coalesce(tag.isin(K.PRUNED_TAGS + HEAD_TAGS), F.lit(False)) | ads
-    is_list = tag.isin("ul", "ol")
-    events = events.withColumn("_cut", cut)
-    events = events.withColumns(
-        {
-            "_cuts": depth(F.col("_cut")),
-            "_pre": depth(tag == "pre"),
-            "_code": depth(tag == "code"),
-            "_quote": depth(tag == "blockquote"),
-            "_lists": depth(is_list),
-            "_indent": depth(tag == "ul", 2) + depth(tag == "ol", 3),
-            "_h1": depth(tag == "h1"),
-            "_h1s": F.sum(F.when((ev == "open") & (tag == "h1"), 1).otherwise(0)).over(so_far),
-            "_title": depth(tag == "title"),
-            "_titles": F.sum(F.when((ev == "open") & (tag == "title"), 1).otherwise(0)).over(so_far),
-        }
-    )
-    gone = ~F.col("_in") | F.col("_cut") | (F.col("_cuts") > 0)
-    plain = F.regexp_replace("text", r"[ \t\n\r\f]+", " ")
-    shown = unescape(F.when(F.col("_pre") > 0, F.col("text")).otherwise(plain))
-    literal = (F.col("_pre") > 0) | (F.col("_code") > 0)
-    events = events.withColumns({"_gone": gone, "_shown": shown})
-    events = events.withColumn("_shown", F.when(literal, F.col("_shown")).otherwise(escape_text(F.col("_shown"), tables)))
-
-    # list items: which list they belong to, and their number in it
-    in_list = Window.partitionBy(*keys, "_gone", "_lists").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    events = events.withColumn("_items", F.sum(F.when((ev == "open") & (tag == "li"), 1).otherwise(0)).over(in_list))
-    opened = F.when((ev == "open") & is_list, F.struct(F.col("_items").alias("base"), tag.alias("kind")))
-    events = events.withColumn("_list", F.last(opened, ignorenulls=True).over(in_list))
-
-    # what kind of row this is: B boundary, M mark that takes the break before it, E end mark, T text
-    boundary = tag.isin(SPACED_TAGS + LINE_TAGS)
-    marked = tag.isin([*INLINE_MARKS, "a"]) & ~((tag == "code") & (F.col("_pre") > 0))
-    heading = tag.rlike(r"\Ah[1-6]\z")
-    starter = (ev == "open") & (heading | tag.isin("li", "pre"))
-    cell = (ev == "open") & tag.isin(CELL_TAGS)
-    kind = (
-        F.when(ev == "text", "T")
-        .when((ev == "open") & marked, "M")
-        .when((ev == "close") & marked, "E")
-        .when((ev == "void") & tag.isin("img", "hr"), "M")
-        .when(starter, "S")
-        .when((ev == "close") & (tag == "pre"), "F")
-        .when(cell, "C")
-        .when(boundary, "B")
-    )
-    level = (
-        F.when(tag.isin("ul", "ol") & (F.col("_lists") - F.when(ev == "open", 1).otherwise(0) > 0), 1)
-        .when(tag.isin(SPACED_TAGS), 2)
-        .when(tag.isin(LINE_TAGS), 1)
-    )
-    events = events.withColumns({"_kind": kind, "_level": level}).withColumn(
-        "_out", F.col("_gone") | F.col("_kind").isNull()
-    )
-    near = Window.partitionBy(*keys, "_out").orderBy(*order)
-    edge = ["B", "S", "F", "C"]
-    blank = (ev == "text") & (F.col("_shown") == " ") & (
-        F.coalesce(F.lag("_kind").over(near), F.lit("B")).isin(edge) | F.coalesce(F.lead("_kind").over(near), F.lit("B")).isin(edge)
-    )
-    events = events.withColumn("_blank", F.coalesce(blank, F.lit(False)))
-    solid = ~F.col("_out") & ~F.col("_blank") & F.col("_kind").isin("T", "M", "S", "C")
-    events = events.withColumns(
-        {
-            "_solid": solid,
-            # inline elements and headings around nothing leave no marks
-            "_words": F.sum(F.when(solid & (ev.isin("text", "void")), 1).otherwise(0)).over(
-                Window.partitionBy(*keys, "_out").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        }
-    )
-    element = Window.partitionBy(*keys, "_out", F.when(ev == "close", -F.col("turn")).otherwise(F.col("pos")), F.isnull("tag"))
-    hollow = (F.col("_kind").isin("M", "E") | (heading & (ev == "open"))) & (ev != "void") & (F.max("_words").over(element) == F.min("_words").over(element))
-    events = events.withColumn("_hollow", F.coalesce(hollow, F.lit(False)))
-    events = events.withColumn("_solid", F.col("_solid") & ~F.col("_hollow"))
-    before = Window.partitionBy(*keys, "_out").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    events = events.withColumn("_group", F.coalesce(F.sum(F.col("_solid").cast("int")).over(before), F.lit(0)))
-    # all boundaries between two solid rows share a group with the row behind them
-    group = Window.partitionBy(*keys, "_out", "_group")
-    breaks = F.least(
-        F.lit(2),
-        F.greatest(F.coalesce(F.max("_level").over(group), F.lit(0)), F.sum(F.when((ev == "void") & (tag == "br"), 1).otherwise(0)).over(group)),
-    )
-    line = Window.partitionBy(*keys, "_out", "_solid").orderBy(*order)
-    ruled = F.coalesce(F.lag("tag").over(line) == "hr", F.lit(False))
-    events = events.withColumn("_breaks", breaks).withColumn("_breaks", F.when(ruled, 2).otherwise(F.col("_breaks")))
-    events = events.withColumns(
-        {
-            "_first": F.row_number().over(line) == 1,
-            "_after": F.lag("_kind").over(line) == "S",
-            "_quoted": F.coalesce(F.lag("_quote").over(line), F.lit(0)),
-        }
-    )
-    depth_here = F.col("_quote").cast("int")
-    width = F.when(F.col("_list.kind") == "ol", 3).otherwise(2)
-    marker_indent = F.col("_indent") - F.when((ev == "open") & (tag == "li"), width).otherwise(0)
-    indent = F.repeat(F.lit(" "), F.greatest(marker_indent, F.lit(0)).cast("int"))
-    margin = F.concat(F.repeat(F.lit(QUOTE), depth_here), indent)
-    between = F.rtrim(F.repeat(F.lit(QUOTE), F.least(depth_here, F.col("_quoted").cast("int"))))
-    breaking = (F.col("_breaks") > 0) & ~F.coalesce(F.col("_after"), F.lit(False))
-    lead_in = (
-        F.when(F.col("_first"), margin)
-        .when(~breaking, F.when(F.col("_kind") == "C", F.lit(" | " if tables == "pipe" else " ")).otherwise(""))
-        .when(F.col("_breaks") == 1, F.concat(F.lit("\n"), margin))
-        .otherwise(F.concat(F.lit("\n"), between, F.lit("\n"), margin))
-    )
-    number = (F.col("_items") - F.col("_list.base")).cast("string")
-    attribute = lambda name: F.coalesce(attr(name), F.lit(""))
-    own = (
-        F.when(ev == "text", F.when(F.col("_first") | breaking | F.coalesce(F.col("_after"), F.lit(False)),
-                                    F.when(F.col("_pre") > 0, F.col("_shown")).when(F.col("_code") > 0, F.ltrim("_shown"))
-                                    .otherwise(escape_line(F.ltrim("_shown")))).otherwise(F.col("_shown")))
-        .when((ev == "void") & (tag == "img"), F.concat(F.lit("!["), attribute("alt"), F.lit("]("), attribute("src"), F.lit(")")))
-        .when((ev == "void") & (tag == "hr"), RULE)
-        .when(F.col("_kind") == "C", "")
-        .when((ev == "open") & heading, F.concat(F.repeat(F.lit("#"), F.substr(tag, F.lit(2)).try_cast("int")), F.lit(" ")))
-        .when((ev == "open") & (tag == "li"), F.when(F.col("_list.kind") == "ol", F.concat(number, F.lit(". "))).otherwise(BULLET))
-        .when((ev == "open") & (tag == "pre"), FENCE + "\n")
-        .when((ev == "close") & (tag == "pre"), "\n" + FENCE)
-        .when((ev == "open") & (tag == "a"), "[")
-        .when((ev == "close") & (tag == "a"), F.concat(F.lit("]("), attribute("href"), F.lit(")")))
-        .when(tag.isin("strong", "b"), STRONG)
-        .when(tag.isin("em", "i"), EMPHASIS)
-        .when(tag == "code", CODE)
+#: An event that shows, or breaks a line: ``kind`` is B a boundary, M a mark that takes the break before it, S one that text follows at once,
+#: E the end of a mark, F that of a fence, C a cell, T text.
+_ITEM = "struct<kind:string,level:int,br:boolean,own:int,ev:string,heading:boolean,rule:boolean,mark:string,pre:boolean,code:boolean,quote:int,indent:int>"
+
+
+def _items(events: Column, tables: str, prune_ads: bool, names: Column) -> Column:
+    """The events that show or break lines, outside what cleaning removes."""
+    start = F.struct(
+        *[F.lit(0).alias(c) for c in ("cuts", "pre", "code", "quote", "indent")], empty("struct<kind:string,items:int>").alias("lists"),
+        empty(_ITEM).alias("cur"), empty(f"array<{_ITEM}>").alias("done"),
     )
-    piece = F.when(F.col("_solid"), F.concat(lead_in, own)).when(
-        ~F.col("_out") & F.col("_kind").isin("E", "F") & ~F.col("_hollow"), own
-    )
-    events = events.withColumn("_piece", piece)
-    text = unescape(F.col("text"))
-    in_h1 = F.col("_in") & (ev == "text") & (F.col("_h1") > 0) & (F.col("_h1s") == 1)
-    in_title = F.col("_in") & (ev == "text") & (F.col("_title") > 0) & (F.col("_titles") == 1)
-    ordered = lambda test, c: F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.when(test, F.struct(*order, c.alias("s"))))), lambda s: s["s"]), ""
-    )
-    joined = events.groupBy(*keys).agg(
-        F.max(F.col("_in") & (ev != "page")).alias("matched"),
-        *[F.max(c).alias(c) for c in carry],
-        ordered(F.col("_piece").isNotNull(), F.col("_piece")).alias("markdown"),
-        ordered(in_h1, text).alias("_h1_text"),
-        ordered(in_title, text).alias("_title_text"),
-    )
-    title = F.when(F.col("_h1_text") != "", trim_unicode("_h1_text")).when(
-        F.col("_title_text") != "", trim_unicode("_title_text")
-    ).otherwise(K.UNTITLED_DOCUMENT)
-    return joined.select(*keys, "matched", title.alias("title"), "markdown", *carry)
 
+    def merge(s: Column, x: Column) -> Column:
+        ev, tag, raw = x["ev"], x["tag"], x["raw"]
+        opens, closes, is_list = ev == "open", ev == "close", tag.isin("ul", "ol")
+        step = F.when(opens, 1).when(closes, -1).otherwise(0)
+        cut = F.coalesce(tag.isin(K.PRUNED_TAGS + HEAD_TAGS), F.lit(False))
+        if prune_ads:
+            cut = cut | F.coalesce(attr("class", raw, names).rlike(rf"(?:\A|\s)(?:{'|'.join(K.AD_CLASSES)})(?:\s|\z)"), F.lit(False))
+
+        def counted(cut: Column) -> Column:
+            now = {c: s[c] + F.when(F.coalesce(test, F.lit(False)), step).otherwise(0) for c, test in (("cuts", cut), ("pre", tag == "pre"), ("code", tag == "code"), ("quote", tag == "blockquote"))}
+            now["indent"] = s["indent"] + F.when(tag == "ul", step * 2).when(tag == "ol", step * 3).otherwise(0)
+            top = F.when(F.size(s["lists"]) > 0, F.get(s["lists"], F.size(s["lists"]) - 1))
+            numbered = F.struct(top["kind"].alias("kind"), (top["items"] + 1).alias("items"))
+            lists = (
+                F.when(opens & is_list, F.array_append(s["lists"], F.struct(tag.alias("kind"), F.lit(0).alias("items"))))
+                .when(closes & is_list, F.slice(s["lists"], F.lit(1), F.greatest(F.size(s["lists"]) - 1, F.lit(0))))
+                .when(opens & (tag == "li") & top.isNotNull(), F.array_append(F.slice(s["lists"], F.lit(1), F.size(s["lists"]) - 1), numbered))
+                .otherwise(s["lists"])
+            )
+            gone = cut | (now["cuts"] > 0)
+            return let(F.struct(*[c.alias(n) for n, c in now.items()], lists.alias("lists"), gone.alias("gone")), item_on)
+
+        def item_on(now: Column) -> Column:
+            pre, code = now["pre"] > 0, now["code"] > 0
+            depth = F.size(now["lists"])
+            top = F.when(depth > 0, F.get(now["lists"], depth - 1))
+            marked = tag.isin([*INLINE_MARKS, "a"]) & ~((tag == "code") & pre)
+            heading = tag.rlike(r"\Ah[1-6]\z")
+            kind = (
+                F.when(ev == "text", "T")
+                .when(opens & marked, "M")
+                .when(closes & marked, "E")
+                .when((ev == "void") & tag.isin("img", "hr"), "M")
+                .when(opens & (heading | tag.isin("li", "pre")), "S")
+                .when(closes & (tag == "pre"), "F")
+                .when(opens & tag.isin(CELL_TAGS), "C")
+                .when(tag.isin(SPACED_TAGS + LINE_TAGS), "B")
+            )
+            level = (
+                F.when(is_list & (depth - F.when(opens, 1).otherwise(0) > 0), 1)
+                .when(tag.isin(SPACED_TAGS), 2)
+                .when(tag.isin(LINE_TAGS), 1)
+                .otherwise(0)
+            )
+            plain = unescape(F.when(pre, x["text"]).otherwise(F.regexp_replace(x["text"], r"[ \t\n\r\f]+", " ")), names=names)
+            attribute = lambda name: F.coalesce(attr(name, raw, names), F.lit(""))
+            is_li = opens & (tag == "li")
+            mark = (
+                F.when(ev == "text", F.when(pre | code, plain).otherwise(escape_text(plain, tables)))
+                .when((ev == "void") & (tag == "img"), F.concat(F.lit("!["), attribute("alt"), F.lit("]("), attribute("src"), F.lit(")")))
+                .when((ev == "void") & (tag == "hr"), RULE)
+                .when(kind == "C", "")
+                .when(opens & heading, F.concat(F.repeat(F.lit("#"), F.substr(tag, F.lit(2)).try_cast("int")), F.lit(" ")))
+                .when(is_li, F.when(top["kind"] == "ol", F.concat(top["items"].cast("string"), F.lit(". "))).otherwise(BULLET))
+                .when(opens & (tag == "pre"), FENCE + "\n")
+                .when(closes & (tag == "pre"), "\n" + FENCE)
+                .when(opens & (tag == "a"), "[")
+                .when(closes & (tag == "a"), F.concat(F.lit("]("), attribute("href"), F.lit(")")))
+                .when(tag.isin("strong", "b"), STRONG)
+                .when(tag.isin("em", "i"), EMPHASIS)
+                .when(tag == "code", CODE)
+            )
+            width = F.when(top["kind"] == "ol", 3).otherwise(2)
+            item = F.struct(
+                kind.alias("kind"), level.alias("level"), ((ev == "void") & (tag == "br")).alias("br"), F.when(closes, -x["turn"]).otherwise(x["pos"]).alias("own"),
+                ev.alias("ev"), heading.alias("heading"), (tag == "hr").alias("rule"), mark.alias("mark"), pre.alias("pre"), code.alias("code"), now["quote"].alias("quote"),
+                F.greatest(now["indent"] - F.when(is_li, width).otherwise(0), F.lit(0)).alias("indent"),
+            ).cast(_ITEM)
+            seen = F.when(~now["gone"] & kind.isNotNull(), F.array(item)).otherwise(empty(_ITEM))
+            return let(seen, lambda seen: F.struct(*[now[c].alias(c) for c in ("cuts", "pre", "code", "quote", "indent", "lists")], *piled(s, seen)))
+
+        return let(cut, counted)
+
+    return F.aggregate(events, start, merge, unpiled)
+
+
+def _solid(items: Column) -> Column:
+    """``(i, blank, solid)`` of each item: a blank beside an edge is dropped, and solid ones take the break before them."""
+    edges = ["B", "S", "F", "C"]
+    edge = lambda i: F.coalesce(F.get(items, i)["kind"], F.lit("B")).isin(edges)
+
+    def flags(x: Column, i: Column) -> Column:
+        blank = (x["ev"] == "text") & (x["mark"] == " ") & (edge(i - 1) | edge(i + 1))
+        return let(blank, lambda blank: F.struct(x.alias("x"), blank.alias("blank"), (~blank & x["kind"].isin("T", "M", "S", "C")).alias("solid")))
+
+    return F.transform(items, flags)
+
+
+def _hollow(items: Column) -> Column:
+    """Start positions of inline elements and headings around nothing, which leave no marks."""
+    kind = "struct<own:int,words:int>"
+    start = F.struct(empty(kind).alias("open"), F.lit(0).alias("words"), empty("int").alias("found"))
+
+    def merge(s: Column, f: Column) -> Column:
+        x = f["x"]
+        word = f["solid"] & x["ev"].isin("text", "void")
+        takes = x["kind"].isin("M", "E") | x["heading"]
+        last = F.get(s["open"], F.size(s["open"]) - 1)
+        opened = F.when(takes & (x["ev"] == "open"), F.array_append(s["open"], F.struct(x["own"].alias("own"), s["words"].alias("words"))))
+        opened = opened.when(takes & (x["ev"] == "close"), F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))).otherwise(s["open"])
+        nothing = F.coalesce(takes & (x["ev"] == "close") & (last["words"] == s["words"]), F.lit(False))
+        found = F.when(nothing, F.array_append(s["found"], x["own"])).otherwise(s["found"])
+        return F.struct(opened.alias("open"), (s["words"] + F.when(word, 1).otherwise(0)).alias("words"), found.alias("found"))
+
+    return F.aggregate(items, start, merge, lambda s: s["found"])
+
+
+def _joined(items: Column, hollow: Column, tables: str) -> Column:
+    """The pieces with the breaks that are due between them, as one text."""
+    start = F.struct(
+        F.lit(0).alias("level"), F.lit(0).alias("brs"), F.lit(True).alias("first"), F.lit(False).alias("after"), F.lit(False).alias("ruled"), F.lit(0).alias("quoted"),
+        empty("string").alias("cur"), empty("array<string>").alias("done"),
+    )
+
+    def merge(s: Column, f: Column) -> Column:
+        x = f["x"]
+        empty_mark = (x["kind"].isin("M", "E") | (x["heading"] & (x["ev"] == "open"))) & (x["ev"] != "void") & F.array_contains(hollow, x["own"])
+
+        def of(no_mark: Column) -> Column:
+            solid = f["solid"] & ~no_mark
+            level, brs = F.greatest(s["level"], x["level"]), s["brs"] + F.when(x["br"], 1).otherwise(0)
+            breaks = F.when(s["ruled"], 2).otherwise(F.least(F.lit(2), F.greatest(level, brs)))
+            breaking = (breaks > 0) & ~s["after"]
+            margin = F.concat(F.repeat(F.lit(QUOTE), x["quote"]), F.repeat(F.lit(" "), x["indent"]))
+            between = F.rtrim(F.repeat(F.lit(QUOTE), F.least(x["quote"], s["quoted"])))
+            lead_in = (
+                F.when(s["first"], margin)
+                .when(~breaking, F.when(x["kind"] == "C", F.lit(" | " if tables == "pipe" else " ")).otherwise(""))
+                .when(breaks == 1, F.concat(F.lit("\n"), margin))
+                .otherwise(F.concat(F.lit("\n"), between, F.lit("\n"), margin))
+            )
+            begins = s["first"] | breaking | s["after"]
+            own = F.when((x["ev"] == "text") & begins & ~x["pre"], F.when(x["code"], F.ltrim(x["mark"])).otherwise(escape_line(F.ltrim(x["mark"])))).otherwise(x["mark"])
+            piece = F.when(solid, F.concat(lead_in, own)).when(x["kind"].isin("E", "F") & ~no_mark, x["mark"])
+            return F.struct(
+                F.when(solid, 0).otherwise(level).alias("level"), F.when(solid, 0).otherwise(brs).alias("brs"), (s["first"] & ~solid).alias("first"),
+                F.when(solid, x["kind"] == "S").otherwise(s["after"]).alias("after"), F.when(solid, F.coalesce(x["rule"], F.lit(False))).otherwise(s["ruled"]).alias("ruled"),
+                F.when(solid, x["quote"]).otherwise(s["quoted"]).alias("quoted"), *piled(s, F.when(piece.isNotNull(), F.array(piece)).otherwise(empty("string"))),
+            )
 
-def to_markdown(pages: DataFrame, keys: Sequence[str] = PAGE, tables: str = "text", prune_ads: bool = False) -> DataFrame:
-    """Whole documents as uncleaned Markdown: ``(*keys, title, markdown)``."""
-    pages = clustered(pages.select(*keys, "html"), keys)
-    done = _render(_events(pages, list(keys), ()), list(keys), tables, prune_ads)
-    return done.select(*keys, "title", "markdown")
+        return let(F.coalesce(empty_mark, F.lit(False)), of)
+
+    return F.array_join(F.aggregate(items, start, merge, unpiled), "")
+
+
+def _title(tokens: Column, elements: Column, start: Column, end: Column, names: Column) -> Column:
+    """Text of the first ``h1``, else of the first ``title``, up to the next one."""
+
+    def first(tag: str) -> Column:
+        found = F.filter(elements, lambda e: (e["tag"] == tag) & (e["start_pos"] > start) & (e["start_pos"] < end))
+        return let(found, lambda f: inner_text(tokens, F.get(f, F.lit(0))["start_pos"], F.least(F.get(f, F.lit(0))["end_pos"], F.get(f, F.lit(1))["start_pos"]), names))
+
+    def of(x: Column) -> Column:
+        return F.when(x["h1"] != "", trim_unicode(x["h1"])).when(x["title"] != "", trim_unicode(x["title"])).otherwise(K.UNTITLED_DOCUMENT)
+
+    return let(F.struct(first("h1").alias("h1"), first("title").alias("title")), of)
+
+
+def rendered(tokens: Column, elements: Column, start: Column, end: Column, tables: str = "text", prune_ads: bool = False) -> Column:
+    """``(matched, title, markdown)`` of the tokens from ``start`` to before ``end``."""
+
+    def of(names: Column) -> Column:
+        def on(events: Column) -> Column:
+            flags = let(_items(events, tables, prune_ads, names), _solid)
+            text = let(flags, lambda f: let(_hollow(f), lambda h: _joined(f, h, tables)))
+            return F.struct((F.size(events) > 0).alias("matched"), _title(tokens, elements, start, end, names).alias("title"), text.alias("markdown"))
+
+        return let(_events(tokens, elements, start, end), on)
+
+    return with_names(of)
+
+
+def _records(rows: DataFrame, keys: list[str], fetched_at: Column | str | None, include_meta: bool, tables: str, prune_ads: bool,
+             strip_class_names: bool, fence_whitelist: bool, carry: Sequence[str], whole: bool = False) -> DataFrame:
+    """Records of rows ``(*keys, url, tokens, elements, span, bad, *carry)``; without a ``span`` there is no content.
+    A ``whole`` page has a record, be it empty."""
+    if tables not in ("text", "pipe"):
+        raise ValueError("tables must be 'text' or 'pipe'")
+    done = rendered(F.col("tokens"), F.col("elements"), F.col("span.start_pos"), F.col("span.end_pos"), tables, prune_ads)
+    rows = rows.select(*keys, "url", *carry, "bad", F.when(F.col("span").isNotNull(), done).alias("_r"))
+    rows = rows.withColumn("body", clean_markdown("_r.markdown", strip_class_names, fence_whitelist))
+    rows = rows.withColumn("word_count", count_words("body").cast("bigint"))
+    ok = F.lit(True) if whole else F.coalesce(F.col("_r.matched"), F.lit(False))
+    now = F.lit(fetched_at).cast("timestamp") if isinstance(fetched_at, str) else fetched_at
+    stamp = format_time(F.current_timestamp() if now is None else now)
+    content = F.col("body")
+    if include_meta:
+        content = F.concat(front_matter(F.col("_r.title"), F.col("url"), stamp, F.col("word_count")), F.col("body"))
+    return rows.select(
+        *keys, "url",
+        F.when(ok, F.col("_r.title")).alias("title"),
+        F.when(ok, content).alias("content"),
+        F.when(ok, F.col("body")).alias("body"),
+        F.when(ok, F.col("word_count")).alias("word_count"),
+        F.when(F.col("bad"), UNSUPPORTED).when(~ok, "content_not_found").alias("error"),
+        *carry,
+    )
+
+
+def convert_wanted(
+    work: DataFrame,
+    keys: Sequence[str] = PAGE,
+    fetched_at: Column | str | None = None,
+    include_meta: bool = True,
+    tables: str = "text",
+    prune_ads: bool = False,
+    strip_class_names: bool = True,
+    fence_whitelist: bool = True,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Pages to Markdown records, one for each of a page's selectors: ``(*keys, selector, type, url, title, content, body,
+    word_count, error, *carry)``.
+
+    ``work`` holds ``(*keys, url, html, wants)``, ``wants`` being an array of ``(selector, type)`` as ``normal_selector`` makes them. The
+    content is the first match; ``content`` is ``body`` with front matter; words are those of ``body``. A selector that matches
+    nothing, or something empty, has ``error = 'content_not_found'``, one outside the grammar ``'parse: unsupported selector'``. A page is taken
+    apart once, however many selectors it has.
+    """
+    keys = list(keys)
+    rows = shredded(work, keys, "url", "wants", *carry)
+
+    def span(w: Column) -> Column:
+        steps = compiled(w["selector"], w["type"])
+        return let(steps, lambda steps: F.struct(w["selector"].alias("selector"), w["type"].alias("type"), steps.isNull().alias("bad"), first_span(F.col("elements"), steps).alias("span")))
+
+    found = rows.select(*keys, "url", *carry, "tokens", "elements", F.explode_outer(F.transform("wants", span)).alias("_w")).where(F.col("_w").isNotNull())
+    found = found.select(*keys, "_w.selector", "_w.type", "url", *carry, "tokens", "elements", "_w.bad", "_w.span")
+    return _records(found, [*keys, "selector", "type"], fetched_at, include_meta, tables, prune_ads, strip_class_names, fence_whitelist, carry)
 
 
 def convert(
@@ -381,40 +423,24 @@ def convert(
     strip_class_names: bool = True,
     fence_whitelist: bool = True,
     carry: Sequence[str] = (),
-    placed: bool = False,
 ) -> DataFrame:
     """Pages to Markdown records ``(*keys, url, title, content, body, word_count, error, *carry)``.
 
     ``work`` holds ``(*keys, url, html)`` and, where ``selectors`` are given, ``want``: the index of the one
-    whose first match is the content. Without selectors the whole ``html`` is. ``content`` is ``body`` with
-    front matter; words are those of ``body``. A page whose selector matches nothing, or something empty,
-    has ``error = 'content_not_found'``. ``placed`` says that a join has already brought the rows together by
-    a part of ``keys``, so they need not be moved again.
+    whose first match is the content. Without selectors the whole ``html`` is. The rest is as in ``convert_wanted``.
     """
     keys = list(keys)
-    if tables not in ("text", "pipe"):
-        raise ValueError("tables must be 'text' or 'pipe'")
-    slim = work.select(*keys, *(["want"] if selectors and "want" not in keys else []), "html", "url", *carry)
-    slim = slim if placed else clustered(slim, keys)
-    extra = ["url", *carry]
-    rows = _render(_events(slim, keys, selectors, extra), keys, tables, prune_ads, extra)
-    rows = rows.withColumn("body", clean_markdown("markdown", strip_class_names, fence_whitelist))
-    rows = rows.withColumn("word_count", count_words("body").cast("bigint"))
-    ok = F.coalesce(F.col("matched"), F.lit(False)) if selectors else F.lit(True)
-    now = F.lit(fetched_at).cast("timestamp") if isinstance(fetched_at, str) else fetched_at
-    stamp = format_time(F.current_timestamp() if now is None else now)
-    content = F.col("body")
-    if include_meta:
-        content = F.concat(front_matter(F.col("title"), F.col("url"), stamp, F.col("word_count")), F.col("body"))
-    return rows.select(
-        *keys, "url",
-        F.when(ok, F.col("title")).alias("title"),
-        F.when(ok, content).alias("content"),
-        F.when(ok, F.col("body")).alias("body"),
-        F.when(ok, F.col("word_count")).alias("word_count"),
-        F.when(~ok, "content_not_found").alias("error"),
-        *carry,
-    )
+    rows = shredded(work, keys, "url", *(["want"] if selectors and "want" not in [*keys, *carry] else []), *carry)
+    if selectors:
+        for selector in selectors:
+            parse(*selector)
+        found = hits(F.col("elements"), selectors)
+        hit = let(found, lambda f: F.get(F.filter(f, lambda h: F.array_contains(h["hits"], F.col("want"))), F.lit(0)))
+        span = let(hit, lambda h: F.when(h.isNotNull(), F.struct(h["start_pos"].alias("start_pos"), h["end_pos"].alias("end_pos"))))
+    else:
+        span = F.struct(F.lit(0).alias("start_pos"), F.size("tokens").alias("end_pos"))
+    rows = rows.select(*keys, "url", *carry, "tokens", "elements", F.lit(False).alias("bad"), span.alias("span"))
+    return _records(rows, keys, fetched_at, include_meta, tables, prune_ads, strip_class_names, fence_whitelist, carry, not selectors)
 
 
 def process(fragments: DataFrame, keys: Sequence[str] = PAGE, **options) -> DataFrame:

@@ -1,23 +1,32 @@
-"""CSS selectors and a small part of XPath as windows over element intervals.
+"""CSS selectors and a small part of XPath over the elements of a page, inside its row.
 
-A selector is turned, on the driver, into a chain of steps; each step is a predicate on one element. Whether
-an element lies inside one that fulfilled the step before is a running sum over starts and ends, so all
-selectors of a list are tested in one pass and no element is ever joined with its ancestors.
+A selector is a chain of steps; each step is a test of one element, and hangs on an element around it that passed the step
+before. Elements are folded in document order. The fold keeps, for every open element, which steps it passes and which ones it or an
+element around it passes, so no element is joined with its ancestors and a page is read once for all selectors.
+
+Selectors come in two forms. A list known to the program is parsed on the driver and its tests become columns; the steps
+an element passes are bits of a number (``hits``). Selectors that are data, such as one per site, are taken apart by column
+expressions in their own rows (``compiled``), and each page is tested against its own (``first_span``): there may be any
+number of them, and one that is outside the grammar has an error in its row.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.html import PAGE, attr
+from quire.functions.bind import let
+from quire.functions.text import with_names
+from quire.operators.elements import empty, piled, unpiled
+from quire.operators.html import PAGE, attribute_map, attrs
 
 SELECTOR_TYPES = ("css", "xpath")
-MAX_SELECTORS = 2000
+BITS = 62  # steps whose outcome is kept in one number
+UNSUPPORTED = "parse: unsupported selector"
 
 
 @dataclass
@@ -32,23 +41,23 @@ class Step:
     def attributes(self) -> list[str]:
         return [{"class": "class", "id": "id"}.get(w.removeprefix("not-"), n) for w, n, _ in self.tests if "tag" not in w]
 
-    def predicate(self, values: dict[str, str]) -> Column:
-        """The test as a column; ``values`` names the column that holds each attribute."""
-        out = F.lit(True) if self.tag is None else F.col("tag") == self.tag.lower()
+    def predicate(self, tag: Column, values: dict[str, Column]) -> Column:
+        """The test of an element with this tag and these attributes."""
+        out = F.lit(True) if self.tag is None else tag == self.tag.lower()
         for what, name, value in self.tests:
             kind = what.removeprefix("not-")
             if kind == "class":
-                test = F.col(values["class"]).rlike(rf"(?:\A|[ \t\n\f\r]){re.escape(name)}(?:[ \t\n\f\r]|\z)")
+                test = values["class"].rlike(rf"(?:\A|[ \t\n\f\r]){re.escape(name)}(?:[ \t\n\f\r]|\z)")
             elif kind == "id":
-                test = F.col(values["id"]) == name
+                test = values["id"] == name
             elif kind == "has":
-                test = F.col(values[name]).isNotNull()
+                test = values[name].isNotNull()
             elif kind == "equals":
-                test = F.col(values[name]) == value
+                test = values[name] == value
             elif kind == "contains":
-                test = F.contains(F.col(values[name]), F.lit(value))
+                test = F.contains(values[name], F.lit(value))
             else:
-                test = F.col("tag") == name.lower()
+                test = tag == name.lower()
             test = F.coalesce(test, F.lit(False))
             out = out & (~test if what.startswith("not-") else test)
         return out
@@ -161,21 +170,129 @@ def parse(selector: str, kind: str = "css") -> list[list[Step]]:
     return parse_css(selector) if kind == "css" else parse_xpath(selector)
 
 
-def _from_parent(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
-    """Add ``columns`` as they are on each element's parent.
+# ---- selectors of a list ------------------------------------------------------------------------------------------
+
+
+class _Bits:
+    """Where the outcome of each step of a list of chains is kept: a word and a bit in it. A chain lies within one word."""
+
+    def __init__(self, chains: Sequence[tuple[int, list[Step]]]):
+        self.words: list[dict[str, int]] = []
+        self.tests: dict[str, tuple[Step, list[int]]] = {}
+        self.last: dict[int, list[tuple[int, int]]] = {}
+        self.nth: list[tuple[int, int, int]] = []  # word, bit, place among siblings
+        used = BITS
+        for number, chain in chains:
+            if len(chain) > BITS:
+                raise ValueError(f"a selector of more than {BITS} steps")
+            if used + len(chain) > BITS:
+                self.words.append({"first": 0, "root": 0, "inside": 0, "child": 0})
+                used = 0
+            word = len(self.words) - 1
+            for k, step in enumerate(chain):
+                bit = 1 << (used + k)
+                kind = ("root" if step.link == ">" else "first") if k == 0 else "child" if step.link == ">" else "inside"
+                self.words[word][kind] |= bit
+                _, masks = self.tests.setdefault(repr((step.tag, step.tests)), (step, []))
+                masks += [0] * (word + 1 - len(masks))
+                masks[word] |= bit
+                if step.nth:
+                    self.nth.append((word, bit, step.nth))
+            used += len(chain)
+            self.last.setdefault(number, []).append((word, 1 << (used - 1)))
+
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
+
+
+def hits(
+    elements: Column,
+    selectors: Sequence[tuple[str, str]],
+    count_open: dict[str, Callable[[Column], Column]] | None = None,
+    all_elements: bool = False,
+) -> Column:
+    """The elements that match any of the ``(selector, type)`` pairs, with ``hits``, the indexes of those pairs.
 
-    Among the starts of one depth the latest before a position is the element that is open there. So every
-    row is also seen one level up, and a running ``last`` finds its parent; nothing is joined to itself.
+    ``elements`` is an array of structs as ``element_array`` makes it. Each test in ``count_open`` adds a field with the
+    number of elements around this one that pass it. With ``all_elements`` those without a hit come too.
     """
-    names = df.columns
-    own = F.struct(F.col("depth").alias("_level"), F.lit(True).alias("_own"))
-    up = F.struct((F.col("depth") - 1).alias("_level"), F.lit(False).alias("_own"))
-    opens = (F.col("phase") == 1) & ~F.col("void")
-    df = df.withColumn("_l", F.explode(F.when(opens, F.array(own, up)).otherwise(F.array(up)))).select(*names, "_l.*")
-    before = Window.partitionBy(*keys, "_level").orderBy("pos", "phase").rowsBetween(Window.unboundedPreceding, -1)
-    there = F.struct(*[c.alias(n) for n, c in columns.items()])
-    df = df.withColumn("_p", F.last(F.when(F.col("_own"), there), ignorenulls=True).over(before))
-    return df.where(~F.col("_own")).select(*names, *[F.when(F.col("_level") > 0, F.col(f"_p.{n}")).alias(n) for n in columns])
+    bits = _Bits([(i, chain) for i, (sel, kind) in enumerate(selectors) for chain in parse(sel, kind)])
+    names = list(dict.fromkeys(n for step, _ in bits.tests.values() for n in step.attributes()))
+    counted = count_open or {}
+    words = range(len(bits.words))
+    entry = [f"m{w}:bigint,a{w}:bigint" for w in words] + [f"n{i}:int" for i in range(len(bits.nth))] + [f"c{i}:int" for i in range(len(counted))]
+    entry_type = f"struct<{','.join(entry)}>"
+    out_fields = ["i:int", *[f"m{w}:bigint" for w in words], *[f"c{i}:int" for i in range(len(counted))]]
+    out_type = f"struct<{','.join(out_fields)}>"
+    zeros = F.struct(*[F.lit(0).alias(f.split(":")[0]) for f in ",".join(entry).split(",")]).cast(entry_type)
+    start = F.struct(F.array(zeros).alias("stack"), F.lit(0).alias("i"), empty(out_type).alias("cur"), empty(f"array<{out_type}>").alias("done"))
+    last_bits = [sum(bit for found in bits.last.values() for word, bit in found if word == w) for w in words]
+
+    def merge(s: Column, e: Column) -> Column:
+        values = {}
+
+        def own(found: Column | None) -> Column:
+            values.update({n: found[f"a{k}"] for k, n in enumerate(names)} if found is not None else {})
+            parent = F.get(s["stack"], e["depth"] - 1)
+            fits = {key: step.predicate(e["tag"], values) for key, (step, _) in bits.tests.items()}
+
+            def passed(parent: Column) -> Column:
+                out = []
+                for w in words:
+                    masks = [(fits[key], m[w]) for key, (_, m) in bits.tests.items() if w < len(m) and m[w]]
+                    test = F.lit(0).cast("bigint")
+                    for fit, mask in masks:
+                        test = test.bitwiseOR(F.when(fit, _long(mask)).otherwise(_long(0)))
+                    mask = bits.words[w]
+                    around = F.shiftleft(parent[f"a{w}"], 1).bitwiseAND(_long(mask["inside"])).bitwiseOR(F.shiftleft(parent[f"m{w}"], 1).bitwiseAND(_long(mask["child"])))
+                    around = around.bitwiseOR(_long(mask["first"])).bitwiseOR(F.when(e["depth"] == 1, _long(mask["root"])).otherwise(_long(0)))
+                    out.append(test.bitwiseAND(around).alias(f"m{w}"))
+                return F.struct(*out)
+
+            return let(parent, lambda parent: let(passed(parent), lambda m: step_on(parent, m)))
+
+        def step_on(parent: Column, m: Column) -> Column:
+            counts = [parent[f"n{i}"] + F.when(m[f"m{w}"].bitwiseAND(_long(bit)) != 0, 1).otherwise(0) for i, (w, bit, _) in enumerate(bits.nth)]
+            kept = {w: m[f"m{w}"] for w in words}
+            for i, (w, bit, nth) in enumerate(bits.nth):
+                kept[w] = F.when(counts[i] == nth, kept[w]).otherwise(kept[w].bitwiseAND(_long(~bit)))
+            inner = [parent[f"c{i}"] + F.when(test(e), 1).otherwise(0) for i, test in enumerate(counted.values())]
+            here = F.struct(
+                *[x for w in words for x in (kept[w].alias(f"m{w}"), parent[f"a{w}"].bitwiseOR(kept[w]).alias(f"a{w}"))],
+                *[F.lit(0).alias(f"n{i}") for i in range(len(bits.nth))], *[c.alias(f"c{i}") for i, c in enumerate(inner)],
+            )
+            below = F.slice(s["stack"], F.lit(1), e["depth"])
+            if bits.nth:
+                around = F.struct(*[counts[int(f.split(":")[0][1:])].alias(f.split(":")[0]) if f.startswith("n") else parent[f.split(":")[0]].alias(f.split(":")[0]) for f in ",".join(entry).split(",")])
+                below = F.array_append(F.slice(s["stack"], F.lit(1), e["depth"] - 1), around)
+            row = F.struct(s["i"].alias("i"), *[here[f"m{w}"].alias(f"m{w}") for w in words], *[parent[f"c{i}"].alias(f"c{i}") for i in range(len(counted))])
+            any_hit = F.lit(all_elements)
+            for w in words:
+                any_hit = any_hit | (here[f"m{w}"].bitwiseAND(_long(last_bits[w])) != 0)
+            return let(here, lambda here: F.struct(
+                F.array_append(below, here).alias("stack"), (s["i"] + 1).alias("i"),
+                *piled(s, F.when(any_hit, F.array(row)).otherwise(empty(out_type))),
+            ))
+
+        # a tag without attributes is as long as its name and two brackets
+        bare = F.length(e["raw"]) <= F.length(e["tag"]) + 2
+        return let(F.when(~bare, attrs(names, e["raw"])), own) if names else own(None)
+
+    def named(x: Column) -> Column:
+        e = F.get(elements, x["i"])
+        which = [F.when(_any([x[f"m{w}"].bitwiseAND(_long(bit)) != 0 for w, bit in found]), F.lit(i)) for i, found in bits.last.items()]
+        fields = [e[c].alias(c) for c in ("start_pos", "end_pos", "parent_pos", "depth", "tag", "raw", "void")]
+        return F.struct(*fields, F.filter(F.array(*which), lambda h: h.isNotNull()).alias("hits"), *[x[f"c{i}"].alias(n) for i, n in enumerate(counted)])
+
+    return F.transform(F.aggregate(elements, start, merge, unpiled), named)
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    out = tests[0]
+    for test in tests[1:]:
+        out = out | test
+    return out
 
 
 def select(
@@ -183,100 +300,26 @@ def select(
     selectors: Sequence[tuple[str, str]],
     keys: Sequence[str] = PAGE,
     keep: Sequence[str] = ("tag", "raw", "n_tokens"),
-    count_open: dict[str, Column] | None = None,
+    count_open: dict[str, Callable[[Column], Column]] | None = None,
     all_elements: bool = False,
 ) -> DataFrame:
-    """Adds ``hits``, the indexes of the ``(selector, type)`` pairs that an element matches.
-
-    Returns ``(*keys, start_pos, end_pos, hits, *keep)``, one row per element with at least one hit, or per
-    element with ``all_elements``. Each test in ``count_open`` adds a column with the number of elements
-    around this one that pass it.
-    """
-    if len(selectors) > MAX_SELECTORS:
-        raise ValueError(f"more than {MAX_SELECTORS} selectors")
+    """``hits`` over a table of elements: ``(*keys, start_pos, end_pos, hits, *keep)``, one row per element with a hit."""
     keys = list(keys)
-    chains = [(i, chain) for i, (sel, kind) in enumerate(selectors) for chain in parse(sel, kind)]
-    longest = max(len(chain) for _, chain in chains)
-    linked = any(s.link == ">" or s.nth for _, chain in chains for s in chain)
-    # an attribute is read once and a test evaluated once, however many selectors use it
-    names = dict.fromkeys(n for _, chain in chains for step in chain for n in step.attributes())
-    values = {n: f"_a{k}" for k, n in enumerate(names)}
-    tests: dict[str, tuple[str, Column]] = {}
-
-    def column_for(step: Step) -> str:
-        key = repr((step.tag, step.tests))
-        return tests.setdefault(key, (f"_t{len(tests)}", step.predicate(values)))[0]
-
-    plan = [(i, [(column_for(s), s) for s in chain]) for i, chain in chains]
-    cols = [*keys, "start_pos", "end_pos", *(["depth"] if linked else []), "void", *keep]
-    cols = list(dict.fromkeys(cols))
-    df = nodes.select(*dict.fromkeys([*cols, "tag", "raw"]), *[attr(n).alias(v) for n, v in values.items()])
-    counted = count_open or {}
-    df = df.select(
-        *cols,
-        *[test.alias(name) for name, test in tests.values()],
-        *[F.when(test, 1).otherwise(0).alias(f"_c_{name}") for name, test in counted.items()],
-    )
-
-    deep = bool(counted) or any(len(chain) > 1 for _, chain in chains)
-    if deep:
-        start = F.struct(F.col("start_pos").alias("pos"), F.lit(1).alias("phase"))
-        stop = F.struct(F.col("end_pos").alias("pos"), F.lit(0).alias("phase"))
-        both = F.when(F.col("void"), F.array(start)).otherwise(F.array(start, stop))
-        df = df.withColumn("_e", F.explode(both)).select("*", "_e.*").drop("_e")
+    own = ["start_pos", "end_pos", "depth", "tag", "raw", "void"]
+    other = [c for c in keep if c not in own]
+    element = F.struct(*own, F.lit(None).cast("int").alias("parent_pos"))
+    pages = nodes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_pos", element.alias("e"), *other))).alias("_n"))
+    found = hits(F.col("_n.e"), selectors, count_open, all_elements)
+    rest = lambda h: F.get(F.filter("_n", lambda n: n["start_pos"] == h["start_pos"]), F.lit(0))
+    if other:
+        found = F.transform(found, lambda h: F.struct(h.alias("h"), *[rest(h)[c].alias(c) for c in other]))
     else:
-        df = df.withColumns({"pos": F.col("start_pos"), "phase": F.lit(1)})
-    is_start = F.col("phase") == 1
-    before = Window.partitionBy(*keys).orderBy("pos", "phase").rowsBetween(Window.unboundedPreceding, -1)
-
-    matched: dict[int, str] = {}
-    for level in range(longest):
-        new: dict[str, Column] = {}
-        parents: dict[str, str] = {}
-        for c, (_, chain) in enumerate(plan):
-            if level >= len(chain):
-                continue
-            name, step = chain[level]
-            test = F.col(name)
-            if level == 0:
-                # a path starting with a single slash starts at the root
-                new[f"_m{c}_0"] = test & (F.col("depth") == 1) if step.link == ">" else test
-            elif step.link == " ":
-                prior = f"_m{c}_{level - 1}"
-                change = F.when(F.col("void"), 0).when(is_start, F.col(prior).cast("int")).otherwise(-F.col(prior).cast("int"))
-                own = F.when(is_start, 0).otherwise(F.col(prior).cast("int"))
-                open_now = F.coalesce(F.sum(change).over(before), F.lit(0)) - own
-                new[f"_m{c}_{level}"] = test & (open_now > 0)
-            else:
-                parents[f"_m{c}_{level}"] = f"_m{c}_{level - 1}"
-                new[f"_m{c}_{level}"] = test
-        if level == 0:
-            for name in counted:
-                change = F.when(F.col("void"), 0).when(is_start, F.col(f"_c_{name}")).otherwise(-F.col(f"_c_{name}"))
-                new[name] = F.coalesce(F.sum(change).over(before), F.lit(0))
-        if new:
-            df = df.withColumns(new)
-        if parents:
-            df = _from_parent(df, keys, {f"_up{m}": F.col(prior) for m, prior in parents.items()})
-            df = df.withColumns({m: F.col(m) & F.coalesce(F.col(f"_up{m}"), F.lit(False)) for m in parents})
-            df = df.drop(*[f"_up{m}" for m in parents])
-        for c, (_, chain) in enumerate(plan):
-            if level < len(chain) and chain[level][1].nth:
-                m = f"_m{c}_{level}"
-                df = _from_parent(df, keys, {"_family": F.col("start_pos")})
-                siblings = Window.partitionBy(*keys, "_family", "phase").orderBy("start_pos").rowsBetween(
-                    Window.unboundedPreceding, 0
-                )
-                rank = F.sum(F.col(m).cast("int")).over(siblings)
-                df = df.withColumn(m, F.col(m) & (rank == chain[level][1].nth)).drop("_family")
-            if level == len(chain) - 1:
-                matched[c] = f"_m{c}_{level}"
-    flags: dict[int, Column] = {}
-    for c, (i, _) in enumerate(plan):
-        flags[i] = flags[i] | F.col(matched[c]) if i in flags else F.col(matched[c])
-    hits = F.filter(F.array(*[F.when(flag, F.lit(i)) for i, flag in flags.items()]), lambda h: h.isNotNull())
-    out = df.where(is_start).select(*keys, "start_pos", "end_pos", hits.alias("hits"), *keep, *counted)
-    return out if all_elements else out.where(F.size("hits") > 0)
+        found = F.transform(found, lambda h: F.struct(h.alias("h")))
+    rows = pages.select(*keys, F.explode_outer(found).alias("_h")).where(F.col("_h").isNotNull())
+    return rows.select(
+        *keys, "_h.h.start_pos", "_h.h.end_pos", "_h.h.hits", *[F.col(f"_h.{c}" if c in other else f"_h.h.{c}").alias(c) for c in keep],
+        *[F.col(f"_h.h.{c}").alias(c) for c in count_open or {}],
+    )
 
 
 def css_select(
@@ -284,19 +327,200 @@ def css_select(
 ) -> DataFrame:
     """All matches of ``(id, css selector)`` pairs: ``(*keys, selector_id, start_pos, end_pos, tag, raw)``."""
     ids = F.array(*[F.lit(i) for i, _ in selectors])
-    hits = select(nodes, [(s, "css") for _, s in selectors], keys, keep=("tag", "raw"))
-    return hits.select(
-        *keys, F.explode(F.transform("hits", lambda h: F.get(ids, h))).alias("selector_id"),
-        "start_pos", "end_pos", "tag", "raw",
-    )
+    found = select(nodes, [(s, "css") for _, s in selectors], keys, keep=("tag", "raw"))
+    return found.select(
+        *keys, F.explode("hits").alias("_h"), "start_pos", "end_pos", "tag", "raw",
+    ).select(*keys, F.get(ids, F.col("_h")).alias("selector_id"), "start_pos", "end_pos", "tag", "raw")
 
 
 def xpath_select(nodes: DataFrame, path: str, keys: Sequence[str] = PAGE) -> DataFrame:
     """The first element of each page that the path leads to: ``(*keys, start_pos, end_pos)``."""
-    hits = select(nodes, [(path, "xpath")], keys, keep=())
-    return first_match(hits, keys)
+    return first_match(select(nodes, [(path, "xpath")], keys, keep=()), keys)
 
 
 def first_match(matches: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """The earliest match of each page."""
     return matches.groupBy(*keys).agg(F.min_by("end_pos", "start_pos").alias("end_pos"), F.min("start_pos").alias("start_pos"))
+
+
+# ---- selectors that are data --------------------------------------------------------------------------------------
+
+_TEST = "struct<what:string,name:string,value:string>"
+STEP = f"struct<first:boolean,last:boolean,link:string,tag:string,tests:array<{_TEST}>,nth:int>"
+_TYPED = rf"(?:{_NAME}|\*)"
+_PIECES = rf"""{_TYPED}|\.(?:{_NAME})|\#(?:{_NAME})|\[[^\]]*\]|:not\([^()]*\)"""
+
+
+def _test(what: Column | str, name: Column, value: Column | None = None) -> Column:
+    what = F.lit(what) if isinstance(what, str) else what
+    return F.struct(what.alias("what"), name.alias("name"), (F.lit(None) if value is None else value).cast("string").alias("value"))
+
+
+def _simple_test(piece: Column) -> Column:
+    """The test that a piece such as ``.name``, ``#name``, ``[name]`` or ``[name=value]`` is; null for any other piece."""
+    part = lambda group: F.regexp_extract(piece, rf"\A{_ATTRIBUTE}\z", group)
+    attribute = F.when(F.contains(piece, F.lit("=")), _test("equals", F.lower(part(1)), F.concat(part(2), part(3), part(4)))).otherwise(_test("has", F.lower(part(1))))
+    return (
+        F.when(piece.rlike(rf"\A\.(?:{_NAME})\z"), _test("class", F.substr(piece, F.lit(2))))
+        .when(piece.rlike(rf"\A\#(?:{_NAME})\z"), _test("id", F.substr(piece, F.lit(2))))
+        .when(piece.rlike(rf"\A{_ATTRIBUTE}\z"), attribute)
+    )
+
+
+def _css_step(word: Column) -> Column:
+    """``(tag, tests, good)`` of a compound selector."""
+
+    def of(pieces: Column) -> Column:
+        def test(piece: Column) -> Column:
+            inner = F.regexp_extract(piece, r"(?s)\A:not\(\s*([^()]*?)\s*\)\z", 1)
+            inside = F.coalesce(_simple_test(inner), F.when(inner.rlike(rf"\A(?:{_NAME})\z"), _test("tag", F.lower(inner))))
+            return F.when(piece.startswith(":"), F.when(inside.isNotNull(), _test(F.concat(F.lit("not-"), inside["what"]), inside["name"], inside["value"]))).otherwise(_simple_test(piece))
+
+        typed = F.get(pieces, F.lit(0)).rlike(rf"\A{_TYPED}\z")
+        rest = F.when(typed, F.slice(pieces, F.lit(2), F.size(pieces))).otherwise(pieces)
+        tests = F.transform(rest, test)
+        whole = (F.size(pieces) > 0) & (F.array_join(pieces, "") == word)
+        tag = F.when(typed, F.nullif(F.lower(F.get(pieces, F.lit(0))), F.lit("*")))
+        return let(tests, lambda tests: F.struct(tag.alias("tag"), tests.alias("tests"), (whole & ~F.exists(tests, lambda t: t.isNull())).alias("good")))
+
+    return let(F.regexp_extract_all(word, F.lit(_PIECES), F.lit(0)), of)
+
+
+def _steps(chain: Column) -> Column:
+    """Places of a chain's steps ``(link, tag, tests, nth)``."""
+    return F.transform(chain, lambda s, i: F.struct(
+        (i == 0).alias("first"), (i == F.size(chain) - 1).alias("last"), s["link"].alias("link"), s["tag"].alias("tag"), s["tests"].alias("tests"), s["nth"].cast("int").alias("nth"),
+    ).cast(STEP))
+
+
+_RAW_STEP = f"struct<link:string,tag:string,tests:array<{_TEST}>,nth:int>"
+
+
+def _compiled_css(selector: Column) -> Column:
+    commas = lambda c: F.length(c) - F.length(F.replace(c, F.lit(","), F.lit("")))
+
+    def chain(part: Column) -> Column:
+        def of(words: Column) -> Column:
+            arrow = lambda i: F.get(words, i) == ">"
+            good = ~arrow(F.lit(0)) & (F.try_element_at(words, F.lit(-1)) != ">")
+            good = good & ~F.exists(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.coalesce(arrow(i) & arrow(i - 1), F.lit(False)))
+            steps = F.transform(words, lambda w, i: F.struct(F.when(w != ">", _css_step(w)).alias("s"), F.when((i > 0) & arrow(i - 1), ">").otherwise(" ").alias("link")))
+            steps = F.filter(steps, lambda x: x["s"].isNotNull())
+            return let(steps, lambda steps: F.struct(
+                F.when(F.size(words) > 0, good & ~F.exists(steps, lambda x: ~x["s"]["good"])).otherwise(False).alias("good"),
+                _steps(F.transform(steps, lambda x: F.struct(x["link"].alias("link"), x["s"]["tag"].alias("tag"), x["s"]["tests"].alias("tests"), F.lit(None).cast("int").alias("nth")))).alias("steps"),
+            ))
+
+        return let(F.regexp_extract_all(F.trim(replace_blanks(part)), F.lit(r">|(?:\[[^\]]*\]|\([^)]*\)|[^\s>])+"), F.lit(0)), of)
+
+    def of(parts: Column) -> Column:
+        inside = F.aggregate(F.transform(parts, commas), F.lit(0), lambda a, b: a + b)
+        whole = (F.size(parts) > 0) & (commas(selector) - inside == F.size(parts) - 1)
+        return let(F.transform(parts, chain), lambda chains: F.when(whole & ~F.exists(chains, lambda c: ~c["good"]), F.flatten(F.transform(chains, lambda c: c["steps"]))))
+
+    return let(F.regexp_extract_all(selector, F.lit(r"""(?:"[^"]*"|'[^']*'|[^,"'])+"""), F.lit(0)), of)
+
+
+def replace_blanks(c: Column) -> Column:
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
+def _compiled_xpath(path: Column) -> Column:
+    step_pattern = rf"(//|/)({_NAME}|\*)((?:\[[^\]]*\])*)"
+    quoted = r"""(?:'([^']*)'|"([^"]*)")"""
+    equals = rf"\A\[\s*@({_NAME})\s*=\s*{quoted}\s*\]\z"
+    contains = rf"\A\[\s*contains\(\s*@({_NAME})\s*,\s*{quoted}\s*\)\s*\]\z"
+    place = r"\A\[\s*(\d+)\s*\]\z"
+
+    def step(text: Column) -> Column:
+        def of(tests: Column) -> Column:
+            got = lambda t, pattern, kind: _test(kind, F.lower(F.regexp_extract(t, pattern, 1)), F.concat(F.regexp_extract(t, pattern, 2), F.regexp_extract(t, pattern, 3)))
+            one = lambda t: F.when(t.rlike(equals), got(t, equals, "equals")).when(t.rlike(contains), got(t, contains, "contains"))
+            # a place may only come last
+            last = F.try_element_at(tests, F.lit(-1))
+            placed = (F.size(tests) > 0) & F.coalesce(F.when(F.size(tests) > 0, last.rlike(place)), F.lit(False))
+            plain = F.transform(F.slice(tests, F.lit(1), F.size(tests) - F.when(placed, 1).otherwise(0)), one)
+            whole = F.array_join(tests, "") == F.regexp_extract(text, step_pattern, 3)
+            name = F.regexp_extract(text, step_pattern, 2)
+            return F.struct(
+                F.when(text.startswith("//"), " ").otherwise(">").alias("link"), F.nullif(F.lower(name), F.lit("*")).alias("tag"), plain.alias("tests"),
+                F.when(placed, F.regexp_extract(last, place, 1).try_cast("int")).alias("nth"), (whole & ~F.exists(plain, lambda t: t.isNull())).alias("good"),
+            )
+
+        return let(F.regexp_extract_all(F.regexp_extract(text, step_pattern, 3), F.lit(r"\[[^\]]*\]"), F.lit(0)), of)
+
+    def of(texts: Column) -> Column:
+        whole = (F.size(texts) > 0) & (F.array_join(texts, "") == replace_blanks(path))
+        return let(F.transform(texts, step), lambda steps: F.when(whole & ~F.exists(steps, lambda s: ~s["good"]), _steps(steps)))
+
+    return let(F.regexp_extract_all(replace_blanks(path), F.lit(step_pattern), F.lit(0)), of)
+
+
+def compiled(selector: Column, kind: Column) -> Column:
+    """The steps of a selector in a row, ``array<STEP>``; null for one that is outside the grammar or of another type."""
+    return F.when(kind == "css", _compiled_css(selector)).when(kind == "xpath", _compiled_xpath(selector))
+
+
+def _fits(e: Column, step: Column, values: Column) -> Column:
+    def test(t: Column) -> Column:
+        kind = F.replace(t["what"], F.lit("not-"), F.lit(""))
+        value = F.try_element_at(values, F.when(kind.isin("class", "id"), kind).otherwise(t["name"]))
+        got = (
+            F.when(kind == "tag", e["tag"] == t["name"])
+            .when(kind == "class", F.array_contains(F.split(value, r"[ \t\n\f\r]+"), t["name"]))
+            .when(kind == "id", value == t["name"])
+            .when(kind == "has", value.isNotNull())
+            .when(kind == "equals", value == t["value"])
+            .otherwise(F.contains(value, t["value"]))
+        )
+        return F.coalesce(got, F.lit(False)) != t["what"].startswith("not-")
+
+    return (step["tag"].isNull() | (step["tag"] == e["tag"])) & F.forall(step["tests"], test)
+
+
+def first_span(elements: Column, steps: Column, names: Column | None = None) -> Column:
+    """``(start_pos, end_pos)`` of the first element that ``steps`` match, null if there is none."""
+    if names is None:
+        return with_names(lambda names: first_span(elements, steps, names))
+    none = F.lit(None).cast("struct<start_pos:int,end_pos:int>")
+    entry = "struct<m:array<boolean>,a:array<boolean>,n:array<int>>"
+
+    def of(steps: Column) -> Column:
+        nothing = F.transform(steps, lambda s: F.lit(False))
+        root = F.struct(nothing.alias("m"), nothing.alias("a"), F.transform(steps, lambda s: F.lit(0)).alias("n")).cast(entry)
+        start = F.struct(F.array(root).alias("stack"), none.alias("found"))
+
+        def merge(s: Column, e: Column) -> Column:
+            tried = F.exists(steps, lambda x: (F.size(x["tests"]) > 0) & (x["tag"].isNull() | (x["tag"] == e["tag"])))
+            bare = F.length(e["raw"]) <= F.length(e["tag"]) + 2
+            values = F.when(tried & ~bare, attribute_map(e["raw"], names))
+
+            def passed(values: Column, up: Column) -> Column:
+                def one(x: Column, k: Column) -> Column:
+                    first = F.when(x["link"] == ">", e["depth"] == 1).otherwise(True)
+                    hangs = F.when(x["first"], first).when(x["link"] == ">", F.get(up["m"], k - 1)).otherwise(F.get(up["a"], k - 1))
+                    return hangs & _fits(e, x, values)
+
+                return F.transform(steps, one)
+
+            def counted(m: Column, up: Column) -> Column:
+                n = F.transform(up["n"], lambda c, k: c + F.when(F.get(m, k), 1).otherwise(0))
+                kept = lambda n: F.transform(m, lambda x, k: x & F.coalesce(F.get(steps, k)["nth"] == F.get(n, k), F.lit(True)))
+                return let(n, lambda n: let(kept(n), lambda m: pushed(m, n, up)))
+
+            def pushed(m: Column, n: Column, up: Column) -> Column:
+                around = F.zip_with(m, up["a"], lambda x, y: x | y)
+                here = F.struct(m.alias("m"), around.alias("a"), F.transform(steps, lambda s: F.lit(0)).alias("n"))
+                parent = F.struct(up["m"].alias("m"), up["a"].alias("a"), n.alias("n"))
+                below = F.array_append(F.slice(s["stack"], F.lit(1), e["depth"] - 1), parent)
+                hit = F.exists(F.arrays_zip(m.alias("m"), steps.alias("s")), lambda x: x["m"] & x["s"]["last"])
+                span = F.struct(e["start_pos"].alias("start_pos"), e["end_pos"].alias("end_pos"))
+                return F.struct(F.array_append(below, here.cast(entry)).alias("stack"), F.when(hit, span).alias("found"))
+
+            parent = F.get(s["stack"], e["depth"] - 1)
+            step = let(values, lambda v: let(parent, lambda up: let(passed(v, up), lambda m: counted(m, up))))
+            return F.when(s["found"].isNotNull(), s).otherwise(step)
+
+        return F.aggregate(elements, start, merge, lambda s: s["found"])
+
+    return F.when(steps.isNotNull(), let(steps, of))

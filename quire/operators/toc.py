@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
 from quire.functions import urls
-from quire.functions.text import trim_unicode
-from quire.operators.html import attr, clustered, html_nodes, inner_text, with_tokens
-from quire.operators.selectors import css_select, select
+from quire.functions.bind import let
+from quire.functions.text import trim_unicode, with_names
+from quire.operators.html import attr, inner_text, shredded
+from quire.operators.selectors import hits
 from quire.operators.tree import nest_catalog
 
 _TOC = [(s, "css") for s, _ in K.TOC_CANDIDATES]
@@ -24,23 +27,42 @@ def _toc_weights() -> Column:
     return F.array(*[F.lit(w) for _, w in K.TOC_CANDIDATES])
 
 
-def _link_columns(hits: DataFrame) -> DataFrame:
-    """Target and validity of matched elements; needs ``raw`` and the page's ``url``."""
-    hits = hits.withColumn("href", attr("href"))
-    hits = hits.withColumn("target", F.when(F.col("href") != "", urls.resolve("url", "href")))
-    same = urls.host("target") == urls.host("url")
-    return hits.withColumn("valid", F.coalesce(same, F.lit(False)))
+_LISTS = {"level": lambda e: e["tag"].isin("ul", "ol")}
+
+
+def _links(found: Column, own: Callable[[Column], Column], titles: bool = False) -> Column:
+    """Matched elements as links, in document order: ``array<struct<start_pos, end_pos, href, target, level, valid, hits[, title]>>``.
+
+    ``own`` picks the hits that count; a link without one is left out. Needs the page's ``url`` and, for titles, ``tokens``.
+    """
+
+    def of(names: Column) -> Column:
+        def link(h: Column) -> Column:
+            fields = [h["start_pos"].alias("start_pos"), h["end_pos"].alias("end_pos")]
+            title = [trim_unicode(inner_text(F.col("tokens"), h["start_pos"], h["end_pos"], names)).alias("title")] if titles else []
+            rest = [F.greatest(h["level"], F.lit(1)).alias("level")]
+
+            def with_target(href: Column, target: Column) -> Column:
+                valid = F.coalesce(urls.host(target) == urls.host("url"), F.lit(False))
+                return F.struct(*fields, href.alias("href"), target.alias("target"), *rest, valid.alias("valid"), own(h["hits"]).alias("hits"), *title)
+
+            resolve = lambda href: F.when(href != "", urls.resolve(F.col("url"), href))
+            return let(attr("href", h["raw"], names), lambda href: let(resolve(href), lambda target: with_target(href, target)))
+
+        return F.transform(F.filter(found, lambda h: F.size(own(h["hits"])) > 0), link)
+
+    return with_names(of)
 
 
 def toc_hits(pages: DataFrame) -> DataFrame:
     """Elements matched by any navigation candidate, with list level, target and whether it is on the host.
 
-    ``(page_id, url, start_pos, end_pos, hits, level, href, target, valid)``; ``pages`` is clustered.
+    ``(page_id, url, start_pos, end_pos, hits, level, href, target, valid)``.
     """
-    nodes = html_nodes(pages, carry=["url"])
-    lists = {"level": F.col("tag").isin("ul", "ol")}
-    found = select(nodes, _TOC, keep=("raw", "url"), count_open=lists)
-    return _link_columns(found).withColumn("level", F.greatest("level", F.lit(1)))
+    rows = shredded(pages, ("page_id",), "url")
+    links = _links(hits(F.col("elements"), _TOC, _LISTS), lambda h: h)
+    rows = rows.select("page_id", "url", F.explode_outer(links).alias("l")).where(F.col("l").isNotNull())
+    return rows.select("page_id", "url", "l.*")
 
 
 def toc_scores(pages: DataFrame) -> DataFrame:
@@ -48,9 +70,9 @@ def toc_scores(pages: DataFrame) -> DataFrame:
 
     Links are counted before any filter, and their titles are not looked at.
     """
-    hits = toc_hits(clustered(pages.select("page_id", "url", "html")))
+    found = toc_hits(pages)
     counted = (
-        hits.select("page_id", F.explode("hits").alias("selector_id"), "valid")
+        found.select("page_id", F.explode("hits").alias("selector_id"), "valid")
         .groupBy("page_id", "selector_id")
         .agg(F.count(F.lit(1)).alias("links"), F.count_if("valid").alias("valid_links"))
         .where(F.col("links") >= K.MIN_TOC_LINKS)
@@ -70,34 +92,17 @@ def best_toc(scores: DataFrame) -> DataFrame:
     return best.select("page_id", "b.*")
 
 
-def _with_titles(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Titles of ``links`` (an array per page), read from the page's tokens inside its row."""
-    tokens = with_tokens(pages, ("page_id",), "url")
-    joined = tokens.join(links.hint("shuffle_hash"), "page_id", "left")
-    titled = F.transform(
-        "links", lambda l: l.withField("title", trim_unicode(inner_text(F.col("tokens"), l["start_pos"], l["end_pos"])))
-    )
-    return joined.select(*[c for c in links.columns if c != "links"], "url", titled.alias("links"))
-
-
-_LINK = ("start_pos", "end_pos", "href", "target", "level", "valid", "hits")
-
-
 def toc_links(pages: DataFrame, selector_id: int | None = None) -> DataFrame:
     """Links of navigation candidates in document order: ``(page_id, selector_id, ord, title, href, url, level)``.
 
     Only links with a title and a target on the page's own host are kept.
     """
-    pages = clustered(pages.select("page_id", "url", "html"))
-    hits = toc_hits(pages).where("valid")
-    if selector_id is not None:
-        hits = hits.where(F.array_contains("hits", selector_id))
-    listed = hits.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*_LINK))).alias("links"))
-    titled = _with_titles(listed, pages)
-    rows = titled.select("page_id", F.explode("links").alias("l")).where(F.col("l.title") != "")
+    rows = shredded(pages, ("page_id",), "url")
+    own = (lambda h: h) if selector_id is None else (lambda h: F.filter(h, lambda x: x == selector_id))
+    links = _links(hits(F.col("elements"), _TOC, _LISTS), own, titles=True)
+    links = F.filter(links, lambda l: l["valid"] & (l["title"] != ""))
+    rows = rows.select("page_id", F.explode_outer(links).alias("l")).where(F.col("l").isNotNull())
     rows = rows.select("page_id", F.explode("l.hits").alias("selector_id"), "l.*")
-    if selector_id is not None:
-        rows = rows.where(F.col("selector_id") == selector_id)
     return rows.select(
         "page_id", "selector_id", F.col("start_pos").alias("ord"), "title", "href", F.col("target").alias("url"), "level"
     )
@@ -105,11 +110,9 @@ def toc_links(pages: DataFrame, selector_id: int | None = None) -> DataFrame:
 
 def detect_content(pages: DataFrame) -> DataFrame:
     """The first content candidate that matches anything on a page, else ``body``."""
-    pages = clustered(pages.select("page_id", "html"))
-    found = select(html_nodes(pages), _CONTENT, keep=(), all_elements=True)
-    best = found.groupBy("page_id").agg(F.min(F.array_min("hits")).alias("_id"))
+    best = F.array_min(F.flatten(F.transform(hits(F.col("elements"), _CONTENT), lambda h: h["hits"])))
     named = F.coalesce(F.get(F.array(*[F.lit(s) for s in K.CONTENT_CANDIDATES]), F.col("_id")), F.lit("body"))
-    return pages.select("page_id").join(best, "page_id", "left").select("page_id", named.alias("selector"))
+    return shredded(pages).select("page_id", best.alias("_id")).select("page_id", named.alias("selector"))
 
 
 def detect_regions(pages: DataFrame) -> DataFrame:
@@ -119,19 +122,11 @@ def detect_regions(pages: DataFrame) -> DataFrame:
     the best navigation candidate that have a title and stay on the host, in document order. A page without
     navigation comes back with ``error``.
     """
-    pages = clustered(pages.select("page_id", "url", "html"))
-    nodes = html_nodes(pages, carry=["url"])
-    lists = {"level": F.col("tag").isin("ul", "ol")}
     n = len(_TOC)
-    found = select(nodes, _TOC + _CONTENT, keep=("raw", "url"), count_open=lists, all_elements=True)
-    found = found.withColumn("toc_hits", F.filter("hits", lambda h: h < n))
-    found = found.withColumn("raw", F.when(F.size("toc_hits") > 0, F.col("raw")))
-    found = _link_columns(found).withColumn("level", F.greatest("level", F.lit(1)))
-    link = F.struct("start_pos", "end_pos", "href", "target", "level", "valid", F.col("toc_hits").alias("hits"))
-    per_page = found.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.when(F.size("toc_hits") > 0, link))).alias("links"),
-        F.min(F.array_min(F.filter("hits", lambda h: h >= n))).alias("_content"),
-    )
+    rows = shredded(pages, ("page_id",), "url").withColumn("found", hits(F.col("elements"), _TOC + _CONTENT, _LISTS)).drop("elements")
+    links = _links(F.col("found"), lambda h: F.filter(h, lambda x: x < n), titles=True)
+    content = F.array_min(F.filter(F.flatten(F.transform("found", lambda h: h["hits"])), lambda x: x >= n))
+    per_page = rows.select("page_id", "url", links.alias("links"), content.alias("_content"))
     ids = F.array(*[F.lit(i) for i in range(n)])
 
     def score(i: Column) -> Column:
@@ -143,12 +138,11 @@ def detect_regions(pages: DataFrame) -> DataFrame:
     per_page = per_page.withColumn("best", F.array_max(F.transform(ids, score)))
     won = F.coalesce(F.col("best.score") > 0, F.lit(False))
     chosen = F.filter(
-        "links", lambda l: won & l["valid"] & F.array_contains(l["hits"], -F.col("best.turn"))
+        "links", lambda l: won & l["valid"] & F.array_contains(l["hits"], -F.col("best.turn")) & (l["title"] != "")
     )
-    titled = _with_titles(per_page.select("page_id", "_content", "best", chosen.alias("links")), pages)
-    kept = titled.withColumn("links", F.coalesce(F.filter("links", lambda l: l["title"] != ""), F.array()))
+    kept = per_page.withColumn("links", F.coalesce(chosen, F.array()))
     roots = F.size(F.filter("links", lambda l: l["level"] == 1)).cast("bigint")
-    content = F.coalesce(
+    named = F.coalesce(
         F.get(F.array(*[F.lit(s) for s in K.CONTENT_CANDIDATES]), F.col("_content") - n), F.lit("body")
     )
     kept = kept.withColumn("root_items", roots)
@@ -157,7 +151,7 @@ def detect_regions(pages: DataFrame) -> DataFrame:
         F.when(won, F.get(_toc_names(), -F.col("best.turn"))).alias("toc"),
         F.when(won, F.col("best.score")).alias("toc_score"),
         F.when(won, F.least(F.lit(1.0), F.col("best.score") / (F.col("root_items") + 1))).alias("confidence"),
-        content.alias("content"), "root_items", "links",
+        named.alias("content"), "root_items", "links",
         F.when(urls.host("url").isNull(), "bad_url").when(~won, "toc_not_found").alias("error"),
     )
 
@@ -172,10 +166,8 @@ def catalog_items(regions: DataFrame) -> DataFrame:
 
 def collapsed_nav(pages: DataFrame) -> DataFrame:
     """How many elements of folded-up navigation each page holds, by selector; its catalog is likely short."""
-    pairs = list(enumerate(K.COLLAPSED_SELECTORS))
-    nodes = html_nodes(clustered(pages.select("page_id", "html")))
     names = F.array(*[F.lit(s) for s in K.COLLAPSED_SELECTORS])
-    hits = css_select(nodes, pairs)
-    return hits.groupBy("page_id", F.get(names, F.col("selector_id")).alias("selector")).agg(
-        F.count(F.lit(1)).alias("elements")
-    )
+    found = hits(F.col("elements"), [(s, "css") for s in K.COLLAPSED_SELECTORS])
+    ids = F.flatten(F.transform(found, lambda h: h["hits"]))
+    rows = shredded(pages).select("page_id", F.explode_outer(ids).alias("_id")).where(F.col("_id").isNotNull())
+    return rows.groupBy("page_id", F.get(names, F.col("_id")).alias("selector")).agg(F.count(F.lit(1)).alias("elements"))

@@ -8,13 +8,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import constants as K
 from quire.functions.urls import url_hash
-from quire.operators.markdown import BODY, convert, normal_selector
-from quire.operators.selectors import MAX_SELECTORS, parse
+from quire.operators.markdown import convert_wanted, normal_selector
 from quire.operators.tree import flatten_catalog, output_paths
-
-KNOWN_SELECTORS = [BODY, *[(s, "css") for s in K.CONTENT_CANDIDATES]]
+from quire.session import settle
 
 
 class Fetch(NamedTuple):
@@ -26,22 +23,6 @@ class Fetch(NamedTuple):
     new_pages: DataFrame  # (url, html): what the cache does not hold yet
 
 
-def selectors_in(table: DataFrame, selector: Column, kind: Column) -> list[tuple[str, str]]:
-    """The distinct selectors of a table, checked. They end up in the plan, so their number is bounded."""
-    found = table.select(normal_selector(selector, kind).alias("s")).select("s.*").distinct().limit(MAX_SELECTORS + 1).collect()
-    if len(found) > MAX_SELECTORS:
-        raise ValueError(f"more than {MAX_SELECTORS} different selectors")
-    pairs = sorted((r["selector"], r["type"]) for r in found)
-    for selector_text, type_text in pairs:
-        parse(selector_text, type_text)
-    return pairs
-
-
-def want_index(pairs: Sequence[tuple[str, str]], selector: Column, kind: Column) -> Column:
-    known = F.array(*[F.struct(F.lit(s).alias("selector"), F.lit(t).alias("type")) for s, t in pairs])
-    return (F.array_position(known, normal_selector(selector, kind)) - 1).cast("int")
-
-
 def latest_html(pages: DataFrame) -> Column:
     """Aggregate: the html of the latest row, by ``fetched_at`` if there is such a column, then by the text."""
     order = ["fetched_at", "html"] if "fetched_at" in pages.columns else ["html"]
@@ -53,52 +34,43 @@ def find_pages(work: DataFrame, pages: DataFrame, cache: DataFrame | None) -> Da
 
     Of several pages with one address the latest by ``fetched_at`` counts, where there is that column, and of
     equally late ones the greatest text; the same holds for the cache. Pages that nobody asks for are dropped before
-    they are moved; the merge join leaves the rows placed by ``url_hash``, where the conversion needs them.
+    they are moved.
     """
     asked = work.select("url_hash").distinct()
     live = pages.withColumn("url_hash", url_hash("url")).join(asked, "url_hash", "left_semi")
     live = live.groupBy("url_hash").agg(latest_html(pages).alias("_live"))
-    found = work.join(live.hint("merge"), "url_hash", "left")
+    found = work.join(live, "url_hash", "left")
     if cache is None:
         return found.withColumn("html", F.col("_live")).withColumn("from_cache", F.lit(False)).drop("_live")
     kept = cache.join(asked, "url_hash", "left_semi")
     kept = kept.groupBy("url_hash").agg(latest_html(cache).alias("_kept"), F.lit(True).alias("_hit"))
-    found = found.join(kept.hint("merge"), "url_hash", "left")
+    found = found.join(kept, "url_hash", "left")
     hit = F.col("_hit").isNotNull()
     return found.withColumns({"html": F.when(hit, F.col("_kept")).otherwise(F.col("_live")), "from_cache": hit}).drop(
         "_live", "_kept", "_hit"
     )
 
 
-def place_items(
-    items: DataFrame,
-    catalogs: DataFrame,
-    root: str,
-    keys: Sequence[str] = ("site",),
-    selectors: Sequence[tuple[str, str]] | None = None,
-) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Items with the file they go to and the selector they are read with, and the list of selectors.
+def place_items(items: DataFrame, catalogs: DataFrame, root: str, keys: Sequence[str] = ("site",)) -> DataFrame:
+    """Items with the file they go to and the selector they are read with.
 
     ``items`` are tree rows ``(*keys, idx, depth, title, url)``, ``catalogs`` one row per ``keys`` with
-    ``selectors``; the argument ``selectors`` lists the content selectors that occur, to spare a look at the
-    catalogs.
+    ``selectors``; ``want`` is the catalog's content selector and type, null without a catalog.
     """
     keys = list(keys)
     flat = flatten_catalog(items, keys)
     site_root = F.concat_ws("/", F.lit(root), *[F.col(k).cast("string") for k in keys])
-    content, kind = F.col("selectors.content"), F.col("selectors.content_type")
-    pairs = list(selectors) if selectors is not None else selectors_in(catalogs, content, kind)
-    chosen = catalogs.select(*keys, want_index(pairs, content, kind).alias("want"))
+    want = normal_selector(F.col("selectors.content"), F.col("selectors.content_type"))
+    chosen = catalogs.select(*keys, want.alias("want"))
     placed = output_paths(flat, site_root).join(chosen, keys, "left").withColumn("url_hash", url_hash("url"))
     # where several items lead to one path, the one with the highest idx keeps it
     winners = placed.groupBy("output_path").agg(F.max("idx").alias("_kept"))
     placed = placed.join(winners, "output_path").withColumn("keeps_path", F.col("idx") == F.col("_kept"))
-    return placed.select(*keys, "idx", "title", "url", "url_hash", "want", "output_path", "keeps_path"), pairs
+    return placed.select(*keys, "idx", "title", "url", "url_hash", "want", "output_path", "keeps_path")
 
 
 def fetch_placed(
     placed: DataFrame,
-    selectors: Sequence[tuple[str, str]],
     pages: DataFrame,
     cache: DataFrame | None = None,
     done: DataFrame | None = None,
@@ -108,9 +80,9 @@ def fetch_placed(
     """Fetch items that have their place.
 
     ``done`` is ``(output_path, source)`` of what has been written. An item counts as done when its path and
-    its address are both there; it succeeds with no words. An address that several items name is converted
-    once per selector. An item that does not keep its path has a result, but writes no document; so a run that
-    is repeated has nothing to write.
+    its address are both there; it succeeds with no words. An address that several items name is taken apart
+    once, and converted once per selector. An item that does not keep its path has a result, but writes no document; so a run
+    that is repeated has nothing to write. An item whose selector is outside the grammar has an error of its own.
     """
     keys = list(keys)
     if done is None:
@@ -119,11 +91,10 @@ def fetch_placed(
         written = done.select("output_path", F.col("source").alias("url"), F.lit(True).alias("skipped")).distinct()
         placed = placed.join(written, ["output_path", "url"], "left")
         placed = placed.withColumn("skipped", F.coalesce("skipped", F.lit(False)))
-    work = placed.where(~F.col("skipped") & F.col("want").isNotNull()).select("url_hash", "url", "want").distinct()
+    work = placed.where(~F.col("skipped") & F.col("want").isNotNull()).groupBy("url_hash").agg(F.max("url").alias("url"), F.collect_set("want").alias("wants"))
     found = find_pages(work, pages, cache).withColumn("missing", F.col("html").isNull())
-    outcome = convert(
-        found, selectors, ("url_hash", "want"), carry=("from_cache", "missing"), placed=True, **options
-    ).drop("url", "title", "body")
+    outcome = convert_wanted(found, ("url_hash",), carry=("from_cache", "missing"), **options)
+    outcome = outcome.withColumn("want", F.struct("selector", "type")).drop("url", "title", "body", "selector", "type")
     skipped, converted_now = F.col("skipped"), F.col("content").isNotNull()
     results = placed.join(outcome, ["url_hash", "want"], "left").select(
         *keys, "idx", "title", "url", "output_path", "skipped", "from_cache",
@@ -156,9 +127,7 @@ def fetch_corpus(
     cache: DataFrame | None = None,
     done: DataFrame | None = None,
     keys: Sequence[str] = ("site",),
-    selectors: Sequence[tuple[str, str]] | None = None,
     **options,
 ) -> Fetch:
-    """Fetch all items of all catalogs: ``place_items``, then ``fetch_placed``."""
-    placed, pairs = place_items(items, catalogs, root, keys, selectors)
-    return fetch_placed(placed, pairs, pages, cache, done, keys, **options)
+    """Fetch all items of all catalogs: ``place_items``, settled as every part of the job reads it, then ``fetch_placed``."""
+    return fetch_placed(settle(place_items(items, catalogs, root, keys)), pages, cache, done, keys, **options)

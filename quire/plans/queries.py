@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pages_of(spark: SparkSession, sf: str) -> DataFrame:
-    return read_pages(spark, f"{sf}/pages.parquet")
+    return H.spread(read_pages(spark, f"{sf}/pages.parquet"))
 
 
 def stamp() -> Column:
@@ -71,7 +71,7 @@ def html_tokens(spark, sf):
 
 @query
 def html_nodes(spark, sf):
-    nodes = H.html_nodes(H.clustered(pages_of(spark, sf).select("page_id", "html")), parents=True)
+    nodes = H.html_nodes(pages_of(spark, sf).select("page_id", "html"), parents=True)
     return longs(nodes.select("page_id", "start_pos", "end_pos", "parent_pos", "depth", "tag"), "start_pos", "end_pos", "parent_pos", "depth")
 
 
@@ -84,7 +84,7 @@ def tag_attributes(spark, sf):
 
 @query
 def css_select(spark, sf):
-    pages = H.clustered(pages_of(spark, sf).select("page_id", "html"))
+    pages = pages_of(spark, sf).select("page_id", "html")
     nodes = H.html_nodes(pages)
     hits = S.css_select(nodes, list(enumerate(CSS)))
     return longs(hits.select("page_id", "selector_id", "start_pos", "end_pos"), "selector_id", "start_pos", "end_pos")
@@ -92,7 +92,7 @@ def css_select(spark, sf):
 
 @query
 def xpath_select(spark, sf):
-    nodes = H.html_nodes(H.clustered(pages_of(spark, sf).select("page_id", "html")))
+    nodes = H.html_nodes(pages_of(spark, sf).select("page_id", "html"))
     return longs(S.xpath_select(nodes, "//ul/li[2]/a"), "start_pos", "end_pos")
 
 
@@ -192,13 +192,13 @@ def _requests(spark, sf) -> DataFrame:
 
 @query
 def selector_checks(spark, sf):
-    checks = V.verify_selectors(_requests(spark, sf), pages_of(spark, sf), selectors=CHECKS, fetched_at=stamp())
+    checks = V.verify_selectors(_requests(spark, sf), pages_of(spark, sf), fetched_at=stamp())
     return longs(checks.select("url", "selector", "type", "success", "word_count", "bytes", "preview", "lines_left", "error"), "lines_left")
 
 
 @query
 def selector_coverage(spark, sf):
-    checks = V.verify_selectors(_requests(spark, sf), pages_of(spark, sf), selectors=CHECKS, fetched_at=stamp())
+    checks = V.verify_selectors(_requests(spark, sf), pages_of(spark, sf), fetched_at=stamp())
     return V.selector_coverage(checks)
 
 
@@ -237,7 +237,7 @@ def _done(spark, sf) -> DataFrame:
 def _fetch(spark, sf) -> FP.Fetch:
     return FP.fetch_corpus(
         _site_items(spark, sf), _site_catalogs(spark, sf), pages_of(spark, sf), "out", _page_cache(spark, sf),
-        _done(spark, sf), selectors=[("article", "css")], fetched_at=stamp(),
+        _done(spark, sf), fetched_at=stamp(),
     )
 
 
@@ -270,7 +270,7 @@ def fetch_stream(spark, sf):
     for attempt in ("first", "second"):
         stream_fetch(
             stream_pages(spark, *stream_place(spark, f"{sf}/pages.parquet")), _site_items(spark, sf), _site_catalogs(spark, sf), "out", out,
-            scratch_path(spark, f"stream-{attempt}"), selectors=[("article", "css")], fetched_at=stamp(),
+            scratch_path(spark, f"stream-{attempt}"), fetched_at=stamp(),
         ).awaitTermination()
     return spark.read.parquet(out).select("site", "output_path", "source", F.md5("content").alias("content_md5"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import urls
 from quire.operators.toc import catalog_items, detect_regions
+from quire.session import settle
 
 
 def scan_catalogs(
@@ -16,9 +17,9 @@ def scan_catalogs(
 
     Catalogs are ``(page_id, site, url, selectors, ai_generated, confidence, root_items, scanned_at, error)``,
     items tree rows ``(page_id, idx, parent_idx, depth, title, url)``. A page without navigation keeps its row
-    and says so in ``error``.
+    and says so in ``error``. Pages are taken apart once: both tables are read from one settled result.
     """
-    regions = detect_regions(pages)
+    regions = settle(detect_regions(pages))
     now = F.current_timestamp() if scanned_at is None else scanned_at
     catalogs = regions.select(
         "page_id", urls.host("url").alias("site"), "url",

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import preview_head, preview_rest
 from quire.functions.urls import host, url_hash
-from quire.operators.markdown import convert
+from quire.operators.markdown import convert_wanted, normal_selector
 from quire.operators.selectors import SELECTOR_TYPES
-from quire.plans.fetch import find_pages, selectors_in, want_index
+from quire.plans.fetch import find_pages
 
 
 def resolve_selector(requests: DataFrame, catalogs: DataFrame, key: str = "site") -> DataFrame:
@@ -39,21 +37,21 @@ def verify_selectors(
     requests: DataFrame,
     pages: DataFrame,
     cache: DataFrame | None = None,
-    selectors: Sequence[tuple[str, str]] | None = None,
     **options,
 ) -> DataFrame:
     """What every ``(url, selector, type)`` extracts.
 
     ``(url, selector, type, success, content, word_count, bytes, chars, preview, lines_left, error)``; the
-    selector ``body`` means css ``body`` whatever the type.
+    selector ``body`` means css ``body`` whatever the type. There may be any number of different selectors; one outside the
+    grammar fails by itself. A page is taken apart once for all its selectors.
     """
-    selector, kind = F.col("selector"), F.col("type")
-    pairs = list(selectors) if selectors is not None else selectors_in(requests, selector, kind)
-    asked = requests.select("url", "selector", "type").withColumn("url_hash", url_hash("url")).withColumn("want", want_index(pairs, selector, kind))
-    found = find_pages(asked.select("url_hash", "url", "want").distinct(), pages, cache)
-    found = found.withColumn("missing", F.col("html").isNull())
-    converted = convert(found, pairs, ("url_hash", "want"), carry=("missing",), placed=True, **options)
-    out = asked.join(converted.drop("url"), ["url_hash", "want"], "left")
+    want = normal_selector(F.col("selector"), F.col("type"))
+    asked = requests.select("url", "selector", "type").withColumns({"url_hash": url_hash("url"), "want": want})
+    work = asked.groupBy("url_hash").agg(F.max("url").alias("url"), F.collect_set("want").alias("wants"))
+    found = find_pages(work, pages, cache).withColumn("missing", F.col("html").isNull())
+    converted = convert_wanted(found, ("url_hash",), carry=("missing",), **options)
+    converted = converted.withColumn("want", F.struct("selector", "type")).drop("url", "selector", "type")
+    out = asked.join(converted, ["url_hash", "want"], "left")
     ok = F.col("content").isNotNull()
     return out.select(
         "url", "selector", "type", ok.alias("success"), "content",

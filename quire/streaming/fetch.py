@@ -23,7 +23,6 @@ def stream_fetch(
     checkpoint: str,
     keys: Sequence[str] = ("site",),
     on_batch: Callable[[int, DataFrame], None] | None = None,
-    selectors: Sequence[tuple[str, str]] | None = None,
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
@@ -34,8 +33,7 @@ def stream_fetch(
     stopping loses no finished work. ``on_batch`` gets the number and the results of every batch.
     """
 
-    placed, pairs = place_items(items, catalogs, root, keys, selectors)
-    placed = settle(placed)
+    placed = settle(place_items(items, catalogs, root, keys))
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -45,7 +43,7 @@ def stream_fetch(
         except AnalysisException:
             done = None  # nothing has been written yet
         due = placed.join(batch.select("url"), "url", "left_semi")
-        fetch = fetch_placed(due, pairs, wave, done=done, keys=keys, **options)
+        fetch = fetch_placed(due, wave, done=done, keys=keys, **options)
         write_markdown(fetch.documents, output)
         if on_batch is not None:
             on_batch(number, fetch.results)
