@@ -15,3 +15,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     made of. Parsing steps that feed each other would grow without bound.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def then(state: Column, value: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """The next state of a fold, ``body`` of the state and of ``value``, which is evaluated once.
+
+    ``let`` copies what its body returns; a fold's state may be large, and is handed on as it is here.
+    """
+    return F.aggregate(F.array(value), state, body)

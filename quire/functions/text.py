@@ -149,9 +149,10 @@ _WINDOWS = {code: text for code in range(0x80, 0xA0) if (text := bytes([code]).d
 
 
 def with_names(body: Callable[[Column], Column]) -> Column:
-    """``body`` of the table of named references, for expressions that decode more than one value: the table is one long text,
-    and stands in the plan once."""
-    return let(F.lit("\1" + "\1".join(f"&{name}\2{text}" for name, text in html5.items()) + "\1"), body)
+    """``body`` of the map of named references, for expressions that decode more than one value: the map is a constant made from one
+    long text, and stands in the plan once."""
+    text = "\1".join(f"&{name}\2{value}" for name, value in html5.items())
+    return let(F.str_to_map(F.lit(text), F.lit("\1"), F.lit("\2")), body)
 
 
 def unescape(c: Column | str, attribute: bool = False, names: Column | None = None) -> Column:
@@ -162,7 +163,7 @@ def unescape(c: Column | str, attribute: bool = False, names: Column | None = No
     """
     if names is None:
         return with_names(lambda names: unescape(c, attribute, names))
-    look_up = lambda name: F.nullif(F.split_part(F.split_part(names, F.concat(F.lit("\1"), name, F.lit("\2")), F.lit(2)), F.lit("\1"), F.lit(1)), F.lit(""))
+    look_up = lambda name: F.try_element_at(names, name)
     old = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
     ends = "(?![=A-Za-z0-9])" if attribute else ""
     pattern = rf"&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[A-Za-z][A-Za-z0-9]*+;|&(?:{old}){ends}|[^&]++|&"

@@ -11,14 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
-from quire.functions.bind import let
+from quire.functions.bind import let, then
 
 #: What a tag does.
 NONE, VOID, START_INLINE, END_INLINE, START, END = range(6)
 #: What an open element is: a pair of tags, one whose end tag is left out, an inline one, any other without an end tag.
 PAIRED, LOOSE, INLINE, OPEN = range(4)
 
-PILE = 256
+PILE = 128
 
 HEAD = "struct<pos:int,tag:string,role:int,rank:int,optional:boolean,raw:string>"
 _SPAN = "struct<start_pos:int,end_pos:int,parent_pos:int,depth:int>"
@@ -29,17 +29,21 @@ def empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def piled(state: Column, values: Column) -> list[Column]:
-    """The fields ``cur`` and ``done`` of a fold's state with ``values`` added."""
-    full = F.size(state["cur"]) + F.size(values) > PILE
-    add = F.size(values) > 0
-    cur = F.when(~add, state["cur"]).when(full, values).otherwise(F.concat(state["cur"], values))
-    done = F.when(add & full, F.concat(state["done"], F.array(state["cur"]))).otherwise(state["done"])
-    return [cur.alias("cur"), done.alias("done")]
+def pile(kind: str) -> Column:
+    """The field ``pile`` of a fold's state, empty."""
+    return F.struct(empty(kind).alias("cur"), empty(f"array<{kind}>").alias("done")).alias("pile")
+
+
+def piled(state: Column, values: Column) -> Column:
+    """The field ``pile`` of a fold's state with ``values``, which should be bound, added."""
+    held = state["pile"]
+    full = F.struct(values.alias("cur"), F.concat(held["done"], F.array(held["cur"])).alias("done"))
+    more = F.struct(F.concat(held["cur"], values).alias("cur"), held["done"].alias("done"))
+    return F.when(F.size(values) == 0, held).when(F.size(held["cur"]) + F.size(values) > PILE, full).otherwise(more).alias("pile")
 
 
 def unpiled(state: Column) -> Column:
-    return F.concat(F.flatten(state["done"]), state["cur"])
+    return F.concat(F.flatten(state["pile"]["done"]), state["pile"]["cur"])
 
 
 def _rank(tag: Column) -> Column:
@@ -68,20 +72,21 @@ def _paired_starts(tags: Column) -> Column:
 
     Tags pair like brackets of one name; a paragraph only if no paragraph or block starts before its end.
     """
-    start = F.struct(empty("string").alias("ends"), F.lit(False).alias("closing"), empty("int").alias("cur"), empty("array<int>").alias("done"))
+    start = F.struct(empty("string").alias("ends"), F.lit(False).alias("closing"), pile("int"))
 
     def merge(s: Column, h: Column) -> Column:
         starts, ends, p = h["role"] == START, h["role"] == END, h["tag"] == "p"
         at = F.when(starts & ~p, F.array_position(s["ends"], h["tag"])).otherwise(F.lit(0).cast("bigint"))
 
-        def with_place(at: Column) -> Column:
+        def with_place(s: Column, at: Column) -> Column:
             rest = F.concat(F.slice(s["ends"], F.lit(1), (at - 1).cast("int")), F.slice(s["ends"], (at + 1).cast("int"), F.size(s["ends"])))
             left = F.when(ends & ~p, F.array_append(s["ends"], h["tag"])).when(at > 0, rest).otherwise(s["ends"])
             paired = (at > 0) | (starts & p & s["closing"])
             closing = F.when((starts | ends) & p, ends).when(starts & h["rank"].eqNullSafe(F.lit(3)), False).otherwise(s["closing"])
-            return F.struct(left.alias("ends"), closing.alias("closing"), *piled(s, F.when(paired, F.array(h["pos"])).otherwise(empty("int"))))
+            found = F.when(paired, F.array(h["pos"])).otherwise(empty("int"))
+            return then(s, found, lambda s, found: F.struct(left.alias("ends"), closing.alias("closing"), piled(s, found)))
 
-        return let(at, with_place)
+        return then(s, at, with_place)
 
     return F.aggregate(F.reverse(tags), start, merge, unpiled)
 
@@ -94,7 +99,7 @@ def spans(tags: Column, size: Column) -> Column:
     """
     start = F.struct(
         empty(_OPENED).alias("open"), empty("string").alias("keys"), F.lit(0).alias("base"), F.lit(0).alias("used"),
-        empty(_SPAN).alias("cur"), empty(f"array<{_SPAN}>").alias("done"),
+        pile(_SPAN),
     )
 
     def place(values: Column) -> Column:
@@ -102,60 +107,63 @@ def spans(tags: Column, size: Column) -> Column:
         return F.nullif(F.array_position(values, F.lit(True)), F.lit(0)).cast("int")
 
     def merge(s: Column, h: Column, paired_at: Column) -> Column:
-        opened, base, count = s["open"], s["base"], F.size(s["open"])
-        # the elements of the innermost pair of tags: left-out ends of rising rank, then inline ones
-        above = F.slice(opened, base + 1, F.greatest(count - base, F.lit(0)))
         paired = (h["role"] == START) & (F.get(paired_at, s["used"]) == h["pos"])
         closes = (h["role"] == END) & F.array_contains(s["keys"], h["tag"])
+        flags = F.struct(F.coalesce(paired, F.lit(False)).alias("paired"), closes.alias("closes"), F.size(s["open"]).alias("count"))
+        return F.when(h["role"] == NONE, s).otherwise(then(s, flags, lambda s, f: with_flags(s, h, f)))
 
-        def with_flags(f: Column) -> Column:
-            paired, closes = f["paired"], f["closes"]
-            loose = h["optional"] & (((h["role"] == END) & ~closes) | ((h["role"] == START) & ~paired))
-            ended = place(F.transform(above, lambda e: (e["kind"] == LOOSE) & (e["rank"] >= h["rank"])))
-            inline = place(F.transform(above, lambda e: e["kind"] == INLINE))
-            same = F.array_position(F.reverse(F.transform(above, lambda e: e["key"])), h["tag"])  # from the top
+    def with_flags(s: Column, h: Column, f: Column) -> Column:
+        base, count = s["base"], f["count"]
+        # the elements of the innermost pair of tags: left-out ends of rising rank, then inline ones
+        above = F.slice(s["open"], base + 1, F.greatest(count - base, F.lit(0)))
+        loose = h["optional"] & (((h["role"] == END) & ~f["closes"]) | ((h["role"] == START) & ~f["paired"]))
+        ended = place(F.transform(above, lambda e: (e["kind"] == LOOSE) & (e["rank"] >= h["rank"])))
+        inline = place(F.transform(above, lambda e: e["kind"] == INLINE))
+        # from the top
+        same = F.when(h["role"] == END_INLINE, F.array_position(F.reverse(F.transform(above, lambda e: e["key"])), h["tag"])).otherwise(F.lit(0).cast("bigint"))
+
+        def kept(same: Column) -> Column:
             keep = (
-                F.when(closes, base - 1)
+                F.when(f["closes"], base - 1)
                 .when(loose, F.coalesce(base + F.least(ended, inline) - 1, count))
-                .when(paired & h["rank"].isNotNull(), F.coalesce(base + ended - 1, count))
-                .when((h["role"] == END_INLINE) & (same > 0), count - 1)
+                .when(f["paired"] & h["rank"].isNotNull(), F.coalesce(base + ended - 1, count))
+                .when(same > 0, count - 1)
                 .otherwise(count)
             )
+            return F.struct(keep.alias("keep"), same.cast("int").alias("same"))
+
+        return then(s, let(same, kept), lambda s, k: with_keep(s, h, f, k))
+
+    def with_keep(s: Column, h: Column, f: Column, k: Column) -> Column:
+        opened, base, count, keep = s["open"], s["base"], f["count"], k["keep"]
+        parent = F.when(keep > 0, F.get(opened, keep - 1)["pos"])
+        gone = F.transform(F.slice(opened, keep + 1, F.greatest(count - keep, F.lit(0))), lambda e: _span(e, h["pos"]))
+        void = F.struct(h["pos"].alias("start_pos"), (h["pos"] + 1).alias("end_pos"), parent.alias("parent_pos"), (keep + 1).alias("depth"))
+        out = F.when(h["role"] == VOID, F.array(void)).when(keep < count, gone).otherwise(empty(_SPAN))
+
+        def next_(s: Column, out: Column) -> Column:
+            opened, base = s["open"], s["base"]
+            # where inline elements overlap, they exchange their ends: the innermost one ends, the others move their names up
+            moves = (h["role"] == END_INLINE) & (keep < count) & (F.get(opened, count - 1)["key"] != h["tag"])
+            moved = F.transform(F.slice(opened, F.lit(1), keep), lambda e, i: F.when(i >= count - k["same"], e.withField("key", F.get(opened, i + 1)["key"])).otherwise(e))
+            rest = F.when(keep == count, opened).when(moves, moved).otherwise(F.slice(opened, F.lit(1), keep))
+            kind = F.when(h["role"] == START_INLINE, INLINE).when(f["paired"], PAIRED).when(h["optional"], LOOSE).otherwise(OPEN)
+            entry = F.struct(
+                h["pos"].alias("pos"), kind.alias("kind"), h["rank"].alias("rank"), F.when(h["role"] == START_INLINE, h["tag"]).otherwise("").alias("key"),
+                base.alias("base"), parent.alias("parent"), (keep + 1).alias("depth"),
+            )
+            pushes = h["role"].isin(START, START_INLINE)
+            at = F.array_position(s["keys"], h["tag"]).cast("int")
+            keys = F.when(f["closes"], F.concat(F.slice(s["keys"], F.lit(1), at - 1), F.slice(s["keys"], at + 1, F.size(s["keys"]))))
+            return F.struct(
+                F.when(pushes, F.array_append(rest, entry)).otherwise(rest).alias("open"),
+                keys.when(f["paired"], F.array_append(s["keys"], h["tag"])).otherwise(s["keys"]).alias("keys"),
+                F.when(f["closes"], F.get(opened, base - 1)["base"]).when(f["paired"], keep + 1).otherwise(base).alias("base"),
+                (s["used"] + F.when(f["paired"], 1).otherwise(0)).alias("used"),
+                piled(s, out),
+            )
 
-            def with_keep(keep: Column) -> Column:
-                # where inline elements overlap, they exchange their ends: the innermost one ends, the others move their names up
-                moved = F.when(
-                    (h["role"] == END_INLINE) & (keep < count) & (F.element_at(opened, -1)["key"] != h["tag"]),
-                    F.transform(F.slice(opened, F.lit(1), keep), lambda e, i: F.when(i >= count - same.cast("int"), e.withField("key", F.get(opened, i + 1)["key"])).otherwise(e)),
-                )
-                kept = F.when(keep == count, opened).otherwise(F.coalesce(moved, F.slice(opened, F.lit(1), keep)))
-                parent = F.when(keep > 0, F.get(opened, keep - 1)["pos"])
-                kind = F.when(h["role"] == START_INLINE, INLINE).when(paired, PAIRED).when(h["optional"], LOOSE).otherwise(OPEN)
-                entry = F.struct(
-                    h["pos"].alias("pos"), kind.alias("kind"), h["rank"].alias("rank"), F.when(kind == INLINE, h["tag"]).otherwise("").alias("key"),
-                    base.alias("base"), parent.alias("parent"), (keep + 1).alias("depth"),
-                )
-                pushes = h["role"].isin(START, START_INLINE)
-                at = F.array_position(s["keys"], h["tag"]).cast("int")
-                keys = F.when(closes, F.concat(F.slice(s["keys"], F.lit(1), at - 1), F.slice(s["keys"], at + 1, F.size(s["keys"]))))
-                gone = F.transform(F.slice(opened, keep + 1, F.greatest(count - keep, F.lit(0))), lambda e: _span(e, h["pos"]))
-                void = F.struct(h["pos"].alias("start_pos"), (h["pos"] + 1).alias("end_pos"), parent.alias("parent_pos"), (keep + 1).alias("depth"))
-                out = F.when(h["role"] == VOID, F.array(void)).when(keep < count, gone).otherwise(empty(_SPAN))
-                return let(
-                    out,
-                    lambda out: F.struct(
-                        F.when(pushes, F.array_append(kept, entry)).otherwise(kept).alias("open"),
-                        keys.when(paired, F.array_append(s["keys"], h["tag"])).otherwise(s["keys"]).alias("keys"),
-                        F.when(closes, F.get(opened, base - 1)["base"]).when(paired, keep + 1).otherwise(base).alias("base"),
-                        (s["used"] + F.when(paired, 1).otherwise(0)).alias("used"),
-                        *piled(s, out),
-                    ),
-                )
-
-            return let(keep, with_keep)
-
-        step = let(F.struct(F.coalesce(paired, F.lit(False)).alias("paired"), closes.alias("closes")), with_flags)
-        return F.when(h["role"] == NONE, s).otherwise(step)
+        return then(s, out, next_)
 
     def finish(s: Column) -> Column:
         return F.sort_array(F.concat(unpiled(s), F.transform(s["open"], lambda e: _span(e, size))))

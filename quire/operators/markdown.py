@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
-from quire.functions.bind import let
+from quire.functions.bind import let, then
 from quire.functions.text import clean_markdown, count_words, format_time, front_matter, trim_unicode, unescape, with_names
-from quire.operators.elements import empty, piled, unpiled
+from quire.operators.elements import empty, pile, piled, unpiled
 from quire.operators.html import PAGE, attr, attribute_list, inner_html, inner_text, name_of, shredded, tag_of, text_of
 from quire.operators.selectors import UNSUPPORTED, compiled, first_span, hits, parse
 
@@ -36,6 +36,7 @@ STRONG, EMPHASIS, CODE, FENCE, BULLET, RULE, QUOTE = "**", "_", "`", "```", "- "
 INLINE_MARKS = {"strong": STRONG, "b": STRONG, "em": EMPHASIS, "i": EMPHASIS, "code": CODE}
 LINE_TAGS = ["li", "tr", "dt", "dd", "br", "option"]
 CELL_TAGS = ["td", "th"]
+HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 HEAD_TAGS = ["head", "title"]  # not part of a body
 SPACED_TAGS = [t for t in K.BLOCK_TAGS if t not in ("html", "body", "thead", "tbody", "tfoot")] + ["p", "hr"]
 
@@ -63,12 +64,13 @@ def cuts(elements: Column, prune_ads: bool = False) -> Column:
     Advertisement classes are only looked at with ``prune_ads``: by default attributes are stripped first.
     """
     kind = "struct<start_pos:int,end_pos:int,void:boolean,tag:string>"
-    start = F.struct(F.lit(0).alias("end"), empty(kind).alias("cur"), empty(f"array<{kind}>").alias("done"))
+    start = F.struct(F.lit(0).alias("end"), pile(kind))
 
     def merge(s: Column, h: Column) -> Column:
         outer = h["start_pos"] >= s["end"]
         cut = F.struct(*[h[c].alias(c) for c in ("start_pos", "end_pos", "void", "tag")])
-        return F.struct(F.when(outer, h["end_pos"]).otherwise(s["end"]).alias("end"), *piled(s, F.when(outer, F.array(cut)).otherwise(empty(kind))))
+        out = F.when(outer, F.array(cut)).otherwise(empty(kind))
+        return then(s, out, lambda s, out: F.struct(F.when(outer, h["end_pos"]).otherwise(s["end"]).alias("end"), piled(s, out)))
 
     return F.aggregate(hits(elements, _prune_selectors(prune_ads)), start, merge, unpiled)
 
@@ -138,8 +140,6 @@ def extract_text(pages: DataFrame, selector: str, kind: str = "css", keys: Seque
 
 # ---- events -------------------------------------------------------------------------------------------------------
 
-_EVENT = "struct<pos:int,phase:int,turn:int,ev:string,tag:string,raw:string,text:string>"
-
 
 def _events(tokens: Column, elements: Column, start: Column, end: Column) -> Column:
     """Start, end and text events, in order, of the tokens from ``start`` to before ``end``.
@@ -148,9 +148,10 @@ def _events(tokens: Column, elements: Column, start: Column, end: Column) -> Col
     """
 
     def event(pos: Column, phase: int, turn: Column, name: Column, of: Column | None = None, text: Column | None = None) -> Column:
-        tag, raw = (of["tag"], of["raw"]) if of is not None else (F.lit(None), F.lit(None))
-        fields = [pos, F.lit(phase), turn, name, tag, raw, F.lit(None) if text is None else text]
-        return F.struct(*[c.alias(n) for c, n in zip(fields, ("pos", "phase", "turn", "ev", "tag", "raw", "text"))]).cast(_EVENT)
+        none = F.lit(None).cast("string")
+        tag, raw = (of["tag"], of["raw"]) if of is not None else (none, none)
+        fields = [pos, F.lit(phase), turn, name, tag, raw, none if text is None else text]
+        return F.struct(*[c.alias(n) for c, n in zip(fields, ("pos", "phase", "turn", "ev", "tag", "raw", "text"))])
 
     texts = F.transform(F.slice(tokens, start + 1, F.greatest(end - start, F.lit(0))), lambda t, i: event(start + i, 2, F.lit(0), F.lit("text"), None, text_of(t)))
     inside = F.filter(elements, lambda e: (e["start_pos"] > start) & (e["start_pos"] < end))
@@ -179,7 +180,7 @@ def _items(events: Column, tables: str, prune_ads: bool, names: Column) -> Colum
     """The events that show or break lines, outside what cleaning removes."""
     start = F.struct(
         *[F.lit(0).alias(c) for c in ("cuts", "pre", "code", "quote", "indent")], empty("struct<kind:string,items:int>").alias("lists"),
-        empty(_ITEM).alias("cur"), empty(f"array<{_ITEM}>").alias("done"),
+        pile(_ITEM),
     )
 
     def merge(s: Column, x: Column) -> Column:
@@ -202,14 +203,12 @@ def _items(events: Column, tables: str, prune_ads: bool, names: Column) -> Colum
                 .otherwise(s["lists"])
             )
             gone = cut | (now["cuts"] > 0)
-            return let(F.struct(*[c.alias(n) for n, c in now.items()], lists.alias("lists"), gone.alias("gone")), item_on)
+            return let(F.struct(*[c.alias(n) for n, c in now.items()], lists.alias("lists"), gone.alias("gone")), with_kind)
 
-        def item_on(now: Column) -> Column:
-            pre, code = now["pre"] > 0, now["code"] > 0
+        def with_kind(now: Column) -> Column:
             depth = F.size(now["lists"])
-            top = F.when(depth > 0, F.get(now["lists"], depth - 1))
-            marked = tag.isin([*INLINE_MARKS, "a"]) & ~((tag == "code") & pre)
-            heading = tag.rlike(r"\Ah[1-6]\z")
+            marked = tag.isin([*INLINE_MARKS, "a"]) & ~((tag == "code") & (now["pre"] > 0))
+            heading = F.coalesce(tag.isin(HEADINGS), F.lit(False))
             kind = (
                 F.when(ev == "text", "T")
                 .when(opens & marked, "M")
@@ -220,21 +219,29 @@ def _items(events: Column, tables: str, prune_ads: bool, names: Column) -> Colum
                 .when(opens & tag.isin(CELL_TAGS), "C")
                 .when(tag.isin(SPACED_TAGS + LINE_TAGS), "B")
             )
+            top = F.when(depth > 0, F.get(now["lists"], depth - 1))
+            known = F.struct(F.when(~now["gone"], kind).alias("kind"), heading.alias("heading"), top.alias("top"), (now["pre"] > 0).alias("pre"), (now["code"] > 0).alias("code"))
+            item = let(known, lambda k: F.when(k["kind"].isNotNull(), F.array(shown(now, k))).otherwise(empty(_ITEM)))
+            return F.struct(now.alias("now"), item.alias("item"))
+
+        def shown(now: Column, k: Column) -> Column:
+            depth, top, kind = F.size(now["lists"]), k["top"], k["kind"]
             level = (
-                F.when(is_list & (depth - F.when(opens, 1).otherwise(0) > 0), 1)
+                F.when(ev == "text", 0)
+                .when(is_list & (depth - F.when(opens, 1).otherwise(0) > 0), 1)
                 .when(tag.isin(SPACED_TAGS), 2)
                 .when(tag.isin(LINE_TAGS), 1)
                 .otherwise(0)
             )
-            plain = unescape(F.when(pre, x["text"]).otherwise(F.regexp_replace(x["text"], r"[ \t\n\r\f]+", " ")), names=names)
+            plain = unescape(F.when(k["pre"], x["text"]).otherwise(F.regexp_replace(x["text"], r"[ \t\n\r\f]+", " ")), names=names)
             attribute = lambda name: F.coalesce(attr(name, raw, names), F.lit(""))
             is_li = opens & (tag == "li")
             mark = (
-                F.when(ev == "text", F.when(pre | code, plain).otherwise(escape_text(plain, tables)))
+                F.when(ev == "text", let(plain, lambda p: F.when(k["pre"] | k["code"], p).otherwise(escape_text(p, tables))))
                 .when((ev == "void") & (tag == "img"), F.concat(F.lit("!["), attribute("alt"), F.lit("]("), attribute("src"), F.lit(")")))
                 .when((ev == "void") & (tag == "hr"), RULE)
                 .when(kind == "C", "")
-                .when(opens & heading, F.concat(F.repeat(F.lit("#"), F.substr(tag, F.lit(2)).try_cast("int")), F.lit(" ")))
+                .when(opens & k["heading"], F.concat(F.repeat(F.lit("#"), F.substr(tag, F.lit(2)).try_cast("int")), F.lit(" ")))
                 .when(is_li, F.when(top["kind"] == "ol", F.concat(top["items"].cast("string"), F.lit(". "))).otherwise(BULLET))
                 .when(opens & (tag == "pre"), FENCE + "\n")
                 .when(closes & (tag == "pre"), "\n" + FENCE)
@@ -245,15 +252,14 @@ def _items(events: Column, tables: str, prune_ads: bool, names: Column) -> Colum
                 .when(tag == "code", CODE)
             )
             width = F.when(top["kind"] == "ol", 3).otherwise(2)
-            item = F.struct(
+            return F.struct(
                 kind.alias("kind"), level.alias("level"), ((ev == "void") & (tag == "br")).alias("br"), F.when(closes, -x["turn"]).otherwise(x["pos"]).alias("own"),
-                ev.alias("ev"), heading.alias("heading"), (tag == "hr").alias("rule"), mark.alias("mark"), pre.alias("pre"), code.alias("code"), now["quote"].alias("quote"),
-                F.greatest(now["indent"] - F.when(is_li, width).otherwise(0), F.lit(0)).alias("indent"),
-            ).cast(_ITEM)
-            seen = F.when(~now["gone"] & kind.isNotNull(), F.array(item)).otherwise(empty(_ITEM))
-            return let(seen, lambda seen: F.struct(*[now[c].alias(c) for c in ("cuts", "pre", "code", "quote", "indent", "lists")], *piled(s, seen)))
+                ev.alias("ev"), k["heading"].alias("heading"), (tag == "hr").alias("rule"), mark.alias("mark"), k["pre"].alias("pre"), k["code"].alias("code"),
+                now["quote"].alias("quote"), F.greatest(now["indent"] - F.when(is_li, width).otherwise(0), F.lit(0)).alias("indent"),
+            )
 
-        return let(cut, counted)
+        names_of_state = ("cuts", "pre", "code", "quote", "indent", "lists")
+        return then(s, let(cut, counted), lambda s, x: F.struct(*[x["now"][c].alias(c) for c in names_of_state], piled(s, x["item"])))
 
     return F.aggregate(events, start, merge, unpiled)
 
@@ -293,36 +299,42 @@ def _joined(items: Column, hollow: Column, tables: str) -> Column:
     """The pieces with the breaks that are due between them, as one text."""
     start = F.struct(
         F.lit(0).alias("level"), F.lit(0).alias("brs"), F.lit(True).alias("first"), F.lit(False).alias("after"), F.lit(False).alias("ruled"), F.lit(0).alias("quoted"),
-        empty("string").alias("cur"), empty("array<string>").alias("done"),
+        pile("string"),
     )
 
     def merge(s: Column, f: Column) -> Column:
         x = f["x"]
-        empty_mark = (x["kind"].isin("M", "E") | (x["heading"] & (x["ev"] == "open"))) & (x["ev"] != "void") & F.array_contains(hollow, x["own"])
+        bare = (x["kind"].isin("M", "E") | (x["heading"] & (x["ev"] == "open"))) & (x["ev"] != "void") & F.array_contains(hollow, x["own"])
 
-        def of(no_mark: Column) -> Column:
-            solid = f["solid"] & ~no_mark
+        def of(bare: Column) -> Column:
             level, brs = F.greatest(s["level"], x["level"]), s["brs"] + F.when(x["br"], 1).otherwise(0)
             breaks = F.when(s["ruled"], 2).otherwise(F.least(F.lit(2), F.greatest(level, brs)))
-            breaking = (breaks > 0) & ~s["after"]
+            fields = [(f["solid"] & ~bare).alias("solid"), level.alias("level"), brs.alias("brs"), F.when(s["after"], 0).otherwise(breaks).alias("breaks")]
+            return let(F.struct(*fields, bare.alias("bare")), with_piece)
+
+        def with_piece(now: Column) -> Column:
             margin = F.concat(F.repeat(F.lit(QUOTE), x["quote"]), F.repeat(F.lit(" "), x["indent"]))
             between = F.rtrim(F.repeat(F.lit(QUOTE), F.least(x["quote"], s["quoted"])))
             lead_in = (
                 F.when(s["first"], margin)
-                .when(~breaking, F.when(x["kind"] == "C", F.lit(" | " if tables == "pipe" else " ")).otherwise(""))
-                .when(breaks == 1, F.concat(F.lit("\n"), margin))
+                .when(now["breaks"] == 0, F.when(x["kind"] == "C", F.lit(" | " if tables == "pipe" else " ")).otherwise(""))
+                .when(now["breaks"] == 1, F.concat(F.lit("\n"), margin))
                 .otherwise(F.concat(F.lit("\n"), between, F.lit("\n"), margin))
             )
-            begins = s["first"] | breaking | s["after"]
+            begins = s["first"] | (now["breaks"] > 0) | s["after"]
             own = F.when((x["ev"] == "text") & begins & ~x["pre"], F.when(x["code"], F.ltrim(x["mark"])).otherwise(escape_line(F.ltrim(x["mark"])))).otherwise(x["mark"])
-            piece = F.when(solid, F.concat(lead_in, own)).when(x["kind"].isin("E", "F") & ~no_mark, x["mark"])
+            piece = F.when(now["solid"], F.array(F.concat(lead_in, own))).when(x["kind"].isin("E", "F") & ~now["bare"], F.array(x["mark"])).otherwise(empty("string"))
+            return F.struct(now["solid"].alias("solid"), now["level"].alias("level"), now["brs"].alias("brs"), piece.alias("piece"))
+
+        def step(s: Column, now: Column) -> Column:
+            solid = now["solid"]
             return F.struct(
-                F.when(solid, 0).otherwise(level).alias("level"), F.when(solid, 0).otherwise(brs).alias("brs"), (s["first"] & ~solid).alias("first"),
+                F.when(solid, 0).otherwise(now["level"]).alias("level"), F.when(solid, 0).otherwise(now["brs"]).alias("brs"), (s["first"] & ~solid).alias("first"),
                 F.when(solid, x["kind"] == "S").otherwise(s["after"]).alias("after"), F.when(solid, F.coalesce(x["rule"], F.lit(False))).otherwise(s["ruled"]).alias("ruled"),
-                F.when(solid, x["quote"]).otherwise(s["quoted"]).alias("quoted"), *piled(s, F.when(piece.isNotNull(), F.array(piece)).otherwise(empty("string"))),
+                F.when(solid, x["quote"]).otherwise(s["quoted"]).alias("quoted"), piled(s, now["piece"]),
             )
 
-        return let(F.coalesce(empty_mark, F.lit(False)), of)
+        return then(s, let(F.coalesce(bare, F.lit(False)), of), step)
 
     return F.array_join(F.aggregate(items, start, merge, unpiled), "")
 
@@ -360,23 +372,22 @@ def _records(rows: DataFrame, keys: list[str], fetched_at: Column | str | None,
     A ``whole`` page has a record, be it empty."""
     if tables not in ("text", "pipe"):
         raise ValueError("tables must be 'text' or 'pipe'")
-    done = rendered(F.col("tokens"), F.col("elements"), F.col("span.start_pos"), F.col("span.end_pos"), tables, prune_ads)
-    rows = rows.select(*keys, "url", *carry, "bad", F.when(F.col("span").isNotNull(), done).alias("_r"))
-    rows = rows.withColumn("body", clean_markdown("_r.markdown", strip_class_names, fence_whitelist))
-    rows = rows.withColumn("word_count", count_words("body").cast("bigint"))
-    ok = F.lit(True) if whole else F.coalesce(F.col("_r.matched"), F.lit(False))
     now = F.lit(fetched_at).cast("timestamp") if isinstance(fetched_at, str) else fetched_at
     stamp = format_time(F.current_timestamp() if now is None else now)
-    content = F.col("body")
-    if include_meta:
-        content = F.concat(front_matter(F.col("_r.title"), F.col("url"), stamp, F.col("word_count")), F.col("body"))
-    return rows.select(
-        *keys, "url",
-        F.when(ok, F.col("_r.title")).alias("title"),
-        F.when(ok, content).alias("content"),
-        F.when(ok, F.col("body")).alias("body"),
-        F.when(ok, F.col("word_count")).alias("word_count"),
-        F.when(F.col("bad"), UNSUPPORTED).when(~ok, "content_not_found").alias("error"),
+
+    def record(r: Column) -> Column:
+        def of(body: Column, words: Column) -> Column:
+            content = F.concat(front_matter(r["title"], F.col("url"), stamp, words), body) if include_meta else body
+            return F.struct(r["title"].alias("title"), content.alias("content"), body.alias("body"), words.alias("word_count"))
+
+        done = let(clean_markdown(r["markdown"], strip_class_names, fence_whitelist), lambda body: let(count_words(body).cast("bigint"), lambda words: of(body, words)))
+        return F.when(F.lit(True) if whole else r["matched"], done)
+
+    done = let(rendered(F.col("tokens"), F.col("elements"), F.col("span.start_pos"), F.col("span.end_pos"), tables, prune_ads), record)
+    found = rows.select(*keys, "url", *carry, "bad", F.when(F.col("span").isNotNull(), done).alias("_r"))
+    return found.select(
+        *keys, "url", *[F.col(f"_r.{c}").alias(c) for c in ("title", "content", "body", "word_count")],
+        F.when(F.col("bad"), UNSUPPORTED).when(F.col("_r").isNull(), "content_not_found").alias("error"),
         *carry,
     )
 

@@ -19,9 +19,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.bind import let
+from quire.functions.bind import let, then
 from quire.functions.text import with_names
-from quire.operators.elements import empty, piled, unpiled
+from quire.operators.elements import empty, pile, piled, unpiled
 from quire.operators.html import PAGE, attribute_map, attrs
 
 SELECTOR_TYPES = ("css", "xpath")
@@ -226,58 +226,60 @@ def hits(
     out_fields = ["i:int", *[f"m{w}:bigint" for w in words], *[f"c{i}:int" for i in range(len(counted))]]
     out_type = f"struct<{','.join(out_fields)}>"
     zeros = F.struct(*[F.lit(0).alias(f.split(":")[0]) for f in ",".join(entry).split(",")]).cast(entry_type)
-    start = F.struct(F.array(zeros).alias("stack"), F.lit(0).alias("i"), empty(out_type).alias("cur"), empty(f"array<{out_type}>").alias("done"))
+    start = F.struct(F.array(zeros).alias("stack"), F.lit(0).alias("i"), pile(out_type))
     last_bits = [sum(bit for found in bits.last.values() for word, bit in found if word == w) for w in words]
 
-    def merge(s: Column, e: Column) -> Column:
-        values = {}
+    def passed(e: Column, parent: Column, values: dict[str, Column]) -> Column:
+        """Bits of the steps that an element passes, places among siblings left aside."""
+        fits = {key: step.predicate(e["tag"], values) for key, (step, _) in bits.tests.items()}
+        out = []
+        for w in words:
+            test = F.lit(0).cast("bigint")
+            for key, (_, masks) in bits.tests.items():
+                if w < len(masks) and masks[w]:
+                    test = test.bitwiseOR(F.when(fits[key], _long(masks[w])).otherwise(_long(0)))
+            mask = bits.words[w]
+            around = F.shiftleft(parent[f"a{w}"], 1).bitwiseAND(_long(mask["inside"])).bitwiseOR(F.shiftleft(parent[f"m{w}"], 1).bitwiseAND(_long(mask["child"])))
+            around = around.bitwiseOR(_long(mask["first"])).bitwiseOR(F.when(e["depth"] == 1, _long(mask["root"])).otherwise(_long(0)))
+            out.append(test.bitwiseAND(around).alias(f"m{w}"))
+        return F.struct(*out)
+
+    def entered(e: Column, parent: Column, m: Column) -> Column:
+        """An element's entry in the stack, its parent's, and what it adds to the result."""
+        counts = [parent[f"n{i}"] + F.when(m[f"m{w}"].bitwiseAND(_long(bit)) != 0, 1).otherwise(0) for i, (w, bit, _) in enumerate(bits.nth)]
+        kept = {w: m[f"m{w}"] for w in words}
+        for i, (w, bit, nth) in enumerate(bits.nth):
+            kept[w] = F.when(counts[i] == nth, kept[w]).otherwise(kept[w].bitwiseAND(_long(~bit)))
+        inner = [parent[f"c{i}"] + F.when(test(e), 1).otherwise(0) for i, test in enumerate(counted.values())]
+        here = F.struct(
+            *[x for w in words for x in (kept[w].alias(f"m{w}"), parent[f"a{w}"].bitwiseOR(kept[w]).alias(f"a{w}"))],
+            *[F.lit(0).alias(f"n{i}") for i in range(len(bits.nth))], *[c.alias(f"c{i}") for i, c in enumerate(inner)],
+        )
+        around = F.struct(*[x for w in words for x in (parent[f"m{w}"].alias(f"m{w}"), parent[f"a{w}"].alias(f"a{w}"))],
+                          *[c.alias(f"n{i}") for i, c in enumerate(counts)], *[parent[f"c{i}"].alias(f"c{i}") for i in range(len(counted))])
+        return F.struct(here.alias("here"), around.alias("around"))
 
-        def own(found: Column | None) -> Column:
-            values.update({n: found[f"a{k}"] for k, n in enumerate(names)} if found is not None else {})
-            parent = F.get(s["stack"], e["depth"] - 1)
-            fits = {key: step.predicate(e["tag"], values) for key, (step, _) in bits.tests.items()}
-
-            def passed(parent: Column) -> Column:
-                out = []
-                for w in words:
-                    masks = [(fits[key], m[w]) for key, (_, m) in bits.tests.items() if w < len(m) and m[w]]
-                    test = F.lit(0).cast("bigint")
-                    for fit, mask in masks:
-                        test = test.bitwiseOR(F.when(fit, _long(mask)).otherwise(_long(0)))
-                    mask = bits.words[w]
-                    around = F.shiftleft(parent[f"a{w}"], 1).bitwiseAND(_long(mask["inside"])).bitwiseOR(F.shiftleft(parent[f"m{w}"], 1).bitwiseAND(_long(mask["child"])))
-                    around = around.bitwiseOR(_long(mask["first"])).bitwiseOR(F.when(e["depth"] == 1, _long(mask["root"])).otherwise(_long(0)))
-                    out.append(test.bitwiseAND(around).alias(f"m{w}"))
-                return F.struct(*out)
-
-            return let(parent, lambda parent: let(passed(parent), lambda m: step_on(parent, m)))
-
-        def step_on(parent: Column, m: Column) -> Column:
-            counts = [parent[f"n{i}"] + F.when(m[f"m{w}"].bitwiseAND(_long(bit)) != 0, 1).otherwise(0) for i, (w, bit, _) in enumerate(bits.nth)]
-            kept = {w: m[f"m{w}"] for w in words}
-            for i, (w, bit, nth) in enumerate(bits.nth):
-                kept[w] = F.when(counts[i] == nth, kept[w]).otherwise(kept[w].bitwiseAND(_long(~bit)))
-            inner = [parent[f"c{i}"] + F.when(test(e), 1).otherwise(0) for i, test in enumerate(counted.values())]
-            here = F.struct(
-                *[x for w in words for x in (kept[w].alias(f"m{w}"), parent[f"a{w}"].bitwiseOR(kept[w]).alias(f"a{w}"))],
-                *[F.lit(0).alias(f"n{i}") for i in range(len(bits.nth))], *[c.alias(f"c{i}") for i, c in enumerate(inner)],
-            )
+    def merge(s: Column, e: Column) -> Column:
+        def on(s: Column, x: Column) -> Column:
             below = F.slice(s["stack"], F.lit(1), e["depth"])
             if bits.nth:
-                around = F.struct(*[counts[int(f.split(":")[0][1:])].alias(f.split(":")[0]) if f.startswith("n") else parent[f.split(":")[0]].alias(f.split(":")[0]) for f in ",".join(entry).split(",")])
-                below = F.array_append(F.slice(s["stack"], F.lit(1), e["depth"] - 1), around)
-            row = F.struct(s["i"].alias("i"), *[here[f"m{w}"].alias(f"m{w}") for w in words], *[parent[f"c{i}"].alias(f"c{i}") for i in range(len(counted))])
-            any_hit = F.lit(all_elements)
-            for w in words:
-                any_hit = any_hit | (here[f"m{w}"].bitwiseAND(_long(last_bits[w])) != 0)
-            return let(here, lambda here: F.struct(
-                F.array_append(below, here).alias("stack"), (s["i"] + 1).alias("i"),
-                *piled(s, F.when(any_hit, F.array(row)).otherwise(empty(out_type))),
+                below = F.array_append(F.slice(s["stack"], F.lit(1), e["depth"] - 1), x["around"])
+            row = F.struct(s["i"].alias("i"), *[x["here"][f"m{w}"].alias(f"m{w}") for w in words], *[x["around"][f"c{i}"].alias(f"c{i}") for i in range(len(counted))])
+            any_hit = _any([F.lit(all_elements), *[x["here"][f"m{w}"].bitwiseAND(_long(last_bits[w])) != 0 for w in words]])
+            return then(s, F.when(any_hit, F.array(row)).otherwise(empty(out_type)), lambda s, out: F.struct(
+                F.array_append(below, x["here"]).alias("stack"), (s["i"] + 1).alias("i"), piled(s, out),
             ))
 
         # a tag without attributes is as long as its name and two brackets
         bare = F.length(e["raw"]) <= F.length(e["tag"]) + 2
-        return let(F.when(~bare, attrs(names, e["raw"])), own) if names else own(None)
+        found = F.when(~bare, attrs(names, e["raw"])) if names else F.lit(0)
+
+        def of(found: Column, parent: Column) -> Column:
+            values = {n: found[f"a{k}"] for k, n in enumerate(names)}
+            return let(passed(e, parent, values), lambda m: entered(e, parent, m))
+
+        entry = let(F.get(s["stack"], e["depth"] - 1), lambda parent: let(found, lambda found: of(found, parent)))
+        return then(s, entry, on)
 
     def named(x: Column) -> Column:
         e = F.get(elements, x["i"])
@@ -483,11 +485,11 @@ def first_span(elements: Column, steps: Column, names: Column | None = None) ->
     if names is None:
         return with_names(lambda names: first_span(elements, steps, names))
     none = F.lit(None).cast("struct<start_pos:int,end_pos:int>")
-    entry = "struct<m:array<boolean>,a:array<boolean>,n:array<int>>"
+    entry_type = "struct<m:array<boolean>,a:array<boolean>,n:array<int>>"
 
     def of(steps: Column) -> Column:
         nothing = F.transform(steps, lambda s: F.lit(False))
-        root = F.struct(nothing.alias("m"), nothing.alias("a"), F.transform(steps, lambda s: F.lit(0)).alias("n")).cast(entry)
+        root = F.struct(nothing.alias("m"), nothing.alias("a"), F.transform(steps, lambda s: F.lit(0)).alias("n")).cast(entry_type)
         start = F.struct(F.array(root).alias("stack"), none.alias("found"))
 
         def merge(s: Column, e: Column) -> Column:
@@ -506,20 +508,21 @@ def first_span(elements: Column, steps: Column, names: Column | None = None) ->
             def counted(m: Column, up: Column) -> Column:
                 n = F.transform(up["n"], lambda c, k: c + F.when(F.get(m, k), 1).otherwise(0))
                 kept = lambda n: F.transform(m, lambda x, k: x & F.coalesce(F.get(steps, k)["nth"] == F.get(n, k), F.lit(True)))
-                return let(n, lambda n: let(kept(n), lambda m: pushed(m, n, up)))
-
-            def pushed(m: Column, n: Column, up: Column) -> Column:
-                around = F.zip_with(m, up["a"], lambda x, y: x | y)
-                here = F.struct(m.alias("m"), around.alias("a"), F.transform(steps, lambda s: F.lit(0)).alias("n"))
-                parent = F.struct(up["m"].alias("m"), up["a"].alias("a"), n.alias("n"))
-                below = F.array_append(F.slice(s["stack"], F.lit(1), e["depth"] - 1), parent)
-                hit = F.exists(F.arrays_zip(m.alias("m"), steps.alias("s")), lambda x: x["m"] & x["s"]["last"])
+                return let(n, lambda n: let(kept(n), lambda m: entered(m, n, up)))
+
+            def entered(m: Column, n: Column, up: Column) -> Column:
+                here = F.struct(m.alias("m"), F.zip_with(m, up["a"], lambda x, y: x | y).alias("a"), F.transform(steps, lambda s: F.lit(0)).alias("n"))
+                return F.struct(here.alias("here"), F.struct(up["m"].alias("m"), up["a"].alias("a"), n.alias("n")).alias("up"))
+
+            def pushed(s: Column, x: Column) -> Column:
+                below = F.array_append(F.slice(s["stack"], F.lit(1), e["depth"] - 1), x["up"])
+                hit = F.exists(F.arrays_zip(x["here"]["m"].alias("m"), steps.alias("s")), lambda y: y["m"] & y["s"]["last"])
                 span = F.struct(e["start_pos"].alias("start_pos"), e["end_pos"].alias("end_pos"))
-                return F.struct(F.array_append(below, here.cast(entry)).alias("stack"), F.when(hit, span).alias("found"))
+                return F.struct(F.array_append(below, x["here"].cast(entry_type)).alias("stack"), F.when(hit, span).alias("found"))
 
             parent = F.get(s["stack"], e["depth"] - 1)
-            step = let(values, lambda v: let(parent, lambda up: let(passed(v, up), lambda m: counted(m, up))))
-            return F.when(s["found"].isNotNull(), s).otherwise(step)
+            entry = let(values, lambda v: let(parent, lambda up: let(passed(v, up), lambda m: counted(m, up))))
+            return F.when(s["found"].isNotNull(), s).otherwise(then(s, entry, pushed))
 
         return F.aggregate(elements, start, merge, lambda s: s["found"])
 

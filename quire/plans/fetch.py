@@ -38,7 +38,9 @@ def find_pages(work: DataFrame, pages: DataFrame, cache: DataFrame | None) -> Da
     """
     asked = work.select("url_hash").distinct()
     live = pages.withColumn("url_hash", url_hash("url")).join(asked, "url_hash", "left_semi")
-    live = live.groupBy("url_hash").agg(latest_html(pages).alias("_live"))
+    # as many tasks as there are shuffle partitions, however small their rows: what follows is work per page
+    tasks = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    live = live.repartition(tasks, "url_hash").groupBy("url_hash").agg(latest_html(pages).alias("_live"))
     found = work.join(live, "url_hash", "left")
     if cache is None:
         return found.withColumn("html", F.col("_live")).withColumn("from_cache", F.lit(False)).drop("_live")
