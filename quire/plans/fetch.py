@@ -38,15 +38,16 @@ def find_pages(work: DataFrame, pages: DataFrame, cache: DataFrame | None) -> Da
     """
     asked = work.select("url_hash").distinct()
     live = pages.withColumn("url_hash", url_hash("url")).join(asked, "url_hash", "left_semi")
-    # as many tasks as there are shuffle partitions, however small their rows: what follows is work per page
+    # as many tasks as there are shuffle partitions, however small their rows: what follows is work per page; a broadcast
+    # join would leave the rows in the few tasks that read the work
     tasks = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     live = live.repartition(tasks, "url_hash").groupBy("url_hash").agg(latest_html(pages).alias("_live"))
-    found = work.join(live, "url_hash", "left")
+    found = work.join(live.hint("merge"), "url_hash", "left")
     if cache is None:
         return found.withColumn("html", F.col("_live")).withColumn("from_cache", F.lit(False)).drop("_live")
     kept = cache.join(asked, "url_hash", "left_semi")
     kept = kept.groupBy("url_hash").agg(latest_html(cache).alias("_kept"), F.lit(True).alias("_hit"))
-    found = found.join(kept, "url_hash", "left")
+    found = found.join(kept.hint("merge"), "url_hash", "left")
     hit = F.col("_hit").isNotNull()
     return found.withColumns({"html": F.when(hit, F.col("_kept")).otherwise(F.col("_live")), "from_cache": hit}).drop(
         "_live", "_kept", "_hit"
