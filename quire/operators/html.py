@@ -114,9 +114,11 @@ def attr(name: str, raw: Column | str = "raw", names: Column | None = None) -> C
     return F.when(raw.rlike(pattern), unescape(value, True, names))
 
 
-def attrs(names: Sequence[str], raw: Column | str = "raw") -> Column:
+def attrs(wanted: Sequence[str], raw: Column | str = "raw", names: Column | None = None) -> Column:
     """The values of several attributes, as fields ``a0``, ``a1`` and so on."""
-    return with_names(lambda table: F.struct(*[attr(n, raw, table).alias(f"a{i}") for i, n in enumerate(names)]))
+    if names is None:
+        return with_names(lambda names: attrs(wanted, raw, names))
+    return F.struct(*[attr(n, raw, names).alias(f"a{i}") for i, n in enumerate(wanted)])
 
 
 def classes(raw: Column | str = "raw") -> Column:

@@ -118,7 +118,7 @@ def parse_css(selector: str) -> list[list[Step]]:
     groups: list[list[Step]] = []
     quoted = r"""(?:"[^"]*"|'[^']*'|[^,"'])+"""
     parts = re.findall(quoted, selector)
-    if not parts or selector.count(",") - sum(p.count(",") for p in parts) != len(parts) - 1:
+    if not parts or sum(map(len, parts)) + len(parts) - 1 != len(selector):
         raise ValueError(f"unsupported selector: {selector!r}")
     for part in parts:
         chain, link = [], " "
@@ -211,6 +211,7 @@ def hits(
     selectors: Sequence[tuple[str, str]],
     count_open: dict[str, Callable[[Column], Column]] | None = None,
     all_elements: bool = False,
+    names: Column | None = None,
 ) -> Column:
     """The elements that match any of the ``(selector, type)`` pairs, with ``hits``, the indexes of those pairs.
 
@@ -218,7 +219,7 @@ def hits(
     number of elements around this one that pass it. With ``all_elements`` those without a hit come too.
     """
     bits = _Bits([(i, chain) for i, (sel, kind) in enumerate(selectors) for chain in parse(sel, kind)])
-    names = list(dict.fromkeys(n for step, _ in bits.tests.values() for n in step.attributes()))
+    wanted = list(dict.fromkeys(n for step, _ in bits.tests.values() for n in step.attributes()))
     counted = count_open or {}
     words = range(len(bits.words))
     entry = [f"m{w}:bigint,a{w}:bigint" for w in words] + [f"n{i}:int" for i in range(len(bits.nth))] + [f"c{i}:int" for i in range(len(counted))]
@@ -272,10 +273,10 @@ def hits(
 
         # a tag without attributes is as long as its name and two brackets
         bare = F.length(e["raw"]) <= F.length(e["tag"]) + 2
-        found = F.when(~bare, attrs(names, e["raw"])) if names else F.lit(0)
+        found = F.when(~bare, attrs(wanted, e["raw"], names)) if wanted else F.lit(0)
 
         def of(found: Column, parent: Column) -> Column:
-            values = {n: found[f"a{k}"] for k, n in enumerate(names)}
+            values = {n: found[f"a{k}"] for k, n in enumerate(wanted)}
             return let(passed(e, parent, values), lambda m: entered(e, parent, m))
 
         entry = let(F.get(s["stack"], e["depth"] - 1), lambda parent: let(found, lambda found: of(found, parent)))
@@ -399,8 +400,6 @@ _RAW_STEP = f"struct<link:string,tag:string,tests:array<{_TEST}>,nth:int>"
 
 
 def _compiled_css(selector: Column) -> Column:
-    commas = lambda c: F.length(c) - F.length(F.replace(c, F.lit(","), F.lit("")))
-
     def chain(part: Column) -> Column:
         def of(words: Column) -> Column:
             arrow = lambda i: F.get(words, i) == ">"
@@ -416,8 +415,7 @@ def _compiled_css(selector: Column) -> Column:
         return let(F.regexp_extract_all(F.trim(replace_blanks(part)), F.lit(r">|(?:\[[^\]]*\]|\([^)]*\)|[^\s>])+"), F.lit(0)), of)
 
     def of(parts: Column) -> Column:
-        inside = F.aggregate(F.transform(parts, commas), F.lit(0), lambda a, b: a + b)
-        whole = (F.size(parts) > 0) & (commas(selector) - inside == F.size(parts) - 1)
+        whole = (F.size(parts) > 0) & (F.length(F.array_join(parts, "")) + F.size(parts) - 1 == F.length(selector))
         return let(F.transform(parts, chain), lambda chains: F.when(whole & ~F.exists(chains, lambda c: ~c["good"]), F.flatten(F.transform(chains, lambda c: c["steps"]))))
 
     return let(F.regexp_extract_all(selector, F.lit(r"""(?:"[^"]*"|'[^']*'|[^,"'])+"""), F.lit(0)), of)

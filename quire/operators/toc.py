@@ -30,10 +30,11 @@ def _toc_weights() -> Column:
 _LISTS = {"level": lambda e: e["tag"].isin("ul", "ol")}
 
 
-def _links(found: Column, own: Callable[[Column], Column], titles: bool = False) -> Column:
+def _links(found: Callable[[Column], Column] | Column, own: Callable[[Column], Column], titles: bool = False) -> Column:
     """Matched elements as links, in document order: ``array<struct<start_pos, end_pos, href, target, level, valid, hits[, title]>>``.
 
-    ``own`` picks the hits that count; a link without one is left out. Needs the page's ``url`` and, for titles, ``tokens``.
+    ``own`` picks the hits that count; a link without one is left out. Needs the page's ``url`` and, for titles, ``tokens``. ``found``
+    are the hits, or what makes them with the table of named references.
     """
 
     def of(names: Column) -> Column:
@@ -49,7 +50,8 @@ def _links(found: Column, own: Callable[[Column], Column], titles: bool = False)
             resolve = lambda href: F.when(href != "", urls.resolve(F.col("url"), href))
             return let(attr("href", h["raw"], names), lambda href: let(resolve(href), lambda target: with_target(href, target)))
 
-        return F.transform(F.filter(found, lambda h: F.size(own(h["hits"])) > 0), link)
+        matched = found(names) if callable(found) else found
+        return F.transform(F.filter(matched, lambda h: F.size(own(h["hits"])) > 0), link)
 
     return with_names(of)
 
@@ -60,7 +62,7 @@ def toc_hits(pages: DataFrame) -> DataFrame:
     ``(page_id, url, start_pos, end_pos, hits, level, href, target, valid)``.
     """
     rows = shredded(pages, ("page_id",), "url")
-    links = _links(hits(F.col("elements"), _TOC, _LISTS), lambda h: h)
+    links = _links(lambda names: hits(F.col("elements"), _TOC, _LISTS, names=names), lambda h: h)
     rows = rows.select("page_id", "url", F.explode_outer(links).alias("l")).where(F.col("l").isNotNull())
     return rows.select("page_id", "url", "l.*")
 
@@ -99,7 +101,7 @@ def toc_links(pages: DataFrame, selector_id: int | None = None) -> DataFrame:
     """
     rows = shredded(pages, ("page_id",), "url")
     own = (lambda h: h) if selector_id is None else (lambda h: F.filter(h, lambda x: x == selector_id))
-    links = _links(hits(F.col("elements"), _TOC, _LISTS), own, titles=True)
+    links = _links(lambda names: hits(F.col("elements"), _TOC, _LISTS, names=names), own, titles=True)
     links = F.filter(links, lambda l: l["valid"] & (l["title"] != ""))
     rows = rows.select("page_id", F.explode_outer(links).alias("l")).where(F.col("l").isNotNull())
     rows = rows.select("page_id", F.explode("l.hits").alias("selector_id"), "l.*")

@@ -94,6 +94,7 @@ def fetch_placed(
         written = done.select("output_path", F.col("source").alias("url"), F.lit(True).alias("skipped")).distinct()
         placed = placed.join(written, ["output_path", "url"], "left")
         placed = placed.withColumn("skipped", F.coalesce("skipped", F.lit(False)))
+    placed = settle(placed)  # every part of the job reads it
     work = placed.where(~F.col("skipped") & F.col("want").isNotNull()).groupBy("url_hash").agg(F.max("url").alias("url"), F.collect_set("want").alias("wants"))
     found = find_pages(work, pages, cache).withColumn("missing", F.col("html").isNull())
     outcome = convert_wanted(found, ("url_hash",), carry=("from_cache", "missing"), **options)
@@ -132,5 +133,5 @@ def fetch_corpus(
     keys: Sequence[str] = ("site",),
     **options,
 ) -> Fetch:
-    """Fetch all items of all catalogs: ``place_items``, settled as every part of the job reads it, then ``fetch_placed``."""
-    return fetch_placed(settle(place_items(items, catalogs, root, keys)), pages, cache, done, keys, **options)
+    """Fetch all items of all catalogs: ``place_items``, then ``fetch_placed``."""
+    return fetch_placed(place_items(items, catalogs, root, keys), pages, cache, done, keys, **options)
