@@ -44,7 +44,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pages_of(spark: SparkSession, sf: str) -> DataFrame:
-    return H.spread(read_pages(spark, f"{sf}/pages.parquet"))
+    return read_pages(spark, f"{sf}/pages.parquet")
+
+
+def markup_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages for work on their markup."""
+    return H.spread(pages_of(spark, sf))
 
 
 def stamp() -> Column:
@@ -65,26 +70,26 @@ def page_scan(spark, sf):
 
 @query
 def html_tokens(spark, sf):
-    tokens = H.html_tokens(pages_of(spark, sf), with_attributes=False)
+    tokens = H.html_tokens(markup_of(spark, sf), with_attributes=False)
     return longs(tokens.select("page_id", "pos", "kind", "tag", "text"), "pos")
 
 
 @query
 def html_nodes(spark, sf):
-    nodes = H.html_nodes(pages_of(spark, sf).select("page_id", "html"), parents=True)
+    nodes = H.html_nodes(markup_of(spark, sf).select("page_id", "html"), parents=True)
     return longs(nodes.select("page_id", "start_pos", "end_pos", "parent_pos", "depth", "tag"), "start_pos", "end_pos", "parent_pos", "depth")
 
 
 @query
 def tag_attributes(spark, sf):
-    tokens = H.html_tokens(pages_of(spark, sf)).where(F.col("kind").isin("open", "void"))
+    tokens = H.html_tokens(markup_of(spark, sf)).where(F.col("kind").isin("open", "void"))
     rows = tokens.select("page_id", "pos", "tag", F.explode("attrs").alias("name", "value"))
     return longs(rows, "pos")
 
 
 @query
 def css_select(spark, sf):
-    pages = pages_of(spark, sf).select("page_id", "html")
+    pages = markup_of(spark, sf).select("page_id", "html")
     nodes = H.html_nodes(pages)
     hits = S.css_select(nodes, list(enumerate(CSS)))
     return longs(hits.select("page_id", "selector_id", "start_pos", "end_pos"), "selector_id", "start_pos", "end_pos")
@@ -92,23 +97,23 @@ def css_select(spark, sf):
 
 @query
 def xpath_select(spark, sf):
-    nodes = H.html_nodes(pages_of(spark, sf).select("page_id", "html"))
+    nodes = H.html_nodes(markup_of(spark, sf).select("page_id", "html"))
     return longs(S.xpath_select(nodes, "//ul/li[2]/a"), "start_pos", "end_pos")
 
 
 @query
 def content_html(spark, sf):
-    return M.extract_content(pages_of(spark, sf), "article")
+    return M.extract_content(markup_of(spark, sf), "article")
 
 
 @query
 def node_text(spark, sf):
-    return M.extract_text(pages_of(spark, sf), "article")
+    return M.extract_text(markup_of(spark, sf), "article")
 
 
 @query
 def clean_html(spark, sf):
-    return M.clean_html(pages_of(spark, sf))
+    return M.clean_html(markup_of(spark, sf))
 
 
 # ---- navigation and content regions ----------------------------------------------------------------------------
@@ -116,7 +121,7 @@ def clean_html(spark, sf):
 
 @query
 def toc_links(spark, sf):
-    links = toc.toc_links(pages_of(spark, sf))
+    links = toc.toc_links(markup_of(spark, sf))
     links = links.withColumn("ord", F.rank().over(_by("page_id", "selector_id", order="ord")))
     return longs(links, "selector_id", "ord", "level")
 
@@ -129,24 +134,24 @@ def _by(*keys: str, order: str):
 
 @query
 def toc_scores(spark, sf):
-    scores = toc.toc_scores(pages_of(spark, sf)).withColumn("score", F.round("score", 6))
+    scores = toc.toc_scores(markup_of(spark, sf)).withColumn("score", F.round("score", 6))
     return longs(scores, "selector_id", "links", "valid_links")
 
 
 @query
 def toc_best(spark, sf):
-    best = toc.best_toc(toc.toc_scores(pages_of(spark, sf)))
+    best = toc.best_toc(toc.toc_scores(markup_of(spark, sf)))
     return best.select("page_id", "selector", F.round("score", 6).alias("score"))
 
 
 @query
 def content_selector(spark, sf):
-    return toc.detect_content(pages_of(spark, sf))
+    return toc.detect_content(markup_of(spark, sf))
 
 
 @query
 def scan_catalog(spark, sf):
-    catalogs, _ = scan_catalogs(pages_of(spark, sf))
+    catalogs, _ = scan_catalogs(markup_of(spark, sf))
     return catalogs.select(
         "page_id", "site", "url", F.col("selectors.toc").alias("toc"), F.col("selectors.content").alias("content"),
         "ai_generated", F.round("confidence", 6).alias("confidence"), "root_items", "error",
@@ -155,19 +160,19 @@ def scan_catalog(spark, sf):
 
 @query
 def scan_items(spark, sf):
-    _, items = scan_catalogs(pages_of(spark, sf))
+    _, items = scan_catalogs(markup_of(spark, sf))
     return longs(items.select("page_id", *TREE_COLUMNS), "idx", "parent_idx", "depth")
 
 
 @query
 def catalog_items_count(spark, sf):
-    _, items = scan_catalogs(pages_of(spark, sf))
+    _, items = scan_catalogs(markup_of(spark, sf))
     return tree.count_items(items, ["page_id"])
 
 
 @query
 def collapsed_nav(spark, sf):
-    return toc.collapsed_nav(pages_of(spark, sf))
+    return toc.collapsed_nav(markup_of(spark, sf))
 
 
 # ---- content pipeline -----------------------------------------------------------------------------------------------
@@ -175,13 +180,13 @@ def collapsed_nav(spark, sf):
 
 @query
 def page_markdown(spark, sf):
-    work = pages_of(spark, sf).withColumn("want", F.lit(0))
+    work = markup_of(spark, sf).withColumn("want", F.lit(0))
     return M.convert(work, [("article", "css")], fetched_at=stamp()).select("page_id", "title", "content", "word_count", "error")
 
 
 @query
 def body_markdown(spark, sf):
-    work = pages_of(spark, sf).withColumn("want", F.lit(0))
+    work = markup_of(spark, sf).withColumn("want", F.lit(0))
     return M.convert(work, [M.BODY], include_meta=False).select("page_id", "content", "word_count")
 
 
