@@ -175,6 +175,48 @@ def collapsed_nav(spark, sf):
     return toc.collapsed_nav(markup_of(spark, sf))
 
 
+#: Folded-up navigation and the same opened, a pair for each selector of ``K.COLLAPSED_SELECTORS``.
+FOLDED = [
+    ("<button aria-expanded='false'>x</button>", "<button aria-expanded='true'>x</button>"),
+    ("<i class='collapse-toggle'>x</i>", "<i class='collapse-toggle open'>x</i>"),
+    ("<i class='expand-button'>x</i>", "<i class='expand-button expanded'>x</i>"),
+    ("<i data-toggle='collapse'>x</i>", "<i data-toggle='collapse' class='collapsed'>x</i>"),
+    ("<div class='sidebar-group'><p class='sidebar-heading'>x</p></div>", "<div class='sidebar-group open'><p class='sidebar-heading'>x</p></div>"),
+    ("<a class='nav-link' aria-expanded='false'>x</a>", "<a class='nav-link' aria-expanded='true'>x</a>"),
+    ("<div class='vp-sidebar-group'><p><i class='caret open'>x</i></p></div>", "<div class='vp-sidebar-group open'><i class='caret open'>x</i></div>"),
+    ("<div class='menu__list-item--collapsed'><i class='menu__link--sublist'>x</i></div>", "<div class='menu__list-item'><i class='menu__link--sublist'>x</i></div>"),
+    ("<div class='theme-doc-sidebar-item-collapsed'><p><i class='menu__link--sublist'>x</i></div>", "<div><i class='menu__link--sublist'>x</i></div>"),
+    ("<p data-expanded='false'>x</p>", "<p data-expanded='true'>x</p>"),
+    ("<i class='arrow'>x</i>", "<i class='arrow down'>x</i>"),
+    ("<i class='caret'>x</i>", "<i class='caret open'>x</i>"),
+    ("<i class='chevron right'>x</i>", "<i class='chevron rotated'>x</i>"),
+    ("<details><summary>x</summary>y</details>", "<details open><summary>x</summary>y</details>"),
+    ("<div class='nav-item collapsed'><a class='nav-link'>x</a></div>", "<div class='nav-item'><a class='nav-link'>x</a></div>"),
+    ("<div class='folder'><i class='folder-toggle'>x</i></div>", "<div class='folder open'><i class='folder-toggle'>x</i></div>"),
+    ("<div class='toc-item'><p><i class='toc-toggle'>x</i></p></div>", "<div class='toc-item expanded'><i class='toc-toggle'>x</i></div>"),
+    ("<div class='tree-item'><i class='tree-toggle'>x</i></div>", "<div class='tree-item open'><i class='tree-toggle'>x</i></div>"),
+]
+
+
+@query
+def collapsed_nav_wrapped(spark, sf):
+    """The report on pages that hold one folded-up element per selector, each on the pages that its place in the list divides."""
+    pieces = [F.when(F.col("page_id") % (i + 1) == 0, folded).otherwise(opened) for i, (folded, opened) in enumerate(FOLDED)]
+    return toc.collapsed_nav(markup_of(spark, sf).withColumn("html", F.concat(F.lit("<div>"), *pieces, F.lit("</div>"), F.coalesce("html", F.lit("")))))
+
+
+#: References of every form: named with and without a semicolon, unknown, decimal, hexadecimal, Windows-1252, impossible, none.
+REFERRING = ["&amp;", "&copy", "&notin;", "&notit;", "&nosuch;", "&#65;", "&#x41;", "&#150;", "&#0;", "&#xD800;", "& ", "&CounterClockwiseContourIntegral;", "&fjlig;"]
+
+
+@query
+def text_references(spark, sf):
+    """Every kind of reference behind the source of every document, decoded."""
+    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.array(*map(F.lit, REFERRING))).alias("kind", "ref"), "source")
+    text = F.concat(F.coalesce("source", F.lit("")), F.col("ref"), F.lit("|"))
+    return docs.select("doc_id", F.col("kind").cast("bigint").alias("kind"), T.unescape(text).alias("text"))
+
+
 # ---- content pipeline -----------------------------------------------------------------------------------------------
 
 

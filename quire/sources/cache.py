@@ -13,8 +13,12 @@ META = "map<string, struct<url:string, file:string, fetched_at:string, status:in
 
 
 def cache_lookup(items: DataFrame, cache: DataFrame) -> DataFrame:
-    """``items`` with ``html`` and ``from_cache``. The stored page decides, not the metadata; entries never expire."""
-    stored = cache.select("url_hash", "html", F.lit(True).alias("_hit"))
+    """``items`` with ``html`` and ``from_cache``, a row per item. The stored page decides, not the metadata; entries never expire.
+
+    Where the cache holds an address more than once, the latest page counts, of equally late ones the greatest text.
+    """
+    order = ["fetched_at", "html"] if "fetched_at" in cache.columns else ["html"]
+    stored = cache.groupBy("url_hash").agg(F.max_by("html", F.struct(*order)).alias("html"), F.lit(True).alias("_hit"))
     found = items.withColumn("url_hash", url_hash("url")).join(stored, "url_hash", "left")
     return found.withColumn("from_cache", F.col("_hit").isNotNull()).drop("_hit")
 
@@ -58,8 +62,3 @@ def read_cache_meta(spark: SparkSession, path: str) -> DataFrame:
     parsed = texts.select(F.from_json("value", f"entries {META}").alias("meta"))
     rows = parsed.select(F.explode("meta.entries").alias("key", "entry"))
     return rows.select(F.coalesce("entry.url", "key").alias("url"), "entry.file", "entry.fetched_at", "entry.status")
-
-
-def write_cache(cache: DataFrame, path: str) -> None:
-    """Write a cache to a new place; a cache is never changed while it is being read."""
-    cache.write.mode("errorifexists").parquet(path)

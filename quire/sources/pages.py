@@ -53,8 +53,3 @@ def render_pages(pending: DataFrame, render: Callable[[str], str]) -> DataFrame:
             yield frame.assign(html=html, error=error)
 
     return pending.select("url").mapInPandas(batches, "url string, html string, error string")
-
-
-def pages_for(wanted: DataFrame, pages: DataFrame) -> DataFrame:
-    """``wanted (url)`` with the html of the page of that address, null where there is none."""
-    return wanted.join(pages.select("url", F.col("html")), "url", "left")

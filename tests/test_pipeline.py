@@ -294,3 +294,14 @@ def test_payload_and_analysis(spark):
 
 def test_shared_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_a_cache_that_holds_an_address_twice_gives_one_row(spark):
+    from quire.functions.urls import url_hash as hashed
+    from quire.sources import cache as C
+
+    rows = [("http://h/1", "old", 1), ("http://h/1", "new", 2), ("http://h/2", "b", 1)]
+    cache = spark.createDataFrame(rows, "url string, html string, fetched_at int").withColumn("url_hash", hashed("url"))
+    items = spark.createDataFrame([("http://h/1",), ("http://h/1",), ("http://h/3",)], "url string")
+    got = sorted((r.url, r.html, r.from_cache) for r in C.cache_lookup(items, cache).collect())
+    assert got == [("http://h/1", "new", True), ("http://h/1", "new", True), ("http://h/3", None, False)]
