@@ -23,6 +23,14 @@ _AGGREGATES = {
 }
 
 
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` in settled ranges of ``(keys, order)``, with the number of each row's range as ``_piece``.
+
+    Several scans of the same groups, or of parts of them in the same order, can share one cut.
+    """
+    return settle(df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id()))
+
+
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], outs: dict[str, tuple[str, object]], small: bool = False
 ) -> DataFrame:
@@ -30,15 +38,15 @@ def running(
 
     ``order`` has to be unique within a group. ``small`` says that every group is a part of one document;
     only then a group is scanned whole. Otherwise rows are settled once, range by range, because the ranges
-    are read twice: for their totals and for their rows.
+    are read twice: for their totals and for their rows. Rows that come from ``cut`` are scanned as they lie, and keep ``_piece``.
     """
     keys, order = list(keys), list(order)
     if small:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: _AGGREGATES[kind][0](c).over(w) for name, (kind, c) in outs.items()})
 
-    values = df.withColumns({f"_v_{name}": c for name, (_, c) in outs.items()})
-    pieces = settle(values.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id()))
+    values = {f"_v_{name}": c for name, (_, c) in outs.items()}
+    pieces = df.withColumns(values) if "_piece" in df.columns else cut(df.withColumns(values), keys, order)
     totals = []
     for name, (kind, _) in outs.items():
         v = F.col(f"_v_{name}")

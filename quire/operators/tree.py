@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import constants as K
 from quire.functions.text import safe_name
-from quire.operators.scans import running
+from quire.operators.scans import cut, running
 
 
 def nest_depth(
@@ -22,6 +22,8 @@ def nest_depth(
     the first one of level 1 have no place in the tree; they come back with ``dropped`` set.
     """
     lv = F.col(level)
+    if not small and "_piece" not in items.columns:
+        return nest_depth(cut(items, keys, order), keys, order, level).drop("_piece")
     out = running(items, keys, order, {"_rn": ("sum", F.lit(1)), "_seen": ("max", (lv == 1).cast("int"))}, small)
     out = running(
         out, keys, order,
@@ -57,7 +59,12 @@ def parents_by_depth(
 def nest_catalog(
     items: DataFrame, keys: Sequence[str], order: Sequence[str], level: str = "level", small: bool = False
 ) -> DataFrame:
-    """Flat items with levels to tree rows ``idx, parent_idx, depth``; items without a place are left out."""
+    """Flat items with levels to tree rows ``idx, parent_idx, depth``; items without a place are left out.
+
+    Depths, places and parents are scans over one cut of the rows, so they are sorted and settled once.
+    """
+    if not small and "_piece" not in items.columns:
+        return nest_catalog(cut(items, keys, order), keys, order, level).drop("_piece")
     nested = nest_depth(items, keys, order, level, small).where(~F.col("dropped")).drop("dropped")
     return parents_by_depth(nested, keys, order, small)
 

@@ -118,3 +118,13 @@ def test_totals(spark):
     steps = [(r.completed, r.failed) for r in outcomes.running_progress(df, ["o"]).orderBy("o").collect()]
     assert steps == [(1, 0), (1, 1), (2, 1), (2, 2)]
     assert {tuple(r) for r in outcomes.error_breakdown(df).collect()} == {("render", 1), ("other", 1)}
+
+
+def test_nesting_sorts_and_settles_once(spark, monkeypatch):
+    from quire.operators import scans
+
+    calls = []
+    settle = scans.settle
+    monkeypatch.setattr(scans, "settle", lambda df: (calls.append(1), settle(df))[1])
+    df = spark.createDataFrame([(1, i, 1 + i % 3) for i in range(30)], "page_id int, ord int, level int")
+    assert tree.nest_catalog(df, ["page_id"], ["ord"]).count() == 30 and len(calls) == 1
