@@ -99,6 +99,8 @@ VOID_TAGS = [
     "track", "wbr",
 ]
 RAW_TEXT_TAGS = ["script", "style"]
+# elements that hold text only: markup inside them is not markup
+TEXT_TAGS = ["iframe", "noembed", "noframes", "noscript", "textarea", "title", "xmp"]
 INLINE_TAGS = [
     "a", "abbr", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font",
     "i", "ins", "kbd", "label", "mark", "nobr", "q", "s", "samp", "small", "span", "strike", "strong",

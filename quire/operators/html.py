@@ -5,6 +5,7 @@ rows that are sorted. ``clustered`` is for what comes after them, where elements
 
 Rules for markup that is not well-formed
   * void elements never open; comments, scripts and styles are single tokens;
+  * what ``textarea``, ``title``, ``noscript``, ``iframe``, ``xmp`` and the like hold is text up to their end tag, be it markup or not;
   * elements pair per tag name. A paragraph ends at the next paragraph or block start, a list item, table
     cell or the like where the next one starts, and any other unclosed element where the element around it
     ends (an unclosed ``<b>`` does not leak into later paragraphs as it does in a browser);
@@ -31,14 +32,23 @@ PAGE = ("page_id",)
 # --- fixed values: lexical patterns ------------------------------------------------------------------------
 # a quote opens a value right after "=" only; one that is never closed is a character like any other
 _REST_OF_TAG = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
-TAG = (
-    r"(?:<!--.*?(?:-->|\z)"
-    rf"|<({'|'.join(K.RAW_TEXT_TAGS)})(?=[\s/>]){_REST_OF_TAG}.*?(?:</\1\s*>|\z)"
-    r"|<[!?][^>]*>"
-    rf"|</?[a-z]{_REST_OF_TAG})"
-)
-TOKEN = "(?is)" + TAG + r"[^<]*+(?:<(?!/?[a-z]|[!?])[^<]*+)*+"
-TAG_ONLY = r"(?is)\A" + TAG
+_TEXT = r"[^<]*+(?:<(?!/?[a-z]|[!?])[^<]*+)*+"
+
+
+def _tag(group: int) -> str:
+    """A tag; ``group`` is the number of its first group."""
+    return (
+        r"(?:<!--.*?(?:-->|\z)"
+        rf"|<({'|'.join(K.RAW_TEXT_TAGS)})(?=[\s/>]){_REST_OF_TAG}.*?(?:</\{group}\s*>|\z)"
+        r"|<[!?][^>]*>"
+        rf"|</?[a-z]{_REST_OF_TAG})"
+    )
+
+
+# of an element that holds text only, all up to its end tag is text
+TEXT_ELEMENT = rf"<({'|'.join(K.TEXT_TAGS)})(?=[\s/>]){_REST_OF_TAG}[^<]*+(?:<(?!/\1[\s/>])[^<]*+)*+"
+TOKEN = rf"(?is)(?:{TEXT_ELEMENT}|{_tag(2)}{_TEXT})"
+TAG_ONLY = r"(?is)\A" + _tag(1)
 TAG_NAME = r"\A</?([a-zA-Z][^\s/>]*)"
 ATTRIBUTE = r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 ATTRIBUTE_NAME = r"\A[^\s=]+"

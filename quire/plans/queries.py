@@ -80,6 +80,18 @@ def html_nodes(spark, sf):
     return longs(nodes.select("page_id", "start_pos", "end_pos", "parent_pos", "depth", "tag"), "start_pos", "end_pos", "parent_pos", "depth")
 
 
+#: Elements that hold text only, around markup that is none.
+TEXT_ONLY = ("<textarea><q>a</q></textarea>", "<title><q>b</q></title>", "<noscript><q>c</q>", "</noscript><iframe><q></iframe>", "<xmp></q></xmp>", "<q>d</q>")
+
+
+@query
+def odd_markup(spark, sf):
+    """How many elements of some names each page has behind elements that hold text only."""
+    pages = markup_of(spark, sf).withColumn("html", F.concat(F.lit("".join(TEXT_ONLY)), F.coalesce("html", F.lit(""))))
+    nodes = H.html_nodes(pages).where(F.col("tag").isin("textarea", "noscript", "iframe", "xmp", "q", "title"))
+    return nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("elements"))
+
+
 @query
 def tag_attributes(spark, sf):
     tokens = H.html_tokens(markup_of(spark, sf)).where(F.col("kind").isin("open", "void"))

@@ -191,3 +191,20 @@ def test_odd_quotes_keep_their_text(spark):
     tokens = df.select("page_id", F.array_join(F.transform(H.token_array("html"), H.text_of), "|").alias("t"))
     got = {r.page_id: r.t.strip("|") for r in tokens.collect()}
     assert got == {0: "LOST text| end", 1: "in", 2: "in", 3: "kept", 4: "in"}
+
+
+def test_elements_that_hold_text_only(spark):
+    docs = [
+        "<title>a <b>b</b></title><p>x</p>",
+        "<div><textarea rows=2><a href='/x'>n</a></textareas></TEXTAREA><noscript><img src=y></noscript></div>",
+        "<iframe><p>never closed",
+        "<xmp></xmp><titles><b>t</b></titles>",
+    ]
+    df = pages(spark, docs)
+    assert nodes_of(H.html_nodes(df, parents=True)) == {
+        (0, 1, 2, None, "title"), (0, 3, 4, None, "p"), (1, 1, 6, None, "div"), (1, 2, 3, 1, "textarea"), (1, 4, 5, 1, "noscript"),
+        (2, 1, 2, None, "iframe"), (3, 1, 2, None, "xmp"), (3, 3, 6, None, "titles"), (3, 4, 5, 3, "b"),
+    }
+    texts = df.select("page_id", F.transform(H.token_array("html"), H.text_of).alias("t")).collect()
+    by_page = {r.page_id: r.t for r in texts}
+    assert by_page[0][1] == "a <b>b</b>" and by_page[1][2] == "<a href='/x'>n</a></textareas>"
