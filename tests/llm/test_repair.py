@@ -98,12 +98,12 @@ def test_chunks_converge_or_wait():
     assert len(set(R.speculate(bytes([2] * 200)))) > 1 and len(set(R.speculate(bytes([R.BLANK] * 9)))) == len(R.VECTORS)
 
 
-@pytest.mark.parametrize("rows", [1, 3, 4096])
+@pytest.mark.parametrize("rows", [2, 4096])
 def test_conversations_cut_anywhere(spark, monkeypatch, rows):
     monkeypatch.setattr(R, "ROWS", rows)
     rng = random.Random(rows)
     talks = {i: talk(rng, rng.randint(1, 9)) for i in range(30)}
-    talks |= {100: talk(rng, 300), 101: talk(rng, 200, "u", 10**6), 102: [(i, "user", "same.") for i in range(150)], 103: talk(rng, 90, "sx"), None: talk(rng, 60, "ua", 10)}
+    talks |= {100: talk(rng, 120), 101: talk(rng, 60, "u", 10**6), 102: [(i, "user", "same.") for i in range(50)], 103: talk(rng, 90, "sx"), None: talk(rng, 60, "ua", 10)}
     talks[104] = [(None, "user", "a."), (5, "assistant", "b."), (9, "user", "c")]
     talks[105] = [(None, "user", "alone.")]
     data = [(c, t, r, x, 1) for c, said in talks.items() for t, r, x in said]
@@ -120,7 +120,7 @@ def test_conversations_cut_anywhere(spark, monkeypatch, rows):
 
 def test_copies_of_other_tasks_and_long_rows(spark, monkeypatch):
     monkeypatch.setattr(R, "CHARACTERS", 50)
-    said = [(i, "user" if i % 2 else "assistant", f"text {i % 90}." if i % 50 else "x" * 200) for i in range(400)]
+    said = [(i, "user" if i % 2 else "assistant", f"text {i % 90}." if i % 50 else "x" * 200) for i in range(250)]
     df = spark.createDataFrame([(1, *row) for row in said] + [(2, 1, None, None), (2, 1, "user", "twice."), (2, 1, "user", "twice.")], "conv_id int, turn int, role string, text string")
     out = got(R.summary(R.repair(df.repartition(7))))
     assert out[1] == plain(said)
