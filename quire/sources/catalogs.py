@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.bind import let
 from quire.functions.urls import site_file
-from quire.operators.scans import running
-from quire.session import settle
+from quire.operators.elements import empty, pile, piled, unpiled
 
 FIELDS = (
     "site string, url string, selectors struct<toc:string, content:string, toc_type:string, content_type:string>, "
@@ -28,38 +28,85 @@ def read_catalogs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return catalogs_from_json(texts)
 
 
-def catalogs_from_json(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``read_catalogs`` for documents that are already in a column ``value``."""
-    catalogs = texts.select("catalog_id", F.from_json("value", FIELDS).alias("c")).select("catalog_id", "c.*")
-    children = F.variant_get("v", "$.children", "array<variant>")
-    level = texts.select(
-        "catalog_id", F.get_json_object("value", "$.site").alias("site"),
-        F.posexplode(F.variant_get(F.parse_json("value"), "$.items", "array<variant>")).alias("at", "v"),
-    ).withColumn("path", F.array("at"))
-    # every level is settled, so that a deep catalog does not parse its upper levels again for each lower one
-    levels: list[DataFrame] = []
-    level = settle(level)
-    while level.take(1):
-        levels.append(
-            level.select(
-                "catalog_id", "site", "path", F.lit(len(levels) + 1).alias("depth"),
-                F.variant_get("v", "$.title", "string").alias("title"), F.variant_get("v", "$.url", "string").alias("url"),
-            )
+#: A name with its colon, a string, a bracket, or another value.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[\[\]{}]|[^\s\[\]{}:,"]++'
+_OBJECT, _LIST, _END, _NAME, _VALUE = range(5)
+_HEAD = "struct<idx:bigint,title:string,url:string>"
+_ITEM = "struct<idx:bigint,parent_idx:bigint,depth:int,title:string,url:string>"
+
+
+def _plain(json: Column) -> Column:
+    """The text of a JSON value."""
+    return F.try_variant_get(F.try_parse_json(json), "$", "string")
+
+
+def _tokens(value: Column | str) -> Column:
+    def token(raw: Column) -> Column:
+        name = F.regexp_extract(raw, r'(?s)\A"(.*)"\s*:\z', 1)
+        name = F.when(name.contains("\\"), _plain(F.concat(F.lit('"'), name, F.lit('"')))).otherwise(name)
+        kind = F.when(raw == "{", _OBJECT).when(raw == "[", _LIST).when(raw.isin("}", "]"), _END)
+        kind = kind.when(raw.startswith('"') & raw.endswith(":"), _NAME).otherwise(_VALUE)
+        return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == _NAME, name).when(k == _VALUE, raw).alias("text")))
+
+    return F.transform(F.regexp_extract_all(value, F.lit(_TOKEN), F.lit(0)), token)
+
+
+def _walked(tokens: Column) -> Column:
+    """The items of a document in walking order of their ends, by one fold over its tokens with an explicit stack.
+
+    Items are the objects on the path ``items[].children[]...``; ``depth`` counts open brackets, ``good`` those of them that
+    are on that path. So an item's brackets are at odd depths from 3 on. Null if brackets don't match up.
+    """
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(0).alias("good"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("bigint").alias("n"),
+        empty(_HEAD).alias("open"), pile(_ITEM),
+    )
+
+    def merge(s: Column, t: Column) -> Column:
+        on_path, odd = s["good"] == s["depth"], s["depth"] % 2 == 1
+        inside = on_path & odd & (s["depth"] >= 3)
+        kind, text = t["kind"], t["text"]
+        last = F.try_element_at(s["open"], F.lit(-1))
+        rest = F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)
+
+        def state(depth=s["depth"], good=s["good"], name=s["name"], n=s["n"], stack=s["open"], held=s["pile"]) -> Column:
+            return F.struct(depth.alias("depth"), good.alias("good"), name.alias("name"), n.alias("n"), stack.alias("open"), held.alias("pile"))
+
+        none = F.lit(None).cast("string")
+        item = F.struct((s["n"] + 1).alias("idx"), none.alias("title"), none.alias("url"))
+        deeper = s["depth"] + 1
+        begins = on_path & ~odd
+        opened = F.when(begins & (s["depth"] >= 2), state(deeper, deeper, n=s["n"] + 1, stack=F.array_append(s["open"], item)))
+        opened = opened.otherwise(state(deeper, F.when(begins, deeper).otherwise(s["good"])))
+        lists = on_path & ((s["depth"] == 1) & (s["name"] == "items") | inside & (s["name"] == "children"))
+        listed = state(deeper, F.when(lists, deeper).otherwise(s["good"]))
+        ended = F.struct(
+            last["idx"].alias("idx"), F.try_element_at(s["open"], F.lit(-2))["idx"].alias("parent_idx"),
+            ((s["depth"] - 1) / 2).cast("int").alias("depth"), last["title"].alias("title"), last["url"].alias("url"),
         )
-        below = level.select("catalog_id", "site", "path", F.posexplode(children).alias("at", "v"))
-        level = settle(below.withColumn("path", F.array_append("path", F.col("at"))))
-    if not levels:
-        empty = "catalog_id string, site string, idx bigint, parent_idx bigint, depth int, title string, url string"
-        return catalogs, texts.sparkSession.createDataFrame([], empty)
-    rows = levels[0]
-    for more in levels[1:]:
-        rows = rows.unionByName(more)
-    # a catalog is one document, so its items are few enough for one window
-    rows = running(rows, ["catalog_id"], ["path"], {"idx": ("sum", F.lit(1))}, small=True)
-    up = F.slice("path", F.lit(1), F.size("path") - 1)
-    parents = rows.select("catalog_id", F.col("path").alias("_up"), F.col("idx").alias("parent_idx"))
-    rows = rows.withColumn("_up", up).join(parents, ["catalog_id", "_up"], "left")
-    return catalogs, rows.select("catalog_id", "site", "idx", "parent_idx", "depth", "title", "url")
+        shallower = s["depth"] - 1
+        closed = F.when(inside, state(shallower, shallower, stack=rest, held=piled(s, F.array(ended))))
+        closed = closed.otherwise(state(shallower, F.least(s["good"], shallower)))
+        title, url = F.when(s["name"] == "title", text).otherwise(last["title"]), F.when(s["name"] == "url", text).otherwise(last["url"])
+        filled = F.array_append(rest, F.struct(last["idx"].alias("idx"), title.alias("title"), url.alias("url")))
+        valued = F.when(inside & s["name"].isin("title", "url"), state(stack=filled)).otherwise(s)
+        named = F.when(on_path, state(name=text)).otherwise(s)
+        return F.when(kind == _OBJECT, opened).when(kind == _LIST, listed).when(kind == _END, closed).when(kind == _NAME, named).otherwise(valued)
+
+    return F.aggregate(tokens, start, merge, lambda s: F.when(s["depth"] == 0, unpiled(s)))
+
+
+def catalogs_from_json(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``read_catalogs`` for documents that are already in a column ``value``.
+
+    A document is taken apart in its row, whatever its depth. One that is not JSON has no fields and no items; what is no object
+    in a list of items is no item; of a title that stands twice the last one counts.
+    """
+    unlimited = {"maxNestingDepth": str((1 << 31) - 1)}  # the reader's own limit is 1000
+    catalogs = texts.select("catalog_id", F.from_json("value", FIELDS, unlimited).alias("c")).select("catalog_id", "c.*")
+    items = texts.select("catalog_id", F.from_json("value", "site string", unlimited)["site"].alias("site"), _walked(_tokens("value")).alias("all"))
+    items = items.select("catalog_id", "site", F.explode_outer("all").alias("i")).where(F.col("i").isNotNull())
+    return catalogs, items.select("catalog_id", "site", "i.idx", "i.parent_idx", "i.depth", _plain(F.col("i.title")).alias("title"), _plain(F.col("i.url")).alias("url"))
 
 
 def _text(c: str) -> Column:
@@ -69,28 +116,19 @@ def _text(c: str) -> Column:
 def nested_items(items: DataFrame, keys: Sequence[str] = ("catalog_id",)) -> DataFrame:
     """Tree rows to one JSON array per catalog, ``(*keys, items)``; ``children`` is left out where there are none.
 
-    Built from the deepest level upwards: at each level the children of one parent are joined in order.
+    Rows are in walking order, so brackets open and close between neighbours: an item with a deeper one behind it opens its
+    ``children``, any other closes as many as the next one is less deep. A catalog is one text, so its rows are gathered once.
     """
-    keys = list(keys)
-    deepest = items.agg(F.max("depth")).first()[0] or 0
-    # read once per level, so settled once
-    items = settle(items.select(*keys, "idx", "parent_idx", "depth", "title", "url"))
-    below: DataFrame | None = None
-    for depth in range(deepest, 0, -1):
-        here = items.where(F.col("depth") == depth).select(*keys, "idx", "parent_idx", _text("title").alias("t"), _text("url").alias("u"))
-        if below is None:
-            here = here.withColumn("inside", F.lit(None).cast("string"))
-        else:
-            here = here.join(below, [*keys, "idx"], "left")
-        inside = F.when(F.col("inside").isNotNull(), F.concat(F.lit(',"children":'), "inside")).otherwise("")
-        item = F.concat(F.lit('{"title":'), "t", F.lit(',"url":'), "u", inside, F.lit("}"))
-        listed = F.array_sort(F.collect_list(F.struct("idx", item.alias("json"))))
-        joined = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda s: s["json"]), ","), F.lit("]"))
-        up = [F.col("parent_idx").alias("idx")] if depth > 1 else []
-        below = settle(here.groupBy(*keys, *up).agg(joined.alias("inside")))
-    if below is None:
-        return items.select(*keys, F.lit("[]").alias("items")).limit(0)
-    return below.withColumnRenamed("inside", "items")
+    row = F.struct("idx", "depth", _text("title").alias("t"), _text("url").alias("u"))
+    nested = items.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+
+    def written(r: Column, i: Column) -> Column:
+        before, behind = F.when(i > 0, F.get("rows", i - 1)["depth"]), F.get("rows", i + 1)["depth"]
+        comma = F.when(before >= r["depth"], ",").otherwise("")
+        ends = F.concat(F.lit("}"), F.repeat(F.lit("]}"), r["depth"] - F.coalesce(behind, F.lit(1))))
+        return F.concat(comma, F.lit('{"title":'), r["t"], F.lit(',"url":'), r["u"], F.when(behind > r["depth"], ',"children":[').otherwise(ends))
+
+    return nested.select(*keys, F.concat(F.lit("["), F.array_join(F.transform("rows", written), ""), F.lit("]")).alias("items"))
 
 
 def catalog_documents(catalogs: DataFrame, items: DataFrame, keys: Sequence[str] = ("catalog_id",)) -> DataFrame:

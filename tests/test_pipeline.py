@@ -96,6 +96,27 @@ def test_catalogs_survive_a_round_trip(spark):
     assert back == {str(i): d for i, d in enumerate(docs)}
 
 
+def test_deep_catalogs_in_one_pass(spark):
+    deep = document(700)
+    texts = spark.createDataFrame([("deep", json.dumps(deep)), ("flat", json.dumps(document(1)))], "catalog_id string, value string")
+    catalogs, items = CAT.catalogs_from_json(texts)
+    back = {r.catalog_id: r.json for r in CAT.catalog_documents(catalogs, items).collect()}
+    assert back["deep"] == json.dumps(deep, separators=(",", ":"))
+    assert items.where("catalog_id = 'deep'").agg(F.max("depth"), F.count("*")).first()[:] == (700, 701)
+
+
+def test_odd_catalog_documents(spark):
+    odd = {
+        "more": '{"site":"s","meta":{"items":[{"title":"no"}]},"items" : [ {"title":"a\\"]}","x":[{"title":"no"}],"children":[{"url":"u","children":[]}],"url":"v\\u00e9"}, 5 , {"t\\u0069tle":7,"url":null} ]}',
+        "open": '{"site":"s","items":[{"title":"a"}', "text": "no JSON", "null": None, "none": '{"site":"s","items":[]}', "empty": "",
+    }
+    texts = spark.createDataFrame(list(odd.items()), "catalog_id string, value string")
+    catalogs, items = CAT.catalogs_from_json(texts)
+    assert catalogs.count() == len(odd)
+    got = sorted((r.catalog_id, r.site, r.idx, r.parent_idx, r.depth, r.title, r.url) for r in items.collect())
+    assert got == [("more", "s", 1, None, 1, 'a"]}', "vé"), ("more", "s", 2, 1, 2, None, "u"), ("more", "s", 3, None, 1, "7", None)]
+
+
 # ---- cache ------------------------------------------------------------------------------------------------------
 
 

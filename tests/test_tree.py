@@ -85,6 +85,32 @@ def test_depth_has_no_limit(spark):
     assert len(deepest.parent_path) == 40 and not deepest.has_children
 
 
+def test_paths_of_a_deep_and_long_catalog(spark, monkeypatch):
+    monkeypatch.setattr(tree, "CHUNK", 7)
+    deep = [("deep", i, i if i <= 300 else 2 + i % 5, f"t{i}") for i in range(1, 420)]
+    wide = [(site, i, 1 if i % 40 == 1 else min(1 + i % 4, i), f"w{i}") for site in ("a", None) for i in range(1, 200)]
+    rows = deep + wide + [("one", 1, 1, None)]
+    want = {}
+    stacks = {}
+    for site, i, depth, title in rows:
+        stack = [x for x in stacks.get(site, []) if x[0] < depth]
+        want[site, i] = [(x[1], x[2]) for x in stack]
+        stacks[site] = [*stack, (depth, title, i)]
+    inner = {(site, up[-1][1]) for (site, _), up in want.items() if up}
+    items = spark.createDataFrame(rows, "site string, idx long, depth int, title string").repartition(5)
+    for small in (True, False):
+        flat = tree.flatten_catalog(items, small=small).collect()
+        assert len(flat) == len(rows)
+        assert {(r.site, r.idx): [tuple(p) for p in r.parent_path] for r in flat} == want
+        assert {(r.site, r.idx) for r in flat if r.has_children} == inner
+        assert all(r.parent_idx == (want[r.site, r.idx][-1][1] if want[r.site, r.idx] else None) for r in flat)
+
+
+def test_flatten_of_nothing(spark):
+    items = spark.createDataFrame([], "site string, idx long, depth int, title string, url string")
+    assert tree.flatten_catalog(items).collect() == []
+
+
 def test_preview_and_counts(spark):
     items = spark.createDataFrame([("s", i, 1 + i % 2, f"t{i}", "u") for i in range(1, 14)], "site string, idx long, depth int, title string, url string")
     lines = [r.line for r in tree.preview_items(items).orderBy("idx").collect()]
