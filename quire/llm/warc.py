@@ -8,7 +8,8 @@ Reading. A file is read in blocks by different tasks, and a block may begin anyw
 looks like a record. So each task takes everything that looks like the beginning of a record as a candidate and
 follows its lengths to the candidate's successor, up to the first one beyond the block. The chains of all
 blocks are joined by pointer jumping from the beginning of each file: what it reaches are the records; candidates that only
-look so are never reached.
+look so are never reached. Lines that the headers of several candidates share are read once, so a payload made of record heads
+takes time in proportion to its bytes.
 
 Attempts of tasks write files of their own names into the shared folder; the manifest lists those that succeeded.
 
@@ -139,15 +140,58 @@ def parse_header(span: Span, at: int) -> tuple[dict[str, str], int] | None:
         line = searched = end + 2
 
 
+class Lengths:
+    """What follows from the headers of candidates that are asked for in ascending order.
+
+    A candidate's header begins a line, so candidates that no blank line parts share their last lines; those are read once.
+    """
+
+    def __init__(self, span: Span):
+        self.span = span
+        self.bad = self.blank = self.field = -1  # beginnings of lines: no header goes past ``bad``
+        self.body = self.length = 0
+
+    def of(self, at: int) -> tuple[int, int] | None:
+        """Where the block of the candidate at ``at`` begins, and its length; None if that is no header."""
+        line = at + len(MAGIC)
+        if line > max(self.bad, self.blank):
+            self._read(line)
+        return (self.body, self.length) if self.bad < line <= self.field else None
+
+    def _read(self, line: int) -> None:
+        field = length = -1
+        searched = line
+        while True:
+            end = self.span.data.find(b"\r\n", searched)
+            if end < 0:
+                searched = max(line, len(self.span.data) - 1)
+                if not self.span.more():
+                    self.bad = len(self.span.data)
+                    return
+                continue
+            if end == line:
+                self.blank, self.body, self.field, self.length = line, end + 2, field if length >= 0 else -1, length
+                return
+            name, colon, value = self.span.data[line:end].partition(b":")
+            if not colon:
+                self.bad = line
+                return
+            if name.strip().lower() == b"content-length":
+                value = value.strip()
+                field, length = line, int(value) if value.isdigit() and len(value) <= 18 else -1
+            line = searched = end + 2
+
+
 def candidates(span: Span, size: int) -> list[tuple[int, int, int, int]]:
     """``(offset, successor, exit, records)`` of all that looks like a record and begins in the first ``size`` bytes of ``span``. ``exit`` is where
     following successors leaves the block, after so many ``records``."""
     found: list[tuple[int, int]] = []
+    lengths = Lengths(span)
     at = span.data.find(MAGIC)
     while 0 <= at < size:
-        if header := parse_header(span, at):
-            fields, body = header
-            found.append((span.begin + at, span.begin + body + int(fields["content-length"]) + 4))
+        if header := lengths.of(at):
+            body, length = header
+            found.append((span.begin + at, span.begin + body + length + 4))
         at = span.data.find(MAGIC, at + 1, size + len(MAGIC))
     leaves: dict[int, tuple[int, int]] = {}
     out = []

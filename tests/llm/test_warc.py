@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from quire.llm import warc
@@ -80,3 +83,28 @@ def test_chain_must_fit_the_manifest(spark, change):
     manifest = warc.write_warc(df)
     with pytest.raises(ValueError, match="were written"):
         warc.read_warc(manifest.selectExpr("path", *[f"{c if c != name else change} as {c}" for c in ("bytes", "records")])).collect()
+
+
+@pytest.mark.parametrize("unit", ["WARC/1.1\r\nx:", "WARC/1.1\r\nContent-Length: 3\r\nx:", "WARC/1.1\r\n", "WARC/1.1\r\nContent-Length: " + "9" * 5000 + "\r\n\r\n"])
+def test_payload_of_record_heads(spark, unit):
+    html = unit * (1_000_000 // len(unit))
+    rows = [(0, "u", html), (1, "u", html + "\r\n\r\n"), (2, "http://h/WARC/1.1", "behind")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_warc(df)
+    start = time.monotonic()
+    got = warc.read_warc(manifest, 1 << 18).collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == rows
+    assert time.monotonic() - start < 30
+
+
+def test_lengths_are_those_of_whole_headers():
+    pieces = [b"WARC/1.1\r\n", b"Content-Length: 7\r\n", b"content-length : x\r\n", b"a:b\r\n", b"none\r\n", b"\r\n", b"x:", b"\r"]
+    draw = random.Random(5)
+    for _ in range(400):
+        span = warc.Span.__new__(warc.Span)
+        span.data, span.more = b"".join(draw.choices(pieces, k=draw.randrange(1, 40))), lambda: False
+        lengths, at = warc.Lengths(span), span.data.find(warc.MAGIC)
+        while at >= 0:
+            whole = warc.parse_header(span, at)
+            assert lengths.of(at) == (whole and (whole[1], int(whole[0]["content-length"])))
+            at = span.data.find(warc.MAGIC, at + 1)
