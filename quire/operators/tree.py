@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
 from quire.functions.text import safe_name
-from quire.operators.elements import empty, pile, piled, unpiled
 from quire.operators.scans import cut, running
+from quire.session import settle
 
-#: So many rows of a group are one fold.
-CHUNK = 1024
-
-OPEN = "struct<depth:int,title:string,idx:bigint>"
+#: So many levels of a tree are looked for in one scan.
+LEVELS = 64
 
 
 def nest_depth(
@@ -90,38 +88,15 @@ def preorder_index(
     return running(items, keys, order, {"idx": ("sum", F.lit(1))}, small)
 
 
-def _opened(stack: Column, row: Column) -> Column:
-    """The open items after ``row``: it closes all that are not above it."""
-    here = F.struct(row["depth"].cast("int").alias("depth"), row["title"].alias("title"), row["idx"].cast("bigint").alias("idx"))
-    return F.when(row["depth"].isNull(), stack).otherwise(F.array_append(_above(stack, row), here))
-
-
-def _above(stack: Column, row: Column) -> Column:
-    return F.filter(stack, lambda a: a["depth"] < row["depth"])
-
-
-def _carried(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What is open before each chunk of a group of several, ``before``, and the depth of the item behind it, ``next``.
-
-    Stacks compose: a chunk pops what is not above its least depth and pushes what it leaves open. A group's chunks,
-    one for ``CHUNK`` of its rows, are added up in one row.
-    """
-    none = empty(OPEN)
-    tails = chunks.select(
-        *keys, "_piece", "_chunk", F.get("rows", F.lit(0))["depth"].alias("first"),
-        F.array_min(F.transform("rows", lambda r: r["depth"])).alias("least"), F.aggregate("rows", none, _opened).alias("left"),
-    )
-    listed = F.sort_array(F.collect_list(F.struct("_piece", "_chunk", "first", "least", "left")))
-    groups = tails.groupBy(*keys).agg(listed.alias("all")).where(F.size("all") > 1)
-    start = F.struct(none.alias("stack"), pile(f"array<{OPEN}>"))
-
-    def add(s: Column, tail: Column) -> Column:
-        kept = F.filter(s["stack"], lambda a: tail["least"].isNull() | (a["depth"] < tail["least"]))
-        return F.struct(F.concat(kept, tail["left"]).alias("stack"), piled(s, F.array(s["stack"])))
-
-    groups = groups.withColumn("stacks", F.aggregate("all", start, add, unpiled))
-    rows = F.transform("all", lambda t, i: F.struct(t["_piece"].alias("piece"), t["_chunk"].alias("chunk"), F.get("stacks", i).alias("before"), F.get("all", i + 1)["first"].alias("next")))
-    return groups.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.explode_outer(rows).alias("_c"))
+def _with_ancestors(rows: DataFrame, keys: Sequence[str], low: int, high: int, small: bool) -> DataFrame:
+    """``rows``, all deeper than ``low``, with their ancestors at the levels above ``low`` and up to ``high`` added to ``parent_path``."""
+    here = F.struct(F.col("title").alias("title"), F.col("idx").cast("bigint").alias("idx"))
+    outs = {f"_anc{k}": ("last", F.when(F.col("depth") == k, here)) for k in range(low + 1, high + 1)}
+    if not outs:
+        return rows
+    found = F.array(*[F.when(F.col("depth") > k, F.col(f"_anc{k}")) for k in range(low + 1, high + 1)])
+    flat = running(rows, keys, ["idx"], outs, small)
+    return flat.withColumn("parent_path", F.concat("parent_path", F.filter(found, lambda a: a.isNotNull()))).drop(*outs)
 
 
 def flatten_catalog(
@@ -130,38 +105,33 @@ def flatten_catalog(
     """Adds ``parent_path`` (ancestors from the root, each with title and idx), ``parent_idx`` and
     ``has_children`` to tree rows ``(*keys, idx, depth, title, url)`` in walking order.
 
-    In walking order an item's ancestors are what is open before it: a stack that every item cuts back to its depth
-    and puts itself on. Rows are cut into ranges and those into chunks of ``CHUNK``; each chunk is a fold in one row, and begins with the
-    stack that the chunks before it leave. ``small`` says that every group is a part of one document; then it is one chunk. The plan is the
-    same for catalogs of any depth. A null depth has no ancestors and is nobody's parent.
+    In walking order the ancestor of a row at depth k is the last earlier row of that depth. ``LEVELS`` levels are one scan;
+    only rows that lie deeper go through the next one. So a plan is as wide for a very deep catalog as for others, and other catalogs
+    have no part in the scans it needs. Rows without a depth have no ancestors.
     """
-    keys, others = list(keys), [c for c in items.columns if c not in keys and c != "idx"]
-    if small:
-        rows = items.withColumns({"_piece": F.lit(0), "_chunk": F.lit(0)})
-    else:
-        turn = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy("idx"))
-        rows = cut(items, keys, ["idx"]).withColumn("_chunk", F.floor((turn - 1) / CHUNK))
-    chunks = rows.groupBy(*keys, "_piece", "_chunk").agg(F.sort_array(F.collect_list(F.struct("idx", *others))).alias("rows"))
-    before, behind = empty(OPEN), F.lit(None).cast("int")
-    if not small:
-        same = (F.col("_piece") == F.col("_c.piece")) & (F.col("_chunk") == F.col("_c.chunk"))
-        for n, k in enumerate(keys):
-            same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
-        chunks = chunks.join(_carried(chunks, keys), same, "left")
-        before, behind = F.coalesce("_c.before", before), F.col("_c.next")
-    start = F.struct(before.alias("stack"), pile(f"array<{OPEN}>"))
-    step = lambda s, r: F.struct(_opened(s["stack"], r).alias("stack"), piled(s, F.array(F.coalesce(_above(s["stack"], r), empty(OPEN)))))
-    chunks = chunks.select(*keys, "rows", behind.alias("_next"), F.aggregate("rows", start, step, unpiled).alias("_paths"))
-
-    def with_path(row: Column, i: Column) -> Column:
-        following = F.when(i + 1 < F.size("rows"), F.get("rows", i + 1)["depth"]).otherwise(F.col("_next"))
-        parents = F.transform(F.get("_paths", i), lambda a: F.struct(a["title"].alias("title"), a["idx"].alias("idx")))
-        return F.struct(row.alias("row"), parents.alias("above"), F.coalesce(following > row["depth"], F.lit(False)).alias("inner"))
-
-    flat = chunks.select(*keys, F.explode_outer(F.transform("rows", with_path)).alias("_r"))
-    named = [F.col(c) if c in keys else F.col(f"_r.row.{c}").alias(c) for c in items.columns]
-    flat = flat.select(*named, F.col("_r.above").alias("parent_path"), F.col("_r.inner").alias("has_children"))
-    return flat.withColumn("parent_idx", F.try_element_at("parent_path", F.lit(-1))["idx"])
+    deepest = items.agg(F.max("depth")).first()[0] or 0
+    none = F.array().cast("array<struct<title:string,idx:bigint>>")
+    rest, flat = items.withColumn("parent_path", none), None
+    for low in range(0, max(deepest, 1), LEVELS):
+        high = low + LEVELS
+        rest = _with_ancestors(rest, keys, low, min(high, deepest - 1), small)
+        if small and deepest > high:
+            rest = settle(rest)  # other scans settle what they read
+        done = rest.where(F.col("depth").isNull() | (F.col("depth") <= high))
+        flat = done if flat is None else flat.unionByName(done)
+        rest = rest.where(F.col("depth") > high)
+    flat = flat.withColumn("parent_idx", F.try_element_at("parent_path", F.lit(-1))["idx"])
+    families = (
+        flat.where(F.col("parent_idx").isNotNull())
+        .groupBy(*keys, "parent_idx")
+        .agg(F.count(F.lit(1)).alias("_children"))
+        .withColumnRenamed("parent_idx", "idx")
+    )
+    same = F.col("i.idx") == F.col("f.idx")
+    for k in keys:
+        same = same & F.col(f"i.{k}").eqNullSafe(F.col(f"f.{k}"))
+    flat = flat.alias("i").join(families.alias("f"), same, "left")
+    return flat.select("i.*", F.col("f._children").isNotNull().alias("has_children"))
 
 
 def path_text(parent_path: Column | str = "parent_path") -> Column:

@@ -18,7 +18,7 @@ from quire.operators import toc, tree
 from quire.plans import fetch as FP
 from quire.plans import verify as V
 from quire.plans.scan import scan_catalogs
-from quire.session import scratch_path
+from quire.session import scratch_path, settle
 from quire.sources import cache as C
 from quire.sources import catalogs as CAT
 from quire.sources import markdown_files as MF
@@ -529,6 +529,31 @@ def catalog_round_trip(spark, sf):
     return longs(items.select("site", *TREE_COLUMNS), "idx", "parent_idx", "depth")
 
 
+#: Levels of a deep catalog, and so many order numbers of one.
+DEEP, DEEP_ORDERS = 500, 2000
+
+
+@query
+def deep_catalog(spark, sf):
+    """Orders as catalogs in which each is below the one before it, down to level 500: made into documents, read back, flattened."""
+    orders = table(spark, sf, "orders").select(
+        F.floor(F.col("o_orderkey") / DEEP_ORDERS).cast("string").alias("catalog_id"), F.col("o_orderkey").cast("string").alias("title"),
+        F.concat_ws("/", F.lit("http://orders"), "o_orderpriority").alias("url"), "o_orderkey",
+    )
+    items = tree.preorder_index(orders, ["catalog_id"], ["o_orderkey"]).withColumn("depth", (F.pmod(F.col("idx") - 1, F.lit(DEEP)) + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    heads = items.groupBy("catalog_id").agg(F.concat(F.lit("orders-"), "catalog_id").alias("site"))
+    selectors = F.struct(none.alias("toc"), none.alias("content"), none.alias("toc_type"), none.alias("content_type"))
+    catalogs = heads.select("*", F.lit("http://orders").alias("url"), selectors.alias("selectors"), F.lit(False).alias("ai_generated"),
+                            F.lit(0.5).alias("confidence"), F.lit(STAMP).alias("scanned_at"))
+    documents = CAT.catalog_documents(catalogs, items).select("catalog_id", F.col("json").alias("value"))
+    _, back = CAT.catalogs_from_json(documents)
+    flat = tree.flatten_catalog(settle(back.select("site", "idx", "depth", "title", "url")))
+    above = F.aggregate("parent_path", F.lit(0).cast("bigint"), lambda n, a: n + a["title"].cast("bigint"))
+    out = flat.select("site", "idx", "parent_idx", "depth", "title", "url", "has_children", above.alias("orders_above"))
+    return longs(out, "idx", "parent_idx", "depth")
+
+
 @query
 def catalog_projection(spark, sf):
     rows = CAT.project_catalogs(_region_catalogs(spark, sf))

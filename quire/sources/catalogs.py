@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.bind import let
+from quire.functions.bind import let, then
 from quire.functions.urls import site_file
-from quire.operators.elements import empty, pile, piled, unpiled
+from quire.operators.elements import empty
 
 FIELDS = (
     "site string, url string, selectors struct<toc:string, content:string, toc_type:string, content_type:string>, "
@@ -31,6 +31,7 @@ def read_catalogs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 #: A name with its colon, a string, a bracket, or another value.
 _TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[\[\]{}]|[^\s\[\]{}:,"]++'
 _OBJECT, _LIST, _END, _NAME, _VALUE = range(5)
+BLOCK = 256
 _HEAD = "struct<idx:bigint,title:string,url:string>"
 _ITEM = "struct<idx:bigint,parent_idx:bigint,depth:int,title:string,url:string>"
 
@@ -52,14 +53,15 @@ def _tokens(value: Column | str) -> Column:
 
 
 def _walked(tokens: Column) -> Column:
-    """The items of a document in walking order of their ends, by one fold over its tokens with an explicit stack.
+    """The items of a document in the order of their ends, by one fold over its tokens with an explicit stack.
 
     Items are the objects on the path ``items[].children[]...``; ``depth`` counts open brackets, ``good`` those of them that
-    are on that path. So an item's brackets are at odd depths from 3 on. Null if brackets don't match up.
+    are on that path. So an item's brackets are at odd depths from 3 on. Null if brackets don't match up. A step of a fold copies
+    its state, so items are gathered for ``BLOCK`` tokens at a time.
     """
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(0).alias("good"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("bigint").alias("n"),
-        empty(_HEAD).alias("open"), pile(_ITEM),
+        empty(_HEAD).alias("open"), empty(_ITEM).alias("ended"),
     )
 
     def merge(s: Column, t: Column) -> Column:
@@ -69,8 +71,8 @@ def _walked(tokens: Column) -> Column:
         last = F.try_element_at(s["open"], F.lit(-1))
         rest = F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)
 
-        def state(depth=s["depth"], good=s["good"], name=s["name"], n=s["n"], stack=s["open"], held=s["pile"]) -> Column:
-            return F.struct(depth.alias("depth"), good.alias("good"), name.alias("name"), n.alias("n"), stack.alias("open"), held.alias("pile"))
+        def state(depth=s["depth"], good=s["good"], name=s["name"], n=s["n"], stack=s["open"], held=s["ended"]) -> Column:
+            return F.struct(depth.alias("depth"), good.alias("good"), name.alias("name"), n.alias("n"), stack.alias("open"), held.alias("ended"))
 
         none = F.lit(None).cast("string")
         item = F.struct((s["n"] + 1).alias("idx"), none.alias("title"), none.alias("url"))
@@ -85,7 +87,7 @@ def _walked(tokens: Column) -> Column:
             ((s["depth"] - 1) / 2).cast("int").alias("depth"), last["title"].alias("title"), last["url"].alias("url"),
         )
         shallower = s["depth"] - 1
-        closed = F.when(inside, state(shallower, shallower, stack=rest, held=piled(s, F.array(ended))))
+        closed = F.when(inside, state(shallower, shallower, stack=rest, held=F.array_append(s["ended"], ended)))
         closed = closed.otherwise(state(shallower, F.least(s["good"], shallower)))
         title, url = F.when(s["name"] == "title", text).otherwise(last["title"]), F.when(s["name"] == "url", text).otherwise(last["url"])
         filled = F.array_append(rest, F.struct(last["idx"].alias("idx"), title.alias("title"), url.alias("url")))
@@ -93,7 +95,18 @@ def _walked(tokens: Column) -> Column:
         named = F.when(on_path, state(name=text)).otherwise(s)
         return F.when(kind == _OBJECT, opened).when(kind == _LIST, listed).when(kind == _END, closed).when(kind == _NAME, named).otherwise(valued)
 
-    return F.aggregate(tokens, start, merge, lambda s: F.when(s["depth"] == 0, unpiled(s)))
+    def block(s: Column, part: Column) -> Column:
+        fresh = s["state"].withField("ended", empty(_ITEM))
+        walked = F.aggregate(part, fresh, merge)
+        return then(s, walked, lambda s, w: F.struct(w.alias("state"), F.array_append(s["items"], w["ended"]).alias("items")))
+
+    def whole(all_tokens: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(all_tokens) / BLOCK), F.lit(1)).cast("int") - 1
+        parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_tokens, b * BLOCK + 1, F.lit(BLOCK)))
+        outer = F.struct(start.alias("state"), empty(f"array<{_ITEM}>").alias("items"))
+        return F.aggregate(parts, outer, block, lambda s: F.when(s["state"]["depth"] == 0, F.flatten(s["items"])))
+
+    return let(tokens, whole)
 
 
 def catalogs_from_json(texts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -86,9 +86,9 @@ def test_depth_has_no_limit(spark):
 
 
 def test_paths_of_a_deep_and_long_catalog(spark, monkeypatch):
-    monkeypatch.setattr(tree, "CHUNK", 7)
-    deep = [("deep", i, i if i <= 300 else 2 + i % 5, f"t{i}") for i in range(1, 420)]
-    wide = [(site, i, 1 if i % 40 == 1 else min(1 + i % 4, i), f"w{i}") for site in ("a", None) for i in range(1, 200)]
+    monkeypatch.setattr(tree, "LEVELS", 16)
+    deep = [("deep", i, i if i <= 60 else 2 + i % 5, f"t{i}") for i in range(1, 120)]
+    wide = [(site, i, 1 + (i - 1) % 4, f"w{i}") for site in ("a", None) for i in range(1, 200)]
     rows = deep + wide + [("one", 1, 1, None)]
     want = {}
     stacks = {}
@@ -97,7 +97,7 @@ def test_paths_of_a_deep_and_long_catalog(spark, monkeypatch):
         want[site, i] = [(x[1], x[2]) for x in stack]
         stacks[site] = [*stack, (depth, title, i)]
     inner = {(site, up[-1][1]) for (site, _), up in want.items() if up}
-    items = spark.createDataFrame(rows, "site string, idx long, depth int, title string").repartition(5)
+    items = spark.createDataFrame(rows, "site string, idx long, depth int, title string").repartition(3)
     for small in (True, False):
         flat = tree.flatten_catalog(items, small=small).collect()
         assert len(flat) == len(rows)
