@@ -32,8 +32,7 @@ def read_catalogs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 _TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[\[\]{}]|[^\s\[\]{}:,"]++'
 _OBJECT, _LIST, _END, _NAME, _VALUE = range(5)
 BLOCK = 256
-_HEAD = "struct<idx:bigint,title:string,url:string>"
-_ITEM = "struct<idx:bigint,parent_idx:bigint,depth:int,title:string,url:string>"
+_ITEM = "struct<idx:bigint,parent_idx:bigint,depth:int,title:string,url:string>"  # of an item, or of one of its fields
 
 
 def _plain(json: Column) -> Column:
@@ -53,15 +52,15 @@ def _tokens(value: Column | str) -> Column:
 
 
 def _walked(tokens: Column) -> Column:
-    """The items of a document in the order of their ends, by one fold over its tokens with an explicit stack.
+    """What is said of a document's items, in its order, by one fold over its tokens with an explicit stack.
 
     Items are the objects on the path ``items[].children[]...``; ``depth`` counts open brackets, ``good`` those of them that
     are on that path. So an item's brackets are at odd depths from 3 on. Null if brackets don't match up. A step of a fold copies
-    its state, so items are gathered for ``BLOCK`` tokens at a time.
+    its state, so the stack holds numbers only and rows are gathered for ``BLOCK`` tokens at a time.
     """
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(0).alias("good"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("bigint").alias("n"),
-        empty(_HEAD).alias("open"), empty(_ITEM).alias("ended"),
+        empty("bigint").alias("open"), empty(_ITEM).alias("said"),
     )
 
     def merge(s: Column, t: Column) -> Column:
@@ -69,36 +68,30 @@ def _walked(tokens: Column) -> Column:
         inside = on_path & odd & (s["depth"] >= 3)
         kind, text = t["kind"], t["text"]
         last = F.try_element_at(s["open"], F.lit(-1))
-        rest = F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)
 
-        def state(depth=s["depth"], good=s["good"], name=s["name"], n=s["n"], stack=s["open"], held=s["ended"]) -> Column:
-            return F.struct(depth.alias("depth"), good.alias("good"), name.alias("name"), n.alias("n"), stack.alias("open"), held.alias("ended"))
+        def state(depth=s["depth"], good=s["good"], name=s["name"], n=s["n"], stack=s["open"], said=s["said"]) -> Column:
+            return F.struct(depth.alias("depth"), good.alias("good"), name.alias("name"), n.alias("n"), stack.alias("open"), said.alias("said"))
 
-        none = F.lit(None).cast("string")
-        item = F.struct((s["n"] + 1).alias("idx"), none.alias("title"), none.alias("url"))
-        deeper = s["depth"] + 1
+        def row(idx: Column, parent=None, depth=None, title=None, url=None) -> Column:
+            return F.array_append(s["said"], F.struct(idx.alias("idx"), *[F.lit(c).alias(k) for k, c in (("parent_idx", parent), ("depth", depth), ("title", title), ("url", url))]).cast(_ITEM))
+
+        deeper, shallower = s["depth"] + 1, s["depth"] - 1
         begins = on_path & ~odd
-        opened = F.when(begins & (s["depth"] >= 2), state(deeper, deeper, n=s["n"] + 1, stack=F.array_append(s["open"], item)))
+        item = row(s["n"] + 1, last, (s["depth"] / 2).cast("int"))
+        opened = F.when(begins & (s["depth"] >= 2), state(deeper, deeper, n=s["n"] + 1, stack=F.array_append(s["open"], s["n"] + 1), said=item))
         opened = opened.otherwise(state(deeper, F.when(begins, deeper).otherwise(s["good"])))
         lists = on_path & ((s["depth"] == 1) & (s["name"] == "items") | inside & (s["name"] == "children"))
         listed = state(deeper, F.when(lists, deeper).otherwise(s["good"]))
-        ended = F.struct(
-            last["idx"].alias("idx"), F.try_element_at(s["open"], F.lit(-2))["idx"].alias("parent_idx"),
-            ((s["depth"] - 1) / 2).cast("int").alias("depth"), last["title"].alias("title"), last["url"].alias("url"),
-        )
-        shallower = s["depth"] - 1
-        closed = F.when(inside, state(shallower, shallower, stack=rest, held=F.array_append(s["ended"], ended)))
+        closed = F.when(inside, state(shallower, shallower, stack=F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)))
         closed = closed.otherwise(state(shallower, F.least(s["good"], shallower)))
-        title, url = F.when(s["name"] == "title", text).otherwise(last["title"]), F.when(s["name"] == "url", text).otherwise(last["url"])
-        filled = F.array_append(rest, F.struct(last["idx"].alias("idx"), title.alias("title"), url.alias("url")))
-        valued = F.when(inside & s["name"].isin("title", "url"), state(stack=filled)).otherwise(s)
+        valued = F.when(inside & (s["name"] == "title"), state(said=row(last, title=text))).when(inside & (s["name"] == "url"), state(said=row(last, url=text))).otherwise(s)
         named = F.when(on_path, state(name=text)).otherwise(s)
         return F.when(kind == _OBJECT, opened).when(kind == _LIST, listed).when(kind == _END, closed).when(kind == _NAME, named).otherwise(valued)
 
     def block(s: Column, part: Column) -> Column:
-        fresh = s["state"].withField("ended", empty(_ITEM))
+        fresh = s["state"].withField("said", empty(_ITEM))
         walked = F.aggregate(part, fresh, merge)
-        return then(s, walked, lambda s, w: F.struct(w.alias("state"), F.array_append(s["items"], w["ended"]).alias("items")))
+        return then(s, walked, lambda s, w: F.struct(w.alias("state"), F.array_append(s["items"], w["said"]).alias("items")))
 
     def whole(all_tokens: Column) -> Column:
         last = F.greatest(F.ceil(F.size(all_tokens) / BLOCK), F.lit(1)).cast("int") - 1
@@ -118,8 +111,10 @@ def catalogs_from_json(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     unlimited = {"maxNestingDepth": str((1 << 31) - 1)}  # the reader's own limit is 1000
     catalogs = texts.select("catalog_id", F.from_json("value", FIELDS, unlimited).alias("c")).select("catalog_id", "c.*")
     items = texts.select("catalog_id", F.from_json("value", "site string", unlimited)["site"].alias("site"), _walked(_tokens("value")).alias("all"))
-    items = items.select("catalog_id", "site", F.explode_outer("all").alias("i")).where(F.col("i").isNotNull())
-    return catalogs, items.select("catalog_id", "site", "i.idx", "i.parent_idx", "i.depth", _plain(F.col("i.title")).alias("title"), _plain(F.col("i.url")).alias("url"))
+    said = items.select("catalog_id", "site", F.posexplode_outer("all").alias("at", "i")).where(F.col("i").isNotNull()).select("catalog_id", "site", "at", "i.*")
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
+    items = said.groupBy("catalog_id", "site", "idx").agg(F.max("parent_idx").alias("parent_idx"), F.max("depth").alias("depth"), latest("title"), latest("url"))
+    return catalogs, items.select("catalog_id", "site", "idx", "parent_idx", "depth", _plain(F.col("title")).alias("title"), _plain(F.col("url")).alias("url"))
 
 
 def _text(c: str) -> Column:
