@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
@@ -12,8 +12,9 @@ from quire.functions.text import safe_name
 from quire.operators.scans import cut, running
 from quire.session import settle
 
-#: So many levels of a tree are looked for in one scan.
+#: So many neighbours look for their ancestors among the same rows, about as many as a catalog has levels; a block has as many such parts.
 LEVELS = 64
+END = (1 << 63) - 1
 
 
 def nest_depth(
@@ -88,15 +89,98 @@ def preorder_index(
     return running(items, keys, order, {"idx": ("sum", F.lit(1))}, small)
 
 
-def _with_ancestors(rows: DataFrame, keys: Sequence[str], low: int, high: int, small: bool) -> DataFrame:
-    """``rows``, all deeper than ``low``, with their ancestors at the levels above ``low`` and up to ``high`` added to ``parent_path``."""
-    here = F.struct(F.col("title").alias("title"), F.col("idx").cast("bigint").alias("idx"))
-    outs = {f"_anc{k}": ("last", F.when(F.col("depth") == k, here)) for k in range(low + 1, high + 1)}
-    if not outs:
-        return rows
-    found = F.array(*[F.when(F.col("depth") > k, F.col(f"_anc{k}")) for k in range(low + 1, high + 1)])
-    flat = running(rows, keys, ["idx"], outs, small)
-    return flat.withColumn("parent_path", F.concat("parent_path", F.filter(found, lambda a: a.isNotNull()))).drop(*outs)
+def _blocks(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows gathered into blocks of at most ``LEVELS`` squared neighbours, ``(*keys, _block, _rows)``, settled.
+
+    ``_rows`` is in walking order. A row says up to which ``idx`` it is the last one of its depth (``_until``, as far as the block
+    knows) and which row of the block is the first one of its depth (``_first``).
+    """
+    block = F.col("idx") - F.pmod(F.col("idx"), F.lit(LEVELS**2))
+    rows = items.withColumn("_block", block.cast("bigint")).repartition(*keys, "_block")
+    level = Window.partitionBy(*keys, "_block", "depth").orderBy("idx")
+    rows = rows.withColumns({"_until": F.coalesce(F.lead("idx").over(level).cast("bigint"), F.lit(END)), "_first": F.first("idx").over(level).cast("bigint")})
+    row = F.struct(*[c for c in rows.columns if c not in (*keys, "_block")])
+    return settle(rows.groupBy(*keys, "_block").agg(F.collect_list(row).alias("_rows")).withColumn("_rows", F.array_sort("_rows", _walk)))
+
+
+def _walk(a: Column, b: Column) -> Column:
+    return F.when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).otherwise(0)
+
+
+def _ancestor(r: Column) -> Column:
+    """A row as others see it above them."""
+    here = F.struct(r["title"].alias("title"), r["idx"].cast("bigint").alias("idx"))
+    return F.struct(r["depth"].cast("bigint").alias("depth"), r["idx"].cast("bigint").alias("idx"), r["_until"].alias("until"), here.alias("here"))
+
+
+def _with_note(blocks: DataFrame, notes: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``blocks`` with the array ``name`` that ``notes`` has for some of them."""
+    same = F.col("b._block") == F.col("n._block")
+    for k in keys:
+        same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"n.{k}"))
+    found = blocks.alias("b").join(notes.alias("n"), same, "left").select("b.*", F.col(f"n.{name}"))
+    return found.withColumn(name, F.coalesce(name, F.array().cast(notes.schema[name].dataType)))
+
+
+def _with_above(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_above``: of the depths that a block's rows miss in their block, the last row before the block.
+
+    A row at most one level below the one before it misses what that one misses. So seekers are the levels above a block's first
+    row, and those that a row skips; what they look among is one row per block and depth.
+    """
+    skipped = lambda r, i: F.sequence(
+        F.coalesce(F.get("_rows", i - 1)["depth"], F.lit(0)).cast("bigint") + 1, r["depth"].cast("bigint") - 1, F.lit(1).cast("bigint")
+    )
+    jumps = lambda r, i: r["depth"] > F.coalesce(F.get("_rows", i - 1)["depth"], F.lit(0)) + 1
+    none = F.array().cast("array<bigint>")
+    missed = F.array_distinct(F.flatten(F.transform("_rows", lambda r, i: F.when(jumps(r, i), skipped(r, i)).otherwise(none))))
+    missed = F.filter(missed, lambda k: k >= 1)
+    last = F.filter("_rows", lambda r: (r["_until"] == END) & (r["depth"] >= 1))
+    seen = blocks.select(*keys, "_block", F.explode_outer(F.transform(last, lambda r: F.struct(_ancestor(r).alias("who"), r["_first"].alias("first")))).alias("h"))
+    seen = seen.where(F.col("h").isNotNull()).select(*keys, F.col("h.who.depth").alias("_at"), "_block", F.lit(1).alias("_role"), F.col("h.who").alias("_who"), F.col("h.first").alias("_first"))
+    seekers = blocks.select(*keys, F.explode_outer(missed).alias("_at"), "_block", F.lit(0).alias("_role")).where(F.col("_at").isNotNull())
+    level = Window.partitionBy(*keys, "_at").orderBy("_block", "_role")  # a row per block
+    both = seen.unionByName(seekers, allowMissingColumns=True)
+    until = F.when(F.lead("_block").over(level) == F.col("_block"), F.lead("_first").over(level))
+    found = both.withColumns({"_who": F.last("_who", ignorenulls=True).over(level), "_until": F.coalesce(until, F.lit(END))})
+    found = found.where((F.col("_role") == 0) & F.col("_who").isNotNull())
+    above = F.collect_list(F.col("_who").withField("until", F.col("_until")))
+    return _with_note(blocks, found.groupBy(*keys, "_block").agg(above.alias("_above")), keys, "_above")
+
+
+def _parts(inner: bool = False) -> Column:
+    """A block's rows by ``LEVELS``, each part with the rows of the block and before it that are still the last ones of their depth."""
+
+    def part(at: Column) -> Column:
+        rows = F.slice("_rows", at + 1, F.lit(LEVELS))
+        start = F.get("_rows", at)["idx"]
+        before = F.filter(F.slice("_rows", F.lit(1), at), lambda r: (r["_until"] >= start) & (r["depth"] >= 1))
+        before = F.concat(F.filter("_above", lambda a: a["until"] >= start), F.transform(before, _ancestor))
+        own = F.transform(F.filter(rows, lambda r: r["depth"] >= 1), _ancestor)
+        parents = [F.array_intersect("_inner", rows["idx"].cast("array<bigint>")).alias("_inner")] if inner else []
+        return F.struct(rows.alias("_rows"), F.concat(before, own).alias("_seen"), *parents)
+
+    return F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("_rows") - 1, F.lit(LEVELS)), part))
+
+
+def _path(r: Column, seen: Column | str) -> Column:
+    """The rows above ``r``, from the root."""
+    idx, depth = r["idx"], r["depth"]
+    return F.sort_array(F.filter(seen, lambda a: (a["idx"] < idx) & (a["until"] > idx) & (a["depth"] < depth)))["here"]
+
+
+def _with_inner(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_inner``: ``idx`` of a block's rows that others are below."""
+    parts = blocks.select(*keys, _parts().alias("p")).select(*keys, "p.*")
+
+    def parent(r: Column, i: Column) -> Column:
+        before = F.get("_rows", i - 1)
+        above = F.try_element_at(_path(r, F.col("_seen")), F.lit(-1))["idx"]
+        return F.when((i > 0) & (before["depth"] >= 1) & (before["depth"] + 1 == r["depth"]), before["idx"].cast("bigint")).otherwise(above)
+
+    inner = parts.select(*keys, F.explode_outer(F.array_distinct(F.transform("_rows", parent))).alias("_idx")).where(F.col("_idx").isNotNull())
+    inner = inner.withColumn("_block", F.col("_idx") - F.pmod(F.col("_idx"), F.lit(LEVELS**2)))
+    return _with_note(blocks, inner.groupBy(*keys, "_block").agg(F.collect_set("_idx").alias("_inner")), keys, "_inner")
 
 
 def flatten_catalog(
@@ -105,33 +189,22 @@ def flatten_catalog(
     """Adds ``parent_path`` (ancestors from the root, each with title and idx), ``parent_idx`` and
     ``has_children`` to tree rows ``(*keys, idx, depth, title, url)`` in walking order.
 
-    In walking order the ancestor of a row at depth k is the last earlier row of that depth. ``LEVELS`` levels are one scan;
-    only rows that lie deeper go through the next one. So a plan is as wide for a very deep catalog as for others, and other catalogs
-    have no part in the scans it needs. Rows without a depth have no ancestors.
+    In walking order the ancestor of a row at depth k is the last earlier row of that depth. Rows are gathered in blocks that are told
+    which rows before them count, and paths are made last, within a block: they are neither moved nor written, so that what is
+    grows with the rows and not with their depth. Rows without a depth have no ancestors.
     """
-    deepest = items.agg(F.max("depth")).first()[0] or 0
-    none = F.array().cast("array<struct<title:string,idx:bigint>>")
-    rest, flat = items.withColumn("parent_path", none), None
-    for low in range(0, max(deepest, 1), LEVELS):
-        high = low + LEVELS
-        rest = _with_ancestors(rest, keys, low, min(high, deepest - 1), small)
-        if small and deepest > high:
-            rest = settle(rest)  # other scans settle what they read
-        done = rest.where(F.col("depth").isNull() | (F.col("depth") <= high))
-        flat = done if flat is None else flat.unionByName(done)
-        rest = rest.where(F.col("depth") > high)
+    keys = list(keys)
+    bare = [c for c in items.columns if c not in ("parent_path", "parent_idx")]
+    blocks = _with_inner(_with_above(_blocks(items.select(*bare), keys), keys), keys)
+    parts = blocks.select(*keys, _parts(inner=True).alias("p")).select(*keys, "p.*")
+    rows = parts.select(*keys, "_seen", "_inner", F.explode_outer("_rows").alias("_r"))
+    flat = rows.select(
+        *keys, *[F.col(f"_r.{c}").alias(c) for c in bare if c not in keys], _path(F.col("_r"), F.col("_seen")).alias("parent_path"),
+        F.array_contains("_inner", F.col("_r.idx").cast("bigint")).alias("has_children"),
+    )
     flat = flat.withColumn("parent_idx", F.try_element_at("parent_path", F.lit(-1))["idx"])
-    families = (
-        flat.where(F.col("parent_idx").isNotNull())
-        .groupBy(*keys, "parent_idx")
-        .agg(F.count(F.lit(1)).alias("_children"))
-        .withColumnRenamed("parent_idx", "idx")
-    )
-    same = F.col("i.idx") == F.col("f.idx")
-    for k in keys:
-        same = same & F.col(f"i.{k}").eqNullSafe(F.col(f"f.{k}"))
-    flat = flat.alias("i").join(families.alias("f"), same, "left")
-    return flat.select("i.*", F.col("f._children").isNotNull().alias("has_children"))
+    columns = [*items.columns, *[c for c in ("parent_path", "parent_idx") if c not in items.columns]]
+    return flat.select(*columns, "has_children")
 
 
 def path_text(parent_path: Column | str = "parent_path") -> Column:

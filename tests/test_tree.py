@@ -106,6 +106,45 @@ def test_paths_of_a_deep_and_long_catalog(spark, monkeypatch):
         assert all(r.parent_idx == (want[r.site, r.idx][-1][1] if want[r.site, r.idx] else None) for r in flat)
 
 
+def test_paths_over_many_blocks(spark, monkeypatch):
+    """Ancestors far before a row, levels that are skipped, and rows without a depth: the last earlier row of each level counts."""
+    monkeypatch.setattr(tree, "LEVELS", 4)
+    rng = random.Random(11)
+    depths = {"walk": [1], "chain": [1 + i % 50 for i in range(230)], "roots": [1, *[2] * 100, 3, 2, 3], None: [1, 2, 3] * 30}
+    while len(depths["walk"]) < 400:
+        depths["walk"].append(rng.randint(max(1, depths["walk"][-1] - 2), depths["walk"][-1] + 1))
+    depths["odd"] = [rng.choice([None, 0, 1, 2, 3, 5, 9]) for _ in range(150)]
+    rows, want = [], {}
+    for site, of_site in depths.items():
+        last = {}
+        for i, depth in enumerate(of_site, 1):
+            rows.append((site, i, depth, f"t{i}", None))
+            want[site, i] = [last[k] for k in sorted(last) if depth is not None and k < depth]
+            if depth:
+                last[depth] = (f"t{i}", i)
+    inner = {(site, up[-1][1]) for (site, _), up in want.items() if up}
+    items = spark.createDataFrame(rows, "site string, idx long, depth int, title string, parent_idx long").repartition(5)
+    flat = tree.flatten_catalog(items)
+    assert flat.columns == ["site", "idx", "depth", "title", "parent_idx", "parent_path", "has_children"]
+    flat = flat.collect()
+    assert len(flat) == len(rows)
+    assert {(r.site, r.idx): [tuple(p) for p in r.parent_path] for r in flat} == want
+    assert {(r.site, r.idx) for r in flat if r.has_children} == inner
+    assert all(r.parent_idx == (want[r.site, r.idx][-1][1] if want[r.site, r.idx] else None) for r in flat)
+
+
+def test_paths_are_neither_moved_nor_settled(spark, monkeypatch):
+    settled = []
+    monkeypatch.setattr(tree, "settle", lambda df: settled.append(df) or df)
+    items = spark.range(1, 400).selectExpr("'s' AS site", "id AS idx", "CAST(id AS INT) AS depth", "string(id) AS title")
+    flat = tree.flatten_catalog(items)
+    assert len(settled) == 1 and not any("parent_path" in df.columns for df in settled)
+    plan = flat._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    moving = [line for line in plan if "Join" in line or "Repartition" in line or "Window" in line or "Aggregate" in line]
+    assert moving and not any("parent_path" in line for line in moving)
+    assert "Join" not in plan[0] and flat.agg({"parent_idx": "sum"}).first()[0] == sum(range(1, 399))
+
+
 def test_flatten_of_nothing(spark):
     items = spark.createDataFrame([], "site string, idx long, depth int, title string, url string")
     assert tree.flatten_catalog(items).collect() == []
