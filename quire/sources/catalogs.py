@@ -31,7 +31,9 @@ def read_catalogs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 #: A name with its colon, a string, a bracket, or another value.
 _TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[\[\]{}]|[^\s\[\]{}:,"]++'
 _OBJECT, _LIST, _END, _NAME, _VALUE = range(5)
-BLOCK = 256
+#: Tokens that are walked together: groups of groups of ... FAN.
+FAN = 8
+CHUNK = FAN**5
 _ITEM = "struct<idx:bigint,parent_idx:bigint,depth:int,title:string,url:string>"  # of an item, or of one of its fields
 
 
@@ -40,78 +42,102 @@ def _plain(json: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(json), "$", "string")
 
 
-def _tokens(value: Column | str) -> Column:
-    def token(raw: Column) -> Column:
-        name = F.regexp_extract(raw, r'(?s)\A"(.*)"\s*:\z', 1)
-        name = F.when(name.contains("\\"), _plain(F.concat(F.lit('"'), name, F.lit('"')))).otherwise(name)
-        kind = F.when(raw == "{", _OBJECT).when(raw == "[", _LIST).when(raw.isin("}", "]"), _END)
-        kind = kind.when(raw.startswith('"') & raw.endswith(":"), _NAME).otherwise(_VALUE)
-        return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == _NAME, name).when(k == _VALUE, raw).alias("text")))
+def _token(raw: Column) -> Column:
+    name = F.regexp_extract(raw, r'(?s)\A"(.*)"\s*:\z', 1)
+    name = F.when(name.contains("\\"), _plain(F.concat(F.lit('"'), name, F.lit('"')))).otherwise(name)
+    kind = F.when(raw == "{", _OBJECT).when(raw == "[", _LIST).when(raw.isin("}", "]"), _END)
+    kind = kind.when(raw.startswith('"') & raw.endswith(":"), _NAME).otherwise(_VALUE)
+    return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == _NAME, name).when(k == _VALUE, raw).alias("text")))
 
-    return F.transform(F.regexp_extract_all(value, F.lit(_TOKEN), F.lit(0)), token)
 
-
-def _walked(tokens: Column) -> Column:
-    """What is said of a document's items, in its order, by one fold over its tokens with an explicit stack.
+def _merge(s: Column, t: Column, say: bool) -> Column:
+    """The walk after one more token, and if ``say``, what that token says.
 
     Items are the objects on the path ``items[].children[]...``; ``depth`` counts open brackets, ``good`` those of them that
-    are on that path. So an item's brackets are at odd depths from 3 on. Null if brackets don't match up. A step of a fold copies
-    its state, so the stack holds numbers only and rows are gathered for ``BLOCK`` tokens at a time.
+    are on that path. So an item's brackets are at odd depths from 3 on.
+    """
+    on_path, odd = s["good"] == s["depth"], s["depth"] % 2 == 1
+    inside = on_path & odd & (s["depth"] >= 3)
+    kind, text = t["kind"], t["text"]
+    last = F.try_element_at(s["open"], F.lit(-1))
+
+    def state(depth=s["depth"], good=s["good"], name=s["name"], n=s["n"], stack=s["open"], said=s["said"]) -> Column:
+        return F.struct(depth.alias("depth"), good.alias("good"), name.alias("name"), n.alias("n"), stack.alias("open"), said.alias("said"))
+
+    def row(idx: Column, parent=None, depth=None, title=None, url=None) -> Column:
+        if not say:
+            return s["said"]
+        return F.array_append(s["said"], F.struct(idx.alias("idx"), *[F.lit(c).alias(k) for k, c in (("parent_idx", parent), ("depth", depth), ("title", title), ("url", url))]).cast(_ITEM))
+
+    deeper, shallower = s["depth"] + 1, s["depth"] - 1
+    begins = on_path & ~odd
+    item = row(s["n"] + 1, last, (s["depth"] / 2).cast("int"))
+    opened = F.when(begins & (s["depth"] >= 2), state(deeper, deeper, n=s["n"] + 1, stack=F.array_append(s["open"], s["n"] + 1), said=item))
+    opened = opened.otherwise(state(deeper, F.when(begins, deeper).otherwise(s["good"])))
+    lists = on_path & ((s["depth"] == 1) & (s["name"] == "items") | inside & (s["name"] == "children"))
+    listed = state(deeper, F.when(lists, deeper).otherwise(s["good"]))
+    closed = F.when(inside, state(shallower, shallower, stack=F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)))
+    closed = closed.otherwise(state(shallower, F.least(s["good"], shallower)))
+    valued = F.when(inside & (s["name"] == "title"), state(said=row(last, title=text))).when(inside & (s["name"] == "url"), state(said=row(last, url=text))).otherwise(s)
+    named = F.when(on_path, state(name=text)).otherwise(s)
+    return F.when(kind == _OBJECT, opened).when(kind == _LIST, listed).when(kind == _END, closed).when(kind == _NAME, named).otherwise(valued)
+
+
+def _chunks(raw: str) -> Column:
+    """A document's tokens by ``CHUNK``, each chunk with the state of the walk before it; null if brackets don't match up.
+
+    The states are found by a fold that says nothing. A document of one chunk needs none.
     """
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(0).alias("good"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("bigint").alias("n"),
         empty("bigint").alias("open"), empty(_ITEM).alias("said"),
     )
+    level = F.aggregate(raw, F.lit(0), lambda n, t: n + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0))
+    last = F.greatest(F.ceil(F.size(raw) / CHUNK), F.lit(1)).cast("int") - 1
+    part = lambda c: F.slice(raw, c * CHUNK + 1, F.lit(CHUNK))
+
+    def after(states: Column, c: Column) -> Column:
+        walked = F.aggregate(F.transform(part(c), _token), F.element_at(states, F.lit(-1)), lambda s, t: _merge(s, t, say=False))
+        return then(states, walked, F.array_append)
+
+    states = F.when(last > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), F.array(start), after)).otherwise(F.array(start))
+    return F.when(level == 0, F.transform(states, lambda s, c: F.struct(s.alias("state"), part(c).alias("tokens"))))
+
+
+def _said(state: Column, tokens: Column) -> Column:
+    """What is said of a document's items in a chunk, in its order, by folds over its tokens with an explicit stack.
+
+    Every step of a fold copies its state. So the stack holds numbers only, and rows are gathered for ``FAN`` tokens, then for ``FAN``
+    such groups, and so on: a row is copied a bounded number of times.
+    """
+
+    def walk(s: Column, start: Column, span: int) -> Column:
+        if span == FAN:
+            return F.aggregate(F.transform(F.slice(tokens, start + 1, F.lit(FAN)), _token), s, lambda s, t: _merge(s, t, say=True))
+
+        def group(s: Column, at: Column) -> Column:
+            inner = walk(s.withField("said", empty(_ITEM)), at, span // FAN)
+            return then(s, inner, lambda s, w: w.withField("said", F.concat(s["said"], w["said"])))
+
+        end = F.least(start + span, F.greatest(F.size(tokens), F.lit(1))) - 1
+        return F.aggregate(F.sequence(start, end, F.lit(span // FAN)), s, group)
 
-    def merge(s: Column, t: Column) -> Column:
-        on_path, odd = s["good"] == s["depth"], s["depth"] % 2 == 1
-        inside = on_path & odd & (s["depth"] >= 3)
-        kind, text = t["kind"], t["text"]
-        last = F.try_element_at(s["open"], F.lit(-1))
-
-        def state(depth=s["depth"], good=s["good"], name=s["name"], n=s["n"], stack=s["open"], said=s["said"]) -> Column:
-            return F.struct(depth.alias("depth"), good.alias("good"), name.alias("name"), n.alias("n"), stack.alias("open"), said.alias("said"))
-
-        def row(idx: Column, parent=None, depth=None, title=None, url=None) -> Column:
-            return F.array_append(s["said"], F.struct(idx.alias("idx"), *[F.lit(c).alias(k) for k, c in (("parent_idx", parent), ("depth", depth), ("title", title), ("url", url))]).cast(_ITEM))
-
-        deeper, shallower = s["depth"] + 1, s["depth"] - 1
-        begins = on_path & ~odd
-        item = row(s["n"] + 1, last, (s["depth"] / 2).cast("int"))
-        opened = F.when(begins & (s["depth"] >= 2), state(deeper, deeper, n=s["n"] + 1, stack=F.array_append(s["open"], s["n"] + 1), said=item))
-        opened = opened.otherwise(state(deeper, F.when(begins, deeper).otherwise(s["good"])))
-        lists = on_path & ((s["depth"] == 1) & (s["name"] == "items") | inside & (s["name"] == "children"))
-        listed = state(deeper, F.when(lists, deeper).otherwise(s["good"]))
-        closed = F.when(inside, state(shallower, shallower, stack=F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)))
-        closed = closed.otherwise(state(shallower, F.least(s["good"], shallower)))
-        valued = F.when(inside & (s["name"] == "title"), state(said=row(last, title=text))).when(inside & (s["name"] == "url"), state(said=row(last, url=text))).otherwise(s)
-        named = F.when(on_path, state(name=text)).otherwise(s)
-        return F.when(kind == _OBJECT, opened).when(kind == _LIST, listed).when(kind == _END, closed).when(kind == _NAME, named).otherwise(valued)
-
-    def block(s: Column, part: Column) -> Column:
-        fresh = s["state"].withField("said", empty(_ITEM))
-        walked = F.aggregate(part, fresh, merge)
-        return then(s, walked, lambda s, w: F.struct(w.alias("state"), F.array_append(s["items"], w["said"]).alias("items")))
-
-    def whole(all_tokens: Column) -> Column:
-        last = F.greatest(F.ceil(F.size(all_tokens) / BLOCK), F.lit(1)).cast("int") - 1
-        parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_tokens, b * BLOCK + 1, F.lit(BLOCK)))
-        outer = F.struct(start.alias("state"), empty(f"array<{_ITEM}>").alias("items"))
-        return F.aggregate(parts, outer, block, lambda s: F.when(s["state"]["depth"] == 0, F.flatten(s["items"])))
-
-    return let(tokens, whole)
+    return walk(state, F.lit(0), CHUNK)["said"]
 
 
 def catalogs_from_json(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``read_catalogs`` for documents that are already in a column ``value``.
 
-    A document is taken apart in its row, whatever its depth. One that is not JSON has no fields and no items; what is no object
+    A document is taken apart in its task, chunk after chunk, whatever its depth. One that is not JSON has no fields and no items; what is no object
     in a list of items is no item; of a title that stands twice the last one counts.
     """
     unlimited = {"maxNestingDepth": str((1 << 31) - 1)}  # the reader's own limit is 1000
     catalogs = texts.select("catalog_id", F.from_json("value", FIELDS, unlimited).alias("c")).select("catalog_id", "c.*")
-    items = texts.select("catalog_id", F.from_json("value", "site string", unlimited)["site"].alias("site"), _walked(_tokens("value")).alias("all"))
-    said = items.select("catalog_id", "site", F.posexplode_outer("all").alias("at", "i")).where(F.col("i").isNotNull()).select("catalog_id", "site", "at", "i.*")
+    site = F.from_json("value", "site string", unlimited)["site"].alias("site")
+    items = texts.select("catalog_id", site, F.regexp_extract_all("value", F.lit(_TOKEN), F.lit(0)).alias("raw"))
+    items = items.select("catalog_id", "site", F.posexplode_outer(_chunks("raw")).alias("chunk", "c")).where(F.col("c").isNotNull())
+    said = items.select("catalog_id", "site", "chunk", F.posexplode_outer(_said(F.col("c.state"), F.col("c.tokens"))).alias("at", "i"))
+    said = said.where(F.col("i").isNotNull()).select("catalog_id", "site", F.struct("chunk", "at").alias("at"), "i.*")
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
     items = said.groupBy("catalog_id", "site", "idx").agg(F.max("parent_idx").alias("parent_idx"), F.max("depth").alias("depth"), latest("title"), latest("url"))
     return catalogs, items.select("catalog_id", "site", "idx", "parent_idx", "depth", _plain(F.col("title")).alias("title"), _plain(F.col("url")).alias("url"))

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +107,39 @@ def test_deep_catalogs_in_one_pass(spark):
     assert items.where("catalog_id = 'deep'").agg(F.max("depth"), F.count("*")).first()[:] == (700, 701)
 
 
+def test_catalogs_are_read_chunk_after_chunk(spark, monkeypatch):
+    monkeypatch.setattr(CAT, "FAN", 2)
+    monkeypatch.setattr(CAT, "CHUNK", 2**4)
+    rng = random.Random(7)
+    docs, want = {}, []
+    for c in range(12):
+        n, stack, roots = 0, [], []
+        for _ in range(rng.choice([1, 2, 3, 7, 40, 90])):
+            stack = stack[: rng.randint(0, len(stack))]
+            n, item = n + 1, {"title": f"t{rng.random()}", "url": rng.choice(["u,]}", None, 'q"\\'])}
+            want.append((str(c), n, stack[-1][0] if stack else None, len(stack) + 1, item["title"], item["url"]))
+            (stack[-1][1].setdefault("children", []) if stack else roots).append(item)
+            stack.append((n, item))
+        docs[str(c)] = json.dumps({"meta": [{"title": "no", "children": [{}]}] * c, "site": "s", "items": roots, "more": [[{}]] * c})
+    docs["open"] = docs["11"] + "]"
+    _, items = CAT.catalogs_from_json(spark.createDataFrame(list(docs.items()), "catalog_id string, value string"))
+    got = items.select("catalog_id", "idx", "parent_idx", "depth", "title", "url").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_a_long_catalog_takes_no_longer_than_many_short_ones(spark):
+    def seconds(documents, size):
+        item = '{"title":"Customer#000000001","url":"http://world/0/1"}'
+        rows = [(str(i), '{"site":"s","items":[' + ",".join([item] * size) + "]}") for i in range(documents)]
+        _, items = CAT.catalogs_from_json(spark.createDataFrame(rows, "catalog_id string, value string").coalesce(1))
+        began = time.perf_counter()
+        assert items.agg(F.count("title"), F.max("idx")).first()[:] == (documents * size, size)
+        return time.perf_counter() - began
+
+    seconds(20, 1000)
+    assert seconds(1, 24000) < 2.5 * seconds(24, 1000) + 1
+
+
 def test_odd_catalog_documents(spark):
     odd = {
         "more": '{"site":"s","meta":{"items":[{"title":"no"}]},"items" : [ {"title":"a\\"]}","x":[{"title":"no"}],"children":[{"url":"u","children":[]}],"url":"v\\u00e9"}, 5 , {"t\\u0069tle":7,"url":null} ]}',
