@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
+from quire.functions.bind import let
 from quire.functions.text import safe_name
 from quire.operators.scans import cut, running
 from quire.session import settle
@@ -149,24 +150,42 @@ def _with_above(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _parts(inner: bool = False) -> Column:
-    """A block's rows by ``LEVELS``, each part with the rows of the block and before it that are still the last ones of their depth."""
+    """A block's rows by ``LEVELS``; of each part the rows before it that are still the last ones of their depth, by depth, and its own.
+
+    A part is ``_smooth`` if all depths above its first row have a row, and none of its rows is more than one level below the one before.
+    ``_low`` is the least depth in the part before a row.
+    """
 
     def part(at: Column) -> Column:
-        rows = F.slice("_rows", at + 1, F.lit(LEVELS))
-        start = F.get("_rows", at)["idx"]
-        before = F.filter(F.slice("_rows", F.lit(1), at), lambda r: (r["_until"] >= start) & (r["depth"] >= 1))
-        before = F.concat(F.filter("_above", lambda a: a["until"] >= start), F.transform(before, _ancestor))
+        return let(F.slice("_rows", at + 1, F.lit(LEVELS)), lambda rows: described(rows, at))
+
+    def described(rows: Column, at: Column) -> Column:
+        start = F.get(rows, F.lit(0))
+        before = F.filter(F.slice("_rows", F.lit(1), at), lambda r: (r["_until"] >= start["idx"]) & (r["depth"] >= 1))
+        before = F.sort_array(F.concat(F.filter("_above", lambda a: a["until"] >= start["idx"]), F.transform(before, _ancestor)))
         own = F.transform(F.filter(rows, lambda r: r["depth"] >= 1), _ancestor)
+        low = lambda i: F.coalesce(F.array_min(F.slice(rows["depth"], F.lit(1), i)).cast("bigint"), F.lit(END))
+        placed = F.transform(rows, lambda r, i: r.withField("_low", low(i)))
+        steps = F.transform(rows, lambda r, i: (r["depth"] >= 1) & ((i == 0) | (r["depth"] <= F.get(rows, i - 1)["depth"] + 1)))
+        full = lambda b: (F.coalesce(F.try_element_at(b, F.lit(-1))["depth"], F.lit(0)) == F.size(b)) & (start["depth"] <= F.size(b) + 1)
+        smooth = lambda b: full(b) & F.forall(steps, lambda x: F.coalesce(x, F.lit(False)))
         parents = [F.array_intersect("_inner", rows["idx"].cast("array<bigint>")).alias("_inner")] if inner else []
-        return F.struct(rows.alias("_rows"), F.concat(before, own).alias("_seen"), *parents)
+        return let(before, lambda b: F.struct(placed.alias("_rows"), b.alias("_before"), own.alias("_own"), smooth(b).alias("_smooth"), *parents))
 
     return F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("_rows") - 1, F.lit(LEVELS)), part))
 
 
-def _path(r: Column, seen: Column | str) -> Column:
-    """The rows above ``r``, from the root."""
-    idx, depth = r["idx"], r["depth"]
-    return F.sort_array(F.filter(seen, lambda a: (a["idx"] < idx) & (a["until"] > idx) & (a["depth"] < depth)))["here"]
+def _path(idx: Column, depth: Column, low: Column) -> Column:
+    """The rows above one of a part, from the root.
+
+    In a smooth part, the rows of the part between its least depth so far and a row's own hold every depth between, in order, and the
+    rows before the part hold those above.
+    """
+    holds = lambda a: (a["idx"] < idx) & (a["until"] > idx) & (a["depth"] < depth)
+    outside = F.slice("_before", F.lit(1), (F.least(depth.cast("bigint"), low) - 1).cast("int"))
+    return F.when(F.col("_smooth"), F.concat(outside["here"], F.filter("_own", holds)["here"])).otherwise(
+        F.sort_array(F.filter(F.concat("_before", "_own"), holds))["here"]
+    )
 
 
 def _with_inner(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -175,7 +194,7 @@ def _with_inner(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def parent(r: Column, i: Column) -> Column:
         before = F.get("_rows", i - 1)
-        above = F.try_element_at(_path(r, F.col("_seen")), F.lit(-1))["idx"]
+        above = F.try_element_at(_path(r["idx"], r["depth"], r["_low"]), F.lit(-1))["idx"]
         return F.when((i > 0) & (before["depth"] >= 1) & (before["depth"] + 1 == r["depth"]), before["idx"].cast("bigint")).otherwise(above)
 
     inner = parts.select(*keys, F.explode_outer(F.array_distinct(F.transform("_rows", parent))).alias("_idx")).where(F.col("_idx").isNotNull())
@@ -197,10 +216,10 @@ def flatten_catalog(
     bare = [c for c in items.columns if c not in ("parent_path", "parent_idx")]
     blocks = _with_inner(_with_above(_blocks(items.select(*bare), keys), keys), keys)
     parts = blocks.select(*keys, _parts(inner=True).alias("p")).select(*keys, "p.*")
-    rows = parts.select(*keys, "_seen", "_inner", F.explode_outer("_rows").alias("_r"))
+    rows = parts.select(*keys, "_before", "_own", "_smooth", "_inner", F.inline_outer("_rows"))
     flat = rows.select(
-        *keys, *[F.col(f"_r.{c}").alias(c) for c in bare if c not in keys], _path(F.col("_r"), F.col("_seen")).alias("parent_path"),
-        F.array_contains("_inner", F.col("_r.idx").cast("bigint")).alias("has_children"),
+        *bare, _path(F.col("idx"), F.col("depth"), F.col("_low")).alias("parent_path"),
+        F.array_contains("_inner", F.col("idx").cast("bigint")).alias("has_children"),
     )
     flat = flat.withColumn("parent_idx", F.try_element_at("parent_path", F.lit(-1))["idx"])
     columns = [*items.columns, *[c for c in ("parent_path", "parent_idx") if c not in items.columns]]
