@@ -210,7 +210,8 @@ def flatten_catalog(
 
     In walking order the ancestor of a row at depth k is the last earlier row of that depth. Rows are gathered in blocks that are told
     which rows before them count, and paths are made last, within a block: they are neither moved nor written, so that what is
-    grows with the rows and not with their depth. Rows without a depth have no ancestors.
+    grows with the rows and not with their depth. Rows without a depth have no ancestors. There is one plan for groups of any size, ``small``
+    or not.
     """
     keys = list(keys)
     bare = [c for c in items.columns if c not in ("parent_path", "parent_idx")]
